@@ -219,3 +219,19 @@ def document_languages(docs: DataFrame, penalty: float = 20.0) -> DataFrame:
     return label_languages(docs, model, penalty).select(
         F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score"
     )
+
+
+def filter_languages(docs: DataFrame, model: LanguageModel, least: float, penalty: float = 20.0, text_col: str = "text") -> DataFrame:
+    """The rows of docs with a language that has at least the share least of their words."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def prevails(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        labeler = Labeler(shared.value, penalty)
+        n = len(labeler.model.langs)
+        for texts in batches:
+            found = [WORD.findall(t.lower()) if t and n else [] for t in texts]
+            labeler.prepare(found)
+            yield pd.Series([bool(w) and np.bincount(labeler.path(w), minlength=n).max() >= least * len(w) for w in found], dtype=bool)
+
+    return docs.filter(prevails(F.col(text_col)))

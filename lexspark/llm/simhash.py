@@ -11,6 +11,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexspark.operators.components import connected_components
 from lexspark.operators.lineage import settle
@@ -19,9 +20,12 @@ from lexspark.operators.lineage import settle
 WIDTH = 64
 #: Hashes whose bits are counted at once.
 BLOCK = 1 << 15
-#: Words of a wide fingerprint, and its segments of 16 bits.
-WIDE_WORDS = 4
-WIDE_SEGMENTS = 16
+#: Segments of a wide fingerprint, and bytes of each.
+SEGMENTS, SEGMENT_BYTES = 26, 3
+#: Least bytes of a word that counts for a wide fingerprint, where a text has enough of them.
+LONG_WORD, ENOUGH = 6, 8
+#: Least shingle hashes kept for the comparison of two texts; texts of no more shingles compare exactly.
+SKETCH = 384
 
 
 def words(text: str | None) -> list[bytes]:
@@ -165,3 +169,167 @@ def simhash_components(
     return rows.join(classes, rows.fp == classes.key).select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def wide_fingerprint(found: list[bytes], cache: dict[bytes, bytes]) -> bytes:
+    """SimHash of SEGMENTS x SEGMENT_BYTES bytes over the distinct long words of a text."""
+    distinct = set(found)
+    picked = [w for w in distinct if len(w) >= LONG_WORD]
+    if len(picked) < ENOUGH:
+        picked = list(distinct)
+    size = SEGMENTS * SEGMENT_BYTES
+    if not picked:
+        return bytes(size)
+    if len(cache) > 400_000:
+        cache.clear()
+    parts = []
+    for w in picked:
+        if (h := cache.get(w)) is None:
+            h = cache[w] = b"".join(xxhash.xxh3_128_digest(w, seed=k) for k in range(-(-size // 16)))[:size]
+        parts.append(h)
+    return majority(np.frombuffer(b"".join(parts), dtype=np.uint8).reshape(-1, size)).tobytes()
+
+
+def shingle_sketch(found: list[bytes], size: int) -> bytes:
+    """The SKETCH least distinct 32-bit hashes of a text's shingles, sorted."""
+    hashes = np.unique(np.array(shingle_hashes(found, size), dtype=np.uint64) >> np.uint64(32))
+    return hashes[:SKETCH].astype("<u4").tobytes()
+
+
+def sketch_similarity(one: bytes, two: bytes) -> float:
+    """Jaccard similarity of two shingle sets from their sketches: exact if neither is cut."""
+    a, b = np.frombuffer(one, dtype="<u4"), np.frombuffer(two, dtype="<u4")
+    every = np.union1d(a, b)
+    if len(a) == SKETCH or len(b) == SKETCH:
+        every = every[:SKETCH]
+    if not len(every):
+        return 1.0
+    return float(len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), every, assume_unique=True)) / len(every))
+
+
+def segments_viable(diff: np.ndarray, budget: int) -> np.ndarray:
+    """The pigeonring filter on differing bits by segment (n x m): some start has all its chains of l
+    segments within l * budget / m."""
+    m = diff.shape[1]
+    viable = np.zeros(len(diff), dtype=bool)
+    for start in range(m):
+        chain = np.cumsum(np.roll(diff, -start, axis=1), axis=1)
+        viable |= (chain <= np.arange(1, m + 1) * budget // m).all(axis=1)
+    return viable
+
+
+def _sketches(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    cache: dict[bytes, bytes] = {}
+    for batch in batches:
+        rows = []
+        for doc, text in zip(batch["id"], batch["text"], strict=True):
+            found = words(text)
+            rows.append((doc, xxhash.xxh3_128_hexdigest(b" ".join(found)), wide_fingerprint(found, cache), shingle_sketch(found, size)))
+        yield pd.DataFrame(rows, columns=["id", "same", "fp", "sketch"])
+
+
+def _centre_distance(fp: pd.Series, centre: pd.Series) -> pd.Series:
+    a, b = (np.frombuffer(b"".join(x), dtype=np.uint8).reshape(len(x), -1) for x in (fp, centre))
+    return pd.Series(np.bitwise_count(a ^ b).sum(axis=1).astype(np.int32))
+
+
+def _majorities(parts: pd.DataFrame) -> pd.DataFrame:
+    total = np.sum([np.frombuffer(s, dtype=np.int64) for s in parts["sums"]], axis=0)
+    return pd.DataFrame({"k": parts["k"][:1], "piece": parts["piece"][:1], "centre": [np.packbits(total * 2 > parts["n"].sum()).tobytes()]})
+
+
+def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Bit counts by bucket, at most some hundred buckets at a time."""
+    held: dict[tuple[int, bytes], list] = {}
+    out = lambda: pd.DataFrame([(k, p, n, s.tobytes()) for (k, p), (n, s) in held.items()], columns=["k", "piece", "n", "sums"])
+    for batch in batches:
+        for key, own in batch.groupby(["k", "piece"]):
+            bits = np.unpackbits(np.frombuffer(b"".join(own["fp"]), dtype=np.uint8).reshape(len(own), -1), axis=1).sum(axis=0, dtype=np.int64)
+            n, s = held.get(key, (0, 0))
+            held[key] = (n + len(own), s + bits)
+        if len(held) > 500:
+            yield out()
+            held.clear()
+    if held:
+        yield out()
+
+
+def candidate_pairs(nodes: DataFrame, bucket_limit: int = 64) -> DataFrame:
+    """Distinct pairs (src, dst) of nodes (node, fp) that share a segment of their wide fingerprints.
+
+    A bucket of more than bucket_limit nodes makes no pairs among all its members: each of them meets the
+    bucket's least node and the node nearest to the majority of the bucket's bits, which for copies of
+    one text is that text or its like. So pairs stay in proportion to nodes.
+    """
+    cut = F.transform(
+        F.sequence(F.lit(0), F.lit(SEGMENTS - 1)),
+        lambda k: F.struct(k.alias("k"), F.substring("fp", k * SEGMENT_BYTES + 1, F.lit(SEGMENT_BYTES)).alias("piece")),
+    )
+    keyed = nodes.select("node", F.explode(cut).alias("s")).select("node", "s.k", "s.piece")
+    sizes = keyed.groupBy("k", "piece").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
+    members = settle(keyed.join(sizes, ["k", "piece"]), "segments")
+    few = members.filter(F.col("n") <= bucket_limit).select("k", "piece", "node")
+    pairs = few.alias("a").join(few.alias("b"), ["k", "piece"]).filter("a.node < b.node").select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
+    many = settle(members.filter(F.col("n") > bucket_limit).join(nodes, "node").select("k", "piece", "node", "least", "fp"), "overfull")
+    parts = many.select("k", "piece", "fp").mapInPandas(_sums, "k int, piece binary, n long, sums binary")
+    centres = parts.groupBy("k", "piece").applyInPandas(_majorities, "k int, piece binary, centre binary")
+    distance = F.pandas_udf(_centre_distance, "int")
+    nearest = (
+        many.join(centres, ["k", "piece"])
+        .groupBy("k", "piece")
+        .agg(F.min_by("node", F.struct(distance("fp", "centre"), "node")).alias("nearest"))
+    )
+    stars = many.join(nearest, ["k", "piece"]).select("node", F.explode(F.array("least", "nearest")).alias("other")).filter("node <> other")
+    return pairs.unionByName(stars.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst"))).distinct()
+
+
+def near_copy_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 110, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, same, class_id) of every row: class_id is the least id among near copies, chains of them included.
+
+    Texts of equal words are exact copies. Other texts are compared if wide fingerprints share a segment,
+    pass the pigeonring filter and differ in budget bits at most; they are near copies if the Jaccard
+    similarity of their shingles of size words reaches similarity. Texts without words are copies of each
+    other. Rows with a null id have a null class.
+    """
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.mapInPandas(partial(_sketches, size=size), "id string, same string, fp binary, sketch binary")
+    rows = settle(rows.withColumn("id", F.col("id").cast("long")), "sketches")
+    nodes = settle(rows.filter("id is not null").groupBy("same").agg(F.min("id").alias("node"), F.first("fp").alias("fp")), "nodes")
+    pairs = settle(candidate_pairs(nodes), "pairs")
+    ends = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
+    told = settle(rows.join(ends, "id").groupBy("id").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "compared")
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            a, b = (np.frombuffer(b"".join(batch[c]), dtype=np.uint8).reshape(len(batch), SEGMENTS, SEGMENT_BYTES) for c in ("fp_a", "fp_b"))
+            diff = np.bitwise_count(a ^ b).sum(axis=2, dtype=np.int64)
+            keep = segments_viable(diff, budget) & (diff.sum(axis=1) <= budget)
+            near = [k and sketch_similarity(x, y) >= similarity for k, x, y in zip(keep.tolist(), batch["sketch_a"], batch["sketch_b"], strict=True)]
+            yield batch.loc[near, ["src", "dst"]]
+
+    a = told.select(F.col("id").alias("src"), F.col("fp").alias("fp_a"), F.col("sketch").alias("sketch_a"))
+    b = told.select(F.col("id").alias("dst"), F.col("fp").alias("fp_b"), F.col("sketch").alias("sketch_b"))
+    edges = pairs.join(a, "src").join(b, "dst").mapInPandas(alike, "src long, dst long")
+    found = connected_components(edges)
+    classes = nodes.select("same", "node").join(found, "node", "left").select(F.col("same").alias("key"), F.coalesce("component", "node").alias("class_id"))
+    classes = settle(classes, "classes")
+    return rows.join(classes, rows["same"] == classes["key"], "left").select("id", "same", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"))
+
+
+def drop_near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without those that have a near copy of a lesser doc_id, all columns kept.
+
+    Rows with a null doc_id stay. Of repeated rows one stays.
+    """
+    classes = settle(near_copy_classes(docs, size, similarity), "classes")
+    gone = classes.filter("id <> class_id").select(F.col("id").alias("gone")).distinct()
+    key = F.col("doc_id").cast("long")
+    kept = docs.join(gone, key == gone["gone"], "left_anti")
+    again = classes.filter("id is not null").groupBy("id").count().filter("count > 1").select(F.col("id").alias("again"))
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, key == again["again"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c, kind in docs.dtypes if not kind.startswith("map")]))
+    return kept.join(again, key == again["again"], "left_anti").unionByName(once.withColumn("_n", first).filter("_n = 1").drop("_n"))
