@@ -273,7 +273,8 @@ def _listing(spans: str) -> F.Column:
 def document_pii(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of all documents."""
     rows = personal_spans(docs)
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    n = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return rows.select(F.col("id").cast("long").alias("doc_id"), *n, F.sha2(_listing("base"), 256).alias("base_sha256"), _listing("spans").alias("spans"))
 
 
