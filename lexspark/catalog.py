@@ -1,4 +1,713 @@
 """All registered queries outside llm, and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexspark.functions import legal, text, vectors
+from lexspark.operators import analytics, chunking, collection, embed, retrieval, similarity
+from lexspark.plans import answers, ingest
+from lexspark.sources import folders
+
+AS_OF = datetime(2024, 1, 31)
+#: Stop words of the registered TF-IDF queries.
+STOP_WORDS = ["the", "of", "and", "to", "in", "is", "that", "for", "it", "on", "at", "by", "la", "le", "de", "en", "der", "die", "und", "el", "que"]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+# Views on the given tables, in SQL that Spark and others read alike.
+VIEWS = {
+    "planted": """
+SELECT doc_id, source, lang AS category, text || CASE CAST(doc_id % 7 AS INT)
+  WHEN 0 THEN chr(10) || 'SECTION 1. Compensation' || chr(10) || 'The employee salary payment of $1,200.00 follows 29 CFR 1630.2 and section 12 of the civil code.'
+  WHEN 1 THEN ' WHEREAS, the parties enter this agreement on January 5, 2024; NOW THEREFORE, liability and damages follow. Service of the agreement.'
+  WHEN 2 THEN ' Smith v. Jones, 347 US 483 (1954) is the holding. The court held a precedent. 42 USC § 1983 and U.S. Const. amend. XIV apply.'
+  WHEN 3 THEN ' This non-disclosure and confidentiality obligation is proprietary. Governing law and jurisdiction: 3/15/2023.'
+  WHEN 4 THEN ' The landlord and tenant sign the lease for rent of premises at $950 and $1,100.50 on 12/1/2022.'
+  ELSE '' END AS text
+FROM documents""",
+    "query_analytics": """
+SELECT CAST(event_id AS STRING) AS query_id, event_type || ' ' || props AS query_text, CAST(ts AS TIMESTAMP) AS timestamp, value / 50 AS processing_time,
+  CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) / 100 AS avg_similarity_score, CAST(user_id AS STRING) AS user_id, event_type AS query_type,
+  CAST(user_id AS STRING) || '-' || CAST(CAST(ts AS DATE) AS STRING) AS session_id, event_id AS seq
+FROM events""",
+    "user_activity": """
+SELECT CAST(user_id AS STRING) AS user_id, event_type AS activity_type, props AS activity_data, CAST(ts AS TIMESTAMP) AS timestamp,
+  CAST(user_id AS STRING) || '-' || CAST(CAST(ts AS DATE) AS STRING) AS session_id
+FROM events""",
+    "system_performance": """
+SELECT CAST(ts AS TIMESTAMP) AS timestamp, value % 100 AS cpu_usage, value / 2 AS memory_usage, value / 50 AS avg_response_time,
+  CASE WHEN event_type = 'error' THEN 1.0E0 ELSE 0.0E0 END AS error_rate, value / 10 AS query_throughput
+FROM events""",
+    "document_analytics": """
+SELECT CAST(doc_id AS STRING) AS document_id, CAST(TIMESTAMP '2024-01-01 00:00:00' AS TIMESTAMP) + CAST(doc_id AS INT) * INTERVAL '1' MINUTE AS upload_timestamp,
+  n_chars AS file_size, CAST(floor(n_chars / 1000) AS INT) + 1 AS chunks_created, n_chars / 1.0E4 AS processing_time, n_chars / 1.0E5 AS legal_complexity, source AS uploader_id
+FROM documents""",
+    "files": """
+SELECT CAST(doc_id AS STRING) AS id, 'File' || CAST(doc_id AS STRING) || '.TXT' AS filename, CAST(CAST(TIMESTAMP '2024-01-01 00:00:00' AS DATE) AS STRING) || '-' || source AS upload_date,
+  lang AS category, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END AS source, text
+FROM documents""",
+    "chunk_vectors": """
+SELECT CAST(vec_id AS STRING) AS id, CAST(floor(vec_id / 5) AS BIGINT) AS doc_id, label, embedding, label / 1.0E1 AS legal_score, (vec_id % 7) / 7.0E0 AS complexity_score
+FROM embeddings""",
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, or a view on one."""
+    if name in VIEWS:
+        sql = VIEWS[name]
+        base = sql.rstrip().rpartition("FROM ")[2]
+        return spark.sql(f"{sql.rpartition('FROM ')[0]} FROM {{base}}", base=table(spark, sf_dir, base))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _with(*names: str) -> str:
+    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
+
+
+def query(*names: str, sql: str | None = None) -> Callable:
+    """Register a function of these tables; sql, which may read views by name, gives the same rows."""
+
+    def keep(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[table(spark, sf_dir, n) for n in names])
+        if sql:
+            views = [n for n in names if n in VIEWS]
+            ORACLE_SQL[f.__name__] = (_with(*views) + (", " if sql.startswith("more ") else " ") if views else ("WITH " if sql.startswith("more ") else "")) + sql.removeprefix("more ")
+        return f
+
+    return keep
+
+
+# Chunks and questions -------------------------------------------------------------------------------
+
+#: Words of the text after blanks are collapsed, and windows of 100 words every 80.
+CHUNKS_SQL = r"""
+words AS (SELECT doc_id, source, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+starts AS (SELECT doc_id, source, w, unnest(range(0, len(w), 80)) AS s FROM words),
+windows AS (SELECT doc_id, source, CAST(s / 80 AS INT) AS chunk_index, list_slice(w, s + 1, s + 100) AS part FROM starts),
+chunks AS (SELECT doc_id, source, chunk_index, array_to_string(part, ' ') AS text, CAST(len(part) AS INT) AS chunk_size FROM windows),
+named AS (SELECT *, md5(substring(text, 1, 100) || source || CAST(chunk_index AS VARCHAR)) AS id, CAST(length(text) AS INT) AS char_count FROM chunks)
+"""
+
+
+def _chunks(documents: DataFrame) -> DataFrame:
+    return chunking.chunk_documents(documents.select("doc_id", "source", "text"), 100, 20)
+
+
+@query("documents", sql=f"more {CHUNKS_SQL} SELECT doc_id, chunk_index, id, chunk_size, char_count, md5(text) AS text_md5 FROM named")
+def chunk_windows(documents: DataFrame) -> DataFrame:
+    return _chunks(documents).select("doc_id", "chunk_index", "id", "chunk_size", "char_count", F.md5("text").alias("text_md5"))
+
+
+def _embedded(documents: DataFrame) -> DataFrame:
+    return _chunks(documents).withColumn("embedding", vectors.unit_hash_embedding(F.col("text")))
+
+
+def _questions(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+HASH_SQL = r"list_transform(range(0, 16), lambda i: CAST(('0x' || substring(md5({0}), CAST(2 * i + 1 AS INT), 2)) AS INT))"
+UNIT_SQL = "list_transform({0}, lambda x: CAST(CAST(x / sqrt(list_sum(list_transform({0}, lambda y: CAST(y * y AS DOUBLE)))) AS FLOAT) AS DOUBLE))"
+RETRIEVE_SQL = f"""
+more {CHUNKS_SQL},
+raw AS (SELECT DISTINCT id, {HASH_SQL.format("text")} AS h FROM named),
+c AS (SELECT id, {UNIT_SQL.format("h")} AS v FROM raw),
+asked AS (SELECT item_id AS query_id, {HASH_SQL.format("trim(regexp_replace(text, '[[:space:]]+', ' ', 'g'))")} AS h FROM benchmark),
+q AS (SELECT query_id, {UNIT_SQL.format("h")} AS v FROM asked),
+s AS (SELECT query_id, id, round(list_dot_product(q.v, c.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(c.v, c.v)), 12) AS score FROM q, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, id, round(score, 6) AS score FROM r WHERE rank <= 5
+""".strip()
+
+
+@query("documents", "benchmark", sql=RETRIEVE_SQL)
+def retrieve_chunks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    found = retrieval.nearest_chunks(answers.embed_questions(_questions(benchmark)), _embedded(documents).dropDuplicates(["id"]))
+    return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query("documents", "benchmark")
+def answer_questions(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return answers.answer(_questions(benchmark), _embedded(documents).dropDuplicates(["id"]))
+
+
+@query("documents", "benchmark")
+def question_contexts(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    chunks = _embedded(documents).dropDuplicates(["id"])
+    found = retrieval.nearest_chunks(answers.embed_questions(_questions(benchmark)), chunks)
+    told = retrieval.contexts(retrieval.with_chunks(found, chunks, ["text", "source", "chunk_index", "section_num"]))
+    asked = _questions(benchmark).join(told, "query_id")
+    return asked.select("query_id", "context", retrieval.fallback_answer(F.col("question"), F.col("context")).alias("fallback"))
+
+
+@query("documents", "benchmark")
+def retrieval_evaluation(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    chunks = _embedded(documents).dropDuplicates(["id"])
+    found = retrieval.with_chunks(retrieval.nearest_chunks(answers.embed_questions(_questions(benchmark)), chunks), chunks, ["text"])
+    cases = _questions(benchmark).select("query_id", F.slice(text.words(F.col("question")), 1, 4).alias("keywords"))
+    return retrieval.evaluate(cases, found)[0]
+
+
+@query("documents", "benchmark")
+def question_confidence(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return retrieval.confidence(retrieval.nearest_chunks(answers.embed_questions(_questions(benchmark)), _embedded(documents).dropDuplicates(["id"])))
+
+
+@query("documents")
+def ingest_chunks(documents: DataFrame) -> DataFrame:
+    return ingest.ingest(documents, AS_OF, 512, 50).drop("embedding")
+
+
+@query("documents")
+def chunk_sections(documents: DataFrame) -> DataFrame:
+    return chunking.chunk_documents(documents.select("doc_id", "source", "text"), 512, 50, normalize_first=False).withColumn("text", F.md5("text"))
+
+
+@query("planted")
+def section_table(planted: DataFrame) -> DataFrame:
+    return chunking.section_table(planted)
+
+
+@query("planted")
+def enhanced_chunks(planted: DataFrame) -> DataFrame:
+    return chunking.enhanced_chunks(planted)
+
+
+# Texts and annotation -------------------------------------------------------------------------------
+
+
+@query(
+    "documents",
+    sql=r"""
+SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS INT) AS word_count, CAST(length(text) AS INT) AS char_count,
+  md5(text) AS document_hash, CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '...' ELSE text END AS preview,
+  CASE WHEN length(trim(text)) < 10 OR length(regexp_replace(text, '[^\x00-\x7f]', '', 'g')) / length(text) < 0.3
+    OR length(regexp_replace(text, '[^\p{L}]', '', 'g')) / length(text) < 0.2 OR (length(text) - length(regexp_replace(text, '\s', '', 'g'))) / length(text) > 0.8
+    OR (length(text) - length(regexp_replace(text, '\s', '', 'g'))) / length(text) < 0.05
+    OR len(list_distinct(string_split(text, ''))) < greatest(5.0, length(text) * 0.1) THEN 'poor' ELSE 'good' END AS extraction_quality
+FROM documents""",
+)
+def text_statistics(documents: DataFrame) -> DataFrame:
+    t = F.col("text")
+    return documents.select(
+        "doc_id", text.word_count(t).alias("word_count"), F.length(t).alias("char_count"), text.content_hash(t).alias("document_hash"),
+        text.preview(t).alias("preview"), text.extraction_quality(t).alias("extraction_quality"),
+    )
+
+
+@query(
+    "planted",
+    sql=r"""
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '\b(\d+)\s+U\.?S\.?\s+(\d+)', '\1 U.S. \2', 'g'),
+  '\bWHEREAS,?\s+', 'WHEREAS ', 'g'), '\bNOW\s+THEREFORE,?\s+', 'NOW THEREFORE ', 'g')) AS text FROM planted""",
+)
+def preprocess_legal(planted: DataFrame) -> DataFrame:
+    return planted.select("doc_id", text.preprocess_legal(F.col("text")).alias("text"))
+
+
+@query("documents")
+def clean_documents(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", text.clean_text(F.col("text")).alias("text"))
+
+
+def _terms_sql(column: str) -> str:
+    return "list_filter([" + ", ".join(f"'{t}'" for t in legal.VOCABULARY) + f"], lambda t: contains(lower({column}), t))"
+
+
+@query(
+    "planted",
+    sql=rf"""
+SELECT doc_id, array_to_string(list_concat(
+    regexp_extract_all(text, '(?i)\b\w+\s+v\.?\s+\w+,?\s+\d+\s+\w+\.?\s*\d*\s+\d+\s*\(\d{{4}}\)'), regexp_extract_all(text, '(?i)\b\d+\s+[A-Z]+\.?[A-Z]*\.?[A-Z]*\.?\s*§\s*\d+'),
+    regexp_extract_all(text, '(?i)\bsection\s+\d+\s+of\s+the\s+\w+\s+code\b'), regexp_extract_all(text, '(?i)\b\d+\s+CFR\s+\d+\.\d+\b'),
+    regexp_extract_all(text, '(?i)\bU\.?S\.?\s+Const\.?\s+amend\.?\s+[IVXLC]+\b')), '; ') AS citations,
+  array_to_string(regexp_extract_all(text, '\$[\d,]+(?:\.\d{{2}})?'), '; ') AS amounts,
+  array_to_string(regexp_extract_all(text, '\b\d{{1,2}}/\d{{1,2}}/\d{{4}}\b|\b\w+\s+\d{{1,2}},\s+\d{{4}}\b'), '; ') AS dates,
+  array_to_string({_terms_sql("text")}, '; ') AS terms FROM planted""",
+)
+def legal_entities(planted: DataFrame) -> DataFrame:
+    e = legal.entities(F.col("text"))
+    told = {"citations": "citations", "amounts": "monetary_amounts", "dates": "dates", "terms": "legal_terms"}
+    return planted.select("doc_id", *[F.array_join(e[k], "; ").alias(c) for c, k in told.items()])
+
+
+_TERM_SQL = ", ".join(rf"regexp_extract_all(lower(text), '\b(?:{p})\b')" for p in legal.TERM_PATTERNS)
+
+
+@query("planted", sql=f"SELECT doc_id, array_to_string(list_sort(list_distinct(flatten([{_TERM_SQL}]))), ', ') AS legal_terms FROM planted")
+def legal_terms(planted: DataFrame) -> DataFrame:
+    return planted.select("doc_id", text.joined(legal.legal_terms(F.col("text"))).alias("legal_terms"))
+
+
+def _hits_sql(terms: tuple[str, ...]) -> str:
+    return " + ".join(f"CAST(contains(lower(text), '{t}') AS INT)" for t in terms)
+
+
+_TYPE_SQL = ", ".join(f"{{'n': {_hits_sql(k)}, 'o': {-at}, 'name': '{name}'}}" for at, (name, k) in enumerate(legal.DOCUMENT_TYPES.items()))
+_SECTION_SQL = " ".join(f"WHEN {_hits_sql(k)} > 0 THEN '{name}'" for name, k in legal.SECTION_TYPES.items())
+
+
+@query(
+    "planted",
+    sql=f"""
+more best AS (SELECT doc_id, list_max([{_TYPE_SQL}]) AS b FROM planted)
+SELECT p.doc_id, CASE WHEN b.n > 0 THEN b.name ELSE 'general' END AS document_type, CASE {_SECTION_SQL} ELSE 'general' END AS section_type
+FROM planted p JOIN best USING (doc_id)""".strip(),
+)
+def document_types(planted: DataFrame) -> DataFrame:
+    return planted.select("doc_id", legal.document_type(F.col("text")).alias("document_type"), legal.section_type(F.col("text")).alias("section_type"))
+
+
+@query(
+    "planted",
+    sql=rf"""
+more w AS (SELECT doc_id, text, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n, len({_terms_sql("text")}) AS k,
+  list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: len(list_filter(string_split_regex(s, '\s+'), lambda x: x <> ''))), lambda c: c > 0) AS sentences,
+  len(regexp_extract_all(text, '(?i)\b\w+\s+v\.?\s+\w+,?\s+\d+\s+\w+\.?\s*\d*\s+\d+\s*\(\d{{4}}\)')) + len(regexp_extract_all(text, '(?i)\b\d+\s+[A-Z]+\.?[A-Z]*\.?[A-Z]*\.?\s*§\s*\d+'))
+    + len(regexp_extract_all(text, '(?i)\bsection\s+\d+\s+of\s+the\s+\w+\s+code\b')) + len(regexp_extract_all(text, '(?i)\b\d+\s+CFR\s+\d+\.\d+\b'))
+    + len(regexp_extract_all(text, '(?i)\bU\.?S\.?\s+Const\.?\s+amend\.?\s+[IVXLC]+\b')) AS c FROM planted)
+SELECT doc_id, round(least(k / n * 10, 1.0), 6) AS legal_score,
+  round(least(list_avg(sentences) / 20, 1.0) * 0.4 + least(k / n * 10, 1.0) * 0.4 + least(c / 10, 1.0) * 0.2, 6) AS complexity_score FROM w""".strip(),
+)
+def legal_scores(planted: DataFrame) -> DataFrame:
+    t = F.col("text")
+    return planted.select("doc_id", F.round(legal.legal_score(t), 6).alias("legal_score"), F.round(legal.complexity_score(t), 6).alias("complexity_score"))
+
+
+@query("planted")
+def precedents(planted: DataFrame) -> DataFrame:
+    return legal.precedents(planted)
+
+
+@query("planted")
+def analysed_chunks(planted: DataFrame) -> DataFrame:
+    return ingest.analyse(planted)[0].drop("legal_entities")
+
+
+@query("planted")
+def document_analysis(planted: DataFrame) -> DataFrame:
+    return ingest.analyse(planted)[1]
+
+
+@query(
+    "planted",
+    sql=f"""
+more best AS (SELECT doc_id, list_max([{_TYPE_SQL}]) AS b FROM planted),
+kinds AS (SELECT 'legal_document_type' AS key, CASE WHEN b.n > 0 THEN b.name ELSE 'general' END AS value FROM best),
+terms AS (SELECT 'legal_term' AS key, unnest(list_distinct(flatten([{_TERM_SQL}]))) AS value FROM planted)
+SELECT key, value, count(*) AS n FROM (SELECT * FROM kinds UNION ALL SELECT * FROM terms) GROUP BY ALL""".strip(),
+)
+def corpus_roll_up(planted: DataFrame) -> DataFrame:
+    t = F.col("text")
+    return ingest.roll_up(planted.select(legal.document_type(t).alias("legal_document_type"), text.joined(legal.legal_terms(t)).alias("legal_terms")))
+
+
+@query("documents")
+def assembled_pages(documents: DataFrame) -> DataFrame:
+    pages = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text")).select("doc_id", (F.col("at") + 1).alias("page"), "text")
+    return folders.assemble_pages(pages)
+
+
+# Vectors --------------------------------------------------------------------------------------------
+
+
+@query(
+    "documents",
+    sql=f"""
+SELECT doc_id, round(list_sum(list_transform({HASH_SQL.format("text")}, lambda x: CAST(CAST(x / 255.0E0 AS FLOAT) AS DOUBLE))) * 24, 4) AS repeated_sum,
+  round(list_sum({UNIT_SQL.format("(" + HASH_SQL.format("text") + ")")}), 4) AS unit_sum FROM documents""",
+)
+def hash_embeddings(documents: DataFrame) -> DataFrame:
+    total = lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double")), 4)
+    return documents.select("doc_id", total(vectors.repeated_hash_embedding(F.col("text"))).alias("repeated_sum"), total(vectors.unit_hash_embedding(F.col("text"))).alias("unit_sum"))
+
+
+_STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+@query(
+    "documents",
+    sql=rf"""
+WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{2,}}') AND x NOT IN ({_STOP_SQL})) AS t FROM documents),
+grams AS (SELECT doc_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM t),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL),
+totals AS (SELECT term, sum(tf) AS total, count(*) AS df FROM counts GROUP BY term ORDER BY total DESC, term LIMIT 1000),
+raw AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM counts JOIN totals USING (term)),
+size AS (SELECT doc_id, sqrt(sum(w * w)) AS s FROM raw GROUP BY doc_id)
+SELECT doc_id AS id, term, round(w / s, 6) AS weight FROM raw JOIN size USING (doc_id)""",
+)
+def tfidf_vectors(documents: DataFrame) -> DataFrame:
+    texts = documents.select(F.col("doc_id").alias("id"), "text")
+    found = embed.tfidf(texts, embed.fit_tfidf(texts, STOP_WORDS), STOP_WORDS)
+    return found.withColumn("weight", F.round("weight", 6))
+
+
+@query("planted")
+def legal_tfidf_vectors(planted: DataFrame) -> DataFrame:
+    texts = planted.select(F.col("doc_id").alias("id"), "text")
+    return embed.tfidf(texts, embed.fixed_vocabulary(texts, STOP_WORDS), STOP_WORDS, 3, sublinear=True).withColumn("weight", F.round("weight", 6))
+
+
+def _vector_sql(score: str, where: str = "TRUE") -> str:
+    return f"""
+more v AS (SELECT id, legal_score, complexity_score, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM chunk_vectors),
+q AS (SELECT CAST(id AS BIGINT) AS query_id, e FROM v WHERE CAST(id AS BIGINT) < 20),
+b AS (SELECT query_id, id, legal_score, complexity_score, {score} AS base FROM q, v WHERE {where}),
+"""
+
+
+def _vector_queries(chunk_vectors: DataFrame) -> DataFrame:
+    return chunk_vectors.filter(F.col("id").cast("long") < 20).select(F.col("id").cast("long").alias("query_id"), "embedding")
+
+
+_COSINE = "round(list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(v.e, v.e)), 12)"
+_RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, CAST(rank AS INT) AS rank, id, round(score, 6) AS score FROM r WHERE rank <= "
+
+
+@query("chunk_vectors", sql=(_vector_sql(_COSINE) + f"s AS (SELECT query_id, id, base AS score FROM b), {_RANKED} 5").strip())
+def cosine_search(chunk_vectors: DataFrame) -> DataFrame:
+    found = retrieval.nearest_chunks(_vector_queries(chunk_vectors), chunk_vectors)
+    return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "chunk_vectors",
+    sql=(_vector_sql("round(1 - list_sum(list_transform(list_zip(q.e, v.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 12)", "label >= 3") + f"s AS (SELECT query_id, id, base AS score FROM b), {_RANKED} 5").strip(),
+)
+def distance_search(chunk_vectors: DataFrame) -> DataFrame:
+    where = collection.predicate({"label": {"$gte": 3}})
+    found = retrieval.nearest_chunks(_vector_queries(chunk_vectors), chunk_vectors, metric="l2", where=where)
+    return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "chunk_vectors",
+    sql=(_vector_sql(_COSINE) + f"s AS (SELECT query_id, id, 0.7E0 * base + 0.2E0 * legal_score + 0.1E0 * complexity_score AS score FROM b), {_RANKED} 10 AND score >= 0.3").strip(),
+)
+def hybrid_search(chunk_vectors: DataFrame) -> DataFrame:
+    found = retrieval.nearest_chunks(_vector_queries(chunk_vectors), chunk_vectors, 10, weights=(0.7, 0.2, 0.1), least=0.3)
+    return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+PAIRS_SQL = """
+more c AS (SELECT doc_id, list_transform(range(1, 65), lambda i: 0.0E0) AS zero, list(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS es FROM chunk_vectors GROUP BY doc_id),
+m AS (SELECT doc_id, list_transform(range(1, 65), lambda i: list_avg(list_transform(es, lambda e: e[i]))) AS e FROM c),
+pairs AS (SELECT a.doc_id AS doc1_id, b.doc_id AS doc2_id, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) AS similarity_score
+  FROM m a JOIN m b ON a.doc_id < b.doc_id),
+alike AS (SELECT * FROM pairs WHERE similarity_score >= 0.25)
+""".strip()
+
+
+def _pairs(chunk_vectors: DataFrame) -> DataFrame:
+    return similarity.similar_documents(similarity.centroids(chunk_vectors, 64), 0.25)
+
+
+_BAND = "CASE WHEN {0} > {1} THEN 'high' WHEN {0} > {2} THEN 'medium' ELSE 'low' END"
+
+
+@query("chunk_vectors", sql=f"{PAIRS_SQL} SELECT doc1_id, doc2_id, round(similarity_score, 6) AS similarity_score, {_BAND.format('similarity_score', 0.9, 0.8)} AS band FROM alike")
+def similar_documents(chunk_vectors: DataFrame) -> DataFrame:
+    pairs = _pairs(chunk_vectors)
+    return pairs.select("doc1_id", "doc2_id", F.round("similarity_score", 6).alias("similarity_score"), similarity.band(F.col("similarity_score")).alias("band"))
+
+
+@query(
+    "chunk_vectors",
+    sql=PAIRS_SQL
+    + """, both_ways AS (SELECT doc1_id AS doc_id, doc2_id AS other_id, similarity_score FROM alike UNION ALL SELECT doc2_id, doc1_id, similarity_score FROM alike),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity_score DESC, other_id) AS rank FROM both_ways)
+SELECT doc_id, CAST(rank AS INT) AS rank, other_id, round(similarity_score, 6) AS similarity_score FROM r WHERE rank <= 10""",
+)
+def most_similar_documents(chunk_vectors: DataFrame) -> DataFrame:
+    return similarity.most_similar(_pairs(chunk_vectors)).withColumn("similarity_score", F.round("similarity_score", 6))
+
+
+@query("chunk_vectors", sql=f"{PAIRS_SQL} SELECT round(avg(similarity_score), 6) AS avg_similarity, round(max(similarity_score), 6) AS max_similarity, count(*) AS total_comparisons FROM alike")
+def similarity_totals(chunk_vectors: DataFrame) -> DataFrame:
+    return similarity.similarity_totals(_pairs(chunk_vectors)).select(F.round("avg_similarity", 6).alias("avg_similarity"), F.round("max_similarity", 6).alias("max_similarity"), "total_comparisons")
+
+
+@query("chunk_vectors", sql=f"{PAIRS_SQL} SELECT doc1_id, doc2_id, round(similarity_score, 6) AS similarity_score FROM alike WHERE similarity_score > 0.3 ORDER BY similarity_score DESC, doc1_id, doc2_id LIMIT 20")
+def top_similar_pairs(chunk_vectors: DataFrame) -> DataFrame:
+    return similarity.top_pairs(_pairs(chunk_vectors), 0.3).withColumn("similarity_score", F.round("similarity_score", 6))
+
+
+@query("chunk_vectors")
+def document_clusters(chunk_vectors: DataFrame) -> DataFrame:
+    return similarity.clusters(_pairs(chunk_vectors), 0.35)
+
+
+# Collection -----------------------------------------------------------------------------------------
+
+
+def _rows(files: DataFrame) -> DataFrame:
+    return files.select("id", "text", "source", "category", F.lit(AS_OF).cast("timestamp").alias("indexed_at"), F.create_map(F.lit("category"), F.col("category")).alias("metadata"))
+
+
+@query("files", sql="SELECT id, source, category FROM files WHERE CAST(id AS BIGINT) % 3 <> 1 UNION ALL SELECT id, source, category FROM files WHERE CAST(id AS BIGINT) % 3 = 1")
+def collection_add(files: DataFrame) -> DataFrame:
+    rows = _rows(files)
+    return collection.add(rows.filter(F.col("id").cast("long") % 3 != 1), rows.filter(F.col("id").cast("long") % 3 != 0), AS_OF).select("id", "source", "category")
+
+
+@query("files", sql="SELECT id, category FROM files WHERE CAST(id AS BIGINT) % 4 = 0")
+def collection_get(files: DataFrame) -> DataFrame:
+    return collection.get(files, files.filter(F.col("id").cast("long") % 4 == 0)).select("id", "category")
+
+
+@query("files", sql="SELECT id, category FROM files WHERE CAST(id AS BIGINT) % 4 <> 0")
+def collection_delete(files: DataFrame) -> DataFrame:
+    return collection.delete(files, files.filter(F.col("id").cast("long") % 4 == 0)).select("id", "category")
+
+
+@query("files", sql="SELECT id, source FROM files WHERE source IS NULL OR NOT (source IN ('src1', 'src2') OR category = 'fr')")
+def collection_delete_where(files: DataFrame) -> DataFrame:
+    return collection.delete_where(files.filter("category is not null"), {"$or": [{"source": {"$in": ["src1", "src2"]}}, {"category": "fr"}]}).select("id", "source")
+
+
+ORACLE_SQL["collection_delete_where"] = _with("files") + " SELECT id, source FROM files WHERE NOT coalesce(source IN ('src1', 'src2') OR category = 'fr', FALSE)"
+
+
+@query(
+    "files",
+    sql="""SELECT id, CASE WHEN CAST(id AS BIGINT) % 10 = 0 THEN 'new' ELSE category END AS category, CASE WHEN CAST(id AS BIGINT) % 10 = 0 THEN 'yes' END AS checked,
+  CASE WHEN CAST(id AS BIGINT) % 10 = 0 THEN '2024-01-31' END AS updated FROM files""",
+)
+def collection_update(files: DataFrame) -> DataFrame:
+    new = files.filter(F.col("id").cast("long") % 10 == 0).select("id", F.create_map(F.lit("category"), F.lit("new"), F.lit("checked"), F.lit("yes")).alias("metadata"))
+    rows = collection.update_metadata(_rows(files), new, AS_OF)
+    return rows.select("id", F.try_element_at("metadata", F.lit("category")).alias("category"), F.try_element_at("metadata", F.lit("checked")).alias("checked"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
+@query("files", sql="SELECT id, filename FROM files WHERE category = 'de' AND source >= 'src1' ORDER BY id LIMIT 10")
+def collection_search(files: DataFrame) -> DataFrame:
+    return collection.search_metadata(files, {"$and": [{"category": "de"}, {"source": {"$gte": "src1"}}]}).select("id", "filename")
+
+
+@query("files", sql="SELECT id, CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '...' ELSE text END AS preview FROM files WHERE category <> 'fr' ORDER BY id LIMIT 100 OFFSET 30")
+def collection_page(files: DataFrame) -> DataFrame:
+    return collection.list_rows(_rows(files), {"category": {"$ne": "fr"}}, 30).select("id", "preview")
+
+
+@query("files", sql="SELECT id, filename, upload_date, category, coalesce(source, 'Unknown') AS source FROM files")
+def document_listing(files: DataFrame) -> DataFrame:
+    return collection.listing(files)
+
+
+@query("files", sql="SELECT 'files' AS name, count(*) AS document_count, 'active' AS status FROM files")
+def collection_stats(files: DataFrame) -> DataFrame:
+    return collection.stats(files, "files")
+
+
+@query("files", sql="SELECT id, filename, category FROM files WHERE contains(lower(filename), 'file1') OR contains(lower(category), 'file1') OR contains(lower(source), 'file1')")
+def file_search(files: DataFrame) -> DataFrame:
+    return collection.search_files(files, "File1").select("id", "filename", "category")
+
+
+@query("files", sql="SELECT category, count(*) AS n_files FROM files GROUP BY category")
+def files_by_category(files: DataFrame) -> DataFrame:
+    return collection.files_by_category(files)
+
+
+@query("documents", sql="SELECT min(doc_id) AS doc_id, md5(text) AS document_hash, count(*) AS n_copies FROM documents GROUP BY md5(text)")
+def exact_deduplication(documents: DataFrame) -> DataFrame:
+    return collection.deduplicate(documents).select("doc_id", "document_hash", "n_copies")
+
+
+@query(
+    "conversations",
+    sql="""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, role, substring(text, 1, 80) || '...' AS preview FROM r WHERE n <= 3""",
+)
+def chat_history(conversations: DataFrame) -> DataFrame:
+    return collection.last_messages(conversations, 3, "user")
+
+
+# Usage ----------------------------------------------------------------------------------------------
+
+_SINCE = "timestamp >= TIMESTAMP '2024-01-01 00:00:00'"
+
+
+def _mean(column: str, digits: int) -> str:
+    return f"round_even(coalesce(avg({column}), 0), {digits})"
+
+
+@query("query_analytics", sql="SELECT query_id, avg_similarity_score, avg_similarity_score AS max_similarity_score, processing_time FROM query_analytics")
+def query_log(query_analytics: DataFrame) -> DataFrame:
+    rows = query_analytics.withColumn("scores", F.array("avg_similarity_score")).drop("avg_similarity_score")
+    older = rows.withColumns({"seq": F.lit(-1).cast("long"), "processing_time": F.lit(-1.0)})
+    return analytics.query_log(rows.unionByName(older)).select("query_id", "avg_similarity_score", "max_similarity_score", "processing_time")
+
+
+@query("document_analytics", sql="SELECT document_id, file_size, CAST(0 AS BIGINT) AS query_count FROM document_analytics")
+def document_log(document_analytics: DataFrame) -> DataFrame:
+    rows = document_analytics.withColumn("seq", F.lit(1))
+    return analytics.document_log(rows.unionByName(rows.withColumns({"seq": F.lit(0), "file_size": F.lit(0).cast("long")}))).select("document_id", "file_size", "query_count")
+
+
+@query("user_activity", sql="SELECT user_id, activity_type, '{\"k\":\"' || regexp_extract(activity_data, '([0-9]+)', 1) || '\"}' AS activity_data, count(*) AS n FROM user_activity GROUP BY ALL")
+def activity_log(user_activity: DataFrame) -> DataFrame:
+    rows = user_activity.withColumn("payload", F.from_json("activity_data", "map<string,string>")).drop("activity_data")
+    return analytics.activity_rows(rows, "payload").groupBy("user_id", "activity_type", "activity_data").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("system_performance", sql="SELECT timestamp, cpu_usage, error_rate, 0.0E0 AS storage_usage FROM system_performance")
+def performance_log(system_performance: DataFrame) -> DataFrame:
+    metrics = F.create_map(F.lit("cpu_usage"), F.col("cpu_usage"), F.lit("error_rate"), F.col("error_rate"))
+    return analytics.performance_rows(system_performance.select("timestamp", metrics.alias("metrics"))).select("timestamp", "cpu_usage", "error_rate", "storage_usage")
+
+
+@query(
+    "query_analytics",
+    sql=f"SELECT count(*) AS total_queries, {_mean('processing_time', 3)} AS avg_processing_time, {_mean('avg_similarity_score', 3)} AS avg_similarity_score, count(DISTINCT user_id) AS unique_users FROM query_analytics WHERE {_SINCE}",
+)
+def query_stats(query_analytics: DataFrame) -> DataFrame:
+    return analytics.query_stats(query_analytics, AS_OF)
+
+
+@query(
+    "document_analytics",
+    sql=f"""SELECT count(*) AS total_documents, {_mean('file_size', 0)} AS avg_file_size, {_mean('chunks_created', 1)} AS avg_chunks, {_mean('processing_time', 3)} AS avg_processing_time,
+  {_mean('legal_complexity', 3)} AS avg_complexity FROM document_analytics WHERE upload_{_SINCE}""",
+)
+def document_stats(document_analytics: DataFrame) -> DataFrame:
+    return analytics.document_stats(document_analytics, AS_OF)
+
+
+@query("query_analytics", sql=f"SELECT CAST(timestamp AS DATE) AS day, count(*) AS n FROM query_analytics WHERE {_SINCE} GROUP BY 1")
+def daily_queries(query_analytics: DataFrame) -> DataFrame:
+    return analytics.daily_queries(query_analytics, AS_OF)
+
+
+@query("query_analytics", sql=f"SELECT query_type, count(*) AS n FROM query_analytics WHERE {_SINCE} GROUP BY 1 ORDER BY n DESC, query_type LIMIT 10")
+def top_query_types(query_analytics: DataFrame) -> DataFrame:
+    return analytics.top_query_types(query_analytics, AS_OF)
+
+
+@query("system_performance", sql=f"SELECT {_mean('avg_response_time', 3)} AS avg_response_time, {_mean('error_rate', 3)} AS avg_error_rate, {_mean('query_throughput', 2)} AS avg_throughput FROM system_performance WHERE {_SINCE}")
+def system_averages(system_performance: DataFrame) -> DataFrame:
+    return analytics.system_averages(system_performance, AS_OF)
+
+
+_LATENCY = "CASE WHEN processing_time < 0.1 THEN 'very_fast' WHEN processing_time < 0.5 THEN 'fast' WHEN processing_time < 1.0 THEN 'moderate' WHEN processing_time < 2.0 THEN 'slow' ELSE 'very_slow' END"
+_QUALITY = "CASE WHEN avg_similarity_score >= 0.8 THEN 'excellent' WHEN avg_similarity_score >= 0.6 THEN 'good' WHEN avg_similarity_score >= 0.4 THEN 'fair' WHEN avg_similarity_score >= 0.2 THEN 'poor' ELSE 'very_poor' END"
+
+
+@query("query_analytics", sql=f"SELECT {_LATENCY} AS category, count(*) AS n, round_even(avg(processing_time), 3) AS avg_time FROM query_analytics GROUP BY 1")
+def latency_distribution(query_analytics: DataFrame) -> DataFrame:
+    return analytics.latency_distribution(query_analytics)
+
+
+@query(
+    "query_analytics",
+    sql="""SELECT query_id, CASE WHEN length(query_text) > 100 THEN substring(query_text, 1, 100) || '...' ELSE query_text END AS query, round_even(processing_time, 3) AS processing_time,
+  round_even(coalesce(avg_similarity_score, 0), 3) AS similarity_score FROM query_analytics q ORDER BY q.processing_time DESC, query_id LIMIT 10""",
+)
+def slowest_queries(query_analytics: DataFrame) -> DataFrame:
+    return analytics.slowest_queries(query_analytics)
+
+
+@query("query_analytics", sql=f"SELECT {_QUALITY} AS category, count(*) AS n FROM query_analytics WHERE avg_similarity_score IS NOT NULL GROUP BY 1")
+def quality_distribution(query_analytics: DataFrame) -> DataFrame:
+    return analytics.quality_distribution(query_analytics)
+
+
+@query("query_analytics")
+def optimisation_advice(query_analytics: DataFrame) -> DataFrame:
+    return analytics.suggestions(query_analytics).select(F.array_join("suggestions", "; ").alias("suggestions"))
+
+
+@query("user_activity", sql=f"SELECT count(DISTINCT user_id) AS active_users FROM user_activity WHERE {_SINCE}")
+def active_users(user_activity: DataFrame) -> DataFrame:
+    return analytics.active_users(user_activity, AS_OF)
+
+
+@query("user_activity", sql=f"SELECT activity_type, count(*) AS n FROM user_activity WHERE {_SINCE} GROUP BY 1")
+def activity_types(user_activity: DataFrame) -> DataFrame:
+    return analytics.activity_types(user_activity, AS_OF)
+
+
+@query("user_activity", sql=f"SELECT lpad(CAST(hour(timestamp) AS VARCHAR), 2, '0') || ':00' AS hour, count(*) AS n FROM user_activity WHERE {_SINCE} GROUP BY 1")
+def hourly_profile(user_activity: DataFrame) -> DataFrame:
+    return analytics.hourly_profile(user_activity, AS_OF)
+
+
+@query("user_activity", sql=f"SELECT user_id, count(*) AS n FROM user_activity WHERE {_SINCE} GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10")
+def top_users(user_activity: DataFrame) -> DataFrame:
+    return analytics.top_users(user_activity, AS_OF)
+
+
+@query(
+    "document_analytics",
+    "query_analytics",
+    sql="""more live AS (SELECT document_id, upload_timestamp AS a, lead(upload_timestamp, 3) OVER (ORDER BY upload_timestamp, document_id) AS b FROM document_analytics)
+SELECT document_id, count(*) AS query_count, round(sum(avg_similarity_score), 6) AS total_similarity_score, max(timestamp) AS last_queried,
+  round(avg(avg_similarity_score), 6) AS avg_similarity_score
+FROM live JOIN query_analytics ON timestamp >= a AND (b IS NULL OR timestamp < b) GROUP BY document_id""",
+)
+def document_usage(document_analytics: DataFrame, query_analytics: DataFrame) -> DataFrame:
+    used = analytics.document_usage(document_analytics, query_analytics.withColumn("score", F.col("avg_similarity_score")))
+    rounded = {c: F.round(c, 6) for c in ("total_similarity_score", "avg_similarity_score")}
+    return used.withColumns(rounded)
+
+
+@query(
+    "system_performance",
+    sql="""SELECT round_even(coalesce(avg(cpu_usage), 0), 2) AS avg_cpu_usage, round_even(coalesce(avg(memory_usage), 0), 2) AS avg_memory_usage, round_even(coalesce(avg(error_rate), 0), 4) AS avg_error_rate,
+  CASE WHEN coalesce(avg(cpu_usage), 0) < 80 AND coalesce(avg(error_rate), 0) < 0.05 THEN 'healthy' ELSE 'warning' END AS status
+FROM system_performance WHERE timestamp >= TIMESTAMP '2024-01-30 00:00:00'""",
+)
+def system_health(system_performance: DataFrame) -> DataFrame:
+    return analytics.health(system_performance, AS_OF)
+
+
+@query("query_analytics", "user_activity", sql="SELECT 'queries' AS \"table\", count(*) FILTER (timestamp < TIMESTAMP '2024-01-16 00:00:00') AS deleted FROM query_analytics UNION ALL SELECT 'activity', count(*) FILTER (timestamp < TIMESTAMP '2024-01-16 00:00:00') FROM user_activity")
+def retention(query_analytics: DataFrame, user_activity: DataFrame) -> DataFrame:
+    return analytics.retired_counts({"queries": query_analytics, "activity": user_activity}, AS_OF, 15)
+
+
+@query("user_activity", sql="SELECT user_id, count(*) FILTER (activity_type = 'view') AS queries, count(*) FILTER (activity_type = 'purchase') AS documents_uploaded, max(timestamp) AS last_active FROM user_activity GROUP BY user_id")
+def user_summary(user_activity: DataFrame) -> DataFrame:
+    return analytics.user_summary(user_activity, ("view",), ("purchase",))
+
+
+@query(
+    "user_activity",
+    sql="""more s AS (SELECT session_id, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 60e6 AS m, count(*) FILTER (activity_type = 'view') AS q FROM user_activity GROUP BY session_id)
+SELECT count(*) AS sessions, round_even(avg(m), 2) AS avg_session_minutes, round_even(avg(q), 3) AS avg_queries_per_session FROM s""",
+)
+def session_engagement(user_activity: DataFrame) -> DataFrame:
+    return analytics.engagement(user_activity, ("view",))
+
+
+@query(
+    "user_activity",
+    sql="""more h AS (SELECT 'hour' AS kind, lpad(CAST(hour(timestamp) AS VARCHAR), 2, '0') || ':00' AS label, count(*) AS n FROM user_activity GROUP BY ALL
+  UNION ALL SELECT 'weekday', dayname(timestamp), count(*) FROM user_activity GROUP BY ALL),
+r AS (SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY n DESC, label) AS rank, label, n FROM h)
+SELECT kind, CAST(rank AS INT) AS rank, label, n FROM r WHERE rank <= 3""",
+)
+def peak_times(user_activity: DataFrame) -> DataFrame:
+    return analytics.peak_times(user_activity)
+
+
+@query("query_analytics", sql="SELECT lpad(CAST(CAST(floor(hour(timestamp) / 6) * 6 AS INT) AS VARCHAR), 2, '0') || ':00' AS slot, count(*) AS n, round_even(avg(processing_time), 3) AS avg_time FROM query_analytics GROUP BY 1")
+def day_slots(query_analytics: DataFrame) -> DataFrame:
+    return analytics.slots(query_analytics)
+
+
+@query("documents", sql=f"more {CHUNKS_SQL} SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks, round_even(count(*) / count(DISTINCT doc_id), 2) AS chunks_per_document FROM named")
+def corpus_totals(documents: DataFrame) -> DataFrame:
+    return analytics.corpus_totals(_chunks(documents))
+
+
+@query("query_analytics", "document_analytics", "user_activity", "system_performance", "chunk_vectors")
+def analytics_report(queries: DataFrame, documents: DataFrame, activity: DataFrame, performance: DataFrame, chunk_vectors: DataFrame) -> DataFrame:
+    return analytics.report(queries, documents, activity, performance, _pairs(chunk_vectors), AS_OF)
