@@ -169,7 +169,8 @@ def citation_relevance(citation: Column, text: Column) -> Column:
 
 
 def legal_score(text: Column) -> Column:
-    return F.coalesce(F.least(F.size(vocabulary_terms(text)) / F.nullif(word_count(text), F.lit(0)) * 10, F.lit(1.0)), F.lit(0.0))
+    density = F.size(vocabulary_terms(text)) / F.nullif(word_count(text), F.lit(0)) * 10
+    return F.least(F.coalesce(density, F.lit(0.0)), F.lit(1.0))
 
 
 def complexity_score(text: Column) -> Column:

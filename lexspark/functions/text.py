@@ -94,7 +94,7 @@ def _length_without(text: Column, dropped: str) -> Column:
 def is_garbled(text: Column) -> Column:
     """Whether a text looks like broken extraction: short, few ASCII characters or letters, odd share of
     blanks, or few distinct characters for its length. Null counts as garbled."""
-    n = F.length(text)
+    n = F.nullif(F.length(text), F.lit(0))
     spaces = n - _length_without(text, BLANK)
     distinct = F.size(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")))
     return F.coalesce(

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from lexspark.functions.text import preview
 from lexspark.operators.similarity import similarity_totals, top_pairs
 
-N = F.lit(1)
+N = "*"
 
 
 def since(column: str, as_of: datetime, days: float) -> Column:

@@ -12,6 +12,7 @@ from lexspark.functions.text import clean_text, content_hash, extraction_quality
 from lexspark.functions.vectors import DIMENSION, repeated_hash_embedding, unit_hash_embedding
 from lexspark.operators.chunking import chunk_documents, enhanced_chunks
 from lexspark.operators.collection import deduplicate
+from lexspark.operators.lineage import settle
 
 VERSION = "4.0"
 
@@ -31,8 +32,9 @@ def process_documents(docs: DataFrame, as_of: datetime) -> DataFrame:
 
 def ingest(docs: DataFrame, as_of: datetime, size: int = 1000, overlap: int = 200, unit: bool = True) -> DataFrame:
     """The chunk table of docs (doc_id, text, source): processed, one row per text, chunked, annotated and
-    embedded by hash. Blank documents are left out."""
-    rows = deduplicate(process_documents(docs.filter(strip(F.col("text")) != ""), as_of))
+    embedded by hash. Blank documents are left out. The processed documents are written once, so that
+    cleaning is not done again for the search of copies."""
+    rows = deduplicate(settle(process_documents(docs.filter(strip(F.col("text")) != ""), as_of), "processed"))
     kept = rows.select("doc_id", "source", "document_hash", "legal_document_type", "legal_terms", "processed_at", "text")
     chunks = chunk_documents(kept, size, overlap)
     text = F.col("text")

@@ -8,19 +8,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-QUERY_LOG = T.StructType.fromDDL(
+#: Schemas of the logs.
+QUERY_LOG = (
     "query_id string, query_text string, timestamp timestamp, processing_time double, documents_retrieved int, avg_similarity_score double,"
     "max_similarity_score double, user_id string, user_feedback double, session_id string, query_type string"
 )
-DOCUMENT_LOG = T.StructType.fromDDL(
+DOCUMENT_LOG = (
     "document_id string, filename string, upload_timestamp timestamp, file_size long, chunks_created int, processing_time double, document_type string,"
     "legal_complexity double, query_count long, last_queried timestamp, avg_similarity_score double, total_similarity_score double, uploader_id string"
 )
-ACTIVITY_LOG = T.StructType.fromDDL("user_id string, activity_type string, activity_data string, timestamp timestamp, session_id string, ip_address string, user_agent string")
-PERFORMANCE_LOG = T.StructType.fromDDL(
+ACTIVITY_LOG = ("user_id string, activity_type string, activity_data string, timestamp timestamp, session_id string, ip_address string, user_agent string")
+PERFORMANCE_LOG = (
     "timestamp timestamp, cpu_usage double, memory_usage double, active_connections int, query_throughput double, avg_response_time double, error_rate double, storage_usage double"
 )
-SIMILARITY = T.StructType.fromDDL("doc1_id string, doc2_id string, similarity_score double, calculated_at timestamp")
+SIMILARITY = ("doc1_id string, doc2_id string, similarity_score double, calculated_at timestamp")
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "append") -> None:
@@ -33,7 +34,7 @@ def write_log(df: DataFrame, path: str, time: str = "timestamp") -> None:
     write_table(df.withColumn("day", F.to_date(time)), path, ["day"])
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
