@@ -16,6 +16,7 @@ BLANK = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 #: A word boundary.
 EDGE = rf"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
 
+#: What stands before garbled texts (fixed value).
 GARBLED_BANNER = "[WARNING: Text extraction may be incomplete or corrupted]\n\n"
 
 

@@ -92,6 +92,9 @@ def system_averages(performance: DataFrame, as_of: datetime, days: int = 30) ->
     )
 
 
+# Bounds and names of the categories are fixed values.
+
+
 def latency_category() -> Column:
     t = F.col("processing_time")
     return F.when(t < 0.1, "very_fast").when(t < 0.5, "fast").when(t < 1.0, "moderate").when(t < 2.0, "slow").otherwise("very_slow")
@@ -119,7 +122,10 @@ def quality_distribution(queries: DataFrame) -> DataFrame:
 
 
 def suggestions(queries: DataFrame) -> DataFrame:
-    """One row: advice from the shares of slow and of poor queries, and from the number of queries."""
+    """One row: advice from the shares of slow and of poor queries, and from the number of queries.
+
+    Bounds and sentences are fixed values.
+    """
     scored = F.col("avg_similarity_score").isNotNull()
     share = lambda part, whole: F.when(whole > 0, part / whole * 100)
     row = queries.agg(

@@ -15,6 +15,7 @@ from lexspark.functions.text import strip
 
 #: Queries that are broadcast at once; more are searched in several passes over the chunks.
 QUERY_BLOCK = 4096
+#: Sentences of answers and marks of contexts, here and below, are fixed values.
 NO_ANSWER = "I couldn't find any relevant documents to answer your question."
 
 
