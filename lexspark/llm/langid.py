@@ -38,7 +38,9 @@ _SCRIPT = np.array([e[2] for e in _EDGES])
 BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
 #: Words a worker remembers before it starts afresh.
-CACHE = 600_000
+CACHE = 300_000
+#: Texts whose words are held at once.
+SLICE = 200
 #: What a word of a script that a language does not use scores there.
 FOREIGN = -50.0
 
@@ -148,34 +150,48 @@ class Labeler:
         if missing:
             self.learn(list(missing))
 
+    def split(self, texts: pd.Series) -> Iterator[list[str]]:
+        """The words of each text, their scores prepared; none where there is no model."""
+        for at in range(0, len(texts), SLICE):
+            found = [WORD.findall(t.lower()) if t and self.model.langs else [] for t in texts[at : at + SLICE]]
+            self.prepare(found)
+            yield from found
+
     def path(self, words: list[str]) -> np.ndarray:
         """The language of each word on the best path, where each change costs the penalty.
 
-        If no stretch of words scores over half the penalty better elsewhere than in the language that
-        is best overall, no path with changes can win, and the path is that language throughout.
+        The language that is best overall holds throughout if no stretch of words gains over the penalty
+        elsewhere, and no beginning and end together do: every stretch elsewhere costs one change at
+        least, or, without a word of the best language, all but one.
         """
         index = self.index
         s = self.scores[[index[w] for w in words]].astype(np.float64)
         best = int(s.sum(axis=0).argmax())
         gain = np.cumsum(s - s[:, best : best + 1], axis=0)
-        low = np.minimum.accumulate(np.concatenate([np.zeros((1, s.shape[1])), gain[:-1]]), axis=0)
-        if (gain - low).max() <= self.penalty / 2:
+        low = np.minimum.accumulate(np.minimum(gain, 0.0), axis=0)
+        start, end = gain.max(initial=0.0), (gain[-1] - low[-1]).max(initial=0.0)
+        if (gain - low).max() <= self.penalty and start + end <= self.penalty:
             return np.full(len(s), best)
-        at, back = s[0].copy(), np.zeros(s.shape, dtype=np.int32)
-        own = np.arange(s.shape[1])
-        for t in range(1, len(s)):
-            lead = int(at.argmax())
-            change = at[lead] - self.penalty
-            back[t] = np.where(at >= change, own, lead)
-            at = np.maximum(at, change) + s[t]
-        path = np.empty(len(s), dtype=np.int64)
-        path[-1] = at.argmax()
-        for t in range(len(s) - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
-        return path
-
-
-def label_languages(docs: DataFrame, model: LanguageModel, penalty: float = 20.0, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
+        first, *rest = s.tolist()
+        at, back = first, []
+        for row in rest:
+            lead = max(at)
+            change = lead - self.penalty
+            if min(at) >= change:
+                back.append(None)  # nobody gains by a change
+                at = [a + x for a, x in zip(at, row)]
+            else:
+                lead = at.index(lead)
+                back.append([k if a >= change else lead for k, a in enumerate(at)])
+                at = [(a if a >= change else change) + x for a, x in zip(at, row)]
+        path = [at.index(max(at))]
+        for step in reversed(back):
+            path.append(path[-1] if step is None else step[path[-1]])
+        return np.array(path[::-1])
+
+
+
+def label_languages(docs: DataFrame, model: LanguageModel, penalty: float = 40.0, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
     """docs' rows as (id, lang_pred, score, n_words), with spans also an array of (lang, first, last) words.
 
     lang_pred is the language of most words on the best path, ties to the first in order; score is its
@@ -189,10 +205,9 @@ def label_languages(docs: DataFrame, model: LanguageModel, penalty: float = 20.0
         labeler = Labeler(shared.value, penalty)
         langs = labeler.model.langs
         for batch in batches:
-            found = [WORD.findall(t.lower()) if t and langs else [] for t in batch["text"]]
-            labeler.prepare(found)
-            pred, score, cuts = [], [], []
-            for words in found:
+            pred, score, cuts, n = [], [], [], []
+            for words in labeler.split(batch["text"]):
+                n.append(len(words))
                 if not words:
                     pred.append("und")
                     score.append(0.0)
@@ -205,7 +220,7 @@ def label_languages(docs: DataFrame, model: LanguageModel, penalty: float = 20.0
                 if spans:
                     at = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
                     cuts.append([(langs[path[a]], int(a), int(b) - 1) for a, b in zip(at, np.append(at[1:], len(path)), strict=True)])
-            out = pd.DataFrame({"id": batch["id"], "lang_pred": pred, "score": score, "n_words": [len(w) for w in found]})
+            out = pd.DataFrame({"id": batch["id"], "lang_pred": pred, "score": score, "n_words": n})
             if spans:
                 out["spans"] = cuts
             yield out
@@ -213,7 +228,7 @@ def label_languages(docs: DataFrame, model: LanguageModel, penalty: float = 20.0
     return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema).withColumn("id", F.col("id").cast("long"))
 
 
-def document_languages(docs: DataFrame, penalty: float = 20.0) -> DataFrame:
+def document_languages(docs: DataFrame, penalty: float = 40.0) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of all documents, learned from those that are not held out."""
     model = train_languages(docs.filter(~held_out()))
     return label_languages(docs, model, penalty).select(
@@ -221,7 +236,7 @@ def document_languages(docs: DataFrame, penalty: float = 20.0) -> DataFrame:
     )
 
 
-def filter_languages(docs: DataFrame, model: LanguageModel, least: float, penalty: float = 20.0, text_col: str = "text") -> DataFrame:
+def filter_languages(docs: DataFrame, model: LanguageModel, least: float, penalty: float = 40.0, text_col: str = "text") -> DataFrame:
     """The rows of docs with a language that has at least the share least of their words."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -230,8 +245,6 @@ def filter_languages(docs: DataFrame, model: LanguageModel, least: float, penalt
         labeler = Labeler(shared.value, penalty)
         n = len(labeler.model.langs)
         for texts in batches:
-            found = [WORD.findall(t.lower()) if t and n else [] for t in texts]
-            labeler.prepare(found)
-            yield pd.Series([bool(w) and np.bincount(labeler.path(w), minlength=n).max() >= least * len(w) for w in found], dtype=bool)
+            yield pd.Series([bool(w) and np.bincount(labeler.path(w), minlength=n).max() >= least * len(w) for w in labeler.split(texts)], dtype=bool)
 
     return docs.filter(prevails(F.col(text_col)))
