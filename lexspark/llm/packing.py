@@ -21,7 +21,9 @@ from tokenizers import Tokenizer
 from lexspark.llm.bpe import NUMBERS, PLAIN, byte_symbols
 
 #: Words a worker remembers before it starts afresh.
-CACHE = 800_000
+CACHE = 400_000
+#: Texts whose words are held at once.
+SLICE = 200
 #: Words of plain texts, in the vocabulary's own pattern.
 PLAIN_WORDS = re.compile(rf"[^\W\d_{NUMBERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|(?:[^\s\w]|_)+")
 
@@ -155,6 +157,11 @@ class WordIds:
         get = self.cache.__getitem__
         return [np.frombuffer(b"".join(map(get, w)), dtype="<u4") if o is None else o for o, w in zip(out, split, strict=True)]
 
+    def stream(self, texts: pd.Series) -> Iterator[np.ndarray]:
+        """The ids of each text (null: empty), a slice of texts at a time."""
+        for at in range(0, len(texts), SLICE):
+            yield from self.encode([t or "" for t in texts[at : at + SLICE]])
+
 
 @lru_cache(maxsize=2)
 def _ids(source: str) -> WordIds:
@@ -214,8 +221,7 @@ def pack_documents(
             return made
 
         for batch in batches:
-            coded = tokens.encode([t or "" for t in batch["text"]])
-            for doc, ids in zip(batch["id"], coded, strict=True):
+            for doc, ids in zip(batch["id"], tokens.stream(batch["text"]), strict=True):
                 ids = np.append(ids, np.array([end_id], dtype="<u4"))
                 cut = len(ids) // window * window
                 for at in range(0, cut, window):
