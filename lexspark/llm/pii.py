@@ -155,7 +155,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 50) ->
     reliabilities[c, v, x]: probability that voter v votes x - 1 on a span of class c. Begins at the
     share of positive votes; add-one smoothing keeps it defined for any counts.
     """
-    vote = np.array([p for p, _ in patterns]).reshape(-1, len(VOTERS)) + 1
+    vote = np.array([p for p, _ in patterns], dtype=np.int64).reshape(-1, len(VOTERS)) + 1
     n = np.array([c for _, c in patterns], dtype=float)
     truth = (vote == 2).sum(axis=1) / np.maximum((vote != 1).sum(axis=1), 1)
     truth = np.where(vote[:, 0] == 2, np.maximum(truth, 0.9), truth * 0.5)
