@@ -25,7 +25,7 @@ PLAIN_SPLIT = rf" ?[^\W\d_{NUMBERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBERS}]+| ?(?:
 #: Characters up to U+017E that every library lower-cases, normalises and splits one by one alike.
 PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-\u012f\u0131-\u017e]*")
 #: Pieces a worker remembers before it starts afresh.
-CACHE = 800_000
+CACHE = 300_000
 
 
 def byte_symbols() -> dict[int, str]:
