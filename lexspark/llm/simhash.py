@@ -180,7 +180,7 @@ def wide_fingerprint(found: list[bytes], cache: dict[bytes, bytes]) -> bytes:
     size = SEGMENTS * SEGMENT_BYTES
     if not picked:
         return bytes(size)
-    if len(cache) > 400_000:
+    if len(cache) > 200_000:
         cache.clear()
     parts = []
     for w in picked:
@@ -235,15 +235,15 @@ def _centre_distance(fp: pd.Series, centre: pd.Series) -> pd.Series:
 
 def _majorities(parts: pd.DataFrame) -> pd.DataFrame:
     total = np.sum([np.frombuffer(s, dtype=np.int64) for s in parts["sums"]], axis=0)
-    return pd.DataFrame({"k": parts["k"][:1], "piece": parts["piece"][:1], "centre": [np.packbits(total * 2 > parts["n"].sum()).tobytes()]})
+    return pd.DataFrame({"key": parts["key"][:1], "centre": [np.packbits(total * 2 > parts["n"].sum()).tobytes()]})
 
 
 def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Bit counts by bucket, at most some hundred buckets at a time."""
-    held: dict[tuple[int, bytes], list] = {}
-    out = lambda: pd.DataFrame([(k, p, n, s.tobytes()) for (k, p), (n, s) in held.items()], columns=["k", "piece", "n", "sums"])
+    held: dict[int, tuple[int, np.ndarray]] = {}
+    out = lambda: pd.DataFrame([(k, n, s.tobytes()) for k, (n, s) in held.items()], columns=["key", "n", "sums"])
     for batch in batches:
-        for key, own in batch.groupby(["k", "piece"]):
+        for key, own in batch.groupby("key"):
             bits = np.unpackbits(np.frombuffer(b"".join(own["fp"]), dtype=np.uint8).reshape(len(own), -1), axis=1).sum(axis=0, dtype=np.int64)
             n, s = held.get(key, (0, 0))
             held[key] = (n + len(own), s + bits)
@@ -254,32 +254,26 @@ def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out()
 
 
-def candidate_pairs(nodes: DataFrame, bucket_limit: int = 64) -> DataFrame:
+def candidate_pairs(nodes: DataFrame, bucket_limit: int = 16) -> DataFrame:
     """Distinct pairs (src, dst) of nodes (node, fp) that share a segment of their wide fingerprints.
 
     A bucket of more than bucket_limit nodes makes no pairs among all its members: each of them meets the
     bucket's least node and the node nearest to the majority of the bucket's bits, which for copies of
     one text is that text or its like. So pairs stay in proportion to nodes.
     """
-    cut = F.transform(
-        F.sequence(F.lit(0), F.lit(SEGMENTS - 1)),
-        lambda k: F.struct(k.alias("k"), F.substring("fp", k * SEGMENT_BYTES + 1, F.lit(SEGMENT_BYTES)).alias("piece")),
-    )
-    keyed = nodes.select("node", F.explode(cut).alias("s")).select("node", "s.k", "s.piece")
-    sizes = keyed.groupBy("k", "piece").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
-    members = settle(keyed.join(sizes, ["k", "piece"]), "segments")
-    few = members.filter(F.col("n") <= bucket_limit).select("k", "piece", "node")
-    pairs = few.alias("a").join(few.alias("b"), ["k", "piece"]).filter("a.node < b.node").select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
-    many = settle(members.filter(F.col("n") > bucket_limit).join(nodes, "node").select("k", "piece", "node", "least", "fp"), "overfull")
-    parts = many.select("k", "piece", "fp").mapInPandas(_sums, "k int, piece binary, n long, sums binary")
-    centres = parts.groupBy("k", "piece").applyInPandas(_majorities, "k int, piece binary, centre binary")
+    piece = lambda k: F.conv(F.hex(F.substring("fp", k * SEGMENT_BYTES + 1, F.lit(SEGMENT_BYTES))), 16, 10).cast("long")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda k: k.cast("long") * (1 << 8 * SEGMENT_BYTES) + piece(k))
+    keyed = nodes.select("node", F.explode(keys).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
+    members = settle(keyed.join(sizes, "key"), "segments")
+    few = members.filter(F.col("n") <= bucket_limit).select("key", "node")
+    pairs = few.alias("a").join(few.alias("b"), "key").filter("a.node < b.node").select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
+    many = settle(members.filter(F.col("n") > bucket_limit).join(nodes, "node").select("key", "node", "least", "fp"), "overfull")
+    parts = many.select("key", "fp").mapInPandas(_sums, "key long, n long, sums binary")
+    centres = parts.groupBy("key").applyInPandas(_majorities, "key long, centre binary")
     distance = F.pandas_udf(_centre_distance, "int")
-    nearest = (
-        many.join(centres, ["k", "piece"])
-        .groupBy("k", "piece")
-        .agg(F.min_by("node", F.struct(distance("fp", "centre"), "node")).alias("nearest"))
-    )
-    stars = many.join(nearest, ["k", "piece"]).select("node", F.explode(F.array("least", "nearest")).alias("other")).filter("node <> other")
+    nearest = many.join(centres, "key").groupBy("key").agg(F.min_by("node", F.struct(distance("fp", "centre"), "node")).alias("nearest"))
+    stars = many.join(nearest, "key").select("node", F.explode(F.array("least", "nearest")).alias("other")).filter("node <> other")
     return pairs.unionByName(stars.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst"))).distinct()
 
 
@@ -295,22 +289,27 @@ def near_copy_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, b
     rows = rows.mapInPandas(partial(_sketches, size=size), "id string, same string, fp binary, sketch binary")
     rows = settle(rows.withColumn("id", F.col("id").cast("long")), "sketches")
     nodes = settle(rows.filter("id is not null").groupBy("same").agg(F.min("id").alias("node"), F.first("fp").alias("fp")), "nodes")
-    pairs = settle(candidate_pairs(nodes), "pairs")
-    ends = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
-    told = settle(rows.join(ends, "id").groupBy("id").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "compared")
+    def ends(table: DataFrame, told: str) -> tuple[DataFrame, DataFrame]:
+        """table (id, told) for either end of a pair."""
+        return tuple(table.select(F.col("id").alias(end), F.col(told).alias(f"{told}_{x}")) for end, x in (("src", "a"), ("dst", "b")))
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                a, b = (np.frombuffer(b"".join(batch[c]), dtype=np.uint8).reshape(len(batch), SEGMENTS, SEGMENT_BYTES) for c in ("fp_a", "fp_b"))
+                diff = np.bitwise_count(a ^ b).sum(axis=2, dtype=np.int64)
+                yield batch.loc[segments_viable(diff, budget) & (diff.sum(axis=1) <= budget), ["src", "dst"]]
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            a, b = (np.frombuffer(b"".join(batch[c]), dtype=np.uint8).reshape(len(batch), SEGMENTS, SEGMENT_BYTES) for c in ("fp_a", "fp_b"))
-            diff = np.bitwise_count(a ^ b).sum(axis=2, dtype=np.int64)
-            keep = segments_viable(diff, budget) & (diff.sum(axis=1) <= budget)
-            near = [k and sketch_similarity(x, y) >= similarity for k, x, y in zip(keep.tolist(), batch["sketch_a"], batch["sketch_b"], strict=True)]
+            near = [sketch_similarity(x, y) >= similarity for x, y in zip(batch["sketch_a"], batch["sketch_b"], strict=True)]
             yield batch.loc[near, ["src", "dst"]]
 
-    a = told.select(F.col("id").alias("src"), F.col("fp").alias("fp_a"), F.col("sketch").alias("sketch_a"))
-    b = told.select(F.col("id").alias("dst"), F.col("fp").alias("fp_b"), F.col("sketch").alias("sketch_b"))
+    a, b = ends(nodes.withColumnRenamed("node", "id"), "fp")
+    pairs = settle(candidate_pairs(nodes).join(a, "src").join(b, "dst").mapInPandas(close, "src long, dst long"), "pairs")
+    told = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
+    told = settle(rows.select("id", "sketch").join(told, "id").groupBy("id").agg(F.first("sketch").alias("sketch")), "compared")
+    a, b = ends(told, "sketch")
     edges = pairs.join(a, "src").join(b, "dst").mapInPandas(alike, "src long, dst long")
     found = connected_components(edges)
     classes = nodes.select("same", "node").join(found, "node", "left").select(F.col("same").alias("key"), F.coalesce("component", "node").alias("class_id"))
