@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import legal, text, vectors
 from lexspark.operators import analytics, chunking, collection, embed, retrieval, similarity
+from lexspark.operators.lineage import settle
 from lexspark.plans import answers, ingest
 from lexspark.sources import folders
 
@@ -105,8 +106,10 @@ def chunk_windows(documents: DataFrame) -> DataFrame:
     return _chunks(documents).select("doc_id", "chunk_index", "id", "chunk_size", "char_count", F.md5("text").alias("text_md5"))
 
 
-def _embedded(documents: DataFrame) -> DataFrame:
-    return _chunks(documents).withColumn("embedding", vectors.unit_hash_embedding(F.col("text")))
+def _store(documents: DataFrame) -> DataFrame:
+    """The chunk table that questions are put to, each id once, written once."""
+    chunks = _chunks(documents).dropDuplicates(["id"])
+    return settle(chunks.withColumn("embedding", vectors.unit_hash_embedding(F.col("text"))), "chunks")
 
 
 def _questions(benchmark: DataFrame) -> DataFrame:
@@ -129,18 +132,18 @@ SELECT query_id, CAST(rank AS INT) AS rank, id, round(score, 6) AS score FROM r
 
 @query("documents", "benchmark", sql=RETRIEVE_SQL)
 def retrieve_chunks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    found = retrieval.nearest_chunks(answers.embed_questions(_questions(benchmark)), _embedded(documents).dropDuplicates(["id"]))
+    found = retrieval.nearest_chunks(answers.embed_questions(_questions(benchmark)), _store(documents))
     return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 @query("documents", "benchmark")
 def answer_questions(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return answers.answer(_questions(benchmark), _embedded(documents).dropDuplicates(["id"]))
+    return answers.answer(_questions(benchmark), _store(documents))
 
 
 @query("documents", "benchmark")
 def question_contexts(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    chunks = _embedded(documents).dropDuplicates(["id"])
+    chunks = _store(documents)
     found = retrieval.nearest_chunks(answers.embed_questions(_questions(benchmark)), chunks)
     told = retrieval.contexts(retrieval.with_chunks(found, chunks, ["text", "source", "chunk_index", "section_num"]))
     asked = _questions(benchmark).join(told, "query_id")
@@ -149,7 +152,7 @@ def question_contexts(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 @query("documents", "benchmark")
 def retrieval_evaluation(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    chunks = _embedded(documents).dropDuplicates(["id"])
+    chunks = _store(documents)
     found = retrieval.with_chunks(retrieval.nearest_chunks(answers.embed_questions(_questions(benchmark)), chunks), chunks, ["text"])
     cases = _questions(benchmark).select("query_id", F.slice(text.words(F.col("question")), 1, 4).alias("keywords"))
     return retrieval.evaluate(cases, found)[0]
@@ -157,7 +160,7 @@ def retrieval_evaluation(documents: DataFrame, benchmark: DataFrame) -> DataFram
 
 @query("documents", "benchmark")
 def question_confidence(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return retrieval.confidence(retrieval.nearest_chunks(answers.embed_questions(_questions(benchmark)), _embedded(documents).dropDuplicates(["id"])))
+    return retrieval.confidence(retrieval.nearest_chunks(answers.embed_questions(_questions(benchmark)), _store(documents)))
 
 
 @query("documents")
@@ -406,7 +409,7 @@ alike AS (SELECT * FROM pairs WHERE similarity_score >= 0.25)
 
 
 def _pairs(chunk_vectors: DataFrame) -> DataFrame:
-    return similarity.similar_documents(similarity.centroids(chunk_vectors, 64), 0.25)
+    return settle(similarity.similar_documents(settle(similarity.centroids(chunk_vectors, 64), "centroids"), 0.25), "pairs")
 
 
 _BAND = "CASE WHEN {0} > {1} THEN 'high' WHEN {0} > {2} THEN 'medium' ELSE 'low' END"

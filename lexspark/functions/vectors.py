@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIMENSION = 384
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once even where use repeats it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _md5_bytes(text: Column) -> Column:
+    byte = lambda digest, i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double")
     digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
-    return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double"))
+    return let(digest, lambda d: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: byte(d, i)))
 
 
 def norm(v: Column) -> Column:
@@ -29,8 +37,9 @@ def repeated_hash_embedding(text: Column) -> Column:
 
 def unit_hash_embedding(text: Column) -> Column:
     """The bytes of the text's md5 at length one, and zeros up to DIMENSION floats."""
-    raw = _md5_bytes(text)
-    return F.concat(F.transform(raw, lambda b: (b / norm(raw)).cast("float")), F.array_repeat(F.lit(0.0).cast("float"), DIMENSION - 16))
+    sized = let(_md5_bytes(text), lambda raw: F.struct(raw.alias("raw"), norm(raw).alias("size")))
+    unit = let(sized, lambda s: F.transform(s["raw"], lambda b: (b / s["size"]).cast("float")))
+    return F.concat(unit, F.array_repeat(F.lit(0.0).cast("float"), DIMENSION - 16))
 
 
 def cosine(a: Column, b: Column) -> Column:

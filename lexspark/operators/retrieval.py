@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexspark.functions.text import strip
+from lexspark.operators.lineage import settle
 
 #: Queries that are broadcast at once; more are searched in several passes over the chunks.
 QUERY_BLOCK = 4096
@@ -42,7 +43,8 @@ def nearest_chunks(
     queries: query_id, embedding. chunks: id, embedding, and for weights legal_score and complexity_score
     (null: 0). metric "cosine" or "l2"; score is the similarity, for l2 one less the squared distance,
     base its value before weights. where filters chunks before the search, least the results after it.
-    Queries without an embedding find nothing. Each Arrow batch of chunks keeps k rows a query, so what is
+    Queries without an embedding find nothing. The result, k rows a query, is written once, since contexts,
+    answers and confidence all read it. Each Arrow batch of chunks keeps k rows a query, so what is
     shuffled grows with batches, not with pairs.
     """
     asked = queries.filter("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -81,7 +83,7 @@ def nearest_chunks(
     ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
     if least is not None:
         ranked = ranked.filter(F.col("score") >= least)
-    return ranked.select("query_id", "rank", "id", "score", "base")
+    return settle(ranked.select("query_id", "rank", "id", "score", "base"), "nearest")
 
 
 def with_chunks(results: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:
