@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
@@ -20,12 +21,13 @@ from lexspark.operators.lineage import settle
 WIDTH = 64
 #: Hashes whose bits are counted at once.
 BLOCK = 1 << 15
-#: Segments of a wide fingerprint, and bytes of each.
-SEGMENTS, SEGMENT_BYTES = 26, 3
-#: Least bytes of a word that counts for a wide fingerprint, where a text has enough of them.
-LONG_WORD, ENOUGH = 6, 8
-#: Least shingle hashes kept for the comparison of two texts; texts of no more shingles compare exactly.
-SKETCH = 384
+#: Bytes kept of a shingle's hash, and bits of a text's parity map.
+HASH_BYTES, PARITY = 5, 1024
+#: Ranges of hashes whose least member is a key for stars.
+RANGES = 8
+#: One text in SAMPLE tells which shingles are common: those of COMMON classes in the sample, MOST_COMMON at most.
+#: They only go last in the order of shingles, whatever they are; no result depends on them.
+SAMPLE, COMMON, MOST_COMMON = 8, 4, 1_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -171,40 +173,42 @@ def simhash_components(
     )
 
 
-def wide_fingerprint(found: list[bytes], cache: dict[bytes, bytes]) -> bytes:
-    """SimHash of SEGMENTS x SEGMENT_BYTES bytes over the distinct long words of a text."""
-    distinct = set(found)
-    picked = [w for w in distinct if len(w) >= LONG_WORD]
-    if len(picked) < ENOUGH:
-        picked = list(distinct)
-    size = SEGMENTS * SEGMENT_BYTES
-    if not picked:
-        return bytes(size)
-    if len(cache) > 200_000:
-        cache.clear()
-    parts = []
-    for w in picked:
-        if (h := cache.get(w)) is None:
-            h = cache[w] = b"".join(xxhash.xxh3_128_digest(w, seed=k) for k in range(-(-size // 16)))[:size]
-        parts.append(h)
-    return majority(np.frombuffer(b"".join(parts), dtype=np.uint8).reshape(-1, size)).tobytes()
-
-
-def shingle_sketch(found: list[bytes], size: int) -> bytes:
-    """The SKETCH least distinct 32-bit hashes of a text's shingles, sorted."""
-    hashes = np.unique(np.array(shingle_hashes(found, size), dtype=np.uint64) >> np.uint64(32))
-    return hashes[:SKETCH].astype("<u4").tobytes()
-
-
-def sketch_similarity(one: bytes, two: bytes) -> float:
-    """Jaccard similarity of two shingle sets from their sketches: exact if neither is cut."""
-    a, b = np.frombuffer(one, dtype="<u4"), np.frombuffer(two, dtype="<u4")
-    every = np.union1d(a, b)
-    if len(a) == SKETCH or len(b) == SKETCH:
-        every = every[:SKETCH]
-    if not len(every):
-        return 1.0
-    return float(len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), every, assume_unique=True)) / len(every))
+def shingle_set(found: list[bytes], size: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(np.array(shingle_hashes(found, size), dtype=np.uint64) >> np.uint64(64 - 8 * HASH_BYTES))
+
+
+def packed(hashes: np.ndarray) -> bytes:
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+
+
+def unpacked(source: bytes) -> np.ndarray:
+    wide = np.zeros((len(source) // HASH_BYTES, 8), dtype=np.uint8)
+    wide[:, :HASH_BYTES] = np.frombuffer(source, dtype=np.uint8).reshape(-1, HASH_BYTES)
+    return wide.view("<u8").ravel()
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """One bit for each residue of hashes: whether it occurs an odd number of times. Two maps differ in no
+    more bits than their sets differ in members."""
+    return np.packbits(np.bincount((hashes % PARITY).astype(np.int64), minlength=PARITY) & 1).tobytes()
+
+
+def jaccard(one: bytes, two: bytes) -> float:
+    """Jaccard similarity of two packed shingle sets."""
+    a, b = unpacked(one), unpacked(two)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first members of a sorted set, rare ones before common ones: as many as leave fewer out than two
+    sets of this similarity share, so that such sets share one of their first members."""
+    if len(common) and len(hashes):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        often = common[at] == hashes
+        hashes = np.concatenate([hashes[~often], hashes[often]])
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
 
 
 def segments_viable(diff: np.ndarray, budget: int) -> np.ndarray:
@@ -218,103 +222,131 @@ def segments_viable(diff: np.ndarray, budget: int) -> np.ndarray:
     return viable
 
 
-def _sketches(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    cache: dict[bytes, bytes] = {}
+def _shingles(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for doc, text in zip(batch["id"], batch["text"], strict=True):
             found = words(text)
-            rows.append((doc, xxhash.xxh3_128_hexdigest(b" ".join(found)), wide_fingerprint(found, cache), shingle_sketch(found, size)))
-        yield pd.DataFrame(rows, columns=["id", "same", "fp", "sketch"])
+            own = shingle_set(found, size)
+            rows.append((doc, xxhash.xxh3_128_hexdigest(b" ".join(found)), len(own), parity(own), packed(own)))
+        yield pd.DataFrame(rows, columns=["id", "same", "n", "parity", "hashes"])
 
 
-def _centre_distance(fp: pd.Series, centre: pd.Series) -> pd.Series:
-    a, b = (np.frombuffer(b"".join(x), dtype=np.uint8).reshape(len(x), -1) for x in (fp, centre))
-    return pd.Series(np.bitwise_count(a ^ b).sum(axis=1).astype(np.int32))
+def _range_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, key): the least hash of each range."""
+    for batch in batches:
+        ids, keys = [], []
+        for doc, source in zip(batch["id"], batch["hashes"], strict=True):
+            own = unpacked(source)
+            _, first = np.unique(own >> np.uint64(8 * HASH_BYTES - RANGES.bit_length() + 1), return_index=True)
+            keys.append(own[first])
+            ids.append(np.full(len(first), doc))
+        if ids:
+            yield pd.DataFrame({"id": np.concatenate(ids).astype(np.int64), "key": np.concatenate(keys).astype(np.int64)})
+
 
+def _prefix_keys(rows: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
+    """(id, key): the prefix of each row's set."""
+    shared = rows.sparkSession.sparkContext.broadcast(common)
 
-def _majorities(parts: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(s, dtype=np.int64) for s in parts["sums"]], axis=0)
-    return pd.DataFrame({"key": parts["key"][:1], "centre": [np.packbits(total * 2 > parts["n"].sum()).tobytes()]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                own = batch[at : at + 500]
+                keys = [prefix(unpacked(source), shared.value, similarity) for source in own["hashes"]]
+                yield pd.DataFrame({"id": np.repeat(own["id"].to_numpy(np.int64), [len(k) for k in keys]), "key": np.concatenate(keys).astype(np.int64)})
 
+    return rows.filter("n > 0").select("id", "hashes").mapInPandas(run, "id long, key long")
 
-def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Bit counts by bucket, at most some hundred buckets at a time."""
-    held: dict[int, tuple[int, np.ndarray]] = {}
-    out = lambda: pd.DataFrame([(k, n, s.tobytes()) for k, (n, s) in held.items()], columns=["key", "n", "sums"])
-    for batch in batches:
-        for key, own in batch.groupby("key"):
-            bits = np.unpackbits(np.frombuffer(b"".join(own["fp"]), dtype=np.uint8).reshape(len(own), -1), axis=1).sum(axis=0, dtype=np.int64)
-            n, s = held.get(key, (0, 0))
-            held[key] = (n + len(own), s + bits)
-        if len(held) > 500:
-            yield out()
-            held.clear()
-    if held:
-        yield out()
-
-
-def candidate_pairs(nodes: DataFrame, bucket_limit: int = 16) -> DataFrame:
-    """Distinct pairs (src, dst) of nodes (node, fp) that share a segment of their wide fingerprints.
-
-    A bucket of more than bucket_limit nodes makes no pairs among all its members: each of them meets the
-    bucket's least node and the node nearest to the majority of the bucket's bits, which for copies of
-    one text is that text or its like. So pairs stay in proportion to nodes.
-    """
-    piece = lambda k: F.conv(F.hex(F.substring("fp", k * SEGMENT_BYTES + 1, F.lit(SEGMENT_BYTES))), 16, 10).cast("long")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda k: k.cast("long") * (1 << 8 * SEGMENT_BYTES) + piece(k))
-    keyed = nodes.select("node", F.explode(keys).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
-    members = settle(keyed.join(sizes, "key"), "segments")
-    few = members.filter(F.col("n") <= bucket_limit).select("key", "node")
-    pairs = few.alias("a").join(few.alias("b"), "key").filter("a.node < b.node").select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
-    many = settle(members.filter(F.col("n") > bucket_limit).join(nodes, "node").select("key", "node", "least", "fp"), "overfull")
-    parts = many.select("key", "fp").mapInPandas(_sums, "key long, n long, sums binary")
-    centres = parts.groupBy("key").applyInPandas(_majorities, "key long, centre binary")
-    distance = F.pandas_udf(_centre_distance, "int")
-    nearest = many.join(centres, "key").groupBy("key").agg(F.min_by("node", F.struct(distance("fp", "centre"), "node")).alias("nearest"))
-    stars = many.join(nearest, "key").select("node", F.explode(F.array("least", "nearest")).alias("other")).filter("node <> other")
-    return pairs.unionByName(stars.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst"))).distinct()
-
-
-def near_copy_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 110, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, same, class_id) of every row: class_id is the least id among near copies, chains of them included.
 
-    Texts of equal words are exact copies. Other texts are compared if wide fingerprints share a segment,
-    pass the pigeonring filter and differ in budget bits at most; they are near copies if the Jaccard
-    similarity of their shingles of size words reaches similarity. Texts without words are copies of each
-    other. Rows with a null id have a null class.
+def _classes_of(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """keyed and the class of each id: that of classes, or the id where it has none."""
+    return keyed.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+
+
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (src, dst) of each id and the least ids with which it shares the least hash of a range."""
+    keyed = rows.filter("n > 0").select("id", "hashes").mapInPandas(_range_keys, "id long, key long")
+    least = keyed.groupBy("key").agg(F.min("id").alias("src"))
+    return keyed.join(least, "key").filter("src <> id").select("src", F.col("id").alias("dst")).distinct()
+
+
+def common_shingles(rows: DataFrame, classes: DataFrame, similarity: float) -> np.ndarray:
+    """Shingles of many classes in a sample, sorted."""
+    some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
+    keyed = _classes_of(_prefix_keys(some, similarity - 0.1, np.zeros(0, dtype=np.uint64)), classes).select("key", "class").distinct()
+    often = keyed.groupBy("key").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count")).limit(MOST_COMMON).select("key")
+    return np.sort(often.toPandas()["key"].to_numpy(np.int64).astype(np.uint64))
+
+
+def prefix_pairs(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (src, dst) of ids of different classes (id, class) that share a member of their prefixes,
+    at sizes that allow the similarity. No pair of that similarity between classes is missing.
+
+    Keys that one id or one class alone has are left out before pairs are made, so copies whose class is
+    known make none, and what many texts share is looked at last.
     """
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.mapInPandas(partial(_sketches, size=size), "id string, same string, fp binary, sketch binary")
-    rows = settle(rows.withColumn("id", F.col("id").cast("long")), "sketches")
-    nodes = settle(rows.filter("id is not null").groupBy("same").agg(F.min("id").alias("node"), F.first("fp").alias("fp")), "nodes")
-    def ends(table: DataFrame, told: str) -> tuple[DataFrame, DataFrame]:
-        """table (id, told) for either end of a pair."""
-        return tuple(table.select(F.col("id").alias(end), F.col(told).alias(f"{told}_{x}")) for end, x in (("src", "a"), ("dst", "b")))
+    keyed = _prefix_keys(rows, similarity, common_shingles(rows, classes, similarity))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    told = rows.groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    members = settle(_classes_of(keyed.join(shared, "key"), classes).join(told, "id"), "prefixes")
+    mixed = members.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("key")
+    few = settle(members.join(mixed, "key"), "mixed")
+    fits = (F.col("a.most") >= similarity * F.col("b.least") - 1e-6) & (F.col("b.most") >= similarity * F.col("a.least") - 1e-6)
+    apart = (F.col("a.class") != F.col("b.class")) & (F.col("a.id") < F.col("b.id"))
+    pairs = few.alias("a").join(few.alias("b"), (F.col("a.key") == F.col("b.key")) & apart & fits)
+    return pairs.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
+
+
+def alike_pairs(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (src, dst) whose shingle sets reach the similarity: those whose parity maps differ in more
+    bits than the sets may in members go first, the sets of the rest are compared whole."""
+
+    def ends(table: DataFrame, *told: str) -> tuple[DataFrame, DataFrame]:
+        return tuple(table.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{x}") for c in told]) for end, x in (("src", "a"), ("dst", "b")))
 
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                a, b = (np.frombuffer(b"".join(batch[c]), dtype=np.uint8).reshape(len(batch), SEGMENTS, SEGMENT_BYTES) for c in ("fp_a", "fp_b"))
-                diff = np.bitwise_count(a ^ b).sum(axis=2, dtype=np.int64)
-                yield batch.loc[segments_viable(diff, budget) & (diff.sum(axis=1) <= budget), ["src", "dst"]]
+                a, b = (np.frombuffer(b"".join(batch[c]), dtype=np.uint8).reshape(len(batch), -1) for c in ("parity_a", "parity_b"))
+                apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+                yield batch.loc[apart <= (batch["n_a"] + batch["n_b"]) * (1 - similarity) / (1 + similarity) + 1e-6, ["src", "dst"]]
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            near = [sketch_similarity(x, y) >= similarity for x, y in zip(batch["sketch_a"], batch["sketch_b"], strict=True)]
+            near = [jaccard(x, y) >= similarity for x, y in zip(batch["hashes_a"], batch["hashes_b"], strict=True)]
             yield batch.loc[near, ["src", "dst"]]
 
-    a, b = ends(nodes.withColumnRenamed("node", "id"), "fp")
-    pairs = settle(candidate_pairs(nodes).join(a, "src").join(b, "dst").mapInPandas(close, "src long, dst long"), "pairs")
-    told = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
-    told = settle(rows.select("id", "sketch").join(told, "id").groupBy("id").agg(F.first("sketch").alias("sketch")), "compared")
-    a, b = ends(told, "sketch")
-    edges = pairs.join(a, "src").join(b, "dst").mapInPandas(alike, "src long, dst long")
-    found = connected_components(edges)
-    classes = nodes.select("same", "node").join(found, "node", "left").select(F.col("same").alias("key"), F.coalesce("component", "node").alias("class_id"))
-    classes = settle(classes, "classes")
-    return rows.join(classes, rows["same"] == classes["key"], "left").select("id", "same", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"))
+    a, b = ends(rows, "n", "parity")
+    near = settle(pairs.join(a, "src").join(b, "dst").mapInPandas(close, "src long, dst long"), "near").distinct()
+    told = near.select(F.col("src").alias("id")).unionByName(near.select(F.col("dst").alias("id"))).distinct()
+    a, b = ends(settle(rows.select("id", "hashes").join(told, "id"), "compared"), "hashes")
+    return settle(near.join(a, "src").join(b, "dst").mapInPandas(alike, "src long, dst long"), "alike")
+
+
+def near_copy_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, same, class_id) of every row: class_id is the least id among near copies, chains of them included.
+
+    Texts of equal words are exact copies. Other texts are near copies if the Jaccard similarity of their
+    shingles of size words reaches similarity. Stars around least ids join most copies in a linear number of
+    pairs; prefixes of the shingle sets then give every pair between the classes so found, and all pairs are
+    compared whole, so the classes are those of all pairs. Texts without words are copies of each other. Rows
+    with a null id have a null class.
+    """
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    texts = texts.mapInPandas(partial(_shingles, size=size), "id string, same string, n int, parity binary, hashes binary")
+    every = settle(texts.withColumn("id", F.col("id").cast("long")), "shingles")
+    rows = every.filter("id is not null")
+    exact = rows.groupBy("same").agg(F.min("id").alias("src")).join(rows.select("same", F.col("id").alias("dst")), "same").filter("src <> dst").select("src", "dst")
+    found = connected_components(settle(alike_pairs(star_pairs(rows), rows, similarity).unionByName(exact), "stars"))
+    classes = settle(found.select(F.col("node").alias("id"), F.col("component").alias("class")), "classes")
+    links = alike_pairs(prefix_pairs(rows, classes, similarity), rows, similarity)
+    for end in ("src", "dst"):
+        links = _classes_of(links.withColumnRenamed(end, "id"), classes).withColumnRenamed("class", f"{end}_class").drop("id")
+    links = settle(links.select(F.col("src_class").alias("src"), F.col("dst_class").alias("dst")).distinct(), "links")
+    more = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("class_id"))
+    told = _classes_of(every.select("id", "same"), classes).join(more, "class", "left")
+    return told.select("id", "same", F.coalesce("class_id", "class").alias("class_id"))
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -1,6 +1,7 @@
 """The ten operators against brute force, round trips and held-out accuracy, on small tables and edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -314,6 +315,46 @@ def test_near_copies(spark):
     assert simhash.drop_near_copies(df.filter("false")).count() == 0
 
 
+def plain_classes(texts, similarity=0.8):
+    """Least position among chains of near copies, from all pairs."""
+    sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
+    least = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if least[i] != least[j] and both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((least[i], least[j]))
+            least = [a if x == b else x for x in least]
+    return least
+
+
+def found_classes(spark, texts):
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    return [r["class_id"] for r in simhash.near_copy_classes(rows).orderBy("id").collect()]
+
+
+def a_vocabulary(rng):
+    return ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 10))) for _ in range(5000)]
+
+
+def test_drifting_families_and_boilerplate(spark):
+    """Families whose members lie far from the first, and unlike texts with one long passage in common."""
+    rng = random.Random(5)
+    vocab = a_vocabulary(rng)
+    texts = []
+    for _ in range(3):
+        now = rng.choices(vocab, k=300)
+        for _ in range(60):
+            at = rng.randrange(285)
+            now = now[:at] + rng.choices(vocab, k=15) + now[at + 15 :]
+            texts.append(now)
+    passage = rng.choices(vocab, k=200)
+    for k in range(150):
+        texts.append(passage + rng.choices(vocab, k=100 + k % 40))
+    rng.shuffle(texts)
+    assert found_classes(spark, texts) == plain_classes(texts)
+
+
+
 # 6: neighbours
 
 
