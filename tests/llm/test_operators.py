@@ -354,6 +354,23 @@ def test_drifting_families_and_boilerplate(spark):
     assert found_classes(spark, texts) == plain_classes(texts)
 
 
+def test_copies_of_every_band_and_length(spark):
+    """Pairs of two copies only: appended passages and short texts, by similarity."""
+    rng = random.Random(6)
+    vocab = a_vocabulary(rng)
+    texts = []
+    for share in (0.79, 0.81, 0.83, 0.86, 0.88, 0.92, 0.97):
+        for size in (12, 25, 60, 150, 300):
+            for _ in range(4):
+                one = rng.choices(vocab, k=size)
+                texts += [one, one + rng.choices(vocab, k=round(size / share) - size)]
+    for size in (9, 12, 25, 40):
+        for _ in range(5):
+            one = rng.choices(vocab, k=size)
+            texts += [one, [*one[:-1], rng.choice(vocab)]]
+    assert found_classes(spark, texts) == plain_classes(texts)
+
+
 
 # 6: neighbours
 
