@@ -371,6 +371,17 @@ def test_copies_of_every_band_and_length(spark):
     assert found_classes(spark, texts) == plain_classes(texts)
 
 
+def test_long_texts_compare_whole(spark):
+    """Long texts just above and below the similarity."""
+    rng = random.Random(7)
+    vocab = a_vocabulary(rng)
+    texts = []
+    for share in (0.78, 0.79, 0.795, 0.805, 0.81, 0.82):
+        for _ in range(8):
+            one = rng.choices(vocab, k=2000)
+            texts += [one, one + rng.choices(vocab, k=round(2000 / share) - 2000)]
+    assert found_classes(spark, texts) == plain_classes(texts)
+
 
 # 6: neighbours
 
