@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+import sys
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,15 +40,17 @@ SIBLINGS = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
 SCOPE = frozenset("table td th caption html button object template".split())
-#: Elements nested deeper than this become children of the element at this depth.
-DEPTH = 120
+
+#: Calls on the stack for each level of a page, at most.
+FRAMES = 4
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "depth", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None) -> None:
         self.tag, self.attrs, self.children = tag, attrs or {}, []
+        self.depth = 0  # of a root: the most elements open at once
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -60,28 +64,35 @@ def build(source: str) -> Node:
     """The tree of a page. Missing end tags and table rows are implied, stray end tags ignored."""
     root = Node("html")
     open_: list[Node] = [root]
-    hidden = 0  # open elements beyond DEPTH
+    opened = Counter(["html"])  # open elements by tag
+    root.depth = 1
+
+    def close(at: int) -> None:
+        opened.subtract(n.tag for n in open_[at:])
+        del open_[at:]
 
     def text(value: str) -> None:
         if value:
             open_[-1].children.append(value)
 
     def pop_to(tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for at in range(len(open_) - 1, 0, -1):
             if open_[at].tag in tags:
-                del open_[at:]
+                close(at)
                 return
             if open_[at].tag in stop:
                 return
 
     def start(tag: str, attrs: dict[str, str], empty: bool) -> None:
-        if tag in CLOSES_P and any(n.tag == "p" for n in open_[1:]):
+        if tag in CLOSES_P and opened["p"]:
             pop_to({"p"}, SCOPE)
         if tag[0] == "h" and tag[1:].isdigit() and open_[-1].tag[0] == "h" and open_[-1].tag[1:].isdigit():
-            open_.pop()
+            close(-1)
         if tag in SIBLINGS:
             own, stop = SIBLINGS[tag]
-            while any(n.tag in own for n in open_[_last(open_, stop) + 1 :]):
+            while any(opened[t] for t in own) and any(n.tag in own for n in open_[_last(open_, stop) + 1 :]):
                 pop_to(own, stop)
         if tag in ("td", "th") and open_[-1].tag in ("table", "tbody", "thead", "tfoot"):
             start("tr", {}, False)
@@ -89,8 +100,10 @@ def build(source: str) -> Node:
             start("tbody", {}, False)
         node = Node(tag, attrs)
         open_[-1].children.append(node)
-        if not empty and len(open_) < DEPTH:
+        if not empty:
             open_.append(node)
+            opened[tag] += 1
+            root.depth = max(root.depth, len(open_))
 
     at, size = 0, len(source)
     while at < size:
@@ -109,7 +122,7 @@ def build(source: str) -> Node:
         if source[m.start() + 1] == "/":
             if tag == "br":
                 open_[-1].children.append(Node("br"))
-            elif tag == "p" and not any(n.tag == "p" for n in open_):
+            elif tag == "p" and not opened["p"]:
                 open_[-1].children.append(Node("p"))
             elif tag not in ("html", "body"):
                 pop_to({tag}, SCOPE - {tag})
@@ -120,13 +133,13 @@ def build(source: str) -> Node:
                 root.attrs |= attributes(m[2])
             continue
         if open_[-1].tag == "head" and tag not in UNSEEN:
-            open_.pop()
+            close(-1)
         start(tag, attributes(m[2]) if m[2] else {}, tag in VOID)
         if tag in RAW and open_[-1].tag == tag:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             text(source[at : end.start() if end else size])
             at = end.end() if end else size
-            open_.pop()
+            close(-1)
     return root
 
 
@@ -288,22 +301,28 @@ def options(node: Node) -> list[Node]:
 
 
 def table_rows(node: Node, seen: bool, loose: list[Node]) -> list[tuple[Node, bool]]:
-    """The rows of a table, head first and foot last; what lies outside rows is added to loose."""
+    """The rows of a table, head first and foot last; what lies outside rows and text outside cells is added to loose."""
     parts: dict[str, list[tuple[Node, bool]]] = {"thead": [], "tbody": [], "tfoot": []}
 
+    def stray(value: str, own: bool) -> None:
+        if own and value.strip():
+            holder = Node("div")
+            holder.children.append(value)
+            loose.append(holder)
+
     def visit(at: Node, part: str, own: bool) -> None:
         for child in at.children:
             if isinstance(child, str):
-                if child.strip():
-                    holder = Node("div")
-                    holder.children.append(child)
-                    loose.append(holder)
+                stray(child, own)
                 continue
             vis = shown(child, own)
             if vis is None:
                 continue
             if child.tag == "tr":
                 parts[part].append((child, vis))
+                for value in child.children:
+                    if isinstance(value, str):
+                        stray(value, vis)
             elif child.tag in parts:
                 visit(child, child.tag, vis)
             elif child.tag not in ("colgroup", "col"):
@@ -365,8 +384,13 @@ def visible_text(source: str | None) -> str:
     if not source:
         return ""
     root, out = build(source), Lines()
-    if (own := shown(root, True)) is not None:
-        render_children(root, out, own)
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, limit + FRAMES * root.depth))
+    try:
+        if (own := shown(root, True)) is not None:
+            render_children(root, out, own)
+    finally:
+        sys.setrecursionlimit(limit)
     out.flush()
     return "\n".join(out.lines).strip("\n")
 

@@ -138,6 +138,15 @@ def test_page_layout(page):
     assert html_layout.visible_text(page) == PAGES[page]
 
 
+def test_text_between_cells_and_deep_pages():
+    assert html_layout.visible_text("<table><tr><td>a</td>stray<td>b</td></tr></table>") == "stray\na  b"
+    assert html_layout.visible_text("<table><tr style='visibility:hidden'><td>a</td>stray</tr></table>") == ""
+    inner = "<p>one<script>no()</script><style>no</style><i style='display:none'>no</i></p><div style='display:none'>no<div>no</div></div><p>two</p></section>"
+    for depth in (10, 119, 121, 4000):
+        assert html_layout.visible_text("<div>" * depth + inner + "</div>" * depth + "<p>end") == "one\n\ntwo\n\nend"
+        assert html_layout.visible_text("<b>" * depth + "<div style='visibility:hidden'>no<div>no</div></div>yes" + "</b>" * depth) == "yes"
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = html_layout.page_texts(pages).toPandas()
