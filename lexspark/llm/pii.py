@@ -4,6 +4,7 @@ them, and a span classifier trained on the outcome decides."""
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,17 @@ WIDE = {
     ),
     "phone": re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![\w-])|(?<![\w+.-])00[1-9][0-9]{8,12}(?!\w)"),
 }
+#: Runs of digits in groups, in looser forms than the base patterns; candidates are sub-spans at bounds of groups.
+RUNS = {
+    "ip": re.compile(r"(?<![0-9])[0-9]+(?:(?:\.|\[\.\]|\(\.\)|\[dot\])[0-9]+){3,}"),
+    "card": re.compile(r"(?<![0-9])[0-9](?:[ ._/\u2013\xa0-]{0,2}[0-9]){13,}"),
+    "phone": re.compile(r"\+[0-9](?:[ ().\u2013/-]{0,3}[0-9]){9,}"),
+}
+GROUP = re.compile("[0-9]+")
+#: Least and most digits of cards and phones.
+DIGITS = {"card": (14, 19), "phone": (10, 15)}
+#: Digits by group of printed cards.
+GROUPINGS = frozenset([(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (14,), (15,), (16,), (19,)])
 #: What a text must hold for a wider form to occur in it.
 GATE = {"email": re.compile(r"[(\[]at[)\]]| dot "), "phone": re.compile(r"[0-9]{3}")}
 #: Gazetteers: top-level domains, first digits of card issuers, calling codes of +numbers.
@@ -99,8 +111,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool]]:
-    """(start, kind, end, whether a base span): base spans, failed base matches of cards and phones that
-    look like a grouping, and wider forms that overlap no base span."""
+    """(start, kind, end, whether a base span): base spans, wider forms of email and phone, and sub-spans of
+    runs of digits at bounds of groups, of as many digits (octets) as the kind has; none overlaps a base span."""
     out = [(*s, True) for s in base]
     taken = sorted((a, b) for a, _, b in base)
     for name, pattern in WIDE.items():
@@ -108,9 +120,29 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             for m in pattern.finditer(text):
                 if not any(a < m.end() and m.start() < b for a, b in taken):
                     out.append((m.start(), KINDS.index(name), m.end(), False))
+    for name, pattern in RUNS.items():
+        for m in pattern.finditer(text):
+            out += [(a, KINDS.index(name), b, False) for a, b in _within(text, name, m.start(), m.end()) if not any(x < b and a < y for x, y in taken)]
     return out
 
 
+def _within(text: str, name: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the sub-spans of a run that have a valid number of digits; of four groups for ip."""
+    groups = [m.span() for m in GROUP.finditer(text, start, end)]
+    if name == "ip":
+        yield from ((groups[k][0], groups[k + 3][1]) for k in range(len(groups) - 3))
+        return
+    least, most = DIGITS[name]
+    for k in range(1 if name == "phone" else len(groups)):
+        n = 0
+        for a, b in groups[k:]:
+            n += b - a
+            if n > most:
+                break
+            if n >= least:
+                yield (start if name == "phone" else groups[k][0]), b
+
+
 def votes(text: str, start: int, kind: int, end: int, base: bool) -> tuple[int, ...]:
     """One vote of each labeler in VOTERS: 1 personal data, -1 not, 0 no opinion."""
     span, name = text[start:end], KINDS[kind]
@@ -123,15 +155,18 @@ def votes(text: str, start: int, kind: int, end: int, base: bool) -> tuple[int,
         gazetteer = 1 if tail in DOMAINS else -1
         shape = 1 if len(tail) >= 2 and tail.isalpha() else -1
     elif name == "ip":
-        parts = span.split(".")
+        parts = GROUP.findall(span)
+        pattern = 1 if base or not _numbered(text, start, end) else -1
         check = 1 if all(_octet(p) for p in parts) else -1
         gazetteer = -1 if parts[0].lstrip("0") in ("", "127") or span.startswith("0.") else 0
         shape = 1 if all(p == "0" or not p.startswith("0") for p in parts) else -1
     elif name == "card":
+        pattern = 1 if base or tuple(map(len, GROUP.findall(span))) in GROUPINGS else -1
         check = 1 if luhn(digits) else -1
         gazetteer = 1 if digits.startswith(ISSUERS) else -1
         shape = 1 if len(digits) in (15, 16) else -1
     else:
+        pattern = 1 if base or span.startswith("+") else -1
         check = 1 if 10 <= len(digits) <= 15 else -1
         gazetteer = 1 if span.startswith("+") and digits.startswith(CALLING) else 0
         shape = 1 if re.search(r"[ ().-]", span) else -1
@@ -139,6 +174,11 @@ def votes(text: str, start: int, kind: int, end: int, base: bool) -> tuple[int,
     return pattern, check, gazetteer, context, shape
 
 
+def _numbered(text: str, start: int, end: int) -> bool:
+    """Whether a dotted span goes on in digits to either side."""
+    return re.search(r"[0-9]\.$", text[max(0, start - 2) : start]) is not None or re.match(r"\.?[0-9]", text[end : end + 2]) is not None
+
+
 def span_features(text: str, start: int, kind: int, end: int) -> list[int]:
     """Hashed features: the span's shape, its length, first digits, and the words beside it."""
     span = text[start:end]
@@ -158,7 +198,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 50) ->
     vote = np.array([p for p, _ in patterns], dtype=np.int64).reshape(-1, len(VOTERS)) + 1
     n = np.array([c for _, c in patterns], dtype=float)
     truth = (vote == 2).sum(axis=1) / np.maximum((vote != 1).sum(axis=1), 1)
-    truth = np.where(vote[:, 0] == 2, np.maximum(truth, 0.9), truth * 0.5)
+    truth = np.where((vote[:, 0] == 2) & (vote[:, 1] == 2), np.maximum(truth, 0.9), truth * 0.5)
     share, table = 0.5, np.zeros((2, len(VOTERS), 3))
     for _ in range(rounds):
         weight = np.stack([(1 - truth) * n, truth * n])
@@ -236,6 +276,23 @@ def _table(counted: pd.DataFrame, shares: dict) -> list[tuple[int, str, float]]:
     return [(int(k), ",".join(map(str, v)), float(posterior(np.array([list(v)]), *shares[k])[0])) for k, v in zip(counted["kind"], counted["votes"], strict=True)]
 
 
+def accepted(found: list[tuple[int, int, int, bool, list[int], list[int]]], model: SpanModel) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of candidates with votes and features: base spans, and of the others those that pass
+    their check and the classifier, the likeliest (then longest) first where they overlap."""
+    rows = [(a, k, b) for a, k, b, own, _, _ in found if own]
+    more = []
+    for a, k, b, own, vote, feature in found:
+        if not own and (KINDS[k] == "email" or vote[1] == 1) and (p := model.probability(k, vote, feature)) >= DECIDE:
+            more.append((-p, a - b, a, k, b))
+    taken: list[tuple[int, int]] = []
+    for _, _, a, k, b in sorted(more):
+        at = bisect(taken, (a, b))
+        if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+            taken.insert(at, (a, b))
+            rows.append((a, k, b))
+    return rows
+
+
 def decide(found: DataFrame, model: SpanModel) -> DataFrame:
     """(id, base, spans): arrays of start, kind, stop; base spans always stay, others by the classifier."""
     shared = found.sparkSession.sparkContext.broadcast(model)
@@ -247,9 +304,8 @@ def decide(found: DataFrame, model: SpanModel) -> DataFrame:
             base, spans = [], []
             for found in batch["found"]:
                 rows = [(s["start"], s["kind"], s["stop"]) for s in found if s["base"]]
-                more = [(s["start"], s["kind"], s["stop"]) for s in found if not s["base"] and model.probability(s["kind"], list(s["votes"]), list(s["features"])) >= DECIDE]
                 base.append(sorted(rows))
-                spans.append(sorted(rows + more))
+                spans.append(sorted(accepted([(s["start"], s["kind"], s["stop"], s["base"], list(s["votes"]), list(s["features"])) for s in found], model)))
             yield pd.DataFrame({"id": batch["id"], "base": base, "spans": spans})
 
     return found.mapInPandas(run, f"id string, base {kind}, spans {kind}")
@@ -297,7 +353,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def _masked(text: str | None, model: SpanModel) -> str | None:
     if not text:
         return text
-    spans = [(a, k, b) for a, k, b, own in candidates(text, base_spans(text)) if own or model.probability(k, list(votes(text, a, k, b, own)), span_features(text, a, k, b)) >= DECIDE]
+    found = candidates(text, base_spans(text))
+    spans = accepted([(a, k, b, own, list(votes(text, a, k, b, own)), span_features(text, a, k, b)) for a, k, b, own in found], model)
     out, at = [], 0
     for a, k, b in sorted(spans, key=lambda s: (s[0], -s[2])):
         if a >= at:

@@ -99,6 +99,23 @@ def test_method_adds_spans_and_keeps_clean_text(spark):
     assert masked[0] == "please call [PHONE] or mail to [EMAIL] now" and masked[102] == odd[2][1]
 
 
+def test_spans_inside_failed_matches(spark):
+    good = [(i, f"please pay by card 4111 1111 1111 1111 or call +1 (20{i % 10}) 555-01{i:02d} from host 10.0.0.{i} now") for i in range(40)]
+    odd = {
+        100: ("pay by card 4111 1111 1111 1111 12/27 today", "pay by card [CARD] 12/27 today"),
+        101: ("pay by card 4111.1111.1111.1111 today", "pay by card [CARD] today"),
+        102: ("please call +1 (212) 555-0142 20240131 77 now", "please call [PHONE] 20240131 77 now"),
+        103: ("from host 10[.]0[.]0[.]7 now", "from host [IP] now"),
+        104: ("pay by card 4111 1111 1111 1112 12/27 today", None),
+        105: ("rows 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 and 300.400.500.600", None),
+    }
+    df = spark.createDataFrame(good + [(i, t) for i, (t, _) in odd.items()], "doc_id long, text string")
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert {i: masked[i] for i in odd} == {i: b or a for i, (a, b) in odd.items()}
+    spans = {r["doc_id"]: r["spans"] for r in pii.document_pii(df).collect()}
+    assert [spans[i] for i in odd] == ["card:12:31", "card:12:31", "phone:12:29", "ip:10:24", "", ""]
+
+
 def test_estimation_finds_reliable_voters():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.3
