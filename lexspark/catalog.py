@@ -154,7 +154,7 @@ def question_contexts(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def retrieval_evaluation(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     chunks = _store(documents)
     found = retrieval.with_chunks(retrieval.nearest_chunks(answers.embed_questions(_questions(benchmark)), chunks), chunks, ["text"])
-    cases = _questions(benchmark).select("query_id", F.slice(text.words(F.col("question")), 1, 4).alias("keywords"))
+    cases = _questions(benchmark).select("query_id", F.array_distinct(text.words(F.lower("question"))).alias("keywords"))
     return retrieval.evaluate(cases, found)[0]
 
 

@@ -168,8 +168,9 @@ def evaluate(cases: DataFrame, results: DataFrame, least: float = 0.5, suite: fl
     """
     texts = results.groupBy("query_id").agg(_in_order("text").alias("t"))
     texts = texts.select("query_id", F.lower(F.array_join(F.transform("t", lambda x: x["text"]), " ")).alias("told"))
-    rows = cases.select("query_id", F.explode("keywords").alias("keyword")).join(texts, "query_id", "left")
-    found = F.coalesce(F.col("told").contains(F.lower("keyword")), F.lit(False)).cast("int")
-    each = rows.groupBy("query_id").agg(F.avg(found).alias("coverage")).withColumn("passed", F.col("coverage") >= least)
+    expected = cases.groupBy("query_id").agg(F.flatten(F.collect_list("keywords")).alias("keywords")).filter(F.size("keywords") > 0)
+    found = F.filter("keywords", lambda k: F.coalesce(F.col("told").contains(F.lower(k)), F.lit(False)))
+    each = expected.join(texts, "query_id", "left").select("query_id", (F.size(found) / F.size("keywords")).alias("coverage"))
+    each = each.withColumn("passed", F.col("coverage") >= least)
     total = each.agg(F.avg(F.col("passed").cast("int")).alias("pass_rate")).withColumn("passed", F.col("pass_rate") >= suite)
     return each, total

@@ -19,6 +19,14 @@ def test_query_runs(spark, name):
     assert df.count() > 0
 
 
+def test_evaluation_takes_every_word(spark, duck, tmp_path):
+    words = ["alpha", "beta", "gamma", "delta", *[f"unheard{k}" for k in range(12)]]
+    spark.createDataFrame([(0, " ".join(words[:4]), "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(words + words[:1]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    row = catalog.QUERIES["retrieval_evaluation"](spark, str(tmp_path)).first()
+    assert (row["coverage"], row["passed"]) == (0.25, False)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
