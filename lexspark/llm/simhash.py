@@ -224,12 +224,13 @@ def segments_viable(diff: np.ndarray, budget: int) -> np.ndarray:
 
 def _shingles(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
-        for doc, text in zip(batch["id"], batch["text"], strict=True):
-            found = words(text)
-            own = shingle_set(found, size)
-            rows.append((doc, xxhash.xxh3_128_hexdigest(b" ".join(found)), len(own), parity(own), packed(own)))
-        yield pd.DataFrame(rows, columns=["id", "same", "n", "parity", "hashes"])
+        for at in range(0, len(batch), 500):
+            rows = []
+            for doc, text in zip(batch["id"][at : at + 500], batch["text"][at : at + 500], strict=True):
+                found = words(text)
+                own = shingle_set(found, size)
+                rows.append((doc, xxhash.xxh3_128_hexdigest(b" ".join(found)), len(own), parity(own), packed(own)))
+            yield pd.DataFrame(rows, columns=["id", "same", "n", "parity", "hashes"])
 
 
 def _range_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
