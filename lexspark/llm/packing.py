@@ -20,10 +20,10 @@ from tokenizers import Tokenizer
 
 from lexspark.llm.bpe import NUMBERS, PLAIN, byte_symbols
 
-#: Words a worker remembers before it starts afresh.
-CACHE = 400_000
-#: Texts whose words are held at once.
-SLICE = 200
+#: Words a task remembers before it starts afresh.
+CACHE = 150_000
+#: Texts whose words are held at once, and ids and rows that are handed on at once.
+SLICE, IDS, ROWS = 100, 1 << 20, 5_000
 #: Words of plain texts, in the vocabulary's own pattern.
 PLAIN_WORDS = re.compile(rf"[^\W\d_{NUMBERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|(?:[^\s\w]|_)+")
 
@@ -199,16 +199,17 @@ def pack_documents(
         tokens = _ids(source.value)
         serial = TaskContext.get().partitionId() << 32
         waiting: list[tuple] = []
-        total = 0
+        total = held = 0
         rows: list[tuple] = []
 
         def put(members: list[tuple]) -> None:
-            nonlocal serial
+            nonlocal serial, held
             at = 0
             for doc, start, ids, whole in members:
                 rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), whole, serial, at, *([ids.astype(np.int32)] if with_ids else [])))
                 at += len(ids)
             serial += 1
+            held += at
 
         def pack() -> None:
             for part in fill_windows([len(m[2]) for m in waiting], window):
@@ -216,8 +217,10 @@ def pack_documents(
             waiting.clear()
 
         def frame() -> pd.DataFrame:
+            nonlocal held
             made = pd.DataFrame(rows, columns=schema.names)
             rows.clear()
+            held = 0
             return made
 
         for batch in batches:
@@ -233,11 +236,11 @@ def pack_documents(
                     if total > (group - 1) * window and (window // 5 < left < window // 3 or total > (group + 8) * window):
                         pack()
                         total = 0
-                if len(rows) >= 20_000:
+                if held >= IDS or len(rows) >= ROWS:
                     yield frame()
-            yield frame()
         if waiting:
             pack()
-            yield frame()
+        yield frame()
+        tokens.cache.clear()  # the worker goes on to other tasks
 
     return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))

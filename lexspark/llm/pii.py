@@ -3,8 +3,10 @@ them, and a span classifier trained on the outcome decides."""
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,36 +17,44 @@ from pyspark.sql import functions as F
 
 from lexspark.operators.lineage import settle
 
-KINDS = ("email", "ip", "card", "phone")
-EMAIL_HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: The kinds with base patterns, in order, and those that the method alone finds.
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
+EMAIL_HOST = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+# No match begins within a run of digits, and no part of one is tried again: time is linear in the text.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 #: Wider forms that make candidates beside the base patterns.
+NAME = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++"
 WIDE = {
     "email": re.compile(
-        r"[A-Za-z0-9._%+-]+ ?[(\[]at[)\]] ?[A-Za-z0-9-]+(?: ?(?:[(\[]dot[)\]]|\.| dot ) ?[A-Za-z0-9-]+)+"
-        r"|[A-Za-z0-9._%+-]+ at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+"
+        rf"{NAME} ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?(?:[(\[]dot[)\]]|\.| dot ) ?[A-Za-z0-9-]++)+"
+        rf"|{NAME} at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)+"
     ),
     "phone": re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![\w-])|(?<![\w+.-])00[1-9][0-9]{8,12}(?!\w)"),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"),
 }
 #: Runs of digits in groups, in looser forms than the base patterns; candidates are sub-spans at bounds of groups.
 RUNS = {
-    "ip": re.compile(r"(?<![0-9])[0-9]+(?:(?:\.|\[\.\]|\(\.\)|\[dot\])[0-9]+){3,}"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:(?:\.|\[\.\]|\(\.\)|\[dot\])[0-9]++){3,}"),
     "card": re.compile(r"(?<![0-9])[0-9](?:[ ._/\u2013\xa0-]{0,2}[0-9]){13,}"),
     "phone": re.compile(r"\+[0-9](?:[ ().\u2013/-]{0,3}[0-9]){9,}"),
 }
 GROUP = re.compile("[0-9]+")
-#: Least and most digits of cards and phones.
+#: Least and most digits of cards and phones, and most groups of a card.
 DIGITS = {"card": (14, 19), "phone": (10, 15)}
+GROUPS = 7
 #: Digits by group of printed cards.
 GROUPINGS = frozenset([(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (14,), (15,), (16,), (19,)])
 #: What a text must hold for a wider form to occur in it.
-GATE = {"email": re.compile(r"[(\[]at[)\]]| dot "), "phone": re.compile(r"[0-9]{3}")}
+GATE = {"email": re.compile(r"[(\[]at[)\]]| dot "), "phone": re.compile(r"[0-9]{3}"), "secret": re.compile(r"[0-9][A-Za-z]|[A-Za-z][0-9]")}
 #: Gazetteers: top-level domains, first digits of card issuers, calling codes of +numbers.
 DOMAINS = frozenset("com org net edu gov mil int info biz io co de fr es it uk eu us ca ch at nl be ru jp cn in br au".split())
 ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "36", "38", "6011", "65", "35", "62", "2221", "2720")
+KEYS = re.compile(r"(?:token|secret|key|passwd|password|pwd|auth|bearer|credentials?|signature)[\"']?\s{0,2}[:=]?\s{0,2}[\"']?\Z", re.I)
+PREFIXES = ("sk-", "pk-", "ghp_", "gho_", "xox", "AKIA", "ASIA", "AIza", "eyJ", "glpat-")
 CALLING = ("1", "7", "20", "27", "3", "4", "5", "6", "81", "82", "84", "86", "9")
 #: Context words looked for in the 40 characters before a span.
 CONTEXT = {
@@ -52,11 +62,14 @@ CONTEXT = {
     "ip": re.compile(r"\bip\b|address|host|server|login|adresse", re.I),
     "card": re.compile(r"card|visa|pay|credit|karte|carte|tarjeta", re.I),
     "phone": re.compile(r"phone|tel|call|mobile|fax|ruf|appel|llam", re.I),
+    "secret": re.compile(r"token|secret|passw|\bkey|auth|bearer|credential|login", re.I),
 }
 VOTERS = ("pattern", "check", "gazetteer", "context", "shape")
 #: Hashed features of the span classifier for each kind.
 FEATURES = 1 << 12
 DECIDE = 0.5
+#: Labelers are taken to be better than chance: spans of each class that are counted beforehand, by vote (-1, 0, 1).
+BEFORE = 5 * np.array([[0.6, 0.3, 0.1], [0.1, 0.3, 0.6]])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -111,21 +124,38 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool]]:
-    """(start, kind, end, whether a base span): base spans, wider forms of email and phone, and sub-spans of
-    runs of digits at bounds of groups, of as many digits (octets) as the kind has; none overlaps a base span."""
+    """(start, kind, end, whether a base span): base spans; wider forms of email and phone; long runs of letters
+    and digits for secrets; and sub-spans of runs of digits at bounds of groups, of as many digits (octets) as
+    the kind has, among them those inside base matches that failed. None overlaps a base span."""
     out = [(*s, True) for s in base]
-    taken = sorted((a, b) for a, _, b in base)
+    starts, ends = [], []  # the base spans' union, in order
+    for a, _, b in sorted(base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def free(a: int, b: int) -> bool:
+        at = bisect(starts, a)
+        return (at == 0 or ends[at - 1] <= a) and (at == len(starts) or b <= starts[at])
+
     for name, pattern in WIDE.items():
         if GATE[name].search(text):
             for m in pattern.finditer(text):
-                if not any(a < m.end() and m.start() < b for a, b in taken):
+                if free(*m.span()) and (name != "secret" or _mixed(m.group())):
                     out.append((m.start(), KINDS.index(name), m.end(), False))
     for name, pattern in RUNS.items():
         for m in pattern.finditer(text):
-            out += [(a, KINDS.index(name), b, False) for a, b in _within(text, name, m.start(), m.end()) if not any(x < b and a < y for x, y in taken)]
+            out += [(a, KINDS.index(name), b, False) for a, b in _within(text, name, m.start(), m.end()) if free(a, b)]
     return out
 
 
+def _mixed(run: str) -> bool:
+    """Whether a run has both letters and digits."""
+    return any(c.isalpha() for c in run) and any(c.isdigit() for c in run)
+
+
 def _within(text: str, name: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     """(start, end) of the sub-spans of a run that have a valid number of digits; of four groups for ip."""
     groups = [m.span() for m in GROUP.finditer(text, start, end)]
@@ -135,7 +165,7 @@ def _within(text: str, name: str, start: int, end: int) -> Iterator[tuple[int, i
     least, most = DIGITS[name]
     for k in range(1 if name == "phone" else len(groups)):
         n = 0
-        for a, b in groups[k:]:
+        for a, b in groups[k : k + (most if name == "phone" else GROUPS)]:
             n += b - a
             if n > most:
                 break
@@ -165,6 +195,13 @@ def votes(text: str, start: int, kind: int, end: int, base: bool) -> tuple[int,
         check = 1 if luhn(digits) else -1
         gazetteer = 1 if digits.startswith(ISSUERS) else -1
         shape = 1 if len(digits) in (15, 16) else -1
+    elif name == "secret":
+        before = text[max(0, start - 30) : start]
+        known = span.startswith(PREFIXES)
+        pattern = 1 if known or re.search(r"[:=]\s*[\"']?\Z", before) else -1
+        check = 1 if entropy(span) >= 3.0 and not span.isalpha() else -1
+        gazetteer = 1 if known or KEYS.search(before) else -1
+        shape = 1 if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", span) or (span != span.lower() and span != span.upper()) else -1
     else:
         pattern = 1 if base or span.startswith("+") else -1
         check = 1 if 10 <= len(digits) <= 15 else -1
@@ -174,6 +211,11 @@ def votes(text: str, start: int, kind: int, end: int, base: bool) -> tuple[int,
     return pattern, check, gazetteer, context, shape
 
 
+def entropy(span: str) -> float:
+    """Bits a character by the span's own shares of characters."""
+    return -sum(n / len(span) * math.log2(n / len(span)) for n in Counter(span).values())
+
+
 def _numbered(text: str, start: int, end: int) -> bool:
     """Whether a dotted span goes on in digits to either side."""
     return re.search(r"[0-9]\.$", text[max(0, start - 2) : start]) is not None or re.match(r"\.?[0-9]", text[end : end + 2]) is not None
@@ -193,7 +235,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 50) ->
     """Expectation-maximisation over counted vote patterns: (share of true spans, reliabilities).
 
     reliabilities[c, v, x]: probability that voter v votes x - 1 on a span of class c. Begins at the
-    share of positive votes; add-one smoothing keeps it defined for any counts.
+    share of positive votes; BEFORE tells the classes apart and keeps it defined for any counts.
     """
     vote = np.array([p for p, _ in patterns], dtype=np.int64).reshape(-1, len(VOTERS)) + 1
     n = np.array([c for _, c in patterns], dtype=float)
@@ -204,7 +246,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 50) ->
         weight = np.stack([(1 - truth) * n, truth * n])
         share = (weight[1].sum() + 1) / (n.sum() + 2)
         for x in range(3):
-            table[:, :, x] = weight @ (vote == x) + 1
+            table[:, :, x] = weight @ (vote == x) + BEFORE[:, x, None]
         table /= table.sum(axis=2, keepdims=True)
         logs = np.log(table)[:, np.arange(len(VOTERS)), vote].sum(axis=2) + np.log([[1 - share], [share]])
         truth = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
@@ -216,6 +258,16 @@ def posterior(vote: np.ndarray, share: float, table: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
+FIELDS = ("start", "kind", "stop", "base", "votes", "features")
+
+
+def described(text: str, found: list[tuple[int, int, int, bool]]) -> Iterator[tuple]:
+    """Candidates with their votes and features."""
+    for a, k, b, own in found:
+        vote = votes(text, a, k, b, own)
+        yield a, k, b, own, list(vote), span_features(text, a, k, b)
+
+
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, base spans, and its candidates with votes and features."""
 
@@ -224,10 +276,7 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rows = []
             for doc, text in zip(batch["id"], batch["text"], strict=True):
                 base = base_spans(text := text or "")
-                found = [
-                    {"start": a, "kind": k, "stop": b, "base": own, "votes": list(votes(text, a, k, b, own)), "features": span_features(text, a, k, b)}
-                    for a, k, b, own in candidates(text, base)
-                ]
+                found = [dict(zip(FIELDS, row, strict=True)) for row in described(text, candidates(text, base))]
                 rows.append((doc, found))
             yield pd.DataFrame(rows, columns=["id", "found"])
 
@@ -237,21 +286,24 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 class SpanModel:
-    """share and table by kind from estimation; weights: log odds of features by kind; prior log odds."""
+    """The span classifier: naive Bayes over the labelers' votes and hashed features.
 
-    def __init__(self, shares: dict, weights: np.ndarray, prior: np.ndarray) -> None:
-        self.shares, self.weights, self.prior = shares, weights, prior
+    By kind: prior log odds, log odds of each vote (voter x vote + 1), log odds of features. Features of one
+    span repeat each other, so their mean counts, not their sum.
+    """
+
+    def __init__(self, prior: np.ndarray, vote: np.ndarray, weights: np.ndarray) -> None:
+        self.prior, self.vote, self.weights = prior, vote, weights
 
     def probability(self, kind: int, vote: list[int], feature: list[int]) -> float:
-        """The classifier's log odds (mean over features) joined with the labelers' posterior."""
-        p = float(posterior(np.array([vote]), *self.shares[kind])[0])
-        odds = np.log(max(p, 1e-9)) - np.log(max(1 - p, 1e-9)) + self.prior[kind] + self.weights[kind][feature].mean()
+        odds = self.prior[kind] + self.vote[kind, np.arange(len(VOTERS)), np.array(vote) + 1].sum() + self.weights[kind][feature].mean()
         return float(1 / (1 + np.exp(-np.clip(odds, -500, 500))))
 
 
 def train_spans(found: DataFrame) -> SpanModel:
-    """Reliabilities from counted vote patterns, then a naive Bayes classifier on posterior-weighted
-    feature counts. What is collected is bounded: kinds x 3^voters patterns, kinds x FEATURES counts."""
+    """Reliabilities from counted vote patterns, then a naive Bayes classifier on feature counts, each span
+    weighed by its posterior; the classifier alone decides. What is collected is bounded: kinds x 3^voters
+    patterns, kinds x FEATURES counts."""
     spans = found.select(F.explode("found").alias("s")).select("s.kind", "s.votes", "s.features")
     counted = spans.groupBy("kind", "votes").count().toPandas()
     shares = {}
@@ -268,8 +320,9 @@ def train_spans(found: DataFrame) -> SpanModel:
         every[sums["kind"], sums["feature"]] += sums["n"]
     false = every - true
     weights = np.log(true / true.sum(axis=1, keepdims=True)) - np.log(false / false.sum(axis=1, keepdims=True))
-    prior = np.zeros(len(KINDS))
-    return SpanModel(shares, weights, prior)
+    tables = np.log(np.stack([shares[k][1] for k in range(len(KINDS))]))
+    share = np.array([shares[k][0] for k in range(len(KINDS))])
+    return SpanModel(np.log(share) - np.log(1 - share), tables[:, 1] - tables[:, 0], weights)
 
 
 def _table(counted: pd.DataFrame, shares: dict) -> list[tuple[int, str, float]]:
@@ -327,11 +380,18 @@ def _listing(spans: str) -> F.Column:
 
 
 def document_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of all documents."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret and n_spans of all documents.
+
+    Null and empty texts have no spans. Repeated rows each get a row, a null id stays null, an empty table
+    gives no row. Other columns are not read."""
     rows = personal_spans(docs)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    n = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return rows.select(F.col("id").cast("long").alias("doc_id"), *n, F.sha2(_listing("base"), 256).alias("base_sha256"), _listing("spans").alias("spans"))
+    n = [count(k).alias(f"n_{name}") for k, name in enumerate(BASE)]
+    secrets = F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index("secret"))).cast("long")
+    return rows.select(
+        F.col("id").cast("long").alias("doc_id"), *n, F.sha2(_listing("base"), 256).alias("base_sha256"), _listing("spans").alias("spans"),
+        secrets.alias("n_secret"), F.size("spans").cast("long").alias("n_spans"),
+    )
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,8 +413,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def _masked(text: str | None, model: SpanModel) -> str | None:
     if not text:
         return text
-    found = candidates(text, base_spans(text))
-    spans = accepted([(a, k, b, own, list(votes(text, a, k, b, own)), span_features(text, a, k, b)) for a, k, b, own in found], model)
+    spans = accepted(list(described(text, candidates(text, base_spans(text)))), model)
     out, at = [], 0
     for a, k, b in sorted(spans, key=lambda s: (s[0], -s[2])):
         if a >= at:

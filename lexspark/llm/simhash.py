@@ -12,22 +12,25 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexspark.operators.components import connected_components
-from lexspark.operators.lineage import settle
+from lexspark.operators.lineage import forget, settle
 
 #: Bits of a plain fingerprint.
 WIDTH = 64
 #: Hashes whose bits are counted at once.
 BLOCK = 1 << 15
 #: Bytes kept of a shingle's hash, and bits of a text's parity map.
-HASH_BYTES, PARITY = 5, 1024
+HASH_BYTES, PARITY = 5, 512
 #: Ranges of hashes whose least member is a key for stars.
 RANGES = 8
+#: Chance that two texts of the similarity asked for share none of the keys picked for them, at most.
+MISS = 1e-12
 #: One text in SAMPLE tells which shingles are common: those of COMMON classes in the sample, MOST_COMMON at most.
 #: They only go last in the order of shingles, whatever they are; no result depends on them.
 SAMPLE, COMMON, MOST_COMMON = 8, 4, 1_000_000
+#: Texts whose shingles are held at once.
+SLICE = 200
 
 
 def words(text: str | None) -> list[bytes]:
@@ -173,11 +176,6 @@ def simhash_components(
     )
 
 
-def shingle_set(found: list[bytes], size: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, sorted."""
-    return np.unique(np.array(shingle_hashes(found, size), dtype=np.uint64) >> np.uint64(64 - 8 * HASH_BYTES))
-
-
 def packed(hashes: np.ndarray) -> bytes:
     return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
 
@@ -201,167 +199,250 @@ def jaccard(one: bytes, two: bytes) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first members of a sorted set, rare ones before common ones: as many as leave fewer out than two
-    sets of this similarity share, so that such sets share one of their first members."""
-    if len(common) and len(hashes):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        often = common[at] == hashes
-        hashes = np.concatenate([hashes[~often], hashes[often]])
-    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
-
-
-def segments_viable(diff: np.ndarray, budget: int) -> np.ndarray:
-    """The pigeonring filter on differing bits by segment (n x m): some start has all its chains of l
-    segments within l * budget / m."""
+def segments_viable(diff: np.ndarray, budget: np.ndarray | float) -> np.ndarray:
+    """The pigeonring filter on differing bits by segment (n x m): some start has all its chains of l consecutive
+    segments within l * budget / m bits, the budget being that of the whole row."""
     m = diff.shape[1]
+    room = np.broadcast_to(np.asarray(budget, dtype=float), len(diff))[:, None] * np.arange(1, m + 1) / m + 1e-9
     viable = np.zeros(len(diff), dtype=bool)
     for start in range(m):
-        chain = np.cumsum(np.roll(diff, -start, axis=1), axis=1)
-        viable |= (chain <= np.arange(1, m + 1) * budget // m).all(axis=1)
+        viable |= (np.cumsum(np.roll(diff, -start, axis=1), axis=1) <= room).all(axis=1)
     return viable
 
 
+def pick_keys(hashes: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, int, int]:
+    """(keys, how many of them are common, group) of a sorted set of n shingle hashes.
+
+    Exact keys: the first members, rare ones before common ones, as many as leave fewer out than two sets of
+    this similarity share, so that such sets share one (prefix filtering). Where rare members abound, fewer
+    are as good: two similar sets differ in a share q = n (1 - s) / s / rare of their rare members at most, and
+    of the k least in random order one is shared but for a chance of q^k; k is such that this is under MISS.
+    group tells sets with common keys apart by their common members; 0 for others.
+    """
+    often = np.zeros(len(hashes), dtype=bool)
+    if len(common) and len(hashes):
+        often = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+    rare, n = hashes[~often], len(hashes)
+    exact = n - math.ceil(similarity * n - 1e-9) + 1
+    q = n * (1 - similarity) / similarity / max(len(rare), 1)
+    if q < 1 and (k := math.ceil(math.log(MISS) / math.log(q))) < exact and k <= len(rare):
+        return rare[:k], 0, 0
+    keys = np.concatenate([rare, hashes[often]])[:exact]
+    mine = max(0, len(keys) - len(rare))
+    return keys, mine, xxhash.xxh3_64_intdigest(hashes[often].tobytes()) >> 1 | 1 if mine else 0
+
+
 def _shingles(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """Rows of near_copy_classes; hashes only at the first row of a text in each task."""
+    seen: set[int] = set()
     for batch in batches:
-        for at in range(0, len(batch), 500):
-            rows = []
-            for doc, text in zip(batch["id"][at : at + 500], batch["text"][at : at + 500], strict=True):
+        for at in range(0, len(batch), SLICE):
+            part, rows = batch[at : at + SLICE], []
+            for doc, mark, text in zip(part["id"], part["mark"], part["text"], strict=True):
                 found = words(text)
-                own = shingle_set(found, size)
-                rows.append((doc, xxhash.xxh3_128_hexdigest(b" ".join(found)), len(own), parity(own), packed(own)))
-            yield pd.DataFrame(rows, columns=["id", "same", "n", "parity", "hashes"])
+                node = xxhash.xxh3_64_intdigest(b" ".join(found)) - (1 << 63)
+                if node in seen:
+                    rows.append((doc, mark, node, None, None, None, None))
+                    continue
+                seen.add(node)
+                every = np.array(shingle_hashes(found, size), dtype=np.uint64)
+                own = np.unique(every >> np.uint64(64 - 8 * HASH_BYTES))
+                bits = int(majority(every.astype(">u8").view(np.uint8).reshape(-1, 8)).view(">i8")[0]) if found else 0
+                rows.append((doc, mark, node, len(own), bits, parity(own), packed(own)))
+            yield pd.DataFrame(rows, columns=["id", "mark", "node", "n", "fp", "parity", "hashes"]).astype({"n": "Int64", "fp": "Int64"})
 
 
 def _range_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(id, key): the least hash of each range."""
+    """(node, key): the least hash of each range."""
     for batch in batches:
-        ids, keys = [], []
-        for doc, source in zip(batch["id"], batch["hashes"], strict=True):
-            own = unpacked(source)
-            _, first = np.unique(own >> np.uint64(8 * HASH_BYTES - RANGES.bit_length() + 1), return_index=True)
-            keys.append(own[first])
-            ids.append(np.full(len(first), doc))
-        if ids:
-            yield pd.DataFrame({"id": np.concatenate(ids).astype(np.int64), "key": np.concatenate(keys).astype(np.int64)})
-
-
-def _prefix_keys(rows: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
-    """(id, key): the prefix of each row's set."""
+        for at in range(0, len(batch), SLICE):
+            part, keys = batch[at : at + SLICE], []
+            for source in part["hashes"]:
+                own = unpacked(source)
+                _, first = np.unique(own >> np.uint64(8 * HASH_BYTES - RANGES.bit_length() + 1), return_index=True)
+                keys.append(own[first])
+            yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(np.int64), [len(k) for k in keys]), "key": np.concatenate(keys).astype(np.int64)})
+
+
+def _picked_keys(rows: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
+    """(node, key, group): the keys of each row's set; group is 0 for rare keys, else that of the set."""
     shared = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                own = batch[at : at + 500]
-                keys = [prefix(unpacked(source), shared.value, similarity) for source in own["hashes"]]
-                yield pd.DataFrame({"id": np.repeat(own["id"].to_numpy(np.int64), [len(k) for k in keys]), "key": np.concatenate(keys).astype(np.int64)})
+            for at in range(0, len(batch), SLICE):
+                part = batch[at : at + SLICE]
+                nodes, keys, groups = [], [], []
+                for node, source in zip(part["node"], part["hashes"], strict=True):
+                    own, mine, group = pick_keys(unpacked(source), shared.value, similarity)
+                    nodes.append(np.full(len(own), node))
+                    keys.append(own)
+                    groups.append(np.where(np.arange(len(own)) < len(own) - mine, 0, group))
+                yield pd.DataFrame({"node": np.concatenate(nodes).astype(np.int64), "key": np.concatenate(keys).astype(np.int64), "group": np.concatenate(groups).astype(np.int64)})
 
-    return rows.filter("n > 0").select("id", "hashes").mapInPandas(run, "id long, key long")
+    return rows.filter("n > 0").select("node", "hashes").mapInPandas(run, "node long, key long, group long")
 
 
 def _classes_of(keyed: DataFrame, classes: DataFrame) -> DataFrame:
-    """keyed and the class of each id: that of classes, or the id where it has none."""
-    return keyed.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    """keyed and the class of each node: that of classes, or the node where it has none."""
+    return keyed.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (src, dst) of each id and the least ids with which it shares the least hash of a range."""
-    keyed = rows.filter("n > 0").select("id", "hashes").mapInPandas(_range_keys, "id long, key long")
-    least = keyed.groupBy("key").agg(F.min("id").alias("src"))
-    return keyed.join(least, "key").filter("src <> id").select("src", F.col("id").alias("dst")).distinct()
+    """Distinct pairs (src, dst) of each node and the least nodes with which it shares the least hash of a range."""
+    keyed = rows.filter("n > 0").select("node", "hashes").mapInPandas(_range_keys, "node long, key long")
+    least = keyed.groupBy("key").agg(F.min("node").alias("src"))
+    return keyed.join(least, "key").filter("src <> node").select("src", F.col("node").alias("dst")).distinct()
+
+
+def fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of nodes whose fingerprints link_fingerprints finds within 2 differing bits, by the least
+    node of each fingerprint, and of each node with the least of its own fingerprint."""
+    known = texts.filter("n > 0")
+    first = settle(known.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
+    own = known.join(first, "fp").filter("node <> first").select(F.col("first").alias("src"), F.col("node").alias("dst"))
+    links = link_fingerprints(first)
+    for end in ("src", "dst"):
+        links = links.join(first.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_node")), end).drop(end)
+    return own.unionByName(links.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst")))
 
 
 def common_shingles(rows: DataFrame, classes: DataFrame, similarity: float) -> np.ndarray:
     """Shingles of many classes in a sample, sorted."""
-    some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
-    keyed = _classes_of(_prefix_keys(some, similarity - 0.1, np.zeros(0, dtype=np.uint64)), classes).select("key", "class").distinct()
+    some = rows.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)
+    shared = some.sparkSession.sparkContext.broadcast(similarity - 0.1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                part = batch[at : at + SLICE]
+                keys = [own[: len(own) - math.ceil(shared.value * len(own)) + 1] for own in map(unpacked, part["hashes"])]
+                yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(np.int64), [len(k) for k in keys]), "key": np.concatenate(keys).astype(np.int64)})
+
+    keyed = some.filter("n > 0").select("node", "hashes").mapInPandas(run, "node long, key long")
+    keyed = _classes_of(keyed, classes).select("key", "class").distinct()
     often = keyed.groupBy("key").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count")).limit(MOST_COMMON).select("key")
     return np.sort(often.toPandas()["key"].to_numpy(np.int64).astype(np.uint64))
 
 
-def prefix_pairs(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (src, dst) of ids of different classes (id, class) that share a member of their prefixes,
-    at sizes that allow the similarity. No pair of that similarity between classes is missing.
+def key_pairs(rows: DataFrame, texts: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (src, dst) of nodes of different classes that share a picked key, at sizes that allow the
+    similarity; with links among them, they connect all nodes that pairs of that similarity connect.
 
-    Keys that one id or one class alone has are left out before pairs are made, so copies whose class is
-    known make none, and what many texts share is looked at last.
+    Rare keys pair all nodes that have them. A common key, such as one of a passage that many texts share,
+    pairs its nodes with the smallest set of each group of equal common members only: where two sets reach
+    the similarity by common members alone, the smaller of either's group reaches it with the other as well, so
+    both hang on the groups' smallest. Keys that one class alone has make no pair.
     """
-    keyed = _prefix_keys(rows, similarity, common_shingles(rows, classes, similarity))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
-    told = rows.groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    members = settle(_classes_of(keyed.join(shared, "key"), classes).join(told, "id"), "prefixes")
+    keyed = _picked_keys(rows, similarity, common_shingles(rows, classes, similarity))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("key")
+    members = settle(_classes_of(keyed.join(shared, "key").distinct(), classes).join(texts.select("node", "n"), "node"), "members")
     mixed = members.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("key")
     few = settle(members.join(mixed, "key"), "mixed")
-    fits = (F.col("a.most") >= similarity * F.col("b.least") - 1e-6) & (F.col("b.most") >= similarity * F.col("a.least") - 1e-6)
-    apart = (F.col("a.class") != F.col("b.class")) & (F.col("a.id") < F.col("b.id"))
-    pairs = few.alias("a").join(few.alias("b"), (F.col("a.key") == F.col("b.key")) & apart & fits)
-    return pairs.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
-
-
-def alike_pairs(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    forget(members)
+    smallest = few.filter("group <> 0").groupBy("group").agg(F.min(F.struct("n", "node")).alias("m")).select("m.node").distinct()
+    often = few.filter("group <> 0")
+    fits = (F.col("a.key") == F.col("b.key")) & (F.col("a.class") != F.col("b.class"))
+    fits = fits & (F.col("a.n") >= similarity * F.col("b.n") - 1e-6) & (F.col("b.n") >= similarity * F.col("a.n") - 1e-6)
+    rare = few.filter("group = 0")
+    pairs = rare.alias("a").join(rare.alias("b"), fits & (F.col("a.node") < F.col("b.node")))
+    hung = often.alias("a").join(often.join(smallest, "node", "left_semi").alias("b"), fits)
+    ends = [F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")]
+    found = settle(pairs.select(*ends).unionByName(hung.select(*ends)).distinct(), "candidates")
+    forget(few)
+    return found
+
+
+def alike_pairs(pairs: DataFrame, rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (src, dst) whose shingle sets reach the similarity: those whose parity maps differ in more
-    bits than the sets may in members go first, the sets of the rest are compared whole."""
+    bits than the sets may in members go first, by the pigeonring filter and then by the whole Hamming
+    distance; the sets of the rest are compared whole."""
 
     def ends(table: DataFrame, *told: str) -> tuple[DataFrame, DataFrame]:
-        return tuple(table.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{x}") for c in told]) for end, x in (("src", "a"), ("dst", "b")))
+        return tuple(table.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{x}") for c in told]) for end, x in (("src", "a"), ("dst", "b")))
 
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                a, b = (np.frombuffer(b"".join(batch[c]), dtype=np.uint8).reshape(len(batch), -1) for c in ("parity_a", "parity_b"))
-                apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-                yield batch.loc[apart <= (batch["n_a"] + batch["n_b"]) * (1 - similarity) / (1 + similarity) + 1e-6, ["src", "dst"]]
+                a, b = (np.frombuffer(b"".join(batch[c]), dtype="<u8").reshape(len(batch), -1) for c in ("parity_a", "parity_b"))
+                apart = np.bitwise_count(a ^ b).astype(np.int64)
+                budget = (batch["n_a"] + batch["n_b"]).to_numpy(float) * (1 - similarity) / (1 + similarity)
+                at = np.flatnonzero(segments_viable(apart, budget))
+                yield batch.iloc[at[apart[at].sum(axis=1) <= budget[at] + 1e-6]][["src", "dst"]]
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             near = [jaccard(x, y) >= similarity for x, y in zip(batch["hashes_a"], batch["hashes_b"], strict=True)]
             yield batch.loc[near, ["src", "dst"]]
 
-    a, b = ends(rows, "n", "parity")
-    near = settle(pairs.join(a, "src").join(b, "dst").mapInPandas(close, "src long, dst long"), "near").distinct()
-    told = near.select(F.col("src").alias("id")).unionByName(near.select(F.col("dst").alias("id"))).distinct()
-    a, b = ends(settle(rows.select("id", "hashes").join(told, "id"), "compared"), "hashes")
-    return settle(near.join(a, "src").join(b, "dst").mapInPandas(alike, "src long, dst long"), "alike")
+    a, b = ends(texts, "n", "parity")
+    near = settle(pairs.join(a, "src").join(b, "dst").mapInPandas(close, "src long, dst long").distinct(), "near")
+    told = near.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    sets = settle(rows.select("node", "hashes").join(told, "node", "left_semi").dropDuplicates(["node"]), "compared")
+    a, b = ends(sets, "hashes")
+    found = settle(near.join(a, "src").join(b, "dst").mapInPandas(alike, "src long, dst long"), "alike")
+    forget(near, sets)
+    return found
+
+
+def _copy_classes(docs: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, mark, class) of every row with an id; see near_copy_classes."""
+    key, text = F.col(id_col).cast("long"), F.col(text_col)
+    read = docs.filter(key.isNotNull()).select(key.alias("id"), F.when(text.isNotNull(), F.xxhash64(text)).cast("string").alias("mark"), text.alias("text"))
+    every = settle(read.mapInPandas(partial(_shingles, size=size), "id long, mark string, node long, n long, fp long, parity binary, hashes binary"), "shingles")
+    rows = every.filter("hashes is not null")
+    texts = settle(rows.select("node", "n", "fp", "parity").distinct(), "texts")
+    first = alike_pairs(star_pairs(rows).unionByName(fingerprint_pairs(texts)).distinct(), rows, texts, similarity)
+    classes = settle(connected_components(first).select("node", F.col("component").alias("class")), "classes")
+    links = alike_pairs(key_pairs(rows, texts, classes, similarity), rows, texts, similarity)
+    for end in ("src", "dst"):
+        links = _classes_of(links.withColumnRenamed(end, "node"), classes).withColumnRenamed("class", f"{end}_class").drop("node")
+    links = settle(links.select(F.col("src_class").alias("src"), F.col("dst_class").alias("dst")).distinct(), "links")
+    more = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("whole"))
+    told = _classes_of(every.select("id", F.col("mark").cast("long").alias("mark"), "node"), classes).join(more, "class", "left")
+    found = settle(told.select("id", "mark", F.coalesce("whole", "class").alias("class")), "near-copies")
+    forget(every, texts, first, classes, links)
+    return found
 
 
 def near_copy_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, same, class_id) of every row: class_id is the least id among near copies, chains of them included.
-
-    Texts of equal words are exact copies. Other texts are near copies if the Jaccard similarity of their
-    shingles of size words reaches similarity. Stars around least ids join most copies in a linear number of
-    pairs; prefixes of the shingle sets then give every pair between the classes so found, and all pairs are
-    compared whole, so the classes are those of all pairs. Texts without words are copies of each other. Rows
-    with a null id have a null class.
+    """(id, mark, class_id) of every row with an id: class_id is the least id among near copies, chains of them
+    included; mark is the xxhash64 of the text, null for a null one.
+
+    Nodes are distinct sequences of words, so texts of equal words are copies, whatever their ids, and texts
+    without words are copies of each other. Nodes are near copies if the Jaccard similarity of their shingles of
+    size words reaches similarity. Fingerprints within 2 bits (link_fingerprints) and stars around least nodes
+    join most copies in a linear number of pairs; picked keys then give the pairs between the classes so found
+    (key_pairs). Every pair is compared by its whole shingle sets. A pair of the similarity is missed with a
+    chance of MISS, or if hashes collide: node and mark have 64 bits, shingles 8 * HASH_BYTES. Repeated rows
+    each get their row; an empty table gives none; other columns are not read.
     """
-    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    texts = texts.mapInPandas(partial(_shingles, size=size), "id string, same string, n int, parity binary, hashes binary")
-    every = settle(texts.withColumn("id", F.col("id").cast("long")), "shingles")
-    rows = every.filter("id is not null")
-    exact = rows.groupBy("same").agg(F.min("id").alias("src")).join(rows.select("same", F.col("id").alias("dst")), "same").filter("src <> dst").select("src", "dst")
-    found = connected_components(settle(alike_pairs(star_pairs(rows), rows, similarity).unionByName(exact), "stars"))
-    classes = settle(found.select(F.col("node").alias("id"), F.col("component").alias("class")), "classes")
-    links = alike_pairs(prefix_pairs(rows, classes, similarity), rows, similarity)
-    for end in ("src", "dst"):
-        links = _classes_of(links.withColumnRenamed(end, "id"), classes).withColumnRenamed("class", f"{end}_class").drop("id")
-    links = settle(links.select(F.col("src_class").alias("src"), F.col("dst_class").alias("dst")).distinct(), "links")
-    more = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("class_id"))
-    told = _classes_of(every.select("id", "same"), classes).join(more, "class", "left")
-    return told.select("id", "same", F.coalesce("class_id", "class").alias("class_id"))
+    classes = _copy_classes(docs, size, similarity, id_col, text_col)
+    least = classes.groupBy("class").agg(F.min("id").alias("class_id"))
+    return classes.join(least, "class").select("id", "mark", "class_id")
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs without those that have a near copy of a lesser doc_id, all columns kept.
+    """One row of each class of near copies, all columns kept: that of the least doc_id.
 
-    Rows with a null doc_id stay. Of repeated rows one stays.
+    Of rows of one class and id the one of the least xxhash64 of its text stays (a null text first), of equal
+    texts too the least by the other columns. Rows of one id and different texts are judged each by its own
+    text. Rows with a null doc_id stay.
     """
-    classes = settle(near_copy_classes(docs, size, similarity), "classes")
-    gone = classes.filter("id <> class_id").select(F.col("id").alias("gone")).distinct()
-    key = F.col("doc_id").cast("long")
-    kept = docs.join(gone, key == gone["gone"], "left_anti")
-    again = classes.filter("id is not null").groupBy("id").count().filter("count > 1").select(F.col("id").alias("again"))
+    classes = _copy_classes(docs, size, similarity, "doc_id", "text")
+    best = classes.groupBy("class").agg(F.min(F.struct("id", "mark")).alias("best"), F.count(F.lit(1)).alias("members"))
+    copies = classes.join(best.filter("members > 1"), "class")
+    lesser = (F.col("id") != F.col("best.id")) | ~F.col("mark").eqNullSafe(F.col("best.mark"))
+    gone = settle(copies.filter(lesser).select(F.col("id").alias("gone"), F.col("mark").alias("gone_mark")).distinct(), "gone")
+    key, text = F.col("doc_id").cast("long"), F.col("text")
+    mark = F.when(text.isNotNull(), F.xxhash64(text))
+    kept = docs.join(gone, (key == gone["gone"]) & mark.eqNullSafe(gone["gone_mark"]), "left_anti")
+    again = settle(classes.groupBy("id", "mark").count().filter("count > 1").select(F.col("id").alias("again"), F.col("mark").alias("again_mark")), "again")
+    forget(classes)
     if again.isEmpty():
         return kept
-    once = kept.join(again, key == again["again"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c, kind in docs.dtypes if not kind.startswith("map")]))
-    return kept.join(again, key == again["again"], "left_anti").unionByName(once.withColumn("_n", first).filter("_n = 1").drop("_n"))
+    repeated = (key == again["again"]) & mark.eqNullSafe(again["again_mark"])
+    other = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")]
+    once = kept.join(again, repeated, "left_semi").groupBy(key.alias("_id"), mark.alias("_mark"))
+    once = once.agg(F.min_by(F.struct(*docs.columns), F.struct(*other) if other else F.lit(0)).alias("_row")).select("_row.*")
+    return kept.join(again, repeated, "left_anti").unionByName(once)

@@ -116,6 +116,38 @@ def test_spans_inside_failed_matches(spark):
     assert [spans[i] for i in odd] == ["card:12:31", "card:12:31", "phone:12:29", "ip:10:24", "", ""]
 
 
+def test_secrets_are_found_and_words_stay(spark):
+    rng = random.Random(8)
+    token = lambda: "".join(rng.choices("0123456789abcdef", k=40))
+    good = [(i, f'some words before token = "{token()}" and after') for i in range(30)]
+    odd = [(100, f"api_key: {token()} is the key"), (101, "the antidisestablishmentarianism of state-of-the-art-systems in 1999"), (102, "see aaaaaaaaaaaaaaaaaaaa1111111111 for more")]
+    rows = {r["doc_id"]: r for r in pii.document_pii(spark.createDataFrame(good + odd, "doc_id long, text string")).collect()}
+    assert all(rows[i]["spans"] == "secret:27:67" and rows[i]["n_secret"] == rows[i]["n_spans"] == 1 for i in range(30))
+    assert rows[100]["spans"] == "secret:9:49" and rows[101]["spans"] == rows[102]["spans"] == ""
+
+
+def test_both_classes_of_every_kind(spark):
+    """Planted spans: how many of those that are none of the base patterns' the classifier adds and rejects."""
+    rng = random.Random(9)
+    base = [(i, f"mail a{i}@host.example.com, call +1 (20{i % 10}) 555-01{i:02d}, host 10.0.0.{i}, card 4111 1111 1111 1111 ok") for i in range(40)]
+    more = [(100 + i, f"write to b{i} [at] mail.example.com or call phone (212) 555-01{i:02d} from host 10[.]0[.]0[.]{i} with card 4111.1111.1111.1111 now") for i in range(10)]
+    less = [(200 + i, f"rows {' '.join(str(rng.randrange(10, 99)) for _ in range(30))} and parts {i}.400.{500 + i}.600.7 or he sat at noon. dot {i}") for i in range(10)]
+    found = pii.find_candidates(spark.createDataFrame(base + more + less, "doc_id long, text string")).cache()
+    model = pii.train_spans(found)
+    told = {r["id"]: {s["kind"] for s in r["spans"]} - {s["kind"] for s in r["base"]} for r in pii.decide(found, model).collect()}
+    assert all(told[str(i)] == {0, 1, 2, 3} for i in range(100, 110))
+    assert not any(told[str(i)] for i in range(200, 210))
+
+
+@pytest.mark.parametrize("text", ["7" * 1_000_000, "a" * 1_000_000 + " dot com", "1." * 500_000, "a@" * 500_000, "+1" * 500_000, "12 " * 100_000, "x1" * 500_000])
+def test_long_runs_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    list(pii.described(text, pii.candidates(text, pii.base_spans(text))))
+    assert time.process_time() - began < 20
+
+
 def test_estimation_finds_reliable_voters():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.3

@@ -12,7 +12,7 @@ from lexspark.operators.lineage import settle
 from tests.conftest import SF
 from tests.llm.test_operators import check_packing, plain_counts, plain_spans
 
-KINDS = ("EMAIL", "IP", "CARD", "PHONE")
+KINDS = ("EMAIL", "IP", "CARD", "PHONE", "SECRET")
 
 
 def plain_language(texts, model, penalty=40.0):
@@ -76,7 +76,8 @@ def plain_copies(texts):
 
 def plain_redaction(text):
     out, at = [], 0
-    for a, k, b in sorted(plain_spans(text), key=lambda s: (s[0], -s[2])):
+    secrets = [(m.start(1), 4, m.end(1)) for m in re.finditer('token = "([0-9a-f]{40})"', text)]
+    for a, k, b in sorted(plain_spans(text) + secrets, key=lambda s: (s[0], -s[2])):
         if a >= at:
             out += [text[at:a], f"[{KINDS[k]}]"]
         at = max(at, b)
