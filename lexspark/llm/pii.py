@@ -203,7 +203,7 @@ def votes(text: str, start: int, kind: int, end: int, base: bool) -> tuple[int,
         gazetteer = 1 if known or KEYS.search(before) else -1
         shape = 1 if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", span) or (span != span.lower() and span != span.upper()) else -1
     else:
-        pattern = 1 if base or span.startswith("+") else -1
+        pattern = 1 if base or span.startswith("+") else 0 if len(GROUP.findall(span)) == 3 else -1
         check = 1 if 10 <= len(digits) <= 15 else -1
         gazetteer = 1 if span.startswith("+") and digits.startswith(CALLING) else 0
         shape = 1 if re.search(r"[ ().-]", span) else -1
