@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexspark.functions.text import BLANK, EDGE, WORD, word_count, words
+from lexspark.functions.text import BLANK, END, START, WORD, word_count
+from lexspark.functions.vectors import let
 
 # Patterns, terms, types and keywords that results depend on, in order.
 CITATIONS = (
@@ -60,6 +61,14 @@ SECTION_TYPES = {
 }
 CITATION_TYPES = {"v.": "case_law", "cfr": "federal_regulation", "u.s.c": "federal_statute", "const": "constitutional", "section": "code_section"}
 RELEVANCE_TERMS = ("holding", "rule", "precedent", "established", "court held")
+#: (keywords, whether all must occur, class) in the order in which they are tried; then briefs by citations.
+DOCUMENT_CLASSES = (
+    (("employment", "agreement"), True, "employment_agreement"),
+    (("non-disclosure", "confidentiality"), False, "nda"),
+    (("lease", "rental"), False, "lease_agreement"),
+    (("purchase", "sale"), True, "purchase_agreement"),
+    (("service", "agreement"), True, "service_agreement"),
+)
 SUGGESTIONS = {
     "employment_agreement": (
         "What are the compensation details?",
@@ -76,8 +85,10 @@ SUGGESTIONS = {
 
 
 def java(pattern: str, ignore_case: bool = False) -> str:
-    """A Python pattern with Unicode classes for Java's matcher."""
-    out = pattern.replace(r"\w", WORD).replace(r"\b", EDGE).replace(r"\s", BLANK).replace(r"[\d,]", r"[\p{Nd},]").replace(r"\d", r"\p{Nd}")
+    """A Python pattern with Unicode classes for Java's matcher. A word boundary at the start of an alternative
+    stands before a word character, any other after one."""
+    out = re.sub(r"(^|\|)\\b", lambda m: m[1] + START, pattern)
+    out = out.replace(r"\w", WORD).replace(r"\b", END).replace(r"\s", BLANK).replace(r"[\d,]", r"[\p{Nd},]").replace(r"\d", r"\p{Nd}")
     return f"(?iu){out}" if ignore_case else out
 
 
@@ -97,12 +108,17 @@ def monetary_amounts(text: Column) -> Column:
 
 
 def dates(text: Column) -> Column:
-    return _all(text, java(DATES))
+    """All dates; the costly pattern is tried only where a part of one occurs."""
+    return F.when(text.rlike(java(r"\d/\d{1,2}/\d{4}|\d,\s+\d{4}")), _all(text, java(DATES))).otherwise(F.array().cast("array<string>"))
+
+
+def _lowered(text: Column, use: Callable[[Column], Column]) -> Column:
+    """use of the text in lower case (null: empty), which is worked out once."""
+    return let(F.lower(F.coalesce(text, F.lit(""))), use)
 
 
 def _listed(text: Column, terms: tuple[str, ...]) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*[F.when(low.contains(t), t) for t in terms]))
+    return _lowered(text, lambda low: F.array_compact(F.array(*[F.when(low.contains(t), t) for t in terms])))
 
 
 def vocabulary_terms(text: Column) -> Column:
@@ -112,12 +128,11 @@ def vocabulary_terms(text: Column) -> Column:
 
 def legal_terms(text: Column) -> Column:
     """Distinct whole-word matches of the term patterns, sorted."""
-    low = F.lower(text)
-    return F.array_sort(F.array_distinct(F.concat(*[_all(low, f"{EDGE}(?:{p}){EDGE}") for p in TERM_PATTERNS])))
+    return F.array_sort(F.array_distinct(_all(F.lower(text), f"{START}(?:{'|'.join(TERM_PATTERNS)}){END}")))
 
 
-def _hits(text: Column, terms: tuple[str, ...]) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
+def _hits(low: Column, terms: tuple[str, ...]) -> Column:
+    """How many of the terms a text in lower case holds."""
     total = F.lit(0)
     for t in terms:
         total = total + low.contains(t).cast("int")
@@ -126,33 +141,33 @@ def _hits(text: Column, terms: tuple[str, ...]) -> Column:
 
 def document_type(text: Column) -> Column:
     """The type with most keywords present, the first listed among equals; general without any."""
-    scored = [F.struct(_hits(text, k).alias("n"), F.lit(-at).alias("o"), F.lit(name).alias("name")) for at, (name, k) in enumerate(DOCUMENT_TYPES.items())]
-    best = F.array_max(F.array(*scored))
-    return F.when(best["n"] > 0, best["name"]).otherwise("general")
 
+    def best(low: Column) -> Column:
+        return F.array_max(F.array(*[F.struct(_hits(low, k).alias("n"), F.lit(-at).alias("o"), F.lit(name).alias("name")) for at, (name, k) in enumerate(DOCUMENT_TYPES.items())]))
 
-def _any(text: Column, terms: tuple[str, ...]) -> Column:
-    return _hits(text, terms) > 0
+    return let(_lowered(text, best), lambda b: F.when(b["n"] > 0, b["name"]).otherwise("general"))
 
 
 def document_class(text: Column, n_citations: Column) -> Column:
-    has = lambda *t: _hits(text, t) == len(t)
-    return (
-        F.when(has("employment", "agreement"), "employment_agreement")
-        .when(_any(text, ("non-disclosure", "confidentiality")), "nda")
-        .when(_any(text, ("lease", "rental")), "lease_agreement")
-        .when(has("purchase", "sale"), "purchase_agreement")
-        .when(has("service", "agreement"), "service_agreement")
-        .when(n_citations > 3, "legal_brief")
-        .otherwise("general_legal")
-    )
+    """The first class whose keywords occur; else a brief if there are over three citations."""
+
+    def first(low: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for terms, every, name in reversed(DOCUMENT_CLASSES):
+            out = F.when(_hits(low, terms) >= (len(terms) if every else 1), name).otherwise(out)
+        return out
+
+    return F.coalesce(_lowered(text, first), F.when(n_citations > 3, "legal_brief").otherwise("general_legal"))
 
 
 def section_type(text: Column) -> Column:
-    out = F.lit("general")
-    for name, terms in reversed(SECTION_TYPES.items()):
-        out = F.when(_any(text, terms), name).otherwise(out)
-    return out
+    def first(low: Column) -> Column:
+        out = F.lit("general")
+        for name, terms in reversed(SECTION_TYPES.items()):
+            out = F.when(_hits(low, terms) > 0, name).otherwise(out)
+        return out
+
+    return _lowered(text, first)
 
 
 def citation_type(citation: Column) -> Column:
@@ -162,9 +177,14 @@ def citation_type(citation: Column) -> Column:
     return out
 
 
-def citation_relevance(citation: Column, text: Column) -> Column:
+def relevance_terms(text: Column) -> Column:
+    """How many indicator terms the text holds."""
+    return _lowered(text, lambda low: _hits(low, RELEVANCE_TERMS))
+
+
+def citation_relevance(citation: Column, indicators: Column) -> Column:
     """0.5, 0.2 more for cases, 0.1 more for each indicator term of the whole text, at most 1."""
-    score = F.lit(0.5) + F.when(F.lower(citation).contains("v."), 0.2).otherwise(0.0) + _hits(text, RELEVANCE_TERMS) * F.lit(0.1)
+    score = F.lit(0.5) + F.when(F.lower(citation).contains("v."), 0.2).otherwise(0.0) + indicators * F.lit(0.1)
     return F.least(score, F.lit(1.0))
 
 
@@ -175,7 +195,7 @@ def legal_score(text: Column) -> Column:
 
 def complexity_score(text: Column) -> Column:
     """Of sentence length, legal terms and citations; NaN without a sentence."""
-    sizes = F.transform(F.split(text, "[.!?]+"), lambda s: F.size(words(s)))
+    sizes = F.transform(F.split(text, "[.!?]+"), word_count)
     state = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"))
     add = lambda a, n: F.struct((a["n"] + (n > 0).cast("int")).alias("n"), (a["words"] + n).alias("words"))
     none = F.lit(float("nan"))
@@ -207,11 +227,11 @@ _COMPILED = tuple(re.compile(p, re.I) for p in CITATIONS)
 def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+        for doc, text, indicators in zip(batch["doc_id"], batch["text"], batch["indicators"], strict=True):
             for order, pattern in enumerate(_COMPILED):
                 for m in pattern.finditer(text or ""):
-                    rows.append((doc, order, m.group(), m.start(), m.end(), text[max(0, m.start() - 100) : m.end() + 100], text))
-        yield pd.DataFrame(rows, columns=["doc_id", "pattern", "citation", "start", "stop", "context", "text"])
+                    rows.append((doc, order, m.group(), m.start(), m.end(), text[max(0, m.start() - 100) : m.end() + 100], indicators))
+        yield pd.DataFrame(rows, columns=["doc_id", "pattern", "citation", "start", "stop", "context", "indicators"])
 
 
 def precedents(docs: DataFrame, top: int | None = 10) -> DataFrame:
@@ -220,11 +240,11 @@ def precedents(docs: DataFrame, top: int | None = 10) -> DataFrame:
     Offsets of all matches need a matcher in Python; rows without a sign of a citation never reach it.
     """
     gate = F.col("text").rlike(r"(?iu)\sv\.?\s|§|section|cfr|const")
-    found = docs.filter(gate).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    found = found.mapInPandas(_find, "doc_id string, pattern int, citation string, start int, stop int, context string, text string")
-    scored = found.withColumns({"type": citation_type(F.col("citation")), "relevance_score": citation_relevance(F.col("citation"), F.col("text"))})
+    found = docs.filter(gate).select(F.col("doc_id").cast("string").alias("doc_id"), "text", relevance_terms(F.col("text")).alias("indicators"))
+    found = found.mapInPandas(_find, "doc_id string, pattern int, citation string, start int, stop int, context string, indicators int")
+    scored = found.withColumns({"type": citation_type(F.col("citation")), "relevance_score": citation_relevance(F.col("citation"), F.col("indicators"))})
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("relevance_score"), "pattern", "start"))
-    ranked = scored.drop("text").withColumn("rank", rank)
+    ranked = scored.drop("indicators").withColumn("rank", rank)
     if top is not None:
         ranked = ranked.filter(F.col("rank") <= top)
     return ranked.select(F.col("doc_id").cast("long").alias("doc_id"), "rank", "citation", "start", "stop", "context", "type", "relevance_score")

@@ -8,13 +8,17 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BooleanType, MapType, NumericType, StringType, StructType
+
+from lexspark.functions.vectors import let
 
 #: Character classes with Unicode meaning, for Java's matcher.
 WORD = r"[\p{L}\p{N}_]"
-BLANK = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-#: A word boundary.
-EDGE = rf"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
+WIDE_BLANKS = r"\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK = rf"[\s{WIDE_BLANKS}]"
+NO_BLANK = rf"[^\s{WIDE_BLANKS}]"
+#: Where a word begins, before a word character, and ends, after one.
+START, END = rf"(?<!{WORD})", rf"(?!{WORD})"
 
 #: What stands before garbled texts (fixed value).
 GARBLED_BANNER = "[WARNING: Text extraction may be incomplete or corrupted]\n\n"
@@ -26,7 +30,7 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    return F.coalesce(F.regexp_count(text, F.lit(f"{NO_BLANK}+")), F.lit(0))
 
 
 def strip(text: Column) -> Column:
@@ -34,16 +38,24 @@ def strip(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return F.regexp_replace(text, f"{BLANK}+", " ")
+    """Each run of blanks as one space; single spaces are passed over."""
+    return F.regexp_replace(text, rf" {BLANK}+|[\t-\r{WIDE_BLANKS}]{BLANK}*", " ")
+
+
+#: (sign, pattern, replacement) of the legal forms; a pattern is tried only in texts with its sign.
+LEGAL_FORMS = (
+    (r"\p{Nd} U", rf"{START}(\p{{Nd}}+)\s+U\.?S\.?\s+(\p{{Nd}}+)", "$1 U.S. $2"),
+    (r"\p{Nd} F", rf"{START}(\p{{Nd}}+)\s+F\.?\s*(\p{{Nd}}+)d?\s+(\p{{Nd}}+)", "$1 F.$2d $3"),
+    ("WHEREAS", rf"{START}WHEREAS,?\s+", "WHEREAS "),
+    ("THEREFORE", rf"{START}NOW\s+THEREFORE,?\s+", "NOW THEREFORE "),
+)
 
 
 def preprocess_legal(text: Column) -> Column:
     """Blanks collapsed, reporter citations in one form, commas after WHEREAS and NOW THEREFORE dropped."""
     out = collapse(text)
-    out = F.regexp_replace(out, rf"{EDGE}(\p{{Nd}}+)\s+U\.?S\.?\s+(\p{{Nd}}+)", "$1 U.S. $2")
-    out = F.regexp_replace(out, rf"{EDGE}(\p{{Nd}}+)\s+F\.?\s*(\p{{Nd}}+)d?\s+(\p{{Nd}}+)", "$1 F.$2d $3")
-    out = F.regexp_replace(out, rf"{EDGE}WHEREAS,?\s+", "WHEREAS ")
-    out = F.regexp_replace(out, rf"{EDGE}NOW\s+THEREFORE,?\s+", "NOW THEREFORE ")
+    for sign, pattern, told in LEGAL_FORMS:
+        out = let(out, lambda t, sign=sign, pattern=pattern, told=told: F.when(t.rlike(sign), F.regexp_replace(t, pattern, told)).otherwise(t))
     return strip(out)
 
 
@@ -57,9 +69,15 @@ def preprocess_sentences(text: Column) -> Column:
 
 #: Literal replacements of text cleaning (fixed values).
 REPLACED = {"–": "-", "—": "-", "…": "...", "€": "EUR", "£": "GBP", "°": " degrees ", "§": "section", "¶": "paragraph", ": \"'\", ": "'"}
+#: Signs that stay in texts of mostly other characters (fixed value).
 KEPT_SIGNS = ".,!?;:()[]{}\"'-/\\@#$%^&*+=<>|`~"
 
 
+def _spelled(c: str) -> str:
+    """What a character outside ASCII decomposes to in ASCII; nothing for other ASCII characters."""
+    return unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() if ord(c) > 127 else ""
+
+
 def clean(text: str | None) -> str:
     """One text decomposed, without control characters, with signs spelled out and blanks collapsed."""
     if not text:
@@ -70,7 +88,7 @@ def clean(text: str | None) -> str:
         text = text.replace(sign, spelled)
     text = re.sub(r"\s+", " ", text).strip()
     if text and sum(map(str.isascii, text)) / len(text) < 0.5:
-        kept = [c if c.isalnum() or c.isspace() or c in KEPT_SIGNS else unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in text]
+        kept = [c if c.isalnum() or c.isspace() or c in KEPT_SIGNS else _spelled(c) for c in text]
         text = re.sub(r"\s+", " ", "".join(kept)).strip()
     return text
 
@@ -134,6 +152,25 @@ def flatten_metadata(values: Column, prefix: str) -> Column:
     return F.transform_values(named, lambda _, v: F.coalesce(v, F.lit("")))
 
 
+def flatten_struct(value: Column, kind: StructType, prefix: str) -> Column:
+    """A map of prefix_key and text for a struct: lists joined with commas, structs and maps in it flattened with
+    longer prefixes, an empty text for null, zero, false and empty values."""
+    maps = []
+    for f in kind.fields:
+        own, name = value[f.name], f"{prefix}_{f.name}"
+        if isinstance(f.dataType, StructType):
+            maps.append(flatten_struct(own, f.dataType, name))
+        elif isinstance(f.dataType, MapType):
+            maps.append(F.coalesce(flatten_metadata(own.cast("map<string,string>"), name), F.create_map().cast("map<string,string>")))
+        elif isinstance(f.dataType, ArrayType):
+            maps.append(F.create_map(F.lit(name), joined(own.cast("array<string>"))))
+        else:
+            told = own.cast("string")
+            empty = own == F.lit(0 if isinstance(f.dataType, NumericType) else False) if isinstance(f.dataType, (NumericType, BooleanType)) else F.lit(False)
+            maps.append(F.create_map(F.lit(name), F.when(empty, "").otherwise(F.coalesce(told, F.lit("")))))
+    return F.map_concat(*maps)
+
+
 def joined(values: Column) -> Column:
     """A list as one text with commas, an empty text for null."""
     return F.coalesce(F.array_join(values, ", "), F.lit(""))

@@ -258,8 +258,11 @@ def corpus_totals(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.countDistinct("doc_id").alias("documents"), F.count(N).alias("chunks"), F.bround(F.count(N) / F.greatest(F.countDistinct("doc_id"), F.lit(1)), 2).alias("chunks_per_document"))
 
 
-def report(queries: DataFrame, documents: DataFrame, activity: DataFrame, performance: DataFrame, pairs: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
-    """One row of JSON texts by part of the report. All parts are rows or short lists, joined last."""
+def report(queries: DataFrame, documents: DataFrame, activity: DataFrame, performance: DataFrame, centroids: DataFrame, pairs: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
+    """One row of JSON texts by part of the report. All parts are rows or short lists, joined last.
+
+    centroids: doc_id, embedding; pairs: their similar pairs."""
+
     def row(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.to_json(F.struct(*df.columns)).alias(name))
 
@@ -271,7 +274,7 @@ def report(queries: DataFrame, documents: DataFrame, activity: DataFrame, perfor
         rows(daily_queries(queries, as_of, days), "daily_queries"), rows(top_query_types(queries, as_of, days), "query_types"),
         row(system_averages(performance, as_of, days), "system"), rows(latency_distribution(queries), "latency"),
         rows(slowest_queries(queries), "slowest"), rows(quality_distribution(queries), "quality"), row(suggestions(queries), "suggestions"),
-        row(similarity_totals(pairs), "similarity"), rows(top_pairs(pairs), "similar_pairs"), row(active_users(activity, as_of, days), "active_users"),
+        row(similarity_totals(centroids, pairs), "similarity"), rows(top_pairs(pairs), "similar_pairs"), row(active_users(activity, as_of, days), "active_users"),
         rows(activity_types(activity, as_of, days), "activity_types"), rows(hourly_profile(activity, as_of, days), "hours"),
         rows(top_users(activity, as_of, days), "top_users"), row(health(performance, as_of), "health"),
     ]

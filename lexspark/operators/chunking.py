@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions.legal import section_type
-from lexspark.functions.text import BLANK, preprocess_legal, preprocess_sentences, strip, word_count, words
+from lexspark.functions.text import BLANK, preprocess_legal, preprocess_sentences, strip, word_count
+from lexspark.operators.lineage import spread
 
 #: Patterns that begin a section, in the order in which they are tried (fixed values).
 SECTION_STARTS = (
@@ -78,8 +79,9 @@ def chunk_documents(docs: DataFrame, size: int = 1000, overlap: int = 200, norma
     docs: doc_id, text, source and whatever else is to be kept. normalize_first collapses blanks before
     sections are looked for, so that none is found and section_num is null; without it sections are found
     first and each is normalised and chunked by itself. Documents without words give no chunk. Nothing is
-    shuffled.
+    shuffled, but for inputs of fewer files than cores (spread).
     """
+    docs = spread(docs)
     kept = [c for c in docs.columns if c != "text"]
     if normalize_first:
         parts = docs.select(*kept, F.lit(None).cast("int").alias("section_num"), preprocess_legal(F.col("text")).alias("section"))
@@ -88,7 +90,7 @@ def chunk_documents(docs: DataFrame, size: int = 1000, overlap: int = 200, norma
         many = F.size("sections") > 1
         parts = found.select(*kept, many.alias("many"), F.posexplode("sections").alias("at", "section"))
         parts = parts.select(*kept, F.when(F.col("many"), F.col("at")).alias("section_num"), preprocess_legal(F.col("section")).alias("section"))
-    split = parts.select(*kept, "section_num", words(F.col("section")).alias("_words"))
+    split = parts.select(*kept, "section_num", F.filter(F.split("section", " "), lambda w: w != "").alias("_words"))
     chunks = split.select(*kept, "section_num", F.explode(word_windows(F.col("_words"), size, overlap)).alias("c"))
     return chunks.select(
         *kept, "section_num", "c.chunk_index", chunk_id(F.col("c.text"), F.col("source"), F.col("c.chunk_index")).alias("id"),

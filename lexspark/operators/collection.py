@@ -67,9 +67,16 @@ def delete_where(table: DataFrame, where: dict[str, Any]) -> DataFrame:
     return table.filter(~F.coalesce(predicate(where), F.lit(False)))
 
 
-def update_metadata(table: DataFrame, updates: DataFrame, as_of: datetime) -> DataFrame:
-    """metadata (a map) merged with that of updates (id, metadata), whose values win; updated_at is stamped."""
-    new = updates.groupBy("id").agg(F.max_by("metadata", F.size("metadata")).alias("_new"))
+def update_metadata(table: DataFrame, updates: DataFrame, as_of: datetime, order: str | None = None) -> DataFrame:
+    """metadata (a map) merged with that of updates (id, metadata), whose values win; updated_at is stamped.
+
+    Of several updates of one id every key takes its last value by the column order, the greatest without
+    one or among equals; null values change nothing.
+    """
+    entries = updates.select("id", F.col(order).alias("_at") if order else F.lit(0).alias("_at"), F.explode_outer("metadata").alias("_key", "_value"))
+    last = entries.groupBy("id", "_key").agg(F.max(F.when(F.col("_value").isNotNull(), F.struct("_at", "_value"))).alias("_last"))
+    pair = F.when(F.col("_key").isNotNull() & F.col("_last").isNotNull(), F.struct(F.col("_key"), F.col("_last._value").alias("_value")))
+    new = last.groupBy("id").agg(F.map_from_entries(F.collect_list(pair)).alias("_new"))
     merged = F.map_zip_with(F.coalesce("metadata", F.create_map().cast("map<string,string>")), "_new", lambda _, old, new: F.coalesce(new, old))
     rows = table.join(new, "id", "left")
     at = F.when(F.col("_new").isNotNull(), F.lit(as_of).cast("timestamp"))
@@ -99,6 +106,11 @@ def listing(table: DataFrame) -> DataFrame:
     return table.select("id", *[F.coalesce(F.col(c).cast("string"), F.lit(d)).alias(c) for c, d in default.items()])
 
 
+def listing_total(table: DataFrame) -> DataFrame:
+    """One row: how many rows a listing has."""
+    return table.agg(F.count(F.lit(1)).alias("total"))
+
+
 def stats(table: DataFrame, name: str) -> DataFrame:
     return table.agg(F.count(F.lit(1)).alias("document_count")).select(F.lit(name).alias("name"), "document_count", F.lit("active").alias("status"))
 
@@ -118,13 +130,16 @@ def files_by_category(files: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row per text, that of the least doc_id, with document_hash and n_copies.
 
-    Copies are counted and their least id found by partial aggregates, so a text that fills a third of the
-    table makes no large group.
+    A null text counts as an empty one. Null ids come last; of rows with one text and one id the least by
+    their other columns stays. Copies are counted and the row is chosen by partial aggregates, so a text
+    that fills a third of the table makes no large group.
     """
-    docs = docs.drop("document_hash")
-    hashed = docs.withColumn("document_hash", content_hash(F.col("text")))
-    first = hashed.groupBy("document_hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))
-    return docs.join(first, "doc_id").dropDuplicates(["doc_id"])
+    kept = [c for c in docs.columns if c not in ("document_hash", "n_copies")]
+    rest = [c for c, kind in docs.select(*kept).dtypes if c not in ("doc_id", "text") and not kind.startswith("map")]
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *rest)
+    hashed = docs.select(*kept, content_hash(F.col("text")).alias("document_hash"))
+    first = hashed.groupBy("document_hash").agg(F.min_by(F.struct(*kept), order).alias("row"), F.count(F.lit(1)).alias("n_copies"))
+    return first.select("row.*", "document_hash", "n_copies")
 
 
 def last_messages(chat: DataFrame, n: int = 5, role: str | None = None) -> DataFrame:

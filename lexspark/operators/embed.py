@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from lexspark.functions.legal import VOCABULARY
 from lexspark.functions.text import WORD
+from lexspark.operators.lineage import spread
 
 
 #: What a token must look like: letters of English, or any word characters.
@@ -19,6 +20,7 @@ LATIN, ANY = "^[a-z]{2,}$", "^.{2,}$"
 
 def _grams(texts: DataFrame, token: str, most: int, stop_words: list[str]) -> DataFrame:
     """(id, term) of each n-gram of 1 to most tokens without stop words, repeats included."""
+    texts = spread(texts)
     tokens = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(f"{WORD}+"), F.lit(0)), lambda t: t.rlike(token) & (~t.isin(*stop_words) if stop_words else F.lit(True)))
     rows = texts.select("id", tokens.alias("t"))
 

@@ -1,4 +1,4 @@
-"""Cutting lineage through the folder that all executors share."""
+"""Cutting lineage through the folder that all executors share, and spreading small inputs over cores."""
 
 from __future__ import annotations
 
@@ -38,3 +38,22 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt anew over all cores where it is read from fewer files than there are cores.
+
+    For steps that need much time a row. A file with a single row group is one task's work, whatever its
+    splits. Tables of many files stay as they are, so nothing large is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of settled tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            at = jvm.org.apache.hadoop.fs.Path(name)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,19 +14,37 @@ from pyspark.sql.window import Window
 from lexspark.functions.text import strip
 from lexspark.operators.lineage import settle
 
-#: Queries that are broadcast at once; more are searched in several passes over the chunks.
-QUERY_BLOCK = 4096
+#: Bytes of query vectors that are broadcast at once; more are searched in several passes over the chunks.
+QUERY_BYTES = 64 << 20
+#: Queries whose scores of one batch of chunks are held at once.
+SLICE = 256
 #: Sentences of answers and marks of contexts, here and below, are fixed values.
 NO_ANSWER = "I couldn't find any relevant documents to answer your question."
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length out of their Arrow buffer."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
 def _kernel(matrix: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
-    """Queries x chunks: cosine similarity (0 without length) or negative squared distance."""
+    """Queries x chunks: cosine similarity (0 without length) or one less the squared distance."""
     if metric == "cosine":
         size = np.linalg.norm(matrix, axis=1)[:, None] * np.linalg.norm(vectors, axis=1)[None, :]
         return np.divide(matrix @ vectors.T, size, out=np.zeros(size.shape), where=size > 0)
     square = (matrix**2).sum(axis=1)[:, None] - 2 * matrix @ vectors.T + (vectors**2).sum(axis=1)[None, :]
-    return -np.maximum(square, 0)
+    return 1 - np.maximum(square, 0)
+
+
+def best(score: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k highest scores of each row, ties to the column of least order."""
+    low = np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] > k else -np.inf
+    row, col = np.nonzero(score >= low)
+    at = np.lexsort((order[col], -score[row, col], row))
+    row, col = row[at], col[at]
+    first = np.searchsorted(row, row)
+    kept = np.arange(len(row)) - first < k
+    return row[kept], col[kept]
 
 
 def nearest_chunks(
@@ -44,8 +62,8 @@ def nearest_chunks(
     (null: 0). metric "cosine" or "l2"; score is the similarity, for l2 one less the squared distance,
     base its value before weights. where filters chunks before the search, least the results after it.
     Queries without an embedding find nothing. The result, k rows a query, is written once, since contexts,
-    answers and confidence all read it. Each Arrow batch of chunks keeps k rows a query, so what is
-    shuffled grows with batches, not with pairs.
+    answers and confidence all read it. The search is exact: each Arrow batch of chunks keeps k rows a query,
+    so what is shuffled grows with batches, not with pairs. Queries are broadcast QUERY_BYTES at a time.
     """
     asked = queries.filter("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     if where is not None:
@@ -54,31 +72,33 @@ def nearest_chunks(
     rows = chunks.filter("embedding is not null").select(
         F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in extra]
     )
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = settle(asked, "asked")
+    size = asked.agg(F.sum(F.size("embedding") * F.lit(8)).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-size // QUERY_BYTES))
     context = queries.sparkSession.sparkContext
     found = []
     for block in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
-        shared = context.broadcast((part["query_id"].to_numpy(dtype=np.int64), np.array(part["embedding"].tolist(), dtype=np.float64).reshape(len(part), -1)))
+        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        ids = part["query_id"].to_numpy()
+        shared = context.broadcast((ids, _matrix(part["embedding"].combine_chunks()) if len(ids) else np.zeros((0, 0))))
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
             for batch in batches:
-                if not len(batch) or not len(ids):
+                if not batch.num_rows or not len(ids):
                     continue
-                base = _kernel(matrix, np.array(batch["embedding"].tolist(), dtype=np.float64), metric)
-                base = np.round(base if metric == "cosine" else 1 + base, 12)  # equal vectors tie, wherever they stand
-                score = base
-                if weights:
-                    score = weights[0] * base + (weights[1] * batch["legal_score"].to_numpy() + weights[2] * batch["complexity_score"].to_numpy())[None, :]
-                names = batch["id"].to_numpy()
-                order = np.argsort(names, kind="stable")
-                top = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
-                row = np.arange(len(ids))[:, None]
-                kept = {"query_id": np.repeat(ids, top.shape[1]), "id": names[top].ravel(), "score": score[row, top].ravel(), "base": base[row, top].ravel()}
-                yield pd.DataFrame(kept)
-
-        found.append(rows.mapInPandas(run, "query_id long, id string, score double, base double"))
+                vectors, names = _matrix(batch.column("embedding")), np.array(batch.column("id").to_pylist(), dtype=object)
+                order = np.empty(len(names), dtype=np.int64)
+                order[np.argsort(names, kind="stable")] = np.arange(len(names))
+                added = weights[1] * batch.column("legal_score").to_numpy() + weights[2] * batch.column("complexity_score").to_numpy() if weights else 0.0
+                for at in range(0, len(ids), SLICE):
+                    base = np.round(_kernel(matrix[at : at + SLICE], vectors, metric), 12)  # equal vectors tie, wherever they stand
+                    score = weights[0] * base + added if weights else base
+                    row, col = best(score, order, k)
+                    kept = [pa.array(ids[at + row]), pa.array(names[col], pa.string()), pa.array(score[row, col]), pa.array(base[row, col])]
+                    yield pa.RecordBatch.from_arrays(kept, ["query_id", "id", "score", "base"])
+
+        found.append(rows.mapInArrow(run, "query_id long, id string, score double, base double"))
     every = reduce(DataFrame.unionByName, found)
     ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
     if least is not None:
@@ -92,6 +112,22 @@ def with_chunks(results: DataFrame, chunks: DataFrame, columns: list[str]) -> Da
     return results.join(chunks.select("id", *columns), "id")
 
 
+#: What a search may return beside ids, and the column of chunks or results that has it.
+INCLUDED = {"documents": "text", "metadatas": "metadata", "distances": "distance"}
+
+
+def search(queries: DataFrame, chunks: DataFrame, k: int = 5, where: Column | None = None, include: tuple[str, ...] = tuple(INCLUDED)) -> DataFrame:
+    """(query_id, rank, id, and of text, metadata and distance what include names): the k nearest chunks by
+    squared distance. chunks: id, embedding, and text and metadata where they are asked for."""
+    unknown = set(include) - set(INCLUDED)
+    if unknown:
+        raise ValueError(f"unknown parts of results: {sorted(unknown)}")
+    found = nearest_chunks(queries, chunks, k, "l2", where=where).withColumn("distance", 1 - F.col("base"))
+    asked = [INCLUDED[c] for c in include]
+    held = [c for c in asked if c != "distance"]
+    return (with_chunks(found, chunks, held) if held else found).select("query_id", "rank", "id", *asked)
+
+
 def confidence(results: DataFrame) -> DataFrame:
     """(query_id, confidence, top_score): 0.7 of the mean score and 0.3 of the count over 5, at most 1."""
     mean = F.avg("score") * 0.7 + F.least(F.count(F.lit(1)), F.lit(5)) / 5 * 0.3
@@ -174,3 +210,18 @@ def evaluate(cases: DataFrame, results: DataFrame, least: float = 0.5, suite: fl
     each = each.withColumn("passed", F.col("coverage") >= least)
     total = each.agg(F.avg(F.col("passed").cast("int")).alias("pass_rate")).withColumn("passed", F.col("pass_rate") >= suite)
     return each, total
+
+
+def evaluate_answers(cases: DataFrame, answers: DataFrame, least: float = 0.5, suite: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """((query_id, coverage, passed), (pass_rate, passed)): the share of expected keywords in the answers'
+    own texts; without a source no case passes.
+
+    cases: query_id, keywords. answers: query_id, answer, n_sources.
+    """
+    expected = cases.groupBy("query_id").agg(F.flatten(F.collect_list("keywords")).alias("keywords")).filter(F.size("keywords") > 0)
+    told = expected.join(answers.select("query_id", F.lower("answer").alias("told"), "n_sources"), "query_id", "left")
+    found = F.filter("keywords", lambda k: F.coalesce(F.col("told").contains(F.lower(k)), F.lit(False)))
+    each = told.select("query_id", (F.size(found) / F.size("keywords")).alias("coverage"), F.coalesce("n_sources", F.lit(0)).alias("n"))
+    each = each.select("query_id", "coverage", ((F.col("coverage") >= least) & (F.col("n") > 0)).alias("passed"))
+    total = each.agg(F.avg(F.col("passed").cast("int")).alias("pass_rate")).withColumn("passed", F.col("pass_rate") >= suite)
+    return each, total

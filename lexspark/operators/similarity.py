@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexspark.functions.vectors import norm
 from lexspark.operators.components import connected_components
 
 #: Documents of a block; a task compares two blocks.
@@ -58,12 +59,21 @@ def most_similar(pairs: DataFrame, k: int = 10) -> DataFrame:
     return both.withColumn("rank", rank).filter(F.col("rank") <= k).select("doc_id", "rank", "other_id", "similarity_score")
 
 
-def similarity_totals(pairs: DataFrame) -> DataFrame:
-    return pairs.agg(
-        F.coalesce(F.avg("similarity_score"), F.lit(0.0)).alias("avg_similarity"),
-        F.coalesce(F.max("similarity_score"), F.lit(0.0)).alias("max_similarity"),
-        F.count(F.lit(1)).alias("total_comparisons"),
-    )
+def similarity_totals(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row over all comparisons of docs (doc_id, embedding): avg_similarity, max_similarity, total_comparisons.
+
+    The sum of all cosines is linear in the documents: half of the squared length of the sum of their unit
+    vectors, less half of the sum of their own squares. Vectors without length are at 0 to all others. pairs,
+    of similar_documents at a low threshold, gives the maximum; 0 where it has none.
+    """
+    size = norm(F.col("embedding"))
+    unit = docs.select("doc_id", F.posexplode(F.transform("embedding", lambda x: F.when(size == 0, 0.0).otherwise(x.cast("double") / size))).alias("at", "x"))
+    per = unit.groupBy("at").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("own"))
+    total = per.agg(F.coalesce((F.sum(F.col("s") * F.col("s")) - F.sum("own")) / 2, F.lit(0.0)).alias("total"))
+    n = docs.filter("embedding is not null").agg(F.count(F.lit(1)).alias("n")).select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n"))
+    most = pairs.agg(F.coalesce(F.max("similarity_score"), F.lit(0.0)).alias("max_similarity"))
+    row = total.crossJoin(n).crossJoin(most)  # one row each
+    return row.select((F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0)).alias("avg_similarity"), "max_similarity", F.col("n").alias("total_comparisons"))
 
 
 def top_pairs(pairs: DataFrame, above: float = 0.7, limit: int = 20) -> DataFrame:

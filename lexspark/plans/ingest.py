@@ -12,14 +12,14 @@ from lexspark.functions.text import clean_text, content_hash, extraction_quality
 from lexspark.functions.vectors import DIMENSION, repeated_hash_embedding, unit_hash_embedding
 from lexspark.operators.chunking import chunk_documents, enhanced_chunks
 from lexspark.operators.collection import deduplicate
-from lexspark.operators.lineage import settle
+from lexspark.operators.lineage import settle, spread
 
 VERSION = "4.0"
 
 
 def process_documents(docs: DataFrame, as_of: datetime) -> DataFrame:
     """docs (doc_id, text, source, ...) with cleaned text and the metadata of a processed document."""
-    rows = docs.withColumn("text", clean_text(F.col("text")))
+    rows = spread(docs).withColumn("text", clean_text(F.col("text")))
     text = F.col("text")
     return rows.withColumns(
         {
@@ -69,8 +69,14 @@ def analyse(docs: DataFrame, repeat_paragraphs: bool = True) -> tuple[DataFrame,
     return chunks, documents.withColumn("suggestions", legal.query_suggestions(F.col("document_class"), F.col("key_legal_terms")))
 
 
-def roll_up(processed: DataFrame) -> DataFrame:
-    """(key, value, n): documents by type and by legal term."""
+def roll_up(processed: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """(key, value, n): documents by type, by legal term, and by the section types of their chunks.
+
+    processed: legal_document_type, legal_terms. chunks: doc_id, section_type.
+    """
     kinds = processed.select(F.lit("legal_document_type").alias("key"), F.col("legal_document_type").alias("value"))
     terms = processed.select(F.lit("legal_term").alias("key"), F.explode(F.filter(F.split("legal_terms", ", "), lambda t: t != "")).alias("value"))
-    return kinds.unionByName(terms).groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
+    rows = kinds.unionByName(terms)
+    if chunks is not None:
+        rows = rows.unionByName(chunks.select("doc_id", "section_type").distinct().select(F.lit("section_type").alias("key"), F.col("section_type").alias("value")))
+    return rows.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
