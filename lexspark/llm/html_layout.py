@@ -40,6 +40,8 @@ SIBLINGS = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
 SCOPE = frozenset("table td th caption html button object template".split())
+#: What an end tag of a table's parts does not reach beyond; open cells and rows within end with it.
+TABLE_SCOPE = {"table": frozenset(["html", "template"])} | dict.fromkeys("tr td th tbody thead tfoot caption".split(), frozenset("html table template".split()))
 
 #: Calls on the stack for each level of a page, at most.
 FRAMES = 4
@@ -125,7 +127,7 @@ def build(source: str) -> Node:
             elif tag == "p" and not opened["p"]:
                 open_[-1].children.append(Node("p"))
             elif tag not in ("html", "body"):
-                pop_to({tag}, SCOPE - {tag})
+                pop_to({tag}, TABLE_SCOPE.get(tag, SCOPE - {tag}))
             continue
         if tag in ("html", "body"):
             if tag == "body":
