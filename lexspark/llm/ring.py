@@ -14,6 +14,8 @@ from lexspark.operators.lineage import settle
 
 #: The ring has 2 ** SLOT_BITS slots; virtual nodes sit on slots, keys hash to slots.
 SLOT_BITS = 12
+#: Rows of one slot that are ranked in one task, at least; also one in PARTS of all rows, so that parts are bounded.
+RANKED, PARTS = 20_000, 1 << 15
 
 
 def ring_nodes(shards: int, virtual: int, slots: int) -> list[tuple[int, int]]:
@@ -31,8 +33,8 @@ def ring_nodes(shards: int, virtual: int, slots: int) -> list[tuple[int, int]]:
 def allot(loads: list[int], nodes: list[tuple[int, int]], room: list[int]) -> list[tuple[int, int, int, int, int]]:
     """(slot, first rank, last rank + 1, shard, place of the first) for keys counted by slot.
 
-    Keys go to the next node clockwise from their slot. A shard takes keys, those of the slot furthest
-    behind first, until its room is used; the rest of them continue clockwise, node by node.
+    Keys go to the next node clockwise from their slot. A shard takes keys, those of the lowest slot first, until
+    its room is used; the rest of them continue clockwise, node by node.
     """
     room, used = list(room), [0] * len(room)
     waiting: list[list[tuple[int, int, int]]] = [[] for _ in nodes]
@@ -90,7 +92,7 @@ def ring_shards(
     )
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("null"), "text_crc32", "size")).otherwise(F.xxhash64("doc_id"))
     rows = rows.withColumn("h", spread).withColumn("at", F.shiftrightunsigned("h", 64 - SLOT_BITS).cast("int"))
-    rows = settle(rows, "keys")
+    rows = settle(rows.withColumn("row", F.monotonically_increasing_id()), "keys")
     slots = 1 << SLOT_BITS
     loads = [0] * slots
     for r in rows.groupBy("at").count().collect():
@@ -100,9 +102,26 @@ def ring_shards(
     given = json.dumps([dict(zip(("at", "first", "last", "shard", "place"), p, strict=True)) for p in parts])
     table = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(given), kind)))
     table = table.withColumn("at", F.col("at").cast("int"))
-    ranked = rows.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("at").orderBy("h", "doc_id", "text_crc32", "size")) - 1
-    )
+    few = max(RANKED, sum(loads) // PARTS)
+    full = [(at, -(-n // few)) for at, n in enumerate(loads) if n > few]
+    parted = rows.withColumn("part", F.lit(0))
+    before = None
+    if full:
+        cut = F.create_map(*[F.lit(x) for pair in full for x in pair])[F.col("at")]
+        parted = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "row"), cut), F.lit(0)).cast("int"))
+        counts, sums = {}, []
+        for r in parted.filter(F.col("at").isin([at for at, _ in full])).groupBy("at", "part").count().collect():
+            counts[r["at"], r["part"]] = r["count"]
+        for at, k in full:
+            total = 0
+            for part in range(k):
+                sums.append({"at": at, "part": part, "before": total})
+                total += counts.get((at, part), 0)
+        before = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(sums)), "array<struct<at:int,part:int,before:long>>")))
+    own = Window.partitionBy("at", "part").orderBy("h", "doc_id", "text_crc32", "size", "row")
+    ranked = parted.withColumn("rank", (F.row_number().over(own) - 1).cast("long"))
+    if before is not None:
+        ranked = ranked.join(F.broadcast(before), ["at", "part"], "left").withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
     placed = ranked.join(F.broadcast(table), (ranked["at"] == table["at"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
     return placed.select(
         "doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("place") + F.col("rank") - F.col("first")).alias("slot")
