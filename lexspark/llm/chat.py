@@ -40,7 +40,6 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
 
 
 HEAD = re.compile(r"<turn ((?:[^\\>]|\\.)*)>\n", re.S)
-BODY = re.compile(r"((?:[^\\<]|\\.)*+)\n</turn>\n", re.S)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -78,8 +77,9 @@ def fold_conversations(events: DataFrame, order: list[str]) -> DataFrame:
     events: conv_id, kind, target, role, text and the columns of order. Events are dealt by conv_id and
     sorted within partitions, then folded as they stream by, so a task holds one conversation's messages
     at a time, however many events made them. A null conv_id is a conversation of its own, null roles
-    and texts are empty, unknown kinds are ignored, ties of order keep any order, an empty log gives no
-    rows; other columns are dropped.
+    and texts are empty, unknown kinds are ignored, ties of order go by kind, target, role and text, an
+    empty log gives no rows; other columns are dropped. One conversation, and all rows of a null conv_id, are
+    folded in one task, since each event builds on those before it.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,7 +104,7 @@ def fold_conversations(events: DataFrame, order: list[str]) -> DataFrame:
             close()
             yield pd.DataFrame(rows, columns=["conv_id", "turns", "formatted", "mask"])
 
-    dealt = events.withColumn("conv_id", F.col("conv_id").cast("string")).repartition("conv_id").sortWithinPartitions("conv_id", *order)
+    dealt = events.withColumn("conv_id", F.col("conv_id").cast("string")).repartition("conv_id").sortWithinPartitions("conv_id", *order, "kind", "target", "role", "text")
     schema = "conv_id string, turns array<struct<role:string,text:string>>, formatted string, mask array<struct<start:long,stop:long>>"
     return dealt.select("conv_id", "kind", F.col("target").cast("int").alias("target"), "role", "text").mapInPandas(run, schema)
 
@@ -113,7 +113,8 @@ def log_of(conversations: DataFrame) -> tuple[DataFrame, list[str]]:
     """(events, order): a log whose fold gives the rows of conversations, in the order of turn.
 
     Assistant turns begin with a draft, are regenerated and streamed in pieces of PIECE characters;
-    other turns begin as a draft and are edited. Rows of the same turn are ordered by role and text.
+    other turns begin as a draft and are edited. Rows of the same turn are ordered by role and the hash of
+    their text; rows equal in all of these are interchangeable.
     """
     n = F.length(F.coalesce("text", F.lit("")))
     rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumns(
