@@ -178,6 +178,7 @@ PAGES = {
     "<title>no</title><h1>Head</h1>text</b></div></p>": "Head\n\ntext",
     "1 < 2 <notatag": "1 < 2",
     "<select><option>one<option selected>two</select><textarea>t</textarea>": "twot",
+    "<table><tr><td>a<tr><td>b</table>x<table><tr><td>c<table><tr><td>d</table>e</td><td>f</table>y": "a\nb\n\nx\n\nc  f\n\nd\n\ne\n\ny",
     "<details><summary>s</summary>no</details><blockquote>q</blockquote>": "s\n\n> q",
 }
 
@@ -196,6 +197,49 @@ def test_text_between_cells_and_deep_pages():
         assert html_layout.visible_text("<b>" * depth + "<div style='visibility:hidden'>no<div>no</div></div>yes" + "</b>" * depth) == "yes"
 
 
+def a_page(rng, depth=0, seen=True):
+    """(html, words that show) of a random page of well-formed elements, written down as the tree grows."""
+    html, shown = [], []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(["text", "block", "inline", "hidden", "raw", "list", "table"] if depth < 5 else ["text"])
+        word = f"w{rng.randrange(10**6)}"
+        if kind == "text":
+            html.append(f" {word} ")
+            shown += [word] * seen
+        elif kind in ("block", "inline", "hidden"):
+            inner, told = a_page(rng, depth + 1, seen and kind != "hidden")
+            tag = rng.choice(["div", "section", "blockquote"] if kind != "inline" else ["b", "i", "span"])
+            style = rng.choice([" style='display:none'", " hidden", " style='visibility:hidden'"]) if kind == "hidden" else ""
+            html.append(f" <{tag}{style}>{inner}</{tag}> ")
+            shown += told
+        elif kind == "raw":
+            html.append(rng.choice([f"<script>{word}</script>", f"<style>{word}</style>", f"<!-- {word} -->", f"<template>{word}</template>"]))
+        elif kind == "list":
+            parts = [a_page(rng, depth + 2, seen) for _ in range(rng.randint(1, 3))]
+            html.append("<ul>" + "".join(f"<li>{h}{rng.choice(['', '</li>'])}" for h, _ in parts) + "</ul>")
+            shown += [w for _, told in parts for w in told]
+        else:
+            rows = [[f"w{rng.randrange(10**6)}" for _ in range(2)] for _ in range(2)]
+            html.append("<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in rows) + "</table>")
+            shown += [c for r in rows for c in r] * seen
+    return "".join(html), shown
+
+
+def test_random_pages_show_what_their_trees_show():
+    rng = random.Random(11)
+    for _ in range(400):
+        html, shown = a_page(rng)
+        assert re.findall(r"w[0-9]+", html_layout.visible_text(html)) == shown, html
+
+
+def test_pages_edges(spark):
+    kind = "page_id long, url string, html string, text string, n_chars int"
+    rows = [(1, "u", "<p>a", "x", 1), (1, "u", "<p>a", "x", 1), (None, None, None, None, None)]
+    got = [(r["page_id"], r["text"], r["n_items"]) for r in html_layout.page_texts(spark.createDataFrame(rows, kind)).collect()]
+    assert sorted(got, key=str) == [(1, "a", 0), (1, "a", 0), (None, "", 0)]
+    assert html_layout.page_texts(spark.createDataFrame([], kind)).count() == 0
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = html_layout.page_texts(pages).toPandas()
@@ -228,7 +272,43 @@ def test_ring_overflow_goes_clockwise():
     for _, a, b, shard, _ in parts:
         by[shard] += b - a
     assert by == {0: 3, 1: 3, 2: 3}
-    assert (15, 0, 1, 1, 0) in parts or any(p[0] == 15 and p[3] == 1 for p in parts)
+    assert sorted(parts) == [(5, 0, 3, 0, 0), (5, 3, 5, 1, 1), (5, 5, 6, 2, 0), (15, 0, 1, 1, 0), (31, 0, 2, 2, 1)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 7), min_size=16, max_size=16), st.lists(st.tuples(st.integers(0, 15), st.integers(0, 3)), min_size=4, max_size=9, unique_by=lambda n: n[0]), st.integers(0, 2))
+def test_ring_equals_brute_force(loads, nodes, more):
+    """Key by key: every key walks clockwise from its slot, node by node, to a shard with room."""
+    nodes = sorted(nodes)
+    owners = sorted({shard for _, shard in nodes})
+    room = [0] * 4
+    for k, shard in enumerate(owners):
+        room[shard] = sum(loads) // len(owners) + (k < sum(loads) % len(owners)) + more
+    left, place = list(room), {}
+    standing = {(slot, rank): next((k for k, (at, _) in enumerate(nodes) if at >= slot), 0) for slot in range(16) for rank in range(loads[slot])}
+    while standing:
+        moved = {}
+        for k, (_, shard) in enumerate(nodes):
+            for key in [x for x, at in standing.items() if at == k]:
+                if left[shard]:
+                    left[shard] -= 1
+                    place[key] = shard
+                else:
+                    moved[key] = (k + 1) % len(nodes)
+        standing = moved
+    got = {(slot, rank): shard for slot, a, b, shard, _ in ring.allot(loads, nodes, room) for rank in range(a, b)}
+    assert set(got) == set(place) and Counter(got.values()) == Counter(place.values())
+    assert sum(got[k] == place[k] for k in got) == len(got)
+
+
+def test_full_slots_are_ranked_in_parts(spark, monkeypatch):
+    rows = spark.range(6000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("text")).repartition(5)
+    monkeypatch.setattr(ring, "RANKED", 300)
+    got = ring.ring_shards(rows).toPandas()
+    assert Counter(got["doc_id"])[7] == 4000 and len(got) == 6000
+    sizes = got.groupby("shard").size()
+    assert sizes.max() - sizes.min() <= 1
+    assert all(sorted(own["slot"]) == list(range(len(own))) for _, own in got.groupby("shard"))
 
 
 def test_slack_bounds_loads_and_movement(spark):
