@@ -39,8 +39,8 @@ BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
 #: Words a worker remembers before it starts afresh.
 CACHE = 300_000
-#: Texts whose words are held at once.
-SLICE = 200
+#: Texts whose words are held at once, and distinct words that are counted before their n-grams are.
+SLICE, COUNTED = 200, 50_000
 #: What a word of a script that a language does not use scores there.
 FOREIGN = -50.0
 
@@ -93,18 +93,25 @@ def train_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "te
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            counts: dict[str, Counter] = {}
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                counts.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-            for lang, found in counts.items():
-                if not found:
-                    continue
+        counts: dict[str, Counter] = {}
+
+        def add(lang: str, found: Counter) -> None:
+            if found:
                 times = np.fromiter(found.values(), dtype=np.float64, count=len(found))
                 bucket, owner, script = word_grams(list(found))
                 sums = total.setdefault(lang, np.zeros(BUCKETS + len(NAMES)))
                 sums += np.bincount(bucket, times[owner], minlength=BUCKETS + len(NAMES))
                 sums += np.bincount(BUCKETS + script, times, minlength=BUCKETS + len(NAMES))
+                found.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+                found = counts.setdefault(lang, Counter())
+                found.update(WORD.findall(text.lower()))
+                if len(found) > COUNTED:
+                    add(lang, found)
+        for lang, found in counts.items():
+            add(lang, found)
         for lang, sums in total.items():
             at = np.flatnonzero(sums)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": sums[at]})
