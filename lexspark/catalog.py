@@ -331,6 +331,14 @@ def ingest_chunks(documents: DataFrame) -> DataFrame:
     )
 
 
+def _forms_sql(column: str) -> str:
+    """Blanks collapsed and legal forms in one way."""
+    return (
+        rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({column}, '\s+', ' ', 'g'), '\b(\d+)\s+U\.?S\.?\s+(\d+)', '\1 U.S. \2', 'g'), "
+        r"'\b(\d+)\s+F\.?\s*(\d+)d?\s+(\d+)', '\1 F.\2d \3', 'g'), '\bWHEREAS,?\s+', 'WHEREAS ', 'g'), '\bNOW\s+THEREFORE,?\s+', 'NOW THEREFORE ', 'g'))"
+    )
+
+
 #: What begins a section, in order (fixed values).
 SECTIONS_SQL = [
     r"\n\s*(?:Section|Article|Chapter|Part)\s+\d+", r"\n\s*\d+\.\s+", r"\n\s*[A-Z]\.\s+", r"\n\s*\([a-z]\)\s+", r"\n\s*\(\d+\)\s+", r"\nWHEREAS,", r"\nNOW THEREFORE,",
@@ -345,14 +353,15 @@ def _sectioned_sql(table: str) -> str:
 cut AS (SELECT doc_id, source, list_transform(CASE {_CUT_SQL} ELSE [text] END, lambda t: {_STRIP.format("t")}) AS parts, CASE {_CUT_SQL.replace("THEN string_split", "THEN len(string_split").replace("chr(1))", "chr(1)))")} ELSE 0 END AS n FROM {table}),
 parts AS (SELECT doc_id, source, CASE WHEN n > 0 AND parts[1] = '' THEN parts[2:] ELSE parts END AS parts, n FROM cut),
 sections AS (SELECT doc_id, source, unnest(CASE WHEN n > 0 THEN parts ELSE parts END) AS section, CASE WHEN len(parts) > 1 THEN generate_subscripts(parts, 1) - 1 END AS section_num FROM parts),
-split AS (SELECT *, list_filter(string_split_regex(section, '\s+'), lambda x: x <> '') AS w FROM sections),
+split AS (SELECT *, list_filter(string_split({_forms_sql("section")}, ' '), lambda x: x <> '') AS w FROM sections),
 starts AS (SELECT *, unnest(range(0, len(w), 462)) AS s FROM split),
 chunks AS (SELECT doc_id, source, CAST(section_num AS INT) AS section_num, CAST(s / 462 AS INT) AS chunk_index, array_to_string(list_slice(w, s + 1, s + 512), ' ') AS text, CAST(len(list_slice(w, s + 1, s + 512)) AS INT) AS chunk_size FROM starts)
-SELECT doc_id, source, section_num, chunk_index, md5(substring(text, 1, 100) || source || CAST(chunk_index AS VARCHAR)) AS id, md5(text) AS text, chunk_size, CAST(length(text) AS INT) AS char_count FROM chunks"""
+SELECT doc_id, source, coalesce(section_num, -1) AS section_num, chunk_index, md5(substring(text, 1, 100) || source || CAST(chunk_index AS VARCHAR)) AS id, md5(text) AS text, chunk_size, CAST(length(text) AS INT) AS char_count FROM chunks"""
 
 
 def _sectioned(rows: DataFrame) -> DataFrame:
-    return chunking.chunk_documents(rows.select("doc_id", "source", "text"), 512, 50, normalize_first=False).withColumn("text", F.md5("text"))
+    chunks = chunking.chunk_documents(rows.select("doc_id", "source", "text"), 512, 50, normalize_first=False)
+    return chunks.withColumns({"text": F.md5("text"), "section_num": F.coalesce("section_num", F.lit(-1))})
 
 
 @query("documents", sql="more " + _sectioned_sql("documents").strip())
@@ -371,12 +380,12 @@ HEADER_SQL = r"(?i)^(?:\s*(?:SECTION|SEC\.)\s+\d+|\s*(?:ARTICLE|ART\.)\s+\d+|\s*
 
 def _section_table_sql(table: str) -> str:
     return rf"""
-more lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS at FROM {table}),
+more lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM {table}),
 marked AS (SELECT *, regexp_matches(line, '{HEADER_SQL}') AS header FROM lines),
-grouped AS (SELECT *, sum(CAST(header AS INT)) OVER (PARTITION BY doc_id ORDER BY at) AS g, count(*) OVER (PARTITION BY doc_id) AS n FROM marked),
-found AS (SELECT doc_id, g, {_STRIP.format("min_by(line, at)")} AS title, min(at) AS at, any_value(n) AS n,
-  string_agg(line, chr(10) ORDER BY at) FILTER (NOT header AND {_STRIP.format("line")} <> '') AS content FROM grouped WHERE g > 0 GROUP BY doc_id, g),
-ended AS (SELECT *, coalesce(lead(at) OVER (PARTITION BY doc_id ORDER BY g), n) AS end_line FROM found),
+grouped AS (SELECT *, sum(CAST(header AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS g, count(*) OVER (PARTITION BY doc_id) AS n FROM marked),
+found AS (SELECT doc_id, g, {_STRIP.format("min_by(line, pos)")} AS title, min(pos) AS pos, any_value(n) AS n,
+  string_agg(line, chr(10) ORDER BY pos) FILTER (NOT header AND {_STRIP.format("line")} <> '') AS content FROM grouped WHERE g > 0 GROUP BY doc_id, g),
+ended AS (SELECT *, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY g), n) AS end_line FROM found),
 kept AS (SELECT * FROM ended WHERE title <> '' AND content IS NOT NULL)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS INT) AS section_num, title, {_STRIP.format("content")} AS content,
   CAST(coalesce(lag(end_line) OVER (PARTITION BY doc_id ORDER BY g), 0) AS INT) AS start_line, CAST(end_line AS INT) AS end_line FROM kept""".strip()
@@ -453,12 +462,7 @@ def text_statistics(documents: DataFrame) -> DataFrame:
     )
 
 
-@query(
-    "planted",
-    sql=r"""
-SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '\b(\d+)\s+U\.?S\.?\s+(\d+)', '\1 U.S. \2', 'g'),
-  '\b(\d+)\s+F\.?\s*(\d+)d?\s+(\d+)', '\1 F.\2d \3', 'g'), '\bWHEREAS,?\s+', 'WHEREAS ', 'g'), '\bNOW\s+THEREFORE,?\s+', 'NOW THEREFORE ', 'g')) AS text FROM planted""",
-)
+@query("planted", sql=f"SELECT doc_id, {_forms_sql('text')} AS text FROM planted")
 def preprocess_legal(planted: DataFrame) -> DataFrame:
     return spread(planted).select("doc_id", text.preprocess_legal(F.col("text")).alias("text"))
 
@@ -593,14 +597,14 @@ def decoded_texts(documents: DataFrame) -> DataFrame:
 @query(
     "documents",
     sql="""WITH t AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN '%PDF-1.7 ' || text WHEN 1 THEN '  ' || substring(text, 1, 9) || ' ' ELSE text END AS text FROM documents)
-SELECT doc_id, starts_with(text, '%PDF') AS raw, CASE WHEN NOT starts_with(text, '%PDF') THEN length(trim(text)) < 10 END AS too_short FROM t""",
+SELECT doc_id, CASE WHEN starts_with(text, '%PDF') THEN 'text is raw PDF data' WHEN length(trim(text)) < 10 THEN 'short' ELSE 'good' END AS state FROM t""",
 )
 def extraction_check(documents: DataFrame) -> DataFrame:
     """Texts of which some are still raw files and some are too short."""
     t = F.col("text")
     rows = documents.select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("%PDF-1.7 "), t)).when(F.col("doc_id") % 9 == 1, F.concat(F.lit("  "), F.substring(t, 1, 9), F.lit(" "))).otherwise(t).alias("text"))
     good, bad = folders.check_extraction(rows)
-    return good.select("doc_id", F.lit(False).alias("raw"), "too_short").unionByName(bad.select("doc_id", F.lit(True).alias("raw"), F.lit(None).cast("boolean").alias("too_short")))
+    return good.select("doc_id", F.when(F.col("too_short"), "short").otherwise("good").alias("state")).unionByName(bad.select("doc_id", F.col("reason").alias("state")))
 
 
 @query(
@@ -786,7 +790,7 @@ def top_similar_pairs(chunk_vectors: DataFrame) -> DataFrame:
 
 @query(
     "chunk_vectors",
-    sql=PAIRS_SQL.replace("more ", "more RECURSIVE_MARK ", 1).replace("RECURSIVE_MARK ", "", 1)
+    sql=PAIRS_SQL
     + """, linked AS (SELECT doc1_id AS a, doc2_id AS b FROM alike WHERE similarity_score > 0.35 UNION ALL SELECT doc2_id, doc1_id FROM alike WHERE similarity_score > 0.35),
 reach AS (SELECT a, a AS b FROM linked UNION SELECT r.a, l.b FROM reach r JOIN linked l ON r.b = l.a),
 least AS (SELECT a AS doc_id, min(b) AS cluster_id FROM reach GROUP BY a)
@@ -897,11 +901,12 @@ def exact_deduplication(documents: DataFrame) -> DataFrame:
 @query(
     "repeated",
     sql="""more r AS (SELECT *, row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY doc_id NULLS LAST, lang, source, n_chars) AS n, count(*) OVER (PARTITION BY md5(coalesce(text, ''))) AS n_copies FROM repeated)
-SELECT doc_id, text, md5(coalesce(text, '')) AS document_hash, n_copies FROM r WHERE n = 1""",
+SELECT coalesce(doc_id, -1) AS doc_id, coalesce(text, 'none') AS text, md5(coalesce(text, '')) AS document_hash, n_copies FROM r WHERE n = 1""",
 )
 def repeated_deduplication(repeated: DataFrame) -> DataFrame:
     """Deduplication of a table with repeated ids, repeated rows, null ids and null texts."""
-    return collection.deduplicate(repeated).select("doc_id", "text", "document_hash", "n_copies")
+    rows = collection.deduplicate(repeated)
+    return rows.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("none")).alias("text"), "document_hash", "n_copies")
 
 
 @query(
@@ -1109,7 +1114,7 @@ def corpus_totals(documents: DataFrame) -> DataFrame:
 SELECT (SELECT count(*) FROM w) AS total_queries, (SELECT count(DISTINCT user_id) FROM w) AS unique_users, (SELECT count(*) FROM document_analytics WHERE upload_{_SINCE}) AS total_documents,
   CAST((SELECT count(DISTINCT CAST(timestamp AS DATE)) FROM w) AS INT) AS days, CAST((SELECT least(count(DISTINCT query_type), 10) FROM w) AS INT) AS query_types,
   (SELECT {_mean('avg_response_time', 3)} FROM system_performance WHERE {_SINCE}) AS avg_response_time, CAST((SELECT count(DISTINCT {_LATENCY}) FROM query_analytics) AS INT) AS latencies,
-  (SELECT query_id FROM query_analytics ORDER BY processing_time DESC, query_id LIMIT 1) AS slowest, CAST((SELECT count(DISTINCT {_QUALITY}) FROM query_analytics WHERE avg_similarity_score IS NOT NULL) AS INT) AS qualities,
+  (SELECT query_id FROM (SELECT query_id, processing_time FROM query_analytics ORDER BY processing_time DESC, query_id LIMIT 10) ORDER BY round_even(processing_time, 3) DESC, query_id LIMIT 1) AS slowest, CAST((SELECT count(DISTINCT {_QUALITY}) FROM query_analytics WHERE avg_similarity_score IS NOT NULL) AS INT) AS qualities,
   (SELECT count(*) FROM pairs) AS total_comparisons, CAST((SELECT least(count(*), 20) FROM alike WHERE similarity_score > 0.7) AS INT) AS similar_pairs, (SELECT count(DISTINCT user_id) FROM u) AS active_users,
   CAST((SELECT count(DISTINCT activity_type) FROM u) AS INT) AS activity_types, CAST((SELECT count(DISTINCT hour(timestamp)) FROM u) AS INT) AS hours, CAST((SELECT least(count(DISTINCT user_id), 10) FROM u) AS INT) AS top_users,
   (SELECT CASE WHEN coalesce(avg(cpu_usage), 0) < 80 AND coalesce(avg(error_rate), 0) < 0.05 THEN 'healthy' ELSE 'warning' END FROM system_performance WHERE timestamp >= TIMESTAMP '2024-01-30 00:00:00') AS status""",
@@ -1119,11 +1124,12 @@ def analytics_report(queries: DataFrame, documents: DataFrame, activity: DataFra
     docs = _centroids(chunk_vectors)
     report = analytics.report(queries, documents, activity, performance, docs, settle(similarity.similar_documents(docs, 0.25), "pairs"), AS_OF)
     told = lambda part, key, kind: F.get_json_object(part, f"$.{key}").cast(kind)
-    size = lambda part: F.json_array_length(part)
+    size = F.json_array_length
+    slowest = F.array_min(F.transform(F.from_json("slowest", "array<struct<query_id:string,processing_time:double>>"), lambda x: F.struct((-x["processing_time"]).alias("t"), x["query_id"].alias("q"))))
     return report.select(
         told("query_stats", "total_queries", "long").alias("total_queries"), told("query_stats", "unique_users", "long").alias("unique_users"), told("document_stats", "total_documents", "long").alias("total_documents"),
         size("daily_queries").alias("days"), size("query_types").alias("query_types"), told("system", "avg_response_time", "double").alias("avg_response_time"), size("latency").alias("latencies"),
-        F.get_json_object(F.array_max(F.transform(F.from_json("slowest", "array<struct<query_id:string,processing_time:double>>"), lambda x: F.struct(x["processing_time"].alias("t"), x["query_id"].alias("q"))))["q"], "$").alias("slowest"),
+        slowest["q"].alias("slowest"),
         size("quality").alias("qualities"), told("similarity", "total_comparisons", "long").alias("total_comparisons"), size("similar_pairs").alias("similar_pairs"), told("active_users", "active_users", "long").alias("active_users"),
         size("activity_types").alias("activity_types"), size("hours").alias("hours"), size("top_users").alias("top_users"), told("health", "status", "string").alias("status"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -53,9 +54,13 @@ LEGAL_FORMS = (
 
 def preprocess_legal(text: Column) -> Column:
     """Blanks collapsed, reporter citations in one form, commas after WHEREAS and NOW THEREFORE dropped."""
+
+    def form(sign: str, pattern: str, told: str) -> Callable[[Column], Column]:
+        return lambda t: F.when(t.rlike(sign), F.regexp_replace(t, pattern, told)).otherwise(t)
+
     out = collapse(text)
-    for sign, pattern, told in LEGAL_FORMS:
-        out = let(out, lambda t, sign=sign, pattern=pattern, told=told: F.when(t.rlike(sign), F.regexp_replace(t, pattern, told)).otherwise(t))
+    for one in LEGAL_FORMS:
+        out = let(out, form(*one))
     return strip(out)
 
 

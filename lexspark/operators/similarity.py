@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,9 +12,10 @@ from pyspark.sql.window import Window
 
 from lexspark.functions.vectors import norm
 from lexspark.operators.components import connected_components
+from lexspark.operators.lineage import settle
 
-#: Documents of a block; a task compares two blocks.
-BLOCK = 2000
+#: Documents of a block; a task compares two blocks. Pivots that documents are grouped around, at most.
+BLOCK, PIVOTS = 2000, 2048
 
 
 def centroids(chunks: DataFrame, dimension: int) -> DataFrame:
@@ -22,32 +25,78 @@ def centroids(chunks: DataFrame, dimension: int) -> DataFrame:
     return every.select("doc_id", F.array(*[F.col(f"m{i}") for i in range(dimension)]).alias("embedding"))
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows at length one; rows without length stay."""
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+
+
+def _rows(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), dtype=np.float64).reshape(len(column), -1)
+
+
+def near_blocks(pivots: np.ndarray, reach: np.ndarray, least: float) -> np.ndarray:
+    """i <= j (n x 2) of groups that may hold a pair of cosine least: pivots at length one, reach the greatest
+    angle of a group's members to its pivot. Angles between vectors obey the triangle inequality, so no pair
+    is lost."""
+    apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    near = apart <= np.arccos(np.clip(least, -1, 1)) + reach[:, None] + reach[None, :] + 1e-9
+    return np.argwhere(np.triu(near))
+
+
 def similar_documents(docs: DataFrame, least: float = 0.7) -> DataFrame:
     """(doc1_id, doc2_id, similarity_score) of pairs doc1_id < doc2_id at least that similar by cosine.
 
-    docs: doc_id, embedding. Documents fall into blocks by hash; every two blocks meet in one task, which
-    multiplies matrices and returns the pairs above the threshold only. Vectors without length are
-    similar to nothing.
+    docs: doc_id, embedding. Documents are grouped around the nearest of at most PIVOTS of their own vectors,
+    groups in blocks of about BLOCK. Two blocks meet in one task only if the angles of their groups allow a
+    similar pair, so clustered vectors meet few others, and every pair is found all the same. A task multiplies
+    two matrices and returns the pairs above the threshold only. Vectors without length are similar to
+    nothing (to all, if least is not above 0). Repeated rows are compared like others.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    blocks = max(1, -(-rows.count() // BLOCK))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.select("doc_id", "embedding", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def meet(key: tuple[int, int], part: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        v = np.array(part["embedding"].tolist(), dtype=np.float64).reshape(len(part), -1)
-        size = np.linalg.norm(v, axis=1, keepdims=True)
-        v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
-        ids, own = part["doc_id"].to_numpy(), part["own"].to_numpy()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        score = v[left] @ v[right].T
-        a, b = np.nonzero((score >= least) & ((ids[left][:, None] < ids[right][None, :]) | (i != j)))
-        one, two = ids[left][a], ids[right][b]
-        return pd.DataFrame({"doc1_id": np.minimum(one, two), "doc2_id": np.maximum(one, two), "similarity_score": score[a, b]})
-
-    return rows.groupBy("i", "j").applyInPandas(meet, "doc1_id long, doc2_id long, similarity_score double")
+    rows = settle(docs.filter("embedding is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding")), "documents")
+    n = rows.count()
+    wanted = min(PIVOTS, max(1, n // BLOCK))
+    chosen = rows.filter(F.exists("embedding", lambda x: x != 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(wanted).toPandas()
+    spark, empty = docs.sparkSession, not len(chosen)
+    shared = spark.sparkContext.broadcast(np.zeros((1, 1)) if empty else _unit(_rows(chosen["embedding"])))
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots = shared.value
+        for batch in batches:
+            if len(batch):
+                v = _unit(_rows(batch["embedding"]))
+                score = v @ pivots.T if v.shape[1] == pivots.shape[1] else np.zeros((len(v), 1))
+                own = score.argmax(axis=1)
+                yield batch.assign(own=own, angle=np.arccos(np.clip(score[np.arange(len(v)), own], -1, 1)))
+
+    grouped = settle(rows.mapInPandas(assign, "doc_id long, embedding array<double>, own int, angle double"), "groups")
+    reach, parts = np.full(len(shared.value), -1.0), np.ones(len(shared.value), dtype=int)
+    for r in grouped.groupBy("own").agg(F.max("angle").alias("angle"), F.count(F.lit(1)).alias("n")).collect():  # one row a pivot
+        reach[r["own"]], parts[r["own"]] = r["angle"], -(-r["n"] // BLOCK)
+    held = np.flatnonzero(reach >= 0)
+    pairs = held[near_blocks(shared.value[held], reach[held], least)]
+    meets = spark.createDataFrame(pd.DataFrame(pairs, columns=["i", "j"]).astype("int32"), "i int, j int")
+    sizes = F.array(*[F.lit(int(k)) for k in parts])
+    placed = grouped.withColumn("block", F.pmod(F.xxhash64("doc_id"), sizes[F.col("own")]).cast("int"))
+    one = placed.join(meets, placed["own"] == meets["i"]).select(
+        "doc_id", "embedding", "i", "j", F.col("block").alias("a"), F.explode(F.sequence(F.lit(0), sizes[F.col("j")] - 1)).alias("b"), F.lit(0).alias("side")
+    )
+    two = placed.join(meets, placed["own"] == meets["j"]).select(
+        "doc_id", "embedding", "i", "j", F.explode(F.sequence(F.lit(0), sizes[F.col("i")] - 1)).alias("a"), F.col("block").alias("b"), F.lit(1).alias("side")
+    )
+    met = one.unionByName(two).filter((F.col("i") != F.col("j")) | (F.col("a") <= F.col("b")))
+
+    def meet(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        i, j, a, b = key
+        left, right = part[part["side"] == 0], part[part["side"] == 1]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"doc1_id": [], "doc2_id": [], "similarity_score": []})
+        score = _unit(_rows(left["embedding"])) @ _unit(_rows(right["embedding"])).T
+        ids, others = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
+        x, y = np.nonzero((score >= least) & ((ids[:, None] < others[None, :]) if (i, a) == (j, b) else (ids[:, None] != others[None, :])))
+        return pd.DataFrame({"doc1_id": np.minimum(ids[x], others[y]), "doc2_id": np.maximum(ids[x], others[y]), "similarity_score": score[x, y]})
+
+    return met.groupBy("i", "j", "a", "b").applyInPandas(meet, "doc1_id long, doc2_id long, similarity_score double")
 
 
 def most_similar(pairs: DataFrame, k: int = 10) -> DataFrame:

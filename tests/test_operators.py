@@ -204,3 +204,60 @@ def test_tables_round_trip(spark, tmp_path):
 def test_ingest_drops_copies_and_blanks(spark):
     made = ingest.ingest(docs(spark, "The  agreement of the parties.", "The agreement of the parties.", " ", None), NOW)
     assert [(r["doc_id"], r["text"]) for r in made.collect()] == [(0, "The agreement of the parties.")]
+
+
+def test_deduplication_loses_no_text(spark):
+    rows = [(None, "orphan text"), (1, "x"), (1, "y"), (2, "y"), (3, None), (4, "")]
+    got = collection.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    import hashlib
+
+    assert sorted((r["doc_id"], r["text"], r["n_copies"]) for r in got if r["doc_id"]) == [(1, "x", 1), (1, "y", 2), (3, None, 2)]
+    assert [r["text"] for r in got if r["doc_id"] is None] == ["orphan text"]
+    assert all(r["document_hash"] == hashlib.md5((r["text"] or "").encode()).hexdigest() for r in got)
+    assert collection.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_updates_are_merged_in_order(spark):
+    table = spark.createDataFrame([("a", {"k": "0", "x": "0"}), ("b", None), ("c", {"k": "0"})], "id string, metadata map<string,string>")
+    updates = spark.createDataFrame([("a", {"k": "2"}, 2), ("a", {"k": "1", "l": "1", "m": "1"}, 1), ("b", {}, 1)], "id string, metadata map<string,string>, seq int")
+    got = {r["id"]: (r["metadata"], r["updated_at"] is not None) for r in collection.update_metadata(table, updates, datetime(2024, 1, 1), "seq").collect()}
+    assert got == {"a": ({"k": "2", "x": "0", "l": "1", "m": "1"}, True), "b": ({}, True), "c": ({"k": "0"}, False)}
+
+
+def test_pruned_pairs_are_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(20, 16))[rng.integers(0, 20, 600)] + 0.4 * rng.normal(size=(600, 16))
+    v[5] = 0
+    monkeypatch.setattr(similarity, "BLOCK", 25)
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    for least in (0.2, 0.8):
+        got = similarity.similar_documents(spark.createDataFrame(list(enumerate(v.tolist())), "doc_id long, embedding array<double>"), least).toPandas()
+        plain = {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= least, 1)))}
+        assert len(got) == len(plain) and set(zip(got["doc1_id"], got["doc2_id"])) == plain
+    pivots = u[6:10]
+    assert len(similarity.near_blocks(pivots, np.zeros(4), 0.99)) == 4  # groups far apart do not meet
+
+
+def test_nearest_chunks_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 2000)
+    monkeypatch.setattr(retrieval, "SLICE", 3)
+    q, c = rng.integers(-2, 3, size=(30, 4)).astype(float), rng.integers(-2, 3, size=(200, 4)).astype(float)
+    queries = spark.createDataFrame(list(enumerate(q.tolist())), "query_id long, embedding array<double>")
+    chunks = spark.createDataFrame([(f"c{i:03d}", x) for i, x in enumerate(c.tolist())], "id string, embedding array<double>").repartition(5)
+    for metric in ("cosine", "l2"):
+        got = retrieval.nearest_chunks(queries, chunks, 7, metric).toPandas()
+        size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :]
+        score = np.divide(q @ c.T, size, out=np.zeros_like(size), where=size > 0) if metric == "cosine" else 1 - ((q[:, None] - c[None]) ** 2).sum(axis=2)
+        for i in range(30):
+            own = got[got["query_id"] == i].sort_values("rank")
+            assert own["id"].tolist() == [f"c{j:03d}" for j in np.lexsort((np.arange(200), -np.round(score[i], 12)))[:7]]
+
+
+def test_search_returns_what_is_asked_for(spark):
+    chunks = spark.createDataFrame([("a", [1.0, 0.0], "t", {"k": "v"})], "id string, embedding array<double>, text string, metadata map<string,string>")
+    queries = chunks.select(F.lit(1).alias("query_id"), "embedding")
+    assert retrieval.search(queries, chunks).columns == ["query_id", "rank", "id", "text", "metadata", "distance"]
+    assert retrieval.search(queries, chunks, include=("distances",)).first().asDict() == {"query_id": 1, "rank": 1, "id": "a", "distance": 0.0}
+    with pytest.raises(ValueError):
+        retrieval.search(queries, chunks, include=("vectors",))

@@ -27,6 +27,18 @@ def test_clean_text(rows):
     assert text.clean("–…§ ﬁ") == "-...section fi"
 
 
+def test_cleaning_drops_other_ascii_signs():
+    assert text.clean("ЖЖЖ_ЖЖЖ щщщ") == "ЖЖЖЖЖЖ щщщ"
+    assert text.clean("plain_ascii stays_") == "plain_ascii stays_"
+    assert text.clean("ЖЖЖ\u2028ЖЖЖ (щ) № 5") == "ЖЖЖ ЖЖЖ (щ) No 5"
+
+
+def test_nested_metadata(spark):
+    row = spark.sql("SELECT named_struct('a', array('x', null, 'y'), 'b', named_struct('c', 0, 'd', true), 'e', map('k', 'v'), 'f', cast(null as string), 'g', 1.5D) AS s")
+    got = row.select(text.flatten_struct(F.col("s"), row.schema["s"].dataType, "p").alias("m")).first()["m"]
+    assert got == {"p_a": "x, y", "p_b_c": "", "p_b_d": "true", "p_e_k": "v", "p_f": "", "p_g": "1.5"}
+
+
 def garbled(t):
     if not t or len(t.strip()) < 10:
         return True
