@@ -26,9 +26,9 @@ HASH_BYTES, PARITY = 5, 512
 RANGES = 8
 #: Chance that two texts of the similarity asked for share none of the keys picked for them, at most.
 MISS = 1e-12
-#: One text in SAMPLE tells which shingles are common: those of COMMON classes in the sample, MOST_COMMON at most.
+#: One class in SAMPLE tells which shingles are common: those of COMMON of its classes, MOST_COMMON at most.
 #: They only go last in the order of shingles, whatever they are; no result depends on them.
-SAMPLE, COMMON, MOST_COMMON = 8, 4, 1_000_000
+SAMPLE, COMMON, MOST_COMMON = 16, 3, 1_000_000
 #: Texts whose shingles are held at once.
 SLICE = 200
 
@@ -307,21 +307,18 @@ def fingerprint_pairs(texts: DataFrame) -> DataFrame:
     return own.unionByName(links.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst")))
 
 
-def common_shingles(rows: DataFrame, classes: DataFrame, similarity: float) -> np.ndarray:
-    """Shingles of many classes in a sample, sorted."""
-    some = rows.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)
-    shared = some.sparkSession.sparkContext.broadcast(similarity - 0.1)
+def common_shingles(rows: DataFrame, classes: DataFrame) -> np.ndarray:
+    """Shingles of many classes in a sample of them, sorted; the least node stands for its class."""
+    some = rows.filter((F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0) & (F.col("n") > 0)).select("node", "hashes")
+    some = some.join(classes.filter("node <> class"), "node", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), SLICE):
-                part = batch[at : at + SLICE]
-                keys = [own[: len(own) - math.ceil(shared.value * len(own)) + 1] for own in map(unpacked, part["hashes"])]
-                yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(np.int64), [len(k) for k in keys]), "key": np.concatenate(keys).astype(np.int64)})
+                yield pd.DataFrame({"key": np.concatenate([unpacked(source) for source in batch["hashes"][at : at + SLICE]]).astype(np.int64)})
 
-    keyed = some.filter("n > 0").select("node", "hashes").mapInPandas(run, "node long, key long")
-    keyed = _classes_of(keyed, classes).select("key", "class").distinct()
-    often = keyed.groupBy("key").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count")).limit(MOST_COMMON).select("key")
+    often = some.mapInPandas(run, "key long").groupBy("key").count().filter(F.col("count") >= COMMON)
+    often = often.orderBy(F.desc("count")).limit(MOST_COMMON).select("key")
     return np.sort(often.toPandas()["key"].to_numpy(np.int64).astype(np.uint64))
 
 
@@ -334,7 +331,7 @@ def key_pairs(rows: DataFrame, texts: DataFrame, classes: DataFrame, similarity:
     the similarity by common members alone, the smaller of either's group reaches it with the other as well, so
     both hang on the groups' smallest. Keys that one class alone has make no pair.
     """
-    keyed = _picked_keys(rows, similarity, common_shingles(rows, classes, similarity))
+    keyed = _picked_keys(rows, similarity, common_shingles(rows, classes))
     shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("key")
     members = settle(_classes_of(keyed.join(shared, "key").distinct(), classes).join(texts.select("node", "n"), "node"), "members")
     mixed = members.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("key")
