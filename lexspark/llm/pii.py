@@ -21,8 +21,8 @@ from lexspark.operators.lineage import settle
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 EMAIL_HOST = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
-# No match begins within a run of digits, and no part of one is tried again: time is linear in the text.
-IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+#: Runs of digits and single dots; every four groups of one are a match of the base pattern.
+DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -33,13 +33,13 @@ WIDE = {
         rf"{NAME} ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?(?:[(\[]dot[)\]]|\.| dot ) ?[A-Za-z0-9-]++)+"
         rf"|{NAME} at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)+"
     ),
-    "phone": re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![\w-])|(?<![\w+.-])00[1-9][0-9]{8,12}(?!\w)"),
+    "phone": re.compile(r"(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![\w-])|00[1-9][0-9]{8,12}(?!\w)"),
     "secret": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"),
 }
 #: Runs of digits in groups, in looser forms than the base patterns; candidates are sub-spans at bounds of groups.
 RUNS = {
     "ip": re.compile(r"(?<![0-9])[0-9]++(?:(?:\.|\[\.\]|\(\.\)|\[dot\])[0-9]++){3,}"),
-    "card": re.compile(r"(?<![0-9])[0-9](?:[ ._/\u2013\xa0-]{0,2}[0-9]){13,}"),
+    "card": re.compile(r"[0-9](?:[ ._/\u2013\xa0-]{0,2}[0-9]){13,}+"),
     "phone": re.compile(r"\+[0-9](?:[ ().\u2013/-]{0,3}[0-9]){9,}"),
 }
 GROUP = re.compile("[0-9]+")
@@ -48,8 +48,20 @@ DIGITS = {"card": (14, 19), "phone": (10, 15)}
 GROUPS = 7
 #: Digits by group of printed cards.
 GROUPINGS = frozenset([(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (14,), (15,), (16,), (19,)])
-#: What a text must hold for a wider form to occur in it.
-GATE = {"email": re.compile(r"[(\[]at[)\]]| dot "), "phone": re.compile(r"[0-9]{3}"), "secret": re.compile(r"[0-9][A-Za-z]|[A-Za-z][0-9]")}
+DIGIT = re.compile("[0-9]")
+#: Least length of a word with a secret in it.
+LONG = 16
+
+
+def may_hold(name: str, text: str) -> bool:
+    """Whether a wider form or a run of this kind can occur in a text that has digits; cheap to tell."""
+    if name == "email":
+        return "(at)" in text or "[at]" in text or " dot " in text
+    if name == "ip":
+        return text.count(".") >= 3
+    return name != "secret" or any(len(w) >= LONG for w in text.split())
+
+
 #: Gazetteers: top-level domains, first digits of card issuers, calling codes of +numbers.
 DOMAINS = frozenset("com org net edu gov mil int info biz io co de fr es it uk eu us ca ch at nl be ru jp cn in br au".split())
 ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "36", "38", "6011", "65", "35", "62", "2221", "2720")
@@ -85,9 +97,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             found.append((at - name, 0, host.end()))
             floor = host.end()
         at = text.find("@", max(at + 1, floor))
-    for m in IP.finditer(text):
-        if all(_octet(p) for p in m.group().split(".")):
-            found.append((m.start(), 1, m.end()))
+    if not DIGIT.search(text):
+        return found
+    for m in DOTTED.finditer(text):
+        parts, begin = m.group().split("."), m.start()
+        for k in range(0, len(parts) - 3, 4):
+            end = begin + sum(map(len, parts[k : k + 4])) + 3
+            if all(map(_octet, parts[k : k + 4])):
+                found.append((begin, 1, end))
+            begin = end + 1
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
         if 14 <= len(digits) <= 19 and luhn(digits):
@@ -140,17 +158,24 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         at = bisect(starts, a)
         return (at == 0 or ends[at - 1] <= a) and (at == len(starts) or b <= starts[at])
 
+    digits = DIGIT.search(text)
     for name, pattern in WIDE.items():
-        if GATE[name].search(text):
+        if (digits or name == "email") and may_hold(name, text):
             for m in pattern.finditer(text):
-                if free(*m.span()) and (name != "secret" or _mixed(m.group())):
+                if free(*m.span()) and (name != "secret" or _mixed(m.group())) and (name != "phone" or _apart(text, m.start())):
                     out.append((m.start(), KINDS.index(name), m.end(), False))
     for name, pattern in RUNS.items():
-        for m in pattern.finditer(text):
-            out += [(a, KINDS.index(name), b, False) for a, b in _within(text, name, m.start(), m.end()) if free(a, b)]
+        if digits and may_hold(name, text):
+            for m in pattern.finditer(text):
+                out += [(a, KINDS.index(name), b, False) for a, b in _within(text, name, m.start(), m.end()) if free(a, b)]
     return out
 
 
+def _apart(text: str, at: int) -> bool:
+    """Whether a number is not the rest of a longer word or number."""
+    return at == 0 or not (text[at - 1].isalnum() or text[at - 1] in "_+.-")
+
+
 def _mixed(run: str) -> bool:
     """Whether a run has both letters and digits."""
     return any(c.isalpha() for c in run) and any(c.isdigit() for c in run)
