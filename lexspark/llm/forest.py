@@ -1,7 +1,10 @@
-"""Nearest neighbours by a forest of sorted hash prefixes in blocks of vectors."""
+"""Nearest neighbours by a forest of sorted hash prefixes over blocks of a common prefix."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +17,9 @@ from lexspark.operators.lineage import settle
 TREES, BITS, BLOCK, QUERIES = 96, 24, 4096, 2048
 #: Rows to be gathered from the trees of a block, repeats included, before a query stops ascending.
 GATHER = 2048
+#: Bits of the common prefix of a block, at most; rows and queries of the sample that tells how far queries go; and
+#: the share of the sample's nearest neighbours that must lie within.
+PREFIX, SAMPLE_ROWS, SAMPLE_QUERIES, REACHED = 16, 4096, 256, 0.98
 
 
 def usable(vector: str) -> Column:
@@ -22,8 +28,28 @@ def usable(vector: str) -> Column:
     return F.coalesce(F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, good) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def planes(width: int, seed: int = 7) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((width, TREES * BITS)).astype(np.float32)
+def planes(width: int, seed: int = 7, n: int = TREES * BITS) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((width, n)).astype(np.float32)
+
+
+def prefixes(vectors: np.ndarray, bits: int) -> np.ndarray:
+    """The common prefix of each vector's block: the signs of its products with bits planes of their own."""
+    if not bits:
+        return np.zeros(len(vectors), dtype=np.int64)
+    return (vectors.astype(np.float32) @ planes(vectors.shape[1], 11, PREFIX)[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def reach(rows: np.ndarray, asked: np.ndarray, bits: int, k: int) -> int:
+    """In how many bits of the prefix a query's block may differ from that of a neighbour, for a share of REACHED of
+    the k nearest rows of a sample. Neighbours among all rows are nearer than those in a sample, so they differ
+    in no more bits."""
+    if not len(rows) or not len(asked):
+        return bits
+    apart = np.maximum((asked**2).sum(axis=1)[:, None] - 2 * asked @ rows.T + (rows**2).sum(axis=1)[None, :], 0)
+    near = np.argsort(apart, axis=1)[:, : k + 1]
+    flips = np.bitwise_count(prefixes(asked, bits)[:, None] ^ prefixes(rows, bits)[near])
+    others = flips[np.take_along_axis(apart, near, axis=1) > 1e-12]  # not the query itself
+    return int(np.quantile(others, REACHED, method="higher")) if len(others) else bits
 
 
 def hashes(vectors: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -86,36 +112,63 @@ def forest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_co
     """(query_id, rank, vec_id, score): for each query the k nearest rows found, itself left out.
 
     Both inputs have id_col and vector_col. Rows of one vector are folded first: each map task keeps the
-    k + 1 least ids of a vector, which is all that ties let through. Distinct vectors fall by hash into
-    blocks of about BLOCK rows, each with a forest of its own; queries meet each block in groups of
-    QUERIES, and only k rows of each meeting go on. So memory is bounded, and no pair of rows is ever
-    written. Vectors that are null, empty, zero or hold null or non-finite components take no part;
-    vectors of another length are never compared. Rows with a null id are left out; repeated ids are
-    repeated candidates. Other columns are not read.
+    k + 1 least ids of a vector, which is all that ties let through. Distinct vectors of one length fall into blocks
+    by a common prefix of up to PREFIX hash bits, and those of a full prefix by hash into blocks of about BLOCK
+    rows, each with a forest of its own. A query descends to the block of its prefix and ascends to those that
+    differ in as many bits as the neighbours of a bounded sample do (reach): few where vectors cluster, nearly
+    all where they are spread evenly, as no hashing helps there. Queries meet a block in groups of QUERIES,
+    and only k rows of each meeting go on. So memory is bounded, and no pair of rows is ever written.
+
+    Vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of another
+    length are never compared. Rows with a null id are left out; repeated ids are repeated candidates. Queries of
+    one id and vector are one; those of one id and different vectors are searched each, and the k nearest of
+    all are ranked. Other columns are not read.
     """
     pick = lambda df: df.filter(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     own = Window.partitionBy("vector").orderBy("id")
     few = pick(vectors).withColumn("n", F.row_number().over(own)).filter(F.col("n") <= k + 1)
-    rows = settle(few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
-    asked = settle(pick(queries), "queries")
-    size = {r["w"]: (r["n"], 0) for r in rows.groupBy(F.size("vector").alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    for r in asked.groupBy(F.size("vector").alias("w")).agg(F.count(F.lit(1)).alias("n")).collect():
-        if r["w"] in size:
-            size[r["w"]] = (size[r["w"]][0], r["n"])
-    if not size:
+    rows = settle(few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("w", F.size("vector")), "vectors")
+    asked = settle(pick(queries).distinct().withColumn("w", F.size("vector")), "queries")
+    bits, far = {}, {}
+    for r in rows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect():  # one row for each length of vectors
+        w, n = r["w"], r["n"]
+        bits[w] = min(PREFIX, max(0, (n - 1) // BLOCK).bit_length())
+        if bits[w]:
+            some = lambda df, most, w=w: np.array([x["vector"] for x in df.filter(F.col("w") == w).orderBy(F.xxhash64("vector")).limit(most).select("vector").collect()], dtype=float)
+            far[w] = reach(some(rows, SAMPLE_ROWS), some(asked, SAMPLE_QUERIES), bits[w], k)
+    if not bits:
         return rows.select(F.lit(0).cast("long").alias("query_id"), F.lit(1).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    blocks = F.create_map(*[F.lit(x) for w, (n, _) in size.items() for x in (w, -(-n // BLOCK))])
-    groups = F.create_map(*[F.lit(x) for w, (_, n) in size.items() for x in (w, max(1, -(-n // QUERIES)))])
-    w = F.size("vector")
-    every = lambda table: F.explode(F.sequence(F.lit(0), table[w] - 1))
-    left = asked.filter(blocks[w].isNotNull()).select(
-        F.col("id").alias("query_id"), "vector", w.alias("w"), F.pmod(F.xxhash64("id"), groups[w]).cast("int").alias("g"), every(blocks).alias("b")
-    )
-    right = rows.select("vector", "ids", w.alias("w"), F.pmod(F.xxhash64("vector"), blocks[w]).cast("int").alias("b"), every(groups).alias("g"))
+
+    def prefixed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = np.zeros(len(batch), dtype=np.int64)
+            for w in batch["w"].unique():
+                at = np.flatnonzero(batch["w"] == w)
+                out[at] = prefixes(np.array(batch["vector"].iloc[at].tolist(), dtype=float), bits[w])
+            yield batch.assign(prefix=out)
+
+    held = F.col("w").isin(list(bits))
+    rows = settle(rows.mapInPandas(prefixed, "vector array<double>, ids array<long>, w int, prefix long"), "prefixed")
+    asked = asked.filter(held).mapInPandas(prefixed, "id long, vector array<double>, w int, prefix long")
+    sizes = rows.groupBy("w", "prefix").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    flips = [(w, sum(1 << x for x in c)) for w, b in bits.items() for f in range(far.get(w, 0) + 1) for c in combinations(range(b), f)]
+    flips = flip_table(rows, flips)
+    visits = asked.join(flips, "w").withColumn("prefix", F.col("prefix").bitwiseXOR(F.col("flip"))).join(sizes, ["w", "prefix"])
+    visits = settle(visits.select(F.col("id").alias("query_id"), "vector", "w", "prefix", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")), "visits")
+    block = ["w", "prefix", "part"]
+    loads = visits.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("groups"))
+    left = visits.join(loads, block).select("query_id", "vector", *block, F.pmod(F.xxhash64("query_id"), F.col("groups")).alias("g"))
+    placed = rows.join(sizes, ["w", "prefix"]).withColumn("part", F.pmod(F.xxhash64("vector"), F.col("parts")))
+    right = placed.join(loads, block).select("vector", "ids", *block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"))
 
     def meet(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         return search_block(asked, rows, k)
 
-    found = left.groupBy("w", "b", "g").cogroup(right.groupBy("w", "b", "g")).applyInPandas(meet, "query_id long, vec_id long, score double")
+    found = left.groupBy(*block, "g").cogroup(right.groupBy(*block, "g")).applyInPandas(meet, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def flip_table(df: DataFrame, flips: list[tuple[int, int]]) -> DataFrame:
+    """(w, flip) as a table."""
+    return df.sparkSession.createDataFrame(pd.DataFrame(flips, columns=["w", "flip"]).astype({"w": "int32", "flip": "int64"}), "w int, flip long")

@@ -453,6 +453,52 @@ def test_near_copies(spark):
     assert simhash.drop_near_copies(df.filter("false")).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    rng = random.Random(12)
+    vocab = a_vocabulary(rng)
+    a, b, c, d = (" ".join(rng.choices(vocab, k=40)) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, d), (7, d), (None, a), (8, b + " more"), (9, None), (10, "")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, gone int")
+    kept = simhash.drop_near_copies(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect() if r["text"]) == sorted([(1, a), (5, b), (7, c), (7, d), (0, a)])
+    assert [r["doc_id"] for r in kept.collect() if not r["text"]] == [9]
+
+
+def test_permuted_words_and_crowded_passages(spark):
+    """Pairs of texts of one bag of words in other orders, and short texts that are mostly one long passage."""
+    rng = random.Random(13)
+    vocab = a_vocabulary(rng)
+    bag, texts = rng.choices(vocab, k=120), []
+    for _ in range(60):
+        one = rng.sample(bag, len(bag))
+        two = list(one)
+        two[60] = rng.choice(vocab)
+        texts += [one, two]
+    passage = rng.choices(vocab, k=60)
+    for k in range(300):
+        texts.append(passage + rng.choices(vocab, k=k % 40))
+    rng.shuffle(texts)
+    assert found_classes(spark, texts) == plain_classes(texts)
+
+
+def test_common_keys_meet_the_smallest_only(spark, monkeypatch):
+    """Unlike texts around one passage make few candidates, and none is lost."""
+    rng = random.Random(14)
+    vocab = a_vocabulary(rng)
+    passage = rng.choices(vocab, k=60)
+    texts = [passage + rng.choices(vocab, k=8 + k % 7) for k in range(400)] + [passage + rng.choices(vocab, k=k % 5) for k in range(10)]
+    monkeypatch.setattr(simhash, "SAMPLE", 2)
+    made = []
+    old = simhash.key_pairs
+    monkeypatch.setattr(simhash, "key_pairs", lambda *a: made.append(old(*a)) or made[-1])
+    counted = []
+    alike = simhash.alike_pairs
+    monkeypatch.setattr(simhash, "alike_pairs", lambda pairs, *a: counted.append(pairs.count()) or alike(pairs, *a))
+    assert found_classes(spark, texts) == plain_classes(texts)
+    assert counted[-1] < 20 * len(texts)  # all pairs would be 84,000
+
+
 def plain_classes(texts, similarity=0.8):
     """Least position among chains of near copies, from all pairs."""
     sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
@@ -550,6 +596,29 @@ def test_forest_gathers_nearest_prefixes():
     assert hits >= 0.9 * 11 * 20
 
 
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_neighbour_recall_over_many_blocks(spark, monkeypatch, spread):
+    """Clustered vectors, whose queries visit few blocks, and evenly spread ones."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 32))[rng.integers(0, 60, 4000)] + spread * 3 * rng.normal(size=(4000, 32))
+    monkeypatch.setattr(forest, "BLOCK", 128)
+    monkeypatch.setattr(forest, "GATHER", 512)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = forest.forest_neighbours(df, df.filter("vec_id % 100 = 0")).toPandas()
+    hits = sum(len(set(own["vec_id"]) & set(np.argsort(((v - v[q]) ** 2).sum(axis=1))[1:11].tolist())) for q, own in got.groupby("query_id"))
+    assert hits >= 0.9 * 400
+    bits = (len(v) - 1) // 128
+    far = forest.reach(v[::2], v[::100], bits.bit_length(), 10)
+    assert far <= 2 if spread < 1 else far >= 2
+
+
+def test_repeated_queries(spark):
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 0.2]), (3, [1.0, 0.3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = forest.forest_neighbours(df, df.filter("vec_id % 100 = 0")).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"]) for r in got] == [(1, 1), (2, 2), (3, 3)]
+
+
 def test_neighbours_edges(spark):
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), *[(i, [1.0, 0.0]) for i in range(1, 40)], (200, None), (300, [0.0, 0.0]), (400, [float("nan"), 1.0]), (500, [1.0, None]), (600, []), (41, [0.0, 1.0]), (None, [1.0, 1.0]), (700, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame([(*r, 1, 1.0) for r in rows], "vec_id long, embedding array<double>, rank int, score double")
