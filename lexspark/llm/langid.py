@@ -133,6 +133,7 @@ class Labeler:
         self.model, self.penalty = model, penalty
         self.index: dict[str, int] = {}
         self.scores = np.zeros((1024, len(model.langs)), dtype=np.float32)
+        self.foreign: set[str] = set()
 
     def learn(self, words: list[str]) -> None:
         bucket, owner, script = word_grams(words)
@@ -145,6 +146,7 @@ class Labeler:
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
         self.scores[start : start + n] = scores
         self.index.update(zip(words, range(start, start + n), strict=True))
+        self.foreign.update(words[k] for k in np.flatnonzero(~used.any(axis=1)))
 
     def prepare(self, found: list[list[str]]) -> None:
         """Score the words of a batch that are not known yet."""
@@ -153,6 +155,7 @@ class Labeler:
             missing.update([w for w in words if w not in known])
         if len(known) + len(missing) > CACHE:
             known.clear()
+            self.foreign.clear()
             missing = {w for words in found for w in words}
         if missing:
             self.learn(list(missing))
@@ -164,6 +167,14 @@ class Labeler:
             self.prepare(found)
             yield from found
 
+    def share(self, words: list[str]) -> float:
+        """The share of the words that the prevailing language on the best path has; words of a script that no
+        language uses count for none."""
+        path = self.path(words)
+        if self.foreign:
+            path = path[[w not in self.foreign for w in words]]
+        return np.bincount(path, minlength=1).max() / len(words)
+
     def path(self, words: list[str]) -> np.ndarray:
         """The language of each word on the best path, where each change costs the penalty.
 
@@ -202,7 +213,7 @@ def label_languages(docs: DataFrame, model: LanguageModel, penalty: float = 40.0
     """docs' rows as (id, lang_pred, score, n_words), with spans also an array of (lang, first, last) words.
 
     lang_pred is the language of most words on the best path, ties to the first in order; score is its
-    share of them. Null texts and texts without a letter get und and 0, and so does every text if nothing
+    share of them. Repeated rows are labelled alike, an empty table gives no row. Null texts and texts without a letter get und and 0, and so does every text if nothing
     was learned. All other columns of docs are dropped.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -244,14 +255,17 @@ def document_languages(docs: DataFrame, penalty: float = 40.0) -> DataFrame:
 
 
 def filter_languages(docs: DataFrame, model: LanguageModel, least: float, penalty: float = 40.0, text_col: str = "text") -> DataFrame:
-    """The rows of docs with a language that has at least the share least of their words."""
+    """The rows of docs with a language that has more than the share least of their words, and all their columns.
+
+    Words of a script that no learned language uses belong to no language. Null texts and texts without a
+    letter go; repeated rows are judged alike; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def prevails(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         labeler = Labeler(shared.value, penalty)
-        n = len(labeler.model.langs)
         for texts in batches:
-            yield pd.Series([bool(w) and np.bincount(labeler.path(w), minlength=n).max() >= least * len(w) for w in labeler.split(texts)], dtype=bool)
+            yield pd.Series([bool(w) and labeler.share(w) > least for w in labeler.split(texts)], dtype=bool)
 
     return docs.filter(prevails(F.col(text_col)))

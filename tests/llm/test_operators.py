@@ -640,6 +640,14 @@ def test_language_accuracy(docs, local):
     assert rows["score"].between(0, 1).all()
 
 
+def test_half_of_a_text_does_not_prevail(spark):
+    en, de = "the house and the garden of this other house with them here", "das haus und der garten von diesem anderen haus mit ihnen hier"
+    model = langid.train_languages(spark.createDataFrame([(i, t, k) for i in range(5) for t, k in ((en, "en"), (de, "de"))], "doc_id long, text string, lang string"))
+    rows = [(1, f"{en} {en}"), (2, f"{en} {de}"), (3, "дом и сад этого другого дома вместе с ними"), (4, f"{en} {en} дом и сад"), (5, None), (6, "12 !"), (1, f"{en} {en}")]
+    kept = langid.filter_languages(spark.createDataFrame(rows, "doc_id long, text string"), model, 0.5, penalty=4.0)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 1, 4]
+
+
 def test_paths_are_optimal():
     rng = np.random.default_rng(0)
     for trial in range(400):

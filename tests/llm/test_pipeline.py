@@ -32,7 +32,7 @@ def plain_language(texts, model, penalty=40.0):
         path = [int(at.argmax())]
         for step in reversed(back):
             path.append(int(step[path[-1]]))
-        if max(path.count(k) for k in set(path)) >= 0.5 * len(path):
+        if max(path.count(k) for k in set(path)) > 0.5 * len(path):
             kept.append(i)
     return kept
 
