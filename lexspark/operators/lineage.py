@@ -34,9 +34,8 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexspark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    at, files = folder(spark, path)
+    files.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,10 +49,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
 
 
+def folder(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = folder(spark, path)
+    return files.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, files = folder(spark, path)
+    files.delete(at, True)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete the files of settled tables that nothing reads any more."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
         for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            at = jvm.org.apache.hadoop.fs.Path(name)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            remove(df.sparkSession, name)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexspark.operators.lineage import folder
+
 #: Schemas of the logs.
 QUERY_LOG = (
     "query_id string, query_text string, timestamp timestamp, processing_time double, documents_retrieved int, avg_similarity_score double,"
@@ -45,6 +47,16 @@ def replace_table(df: DataFrame, root: str) -> str:
     return path
 
 
+def drop_versions(spark: SparkSession, root: str, *keep: str) -> None:
+    """Delete the versions of a table other than those of these paths."""
+    at, files = folder(spark, root)
+    kept = {path.rstrip("/").rpartition("/")[2] for path in keep}
+    for status in files.listStatus(at):
+        name = status.getPath().getName()
+        if name.startswith("version=") and name not in kept:
+            files.delete(status.getPath(), True)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """Document lists and reports as JSON lines."""
     df.write.mode("overwrite").json(path)

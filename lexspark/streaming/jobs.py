@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from lexspark.operators import analytics
 from lexspark.operators.chunking import chunk_documents
+from lexspark.operators.lineage import exists
 from lexspark.sources.folders import decode_texts, sort_files
-from lexspark.sources.tables import replace_table
+from lexspark.sources.tables import drop_versions, replace_table
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -33,14 +35,10 @@ def ingest(files: DataFrame, store: str, checkpoint: str, size: int = 1000, over
         docs = decode_texts(sort_files(batch)[0].filter("content_type = 'text/plain'"))
         docs = docs.select(F.md5("path").alias("doc_id"), F.col("path").alias("source"), "text", "encoding_used")
         chunks = chunk_documents(docs, size, overlap).dropDuplicates(["id"])
-        try:
-            before = spark.read.parquet(store).filter(F.col("batch") < number)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            before = None
-        new = chunks if before is None else chunks.join(before.select("id"), "id", "left_anti")
-        new.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        if exists(spark, store):
+            kept = spark.read.schema(T.StructType([*chunks.schema.fields, T.StructField("batch", T.LongType())])).parquet(store)
+            chunks = chunks.join(kept.filter(F.col("batch") < number).select("id"), "id", "left_anti")
+        chunks.write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
@@ -63,12 +61,15 @@ def upsert_queries(events: DataFrame, current: Callable[[], DataFrame | None], p
     """The query log kept current: each batch's last row of a query_id replaces the stored one.
 
     current gives the table as it stands, publish takes the path of its new version. A batch that is run
-    again gives the same table.
+    again gives the same table. The version before stays for readers that have begun; older ones are deleted.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         new, old = analytics.query_log(batch), current()
-        publish(replace_table(new if old is None else analytics.latest(old.unionByName(new), "query_id", "seq"), root))
+        path = replace_table(new if old is None else analytics.latest(old.unionByName(new), "query_id", "seq"), root)
+        before = [] if old is None else sorted({f.rpartition("/")[0] for f in old.inputFiles()})
+        publish(path)
+        drop_versions(batch.sparkSession, root, path, *before)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 

@@ -59,3 +59,7 @@ def test_query_log_upsert(spark, tmp_path):
         finish(jobs.upsert_queries(stream(), current, publish, str(tmp_path / "log"), str(tmp_path / "cp")))
     rows = {r["query_id"]: r["seq"] for r in current().collect()}
     assert rows == {"0": 6, "1": 7, "2": 8}
+    for k in (3, 4):  # later versions leave two
+        events(spark, path, datetime(2024, k, 1), 1)
+        finish(jobs.upsert_queries(stream(), current, publish, str(tmp_path / "log"), str(tmp_path / "cp")))
+    assert len([x for x in (tmp_path / "log").iterdir() if x.name.startswith("version=")]) == 2
