@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.llm.memory import trim
+
 WORD = re.compile(r"[^\W\d_]+")
 #: First and last code point of the scripts told apart (fixed values of Unicode's blocks); else "other".
 SCRIPTS = {
@@ -115,6 +117,8 @@ def train_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "te
         for lang, sums in total.items():
             at = np.flatnonzero(sums)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": sums[at]})
+        counts.clear()
+        trim()
 
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
     found = rows.mapInPandas(run, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -242,6 +246,8 @@ def label_languages(docs: DataFrame, model: LanguageModel, penalty: float = 40.0
             if spans:
                 out["spans"] = cuts
             yield out
+        del labeler
+        trim()
 
     return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema).withColumn("id", F.col("id").cast("long"))
 
@@ -267,5 +273,7 @@ def filter_languages(docs: DataFrame, model: LanguageModel, least: float, penalt
         labeler = Labeler(shared.value, penalty)
         for texts in batches:
             yield pd.Series([bool(w) and labeler.share(w) > least for w in labeler.split(texts)], dtype=bool)
+        del labeler
+        trim()
 
     return docs.filter(prevails(F.col(text_col)))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from lexspark.llm.bpe import NUMBERS, PLAIN, byte_symbols
+from lexspark.llm.memory import trim
 
 #: Words a task remembers before it starts afresh.
 CACHE = 150_000
@@ -241,6 +242,7 @@ def pack_documents(
         if waiting:
             pack()
         yield frame()
-        tokens.cache.clear()  # the worker goes on to other tasks
+        tokens.cache.clear()
+        trim()
 
     return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.llm.memory import trim
 from lexspark.operators.components import connected_components
 from lexspark.operators.lineage import forget, settle
 
@@ -250,6 +251,7 @@ def _shingles(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFra
                 bits = int(majority(every.astype(">u8").view(np.uint8).reshape(-1, 8)).view(">i8")[0]) if found else 0
                 rows.append((doc, mark, node, len(own), bits, parity(own), packed(own)))
             yield pd.DataFrame(rows, columns=["id", "mark", "node", "n", "fp", "parity", "hashes"]).astype({"n": "Int64", "fp": "Int64"})
+    trim()
 
 
 def _range_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -371,6 +373,7 @@ def alike_pairs(pairs: DataFrame, rows: DataFrame, texts: DataFrame, similarity:
         for batch in batches:
             near = [jaccard(x, y) >= similarity for x, y in zip(batch["hashes_a"], batch["hashes_b"], strict=True)]
             yield batch.loc[near, ["src", "dst"]]
+        trim()
 
     a, b = ends(texts, "n", "parity")
     near = settle(pairs.join(a, "src").join(b, "dst").mapInPandas(close, "src long, dst long").distinct(), "near")
