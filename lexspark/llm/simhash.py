@@ -324,32 +324,51 @@ def common_shingles(rows: DataFrame, classes: DataFrame) -> np.ndarray:
     return np.sort(often.toPandas()["key"].to_numpy(np.int64).astype(np.uint64))
 
 
-def key_pairs(rows: DataFrame, texts: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (src, dst) of nodes of different classes that share a picked key, at sizes that allow the
-    similarity; with links among them, they connect all nodes that pairs of that similarity connect.
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members (node, key, group, class, n) of keys that several classes have."""
+    mixed = members.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("key")
+    return members.join(mixed, "key")
 
-    Rare keys pair all nodes that have them. A common key, such as one of a passage that many texts share,
-    pairs its nodes with the smallest set of each group of equal common members only: where two sets reach
-    the similarity by common members alone, the smaller of either's group reaches it with the other as well, so
-    both hang on the groups' smallest. Keys that one class alone has make no pair.
-    """
+
+def shared_keys(rows: DataFrame, texts: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Picked keys that several classes have, by node: node, key, group, class, n."""
     keyed = _picked_keys(rows, similarity, common_shingles(rows, classes))
     shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("key")
     members = settle(_classes_of(keyed.join(shared, "key").distinct(), classes).join(texts.select("node", "n"), "node"), "members")
-    mixed = members.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("key")
-    few = settle(members.join(mixed, "key"), "mixed")
+    found = settle(_mixed(members), "mixed")
     forget(members)
-    smallest = few.filter("group <> 0").groupBy("group").agg(F.min(F.struct("n", "node")).alias("m")).select("m.node").distinct()
-    often = few.filter("group <> 0")
+    return found
+
+
+def central_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs (src, dst) of each node and the most central node of each of its keys, of different classes.
+
+    The most central node has the most members of its keys in all: an original that all its copies are near,
+    however far they are from each other. A linear number of pairs, as of stars."""
+    crowd = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    weight = members.join(crowd, "key").groupBy("node").agg(F.sum("m").alias("weight"))
+    centre = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "class")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.class").alias("own"))
+    pairs = members.join(centre, "key").filter(F.col("class") != F.col("own"))
+    return pairs.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct()
+
+
+def key_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (src, dst) of nodes of different classes that share a picked key (shared_keys), at sizes that
+    allow the similarity; with links among them, they connect all nodes that pairs of that similarity connect.
+
+    Rare keys pair all nodes that have them. A common key, such as one of a passage that many texts share,
+    pairs its nodes with the smallest set of each group of equal common members only: where two sets reach
+    the similarity by common members alone, the smaller of either's group reaches it with the other as well, so
+    both hang on the groups' smallest.
+    """
+    rare, often = members.filter("group = 0"), members.filter("group <> 0")
+    smallest = often.groupBy("group").agg(F.min(F.struct("n", "node")).alias("m")).select("m.node").distinct()
     fits = (F.col("a.key") == F.col("b.key")) & (F.col("a.class") != F.col("b.class"))
     fits = fits & (F.col("a.n") >= similarity * F.col("b.n") - 1e-6) & (F.col("b.n") >= similarity * F.col("a.n") - 1e-6)
-    rare = few.filter("group = 0")
     pairs = rare.alias("a").join(rare.alias("b"), fits & (F.col("a.node") < F.col("b.node")))
     hung = often.alias("a").join(often.join(smallest, "node", "left_semi").alias("b"), fits)
     ends = [F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")]
-    found = settle(pairs.select(*ends).unionByName(hung.select(*ends)).distinct(), "candidates")
-    forget(few)
-    return found
+    return pairs.select(*ends).unionByName(hung.select(*ends)).distinct()
 
 
 def alike_pairs(pairs: DataFrame, rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -375,16 +394,30 @@ def alike_pairs(pairs: DataFrame, rows: DataFrame, texts: DataFrame, similarity:
             yield batch.loc[near, ["src", "dst"]]
         trim()
 
+    pairs = settle(pairs, "candidates")
     a, b = ends(texts, "n", "parity")
     near = settle(pairs.join(a, "src").join(b, "dst").mapInPandas(close, "src long, dst long").distinct(), "near")
     told = near.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     sets = settle(rows.select("node", "hashes").join(told, "node", "left_semi").dropDuplicates(["node"]), "compared")
     a, b = ends(sets, "hashes")
     found = settle(near.join(a, "src").join(b, "dst").mapInPandas(alike, "src long, dst long"), "alike")
-    forget(near, sets)
+    forget(pairs, near, sets)
     return found
 
 
+def _class_links(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct pairs (src, dst) of the classes of pairs of nodes."""
+    for end in ("src", "dst"):
+        pairs = _classes_of(pairs.withColumnRenamed(end, "node"), classes).withColumnRenamed("class", f"{end}_class").drop("node")
+    return settle(pairs.select(F.col("src_class").alias("src"), F.col("dst_class").alias("dst")).distinct(), "links")
+
+
+def _raised(df: DataFrame, links: DataFrame) -> DataFrame:
+    """df with each class replaced by the least of those that links connect it with."""
+    more = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("whole"))
+    return df.join(more, "class", "left").withColumn("class", F.coalesce("whole", "class")).drop("whole")
+
+
 def _copy_classes(docs: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """(id, mark, class) of every row with an id; see near_copy_classes."""
     key, text = F.col(id_col).cast("long"), F.col(text_col)
@@ -394,14 +427,14 @@ def _copy_classes(docs: DataFrame, size: int, similarity: float, id_col: str, te
     texts = settle(rows.select("node", "n", "fp", "parity").distinct(), "texts")
     first = alike_pairs(star_pairs(rows).unionByName(fingerprint_pairs(texts)).distinct(), rows, texts, similarity)
     classes = settle(connected_components(first).select("node", F.col("component").alias("class")), "classes")
-    links = alike_pairs(key_pairs(rows, texts, classes, similarity), rows, texts, similarity)
-    for end in ("src", "dst"):
-        links = _classes_of(links.withColumnRenamed(end, "node"), classes).withColumnRenamed("class", f"{end}_class").drop("node")
-    links = settle(links.select(F.col("src_class").alias("src"), F.col("dst_class").alias("dst")).distinct(), "links")
-    more = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("whole"))
-    told = _classes_of(every.select("id", F.col("mark").cast("long").alias("mark"), "node"), classes).join(more, "class", "left")
-    found = settle(told.select("id", "mark", F.coalesce("whole", "class").alias("class")), "near-copies")
-    forget(every, texts, first, classes, links)
+    members = shared_keys(rows, texts, classes, similarity)
+    central = _class_links(alike_pairs(central_pairs(members), rows, texts, similarity), classes)
+    left = settle(_mixed(_raised(members, central)), "left")
+    forget(members)
+    links = _class_links(alike_pairs(key_pairs(left, similarity), rows, texts, similarity), classes)
+    told = _classes_of(every.select("id", F.col("mark").cast("long").alias("mark"), "node"), classes)
+    found = settle(_raised(told, central.unionByName(links)).select("id", "mark", "class"), "near-copies")
+    forget(every, texts, first, classes, central, left, links)
     return found
 
 

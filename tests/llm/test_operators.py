@@ -489,9 +489,6 @@ def test_common_keys_meet_the_smallest_only(spark, monkeypatch):
     passage = rng.choices(vocab, k=60)
     texts = [passage + rng.choices(vocab, k=8 + k % 7) for k in range(400)] + [passage + rng.choices(vocab, k=k % 5) for k in range(10)]
     monkeypatch.setattr(simhash, "SAMPLE", 2)
-    made = []
-    old = simhash.key_pairs
-    monkeypatch.setattr(simhash, "key_pairs", lambda *a: made.append(old(*a)) or made[-1])
     counted = []
     alike = simhash.alike_pairs
     monkeypatch.setattr(simhash, "alike_pairs", lambda pairs, *a: counted.append(pairs.count()) or alike(pairs, *a))
@@ -499,6 +496,26 @@ def test_common_keys_meet_the_smallest_only(spark, monkeypatch):
     assert counted[-1] < 20 * len(texts)  # all pairs would be 84,000
 
 
+def test_families_around_one_original(spark, monkeypatch):
+    """Copies near their original and far from each other make a linear number of candidates."""
+    rng = random.Random(15)
+    vocab = a_vocabulary(rng)
+    base = rng.choices(vocab, k=300)
+    texts = [base]
+    for _ in range(250):
+        copy = list(base)
+        for at in rng.sample(range(300), 6):
+            copy[at] = rng.choice(vocab)
+        texts.append(copy)
+    rng.shuffle(texts)
+    monkeypatch.setattr(simhash, "SAMPLE", 2)
+    counted = []
+    alike = simhash.alike_pairs
+    monkeypatch.setattr(simhash, "alike_pairs", lambda pairs, *a: counted.append(pairs.count()) or alike(pairs, *a))
+    assert found_classes(spark, texts) == plain_classes(texts)
+    assert counted[-1] < len(texts)
+
+
 def plain_classes(texts, similarity=0.8):
     """Least position among chains of near copies, from all pairs."""
     sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
