@@ -211,8 +211,8 @@ def segments_viable(diff: np.ndarray, budget: np.ndarray | float) -> np.ndarray:
     return viable
 
 
-def pick_keys(hashes: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, int, int]:
-    """(keys, how many of them are common, group) of a sorted set of n shingle hashes.
+def pick_keys(hashes: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, int, int, int]:
+    """(keys, how many of them are common, group, how many members are rare) of a sorted set of n shingle hashes.
 
     Exact keys: the first members, rare ones before common ones, as many as leave fewer out than two sets of
     this similarity share, so that such sets share one (prefix filtering). Where rare members abound, fewer
@@ -227,10 +227,10 @@ def pick_keys(hashes: np.ndarray, common: np.ndarray, similarity: float) -> tupl
     exact = n - math.ceil(similarity * n - 1e-9) + 1
     q = n * (1 - similarity) / similarity / max(len(rare), 1)
     if q < 1 and (k := math.ceil(math.log(MISS) / math.log(q))) < exact and k <= len(rare):
-        return rare[:k], 0, 0
+        return rare[:k], 0, 0, len(rare)
     keys = np.concatenate([rare, hashes[often]])[:exact]
     mine = max(0, len(keys) - len(rare))
-    return keys, mine, xxhash.xxh3_64_intdigest(hashes[often].tobytes()) >> 1 | 1 if mine else 0
+    return keys, mine, xxhash.xxh3_64_intdigest(hashes[often].tobytes()) >> 1 | 1 if mine else 0, len(rare)
 
 
 def _shingles(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
@@ -267,22 +267,23 @@ def _range_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _picked_keys(rows: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
-    """(node, key, group): the keys of each row's set; group is 0 for rare keys, else that of the set."""
+    """(node, key, group, rare): the keys of each row's set; group is 0 for rare keys, else that of the set, whose rare
+    members are counted."""
     shared = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), SLICE):
                 part = batch[at : at + SLICE]
-                nodes, keys, groups = [], [], []
+                names = ("node", "key", "group", "rare")
+                found = {name: [] for name in names}
                 for node, source in zip(part["node"], part["hashes"], strict=True):
-                    own, mine, group = pick_keys(unpacked(source), shared.value, similarity)
-                    nodes.append(np.full(len(own), node))
-                    keys.append(own)
-                    groups.append(np.where(np.arange(len(own)) < len(own) - mine, 0, group))
-                yield pd.DataFrame({"node": np.concatenate(nodes).astype(np.int64), "key": np.concatenate(keys).astype(np.int64), "group": np.concatenate(groups).astype(np.int64)})
+                    own, mine, group, rare = pick_keys(unpacked(source), shared.value, similarity)
+                    for name, x in zip(names, (np.full(len(own), node), own, np.where(np.arange(len(own)) < len(own) - mine, 0, group), np.full(len(own), rare)), strict=True):
+                        found[name].append(x)
+                yield pd.DataFrame({name: np.concatenate(x).astype(np.int64) for name, x in found.items()})
 
-    return rows.filter("n > 0").select("node", "hashes").mapInPandas(run, "node long, key long, group long")
+    return rows.filter("n > 0").select("node", "hashes").mapInPandas(run, "node long, key long, group long, rare long")
 
 
 def _classes_of(keyed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -325,13 +326,13 @@ def common_shingles(rows: DataFrame, classes: DataFrame) -> np.ndarray:
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """The members (node, key, group, class, n) of keys that several classes have."""
+    """The members (node, key, group, rare, class, n) of keys that several classes have."""
     mixed = members.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("key")
     return members.join(mixed, "key")
 
 
 def shared_keys(rows: DataFrame, texts: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Picked keys that several classes have, by node: node, key, group, class, n."""
+    """Picked keys that several classes have, by node: node, key, group, rare, class, n."""
     keyed = _picked_keys(rows, similarity, common_shingles(rows, classes))
     shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("key")
     members = settle(_classes_of(keyed.join(shared, "key").distinct(), classes).join(texts.select("node", "n"), "node"), "members")
@@ -343,11 +344,13 @@ def shared_keys(rows: DataFrame, texts: DataFrame, classes: DataFrame, similarit
 def central_pairs(members: DataFrame) -> DataFrame:
     """Distinct pairs (src, dst) of each node and the most central node of each of its keys, of different classes.
 
-    The most central node has the most members of its keys in all: an original that all its copies are near,
-    however far they are from each other. A linear number of pairs, as of stars."""
+    That is the one with the fewest rare members where the key is common, and with the most members of its keys in
+    all elsewhere: an original that all its copies are near, however far they are from each other. A linear number of
+    pairs, as of stars."""
     crowd = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
     weight = members.join(crowd, "key").groupBy("node").agg(F.sum("m").alias("weight"))
-    centre = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "class")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.class").alias("own"))
+    order = F.struct(F.when(F.col("group") != 0, -F.col("rare")).otherwise(0).alias("rare"), "weight", "node", "class")
+    centre = members.join(weight, "node").groupBy("key").agg(F.max(order).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.class").alias("own"))
     pairs = members.join(centre, "key").filter(F.col("class") != F.col("own"))
     return pairs.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct()
 
@@ -359,16 +362,25 @@ def key_pairs(members: DataFrame, similarity: float) -> DataFrame:
     Rare keys pair all nodes that have them. A common key, such as one of a passage that many texts share,
     pairs its nodes with the smallest set of each group of equal common members only: where two sets reach
     the similarity by common members alone, the smaller of either's group reaches it with the other as well, so
-    both hang on the groups' smallest.
+    both hang on the groups' smallest. Such sets share common members only, so each must have as many of these as the
+    similarity asks of both; sets with more rare members, as of heavily edited copies, meet nobody. Nor do members of
+    a key's largest class meet each other.
     """
     rare, often = members.filter("group = 0"), members.filter("group <> 0")
     smallest = often.groupBy("group").agg(F.min(F.struct("n", "node")).alias("m")).select("m.node").distinct()
     fits = (F.col("a.key") == F.col("b.key")) & (F.col("a.class") != F.col("b.class"))
     fits = fits & (F.col("a.n") >= similarity * F.col("b.n") - 1e-6) & (F.col("b.n") >= similarity * F.col("a.n") - 1e-6)
     pairs = rare.alias("a").join(rare.alias("b"), fits & (F.col("a.node") < F.col("b.node")))
-    hung = often.alias("a").join(often.join(smallest, "node", "left_semi").alias("b"), fits)
+    asked = similarity / (1 + similarity) * (F.col("a.n") + F.col("b.n")) - 1e-6
+    shares = fits & (F.col("a.n") - F.col("a.rare") >= asked) & (F.col("b.n") - F.col("b.rare") >= asked)
+    able = often.filter(F.col("n") - F.col("rare") >= similarity * F.col("n") - 1e-6)  # no partner is under similarity of its size
     ends = [F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")]
-    return pairs.select(*ends).unionByName(hung.select(*ends)).distinct()
+    counts = able.groupBy("key", "class").agg(F.count(F.lit(1)).alias("m"))
+    able = able.join(counts.groupBy("key").agg(F.max(F.struct("m", "class")).alias("most")).select("key", F.col("most.class").alias("major")), "key")
+    hubs, minor = able.join(smallest, "node", "left_semi"), F.col("class") != F.col("major")
+    hung = able.alias("a").join(hubs.filter(minor).alias("b"), shares).select(*ends)
+    hung = hung.unionByName(able.filter(minor).alias("a").join(hubs.filter(~minor).alias("b"), shares).select(*ends))
+    return pairs.select(*ends).unionByName(hung).distinct()
 
 
 def alike_pairs(pairs: DataFrame, rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
