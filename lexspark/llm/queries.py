@@ -9,7 +9,7 @@ from importlib.util import find_spec
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import bpe, chat, forest, html_layout, langid, packing, pii, quality, ring, simhash
+from lexspark.llm import alignment, bpe, chat, forest, html_layout, langid, packing, pii, quality, ring, simhash, token_counts
 
 
 def vocabulary(name: str, folder: str | None = None) -> str:
@@ -79,9 +79,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_tokens(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op2_html, op3_shards, op4_chat, op5_simhash, op6_neighbours, op7_language, op8_quality, op9_packing, op10_bpe)
+    for f in (op1_pii, op2_html, op3_shards, op4_chat, op5_simhash, op6_neighbours, op7_language, op8_quality, op9_packing, op10_bpe, op11_tokens, op12_alignment)
 }
 
 ORACLE_SQL: dict[str, str] = {
