@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +41,25 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settled_by(df: DataFrame, key: str, name: str = "table") -> Iterator[DataFrame]:
+    """df written once in buckets of its long column key, under the shared folder, while the block runs.
+
+    One shuffle deals it out by key; joins on key then shuffle their other side only. The files and the
+    table's name go when the block ends.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"lexspark_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        remove(spark, path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt anew over all cores where it is read from fewer files than there are cores.
 
@@ -46,7 +67,7 @@ def spread(df: DataFrame) -> DataFrame:
     splits. Tables of many files stay as they are, so nothing large is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(2 * cores) if len(df._jdf.inputFiles()) < cores else df  # names stay in the JVM
 
 
 def folder(spark: SparkSession, path: str) -> tuple:
