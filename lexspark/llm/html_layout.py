@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 import sys
-from collections import Counter
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,6 +43,8 @@ SCOPE = frozenset("table td th caption html button object template".split())
 #: What an end tag of a table's parts does not reach beyond; open cells and rows within end with it.
 TABLE_SCOPE = {"table": frozenset(["html", "template"])} | dict.fromkeys("tr td th tbody thead tfoot caption".split(), frozenset("html table template".split()))
 
+#: Columns and rows that a cell spans, at most (fixed values of the format).
+COLUMNS, ROWS = 1000, 65534
 #: Calls on the stack for each level of a page, at most.
 FRAMES = 4
 
@@ -66,35 +68,35 @@ def build(source: str) -> Node:
     """The tree of a page. Missing end tags and table rows are implied, stray end tags ignored."""
     root = Node("html")
     open_: list[Node] = [root]
-    opened = Counter(["html"])  # open elements by tag
+    places: defaultdict[str, list[int]] = defaultdict(list, html=[0])  # of the open elements, by tag
     root.depth = 1
 
     def close(at: int) -> None:
-        opened.subtract(n.tag for n in open_[at:])
+        for n in open_[at:]:
+            places[n.tag].pop()
         del open_[at:]
 
+    def last(tags: set[str] | frozenset[str]) -> int:
+        """The place of the innermost open element of tags but the root; 0 without one."""
+        return max((own[-1] for t in tags if (own := places.get(t))), default=0)
+
     def text(value: str) -> None:
         if value:
             open_[-1].children.append(value)
 
     def pop_to(tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
-        if not any(opened[t] for t in tags):
-            return
-        for at in range(len(open_) - 1, 0, -1):
-            if open_[at].tag in tags:
-                close(at)
-                return
-            if open_[at].tag in stop:
-                return
+        at = last(tags)
+        if at and at >= last(stop):
+            close(at)
 
     def start(tag: str, attrs: dict[str, str], empty: bool) -> None:
-        if tag in CLOSES_P and opened["p"]:
+        if tag in CLOSES_P and places["p"]:
             pop_to({"p"}, SCOPE)
         if tag[0] == "h" and tag[1:].isdigit() and open_[-1].tag[0] == "h" and open_[-1].tag[1:].isdigit():
             close(-1)
         if tag in SIBLINGS:
             own, stop = SIBLINGS[tag]
-            while any(opened[t] for t in own) and any(n.tag in own for n in open_[_last(open_, stop) + 1 :]):
+            while last(own) > last(stop):
                 pop_to(own, stop)
         if tag in ("td", "th") and open_[-1].tag in ("table", "tbody", "thead", "tfoot"):
             start("tr", {}, False)
@@ -103,8 +105,8 @@ def build(source: str) -> Node:
         node = Node(tag, attrs)
         open_[-1].children.append(node)
         if not empty:
+            places[tag].append(len(open_))
             open_.append(node)
-            opened[tag] += 1
             root.depth = max(root.depth, len(open_))
 
     at, size = 0, len(source)
@@ -124,7 +126,7 @@ def build(source: str) -> Node:
         if source[m.start() + 1] == "/":
             if tag == "br":
                 open_[-1].children.append(Node("br"))
-            elif tag == "p" and not opened["p"]:
+            elif tag == "p" and not places["p"]:
                 open_[-1].children.append(Node("p"))
             elif tag not in ("html", "body"):
                 pop_to({tag}, TABLE_SCOPE.get(tag, SCOPE - {tag}))
@@ -145,10 +147,6 @@ def build(source: str) -> Node:
     return root
 
 
-def _last(open_: list[Node], stop: set[str]) -> int:
-    return next((k for k in range(len(open_) - 1, -1, -1) if open_[k].tag in stop), 0)
-
-
 def shown(node: Node, seen: bool) -> bool | None:
     """None: neither the element nor anything in it is rendered; else whether its own text is visible."""
     if node.tag in UNSEEN:
@@ -334,8 +332,17 @@ def table_rows(node: Node, seen: bool, loose: list[Node]) -> list[tuple[Node, bo
     return parts["thead"] + parts["tbody"] + parts["tfoot"]
 
 
+def spanned(cell: Node, name: str, most: int) -> int:
+    """How many columns or rows a cell spans, as its attribute says, most at most; 1 if it does not say."""
+    value = cell.attrs.get(name, "1")
+    return min(max(1, int(value)), most) if value.isascii() and value.isdigit() and len(value) < 20 else 1
+
+
 def table(node: Node, out: Lines, seen: bool) -> None:
-    """Cells padded to their column's width, two blanks between columns; a cell may have several lines."""
+    """Cells padded to their column's width, two blanks between columns; a cell may have several lines.
+
+    A column is where a cell begins; what spans cover besides has no width. Columns are as wide as their cells of a
+    span of one."""
     loose: list[Node] = []
     rows = table_rows(node, seen, loose)
     for child in loose:
@@ -343,40 +350,51 @@ def table(node: Node, out: Lines, seen: bool) -> None:
         holder.children.append(child)
         render_children(holder, out, seen)
         out.block(False)
-    grid: list[dict[int, tuple[int, list[str]]]] = []
-    below: dict[int, int] = {}  # columns that a cell of an earlier row still covers
-    for row, own in rows:
-        cells: dict[int, tuple[int, list[str]]] = {}
-        column = 0
+    grid: list[list[tuple[int, int, list[str]]]] = []
+    above: list[list[int]] = []  # runs of columns that cells of earlier rows cover: first, last + 1, row in which they end
+    for number, (row, own) in enumerate(rows):
+        cells: list[tuple[int, int, list[str]]] = []
+        fresh: list[list[int]] = []
+        above = [run for run in above if run[2] > number]
+        column = covered = 0
         for cell in row.children:
             if not isinstance(cell, Node) or (vis := shown(cell, own)) is None:
                 continue
-            while below.get(column, 0) > 0:
-                column += 1
+            while covered < len(above) and above[covered][0] <= column:
+                column = max(column, above[covered][1])
+                covered += 1
             sub = Lines()
             render_children(cell, sub, vis)
             sub.flush()
-            span, deep = (int(v) if re.fullmatch(r"[0-9]{1,3}", v := cell.attrs.get(k, "1")) else 1 for k in ("colspan", "rowspan"))
-            cells[column] = (max(1, span), sub.lines)
-            for c in range(column, column + max(1, span)):
-                below[c] = max(1, deep)
-            column += max(1, span)
-        below = {c: n - 1 for c, n in below.items() if n > 1}
+            span, deep = spanned(cell, "colspan", COLUMNS), spanned(cell, "rowspan", ROWS)
+            cells.append((column, span, sub.lines))
+            if deep > 1:
+                if fresh and fresh[-1][1:] == [column, number + deep]:
+                    fresh[-1][1] += span
+                else:
+                    fresh.append([column, column + span, number + deep])
+            column += span
+        if fresh:
+            above = sorted(above + fresh)
         grid.append(cells)
     width: dict[int, int] = {}
     for cells in grid:
-        for c, (span, lines) in cells.items():
-            if span == 1:
-                width[c] = max(width.get(c, 0), *map(len, lines), 0) if lines else width.get(c, 0)
+        for c, span, lines in cells:
+            width[c] = max(width.get(c, 0), *map(len, lines), 0) if span == 1 and lines else width.get(c, 0)
+    start, at = {}, 0
+    for c in sorted(width):
+        start[c] = at
+        at += width[c] + 2
     made = []
     for cells in grid:
-        for k in range(max((len(lines) for _, lines in cells.values()), default=0)):
-            line = ""
-            for c in sorted(cells):
-                start = sum(width.get(x, 0) + 2 for x in range(c))
-                line = line.ljust(start) if len(line) <= start else line + "  "
-                line += cells[c][1][k] if k < len(cells[c][1]) else ""
-            made.append(line.rstrip())
+        for k in range(max((len(lines) for _, _, lines in cells), default=0)):
+            parts, size = [], 0
+            for c, _, lines in cells:
+                gap = max(start[c] - size, 2 if parts else 0)
+                word = lines[k] if k < len(lines) else ""
+                parts += [" " * gap, word]
+                size += gap + len(word)
+            made.append("".join(parts).rstrip())
     if any(made):
         out.put(made)
 
@@ -416,7 +434,10 @@ def _count(pattern: str) -> F.Column:
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_lines, n_blocks, n_items and text_sha256 of all pages."""
+    """page_id, url, text, n_chars, n_lines, n_blocks, n_items and text_sha256 of all pages.
+
+    Null and empty pages have an empty text and zeros; repeated rows each get a row, null ids and addresses stay null;
+    an empty table gives no rows; other columns are not read."""
     rows = extract_text(pages.select("page_id", "url", "html")).select("page_id", "url", "text")
     blank = F.col("text") == ""
     return rows.select(
