@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexspark.llm.memory import trim
 
+#: Runs of letters, and of the few other word characters that are no decimal digits, such as fractions.
 WORD = re.compile(r"[^\W\d_]+")
 #: First and last code point of the scripts told apart (fixed values of Unicode's blocks); else "other".
 SCRIPTS = {
@@ -47,6 +48,14 @@ SLICE, COUNTED = 200, 50_000
 FOREIGN = -50.0
 
 
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters (Unicode's categories L) of the lower-cased text."""
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [run for w in found for run in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 def scripts(first: np.ndarray) -> np.ndarray:
     """The script of each code point."""
     at = np.maximum(np.searchsorted(_FIRST, first, side="right") - 1, 0)
@@ -109,7 +118,7 @@ def train_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "te
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 found = counts.setdefault(lang, Counter())
-                found.update(WORD.findall(text.lower()))
+                found.update(letter_runs(text))
                 if len(found) > COUNTED:
                     add(lang, found)
         for lang, found in counts.items():
@@ -167,7 +176,7 @@ class Labeler:
     def split(self, texts: pd.Series) -> Iterator[list[str]]:
         """The words of each text, their scores prepared; none where there is no model."""
         for at in range(0, len(texts), SLICE):
-            found = [WORD.findall(t.lower()) if t and self.model.langs else [] for t in texts[at : at + SLICE]]
+            found = [letter_runs(t) if t and self.model.langs else [] for t in texts[at : at + SLICE]]
             self.prepare(found)
             yield from found
 
