@@ -14,8 +14,10 @@ from lexspark.operators.lineage import settle
 
 #: The ring has 2 ** SLOT_BITS slots; virtual nodes sit on slots, keys hash to slots.
 SLOT_BITS = 12
-#: Rows of one slot that are ranked in one task, at least; also one in PARTS of all rows, so that parts are bounded.
+#: Different rows of one slot that are ranked in one task, about; or one in PARTS of all, so that parts are bounded.
 RANKED, PARTS = 20_000, 1 << 15
+#: Equal rows that are told apart in one task.
+CHUNK = 100_000
 
 
 def ring_nodes(shards: int, virtual: int, slots: int) -> list[tuple[int, int]]:
@@ -80,8 +82,9 @@ def ring_shards(
 
     The key is the id (of a null id: its text's checksum and size). slack 0 lets counts differ by one at
     most; more slack moves fewer rows when the number of shards changes. size is the UTF-8 bytes of the
-    text and 1, slot counts each shard's rows from 0. Only the counts of the ring's slots, a fixed
-    number, reach the driver; ranks within a slot are the only sort, and texts are never shuffled. An
+    text and 1, slot counts each shard's rows from 0. Only the counts of the ring's slots and of their parts, a fixed
+    number, reach the driver; ranks within a slot are the only sort, and texts are never shuffled. Places depend on
+    the rows alone, not on how they are dealt out. An
     empty table gives an empty result; repeated rows each get a place; other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -91,37 +94,49 @@ def ring_shards(
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("null"), "text_crc32", "size")).otherwise(F.xxhash64("doc_id"))
-    rows = rows.withColumn("h", spread).withColumn("at", F.shiftrightunsigned("h", 64 - SLOT_BITS).cast("int"))
-    rows = settle(rows.withColumn("row", F.monotonically_increasing_id()), "keys")
+    rows = rows.withColumn("at", F.shiftrightunsigned(spread, 64 - SLOT_BITS).cast("int"))
+    # Rows that are alike in all three columns can change places unseen, so one row with their number stands for them.
+    # Within a slot such rows come by a hash of all three: in ranges of it, which are ranked apart, and the same at any
+    # number of ranges.
+    keys = rows.groupBy("at", "doc_id", "text_crc32", "size").agg(F.count(F.lit(1)).alias("n"))
+    keys = settle(keys.withColumn("h", F.shiftrightunsigned(F.xxhash64("text_crc32", "size", "doc_id"), 1)), "keys")
     slots = 1 << SLOT_BITS
-    loads = [0] * slots
-    for r in rows.groupBy("at").count().collect():
-        loads[r["at"]] = r["count"]
+    loads, held = [0] * slots, [0] * slots
+    for r in keys.groupBy("at").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("keys")).collect():
+        loads[r["at"]], held[r["at"]] = r["n"], r["keys"]
     parts = allot(loads, ring_nodes(shards, virtual, slots), capacities(sum(loads), shards, slack))
     kind = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("at", "first", "last", "shard", "place")]))
     given = json.dumps([dict(zip(("at", "first", "last", "shard", "place"), p, strict=True)) for p in parts])
     table = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(given), kind)))
     table = table.withColumn("at", F.col("at").cast("int"))
-    few = max(RANKED, sum(loads) // PARTS)
-    full = [(at, -(-n // few)) for at, n in enumerate(loads) if n > few]
-    parted = rows.withColumn("part", F.lit(0))
-    before = None
+    few = max(RANKED, sum(held) // PARTS)
+    full = {at: (n // few).bit_length() for at, n in enumerate(held) if n > few}  # bits of h that tell the ranges of a slot
+    part, before = F.lit(0).cast("long"), None
+    if full:
+        bits = F.create_map(*[F.lit(x) for pair in full.items() for x in pair])[F.col("at")]
+        part = F.coalesce(F.expr("shiftright(h, 43)") * F.pow(F.lit(2), bits) / F.lit(1 << 20), F.lit(0)).cast("long")
+    parted = keys.withColumn("part", part)
     if full:
-        cut = F.create_map(*[F.lit(x) for pair in full for x in pair])[F.col("at")]
-        parted = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "row"), cut), F.lit(0)).cast("int"))
         counts, sums = {}, []
-        for r in parted.filter(F.col("at").isin([at for at, _ in full])).groupBy("at", "part").count().collect():
-            counts[r["at"], r["part"]] = r["count"]
-        for at, k in full:
+        for r in parted.filter(F.col("at").isin(list(full))).groupBy("at", "part").agg(F.sum("n").alias("n")).collect():
+            counts[r["at"], r["part"]] = r["n"]
+        for at, k in full.items():
             total = 0
-            for part in range(k):
-                sums.append({"at": at, "part": part, "before": total})
-                total += counts.get((at, part), 0)
-        before = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(sums)), "array<struct<at:int,part:int,before:long>>")))
-    own = Window.partitionBy("at", "part").orderBy("h", "doc_id", "text_crc32", "size", "row")
-    ranked = parted.withColumn("rank", (F.row_number().over(own) - 1).cast("long"))
+            for p in range(1 << k):
+                sums.append({"at": at, "part": p, "before": total})
+                total += counts.get((at, p), 0)
+        before = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(sums)), "array<struct<at:int,part:long,before:long>>")))
+    own = Window.partitionBy("at", "part").orderBy("h", "doc_id", "text_crc32", "size")
+    ranked = parted.withColumn("rank", F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     if before is not None:
         ranked = ranked.join(F.broadcast(before), ["at", "part"], "left").withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
+    ranked = settle(ranked.select("at", "doc_id", "text_crc32", "size", "rank", "n"), "ranked")
+    several = lambda df, n: df.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    few_alike = several(ranked.filter(F.col("n") <= CHUNK), F.col("n")).withColumn("rank", F.col("rank") + F.col("copy"))
+    chunks = several(ranked.filter(F.col("n") > CHUNK), F.ceil(F.col("n") / CHUNK)).withColumn("rank", F.col("rank") + F.col("copy") * CHUNK)
+    chunks = chunks.withColumn("n", F.least(F.lit(CHUNK), F.col("n") - F.col("copy") * CHUNK)).repartition("doc_id", "text_crc32", "size", "copy")
+    every = few_alike.unionByName(several(chunks, F.col("n")).withColumn("rank", F.col("rank") + F.col("copy")))
+    ranked = every.drop("n", "copy")
     placed = ranked.join(F.broadcast(table), (ranked["at"] == table["at"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
     return placed.select(
         "doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("place") + F.col("rank") - F.col("first")).alias("slot")
