@@ -13,13 +13,15 @@ from pyspark.sql.window import Window
 
 from lexspark.operators.lineage import settle
 
-#: Trees, bits of each hash string, rows of a block, queries of a block.
+#: Trees, bits of each hash string, rows of a block, queries of a group.
 TREES, BITS, BLOCK, QUERIES = 96, 24, 4096, 2048
 #: Rows to be gathered from the trees of a block, repeats included, before a query stops ascending.
 GATHER = 2048
-#: Bits of the common prefix of a block, at most; rows and queries of the sample that tells how far queries go; and
-#: the share of the sample's nearest neighbours that must lie within.
-PREFIX, SAMPLE_ROWS, SAMPLE_QUERIES, REACHED = 16, 4096, 256, 0.98
+#: Rows that are hashed at once.
+SLICE = 4096
+#: Bits of the common prefix of a block, at most; queries of the sample that tells how far queries go; and the share of
+#: the sample's nearest neighbours that must lie within.
+PREFIX, SAMPLE_QUERIES, REACHED = 16, 256, 0.98
 
 
 def usable(vector: str) -> Column:
@@ -41,8 +43,7 @@ def prefixes(vectors: np.ndarray, bits: int) -> np.ndarray:
 
 def reach(rows: np.ndarray, asked: np.ndarray, bits: int, k: int) -> int:
     """In how many bits of the prefix a query's block may differ from that of a neighbour, for a share of REACHED of
-    the k nearest rows of a sample. Neighbours among all rows are nearer than those in a sample, so they differ
-    in no more bits."""
+    the k nearest of rows."""
     if not len(rows) or not len(asked):
         return bits
     apart = np.maximum((asked**2).sum(axis=1)[:, None] - 2 * asked @ rows.T + (rows**2).sum(axis=1)[None, :], 0)
@@ -54,8 +55,9 @@ def reach(rows: np.ndarray, asked: np.ndarray, bits: int, k: int) -> int:
 
 def hashes(vectors: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """n x TREES hash strings of BITS bits, the first bit highest."""
-    bits = (vectors.astype(np.float32) @ cut > 0).reshape(len(vectors), TREES, BITS)
-    return bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+    powers = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+    parts = [(vectors[at : at + SLICE].astype(np.float32) @ cut > 0).reshape(-1, TREES, BITS) @ powers for at in range(0, len(vectors), SLICE)]
+    return np.concatenate(parts) if parts else np.zeros((0, TREES), dtype=np.int64)
 
 
 def gather(rows: np.ndarray, asked: np.ndarray, least: int) -> list[np.ndarray]:
@@ -90,8 +92,11 @@ def gather(rows: np.ndarray, asked: np.ndarray, least: int) -> list[np.ndarray]:
     return out
 
 
-def search_block(asked: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest of a block's rows for each query; rows: vector and the ids that have it."""
+def search_block(asked: pd.DataFrame, rows: pd.DataFrame, k: int, far: int) -> pd.DataFrame:
+    """The k nearest of a block's rows for each query whose prefix differs from the block's in far bits at most; rows:
+    vector and the ids that have it. An id that has several vectors counts by its nearest."""
+    if len(asked) and len(rows):
+        asked = asked[np.bitwise_count(asked["prefix"].to_numpy(np.int64) ^ rows["prefix"].iloc[0]) <= far]
     if not len(asked) or not len(rows):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
     v = np.array(rows["vector"].tolist(), dtype=np.float64)
@@ -102,12 +107,45 @@ def search_block(asked: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFram
     out = []
     for query, own, near in zip(asked["query_id"].tolist(), q, found, strict=True):
         d = np.sqrt(((v[near] - own) ** 2).sum(axis=1))
-        bound = np.partition(d, k)[k] if len(d) > k + 1 else np.inf
-        best = sorted((s, i) for s, r in zip(d[d <= bound].tolist(), near[d <= bound].tolist(), strict=True) for i in ids[r].tolist() if i != query)
-        out += [(query, i, s) for s, i in best[:k]]
+        most = k
+        while True:  # more rows where ids are repeated
+            bound = np.partition(d, most)[most] if len(d) > most + 1 else np.inf
+            best: dict[int, float] = {}
+            for s, i in sorted((s, i) for s, r in zip(d[d <= bound].tolist(), near[d <= bound].tolist(), strict=True) for i in ids[r].tolist() if i != query):
+                best.setdefault(i, s)
+            if len(best) >= k or bound == np.inf:
+                break
+            most *= 2
+        out += [(query, i, s) for i, s in list(best.items())[:k]]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
+def nearest_rows(rows: DataFrame, asked: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest rows of each of a few vectors, itself left out, all in one array. The few go to all tasks, which
+    scan their rows once and hand on k + 1 for each."""
+    width = asked.shape[1]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        few = shared.value
+        best, who = np.full((len(few), k + 1), np.inf), np.zeros((len(few), k + 1, width))
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                v = np.array(batch["vector"].iloc[at : at + SLICE].tolist(), dtype=float)
+                d = np.maximum((few**2).sum(axis=1)[:, None] - 2 * few @ v.T + (v**2).sum(axis=1)[None, :], 0)
+                every = np.concatenate([best, d], axis=1)
+                first = np.argpartition(every, k, axis=1)[:, : k + 1]
+                best, old = np.take_along_axis(every, first, axis=1), first <= k
+                kept = np.take_along_axis(who, np.where(old, first, 0)[:, :, None], axis=1)
+                who = np.where(old[:, :, None], kept, v[np.where(old, 0, first - k - 1)])
+        q, place = np.nonzero(best < np.inf)
+        yield pd.DataFrame({"q": q, "d": best[q, place], "vector": list(who[q, place])})
+
+    shared = rows.sparkSession.sparkContext.broadcast(asked)
+    found = rows.select("vector").mapInPandas(run, "q long, d double, vector array<double>")
+    found = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("d"))).filter((F.col("n") <= k + 1) & (F.col("d") > 1e-12))
+    return np.array([r["vector"] for r in found.select("vector").distinct().collect()], dtype=float).reshape(-1, width)
+
+
 def forest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k nearest rows found, itself left out.
 
@@ -115,13 +153,14 @@ def forest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_co
     k + 1 least ids of a vector, which is all that ties let through. Distinct vectors of one length fall into blocks
     by a common prefix of up to PREFIX hash bits, and those of a full prefix by hash into blocks of about BLOCK
     rows, each with a forest of its own. A query descends to the block of its prefix and ascends to those that
-    differ in as many bits as the neighbours of a bounded sample do (reach): few where vectors cluster, nearly
-    all where they are spread evenly, as no hashing helps there. Queries meet a block in groups of QUERIES,
-    and only k rows of each meeting go on. So memory is bounded, and no pair of rows is ever written.
+    differ in as many bits as the neighbours, among all rows, of a bounded sample of queries do (reach): few where vectors cluster, nearly
+    all where they are spread evenly, as no hashing helps there. Queries meet blocks in groups of up to QUERIES of one
+    prefix or neighbouring ones; the table of meetings names groups and blocks only, and k rows a query of each
+    meeting go on. So memory is bounded, and no pair of rows is ever written.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of another
-    length are never compared. Rows with a null id are left out; repeated ids are repeated candidates. Queries of
-    one id and vector are one; those of one id and different vectors are searched each, and the k nearest of
+    length are never compared. Rows with a null id are left out; an id with several vectors is one candidate, by its nearest. Queries of
+    one id and vector are one; those of one id and different vectors are searched each, and the k nearest ids of
     all are ranked. Other columns are not read.
     """
     pick = lambda df: df.filter(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -134,8 +173,9 @@ def forest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_co
         w, n = r["w"], r["n"]
         bits[w] = min(PREFIX, max(0, (n - 1) // BLOCK).bit_length())
         if bits[w]:
-            some = lambda df, most, w=w: np.array([x["vector"] for x in df.filter(F.col("w") == w).orderBy(F.xxhash64("vector")).limit(most).select("vector").collect()], dtype=float)
-            far[w] = reach(some(rows, SAMPLE_ROWS), some(asked, SAMPLE_QUERIES), bits[w], k)
+            some = asked.filter(F.col("w") == w).orderBy(F.xxhash64("vector")).limit(SAMPLE_QUERIES).select("vector").collect()
+            some = np.array([x["vector"] for x in some], dtype=float).reshape(-1, w)
+            far[w] = reach(nearest_rows(rows.filter(F.col("w") == w), some, k), some, bits[w], k) if len(some) else 0
     if not bits:
         return rows.select(F.lit(0).cast("long").alias("query_id"), F.lit(1).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
 
@@ -149,22 +189,33 @@ def forest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_co
 
     held = F.col("w").isin(list(bits))
     rows = settle(rows.mapInPandas(prefixed, "vector array<double>, ids array<long>, w int, prefix long"), "prefixed")
-    asked = asked.filter(held).mapInPandas(prefixed, "id long, vector array<double>, w int, prefix long")
+    asked = settle(asked.filter(held).mapInPandas(prefixed, "id long, vector array<double>, w int, prefix long").withColumnRenamed("id", "query_id"), "asked")
+    # Blocks: a prefix, or a part of one. Groups: the queries of one prefix, or of neighbouring ones where they are few.
+    n_asked = {r["w"]: r["count"] for r in asked.groupBy("w").count().collect()}
+    coarse = {w: max(0, b - max(0, (n_asked.get(w, 0) - 1) // QUERIES).bit_length()) for w, b in bits.items()}
+    shift = F.create_map(*[F.lit(x) for pair in coarse.items() for x in pair])[F.col("w")]
+    asked = asked.withColumn("lot", F.floor(F.col("prefix") / F.pow(F.lit(2.0), shift)).cast("long"))
+    lots = asked.groupBy("w", "lot").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("groups"))
+    asked = asked.join(F.broadcast(lots), ["w", "lot"]).withColumn("g", F.pmod(F.xxhash64("query_id", "vector"), F.col("groups"))).drop("groups")
     sizes = rows.groupBy("w", "prefix").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    rows = rows.join(F.broadcast(sizes), ["w", "prefix"]).withColumn("part", F.pmod(F.xxhash64("vector"), F.col("parts"))).drop("parts")
+    # Meetings of groups and blocks, without vectors: each prefix of a group and the prefixes in reach of it.
     flips = [(w, sum(1 << x for x in c)) for w, b in bits.items() for f in range(far.get(w, 0) + 1) for c in combinations(range(b), f)]
-    flips = flip_table(rows, flips)
-    visits = asked.join(flips, "w").withColumn("prefix", F.col("prefix").bitwiseXOR(F.col("flip"))).join(sizes, ["w", "prefix"])
-    visits = settle(visits.select(F.col("id").alias("query_id"), "vector", "w", "prefix", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")), "visits")
-    block = ["w", "prefix", "part"]
-    loads = visits.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("groups"))
-    left = visits.join(loads, block).select("query_id", "vector", *block, F.pmod(F.xxhash64("query_id"), F.col("groups")).alias("g"))
-    placed = rows.join(sizes, ["w", "prefix"]).withColumn("part", F.pmod(F.xxhash64("vector"), F.col("parts")))
-    right = placed.join(loads, block).select("vector", "ids", *block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"))
-
-    def meet(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        return search_block(asked, rows, k)
-
-    found = left.groupBy(*block, "g").cogroup(right.groupBy(*block, "g")).applyInPandas(meet, "query_id long, vec_id long, score double")
+    met = asked.select("w", "prefix", "lot", "g").distinct().join(flip_table(rows, flips), "w")
+    met = met.select("w", "lot", "g", F.col("prefix").bitwiseXOR(F.col("flip")).alias("prefix")).distinct().join(sizes, ["w", "prefix"])
+    met = met.select("w", "lot", "g", "prefix", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    met = settle(met, "meetings")
+    group, block = ["w", "lot", "g"], ["w", "prefix", "part"]
+    keys = [*group, "prefix_b", "part"]
+    told = met.withColumnRenamed("prefix", "prefix_b")
+    left = asked.join(told, group)
+    right = rows.join(met, block).withColumn("prefix_b", F.col("prefix"))
+
+    def meet(key: tuple, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        return search_block(asked, rows, k, far.get(key[0], 0))
+
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
