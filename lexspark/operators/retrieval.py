@@ -16,8 +16,8 @@ from lexspark.operators.lineage import settle
 
 #: Bytes of query vectors that are broadcast at once; more are searched in several passes over the chunks.
 QUERY_BYTES = 64 << 20
-#: Queries whose scores of one batch of chunks are held at once.
-SLICE = 256
+#: Queries whose scores of one batch of chunks are held at once, and results that are handed on at once.
+SLICE, ROWS = 256, 10_000
 #: Sentences of answers and marks of contexts, here and below, are fixed values.
 NO_ANSWER = "I couldn't find any relevant documents to answer your question."
 
@@ -47,6 +47,16 @@ def best(score: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return row[kept], col[kept]
 
 
+def running_best(held: list[tuple], k: int) -> tuple:
+    """(query, name, score, base): the k best of each query among all that is held, ties to the lesser name."""
+    query, names, score, base = (np.concatenate(x) for x in zip(*held, strict=True))
+    _, order = np.unique(names, return_inverse=True)
+    at = np.lexsort((order, -score, query))
+    first = np.searchsorted(query[at], query[at])
+    at = at[np.arange(len(at)) - first < k]
+    return query[at], names[at], score[at], base[at]
+
+
 def nearest_chunks(
     queries: DataFrame,
     chunks: DataFrame,
@@ -62,8 +72,10 @@ def nearest_chunks(
     (null: 0). metric "cosine" or "l2"; score is the similarity, for l2 one less the squared distance,
     base its value before weights. where filters chunks before the search, least the results after it.
     Queries without an embedding find nothing. The result, k rows a query, is written once, since contexts,
-    answers and confidence all read it. The search is exact: each Arrow batch of chunks keeps k rows a query,
-    so what is shuffled grows with batches, not with pairs. Queries are broadcast QUERY_BYTES at a time.
+    answers and confidence all read it. The search is exact: each task keeps the k best of each query over all its
+    chunks, so k rows a query and task are shuffled. Queries are broadcast QUERY_BYTES at a time, each such block
+    after the one before is done; for more questions than a few blocks hold, vector_index.search_index
+    reads only the cells that matter.
     """
     asked = queries.filter("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     if where is not None:
@@ -84,6 +96,8 @@ def nearest_chunks(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
+            held: list[tuple] = []
+            count = 0
             for batch in batches:
                 if not batch.num_rows or not len(ids):
                     continue
@@ -95,10 +109,21 @@ def nearest_chunks(
                     base = np.round(_kernel(matrix[at : at + SLICE], vectors, metric), 12)  # equal vectors tie, wherever they stand
                     score = weights[0] * base + added if weights else base
                     row, col = best(score, order, k)
-                    kept = [pa.array(ids[at + row]), pa.array(names[col], pa.string()), pa.array(score[row, col]), pa.array(base[row, col])]
-                    yield pa.RecordBatch.from_arrays(kept, ["query_id", "id", "score", "base"])
+                    held.append((at + row, names[col], score[row, col], base[row, col]))
+                    count += len(row)
+                if count > 4 * k * len(ids):
+                    held = [running_best(held, k)]
+                    count = len(held[0][0])
+            query, names, score, base = running_best(held, k) if held else (np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0), np.zeros(0))
+            for at in range(0, len(query), ROWS):
+                part = slice(at, at + ROWS)
+                kept = [pa.array(ids[query[part]]), pa.array(names[part], pa.string()), pa.array(score[part]), pa.array(base[part])]
+                yield pa.RecordBatch.from_arrays(kept, ["query_id", "id", "score", "base"])
 
         found.append(rows.mapInArrow(run, "query_id long, id string, score double, base double"))
+        if blocks > 1:  # one block of queries at a time is in memory
+            found[-1] = settle(found[-1], "block")
+            shared.unpersist()
     every = reduce(DataFrame.unionByName, found)
     ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
     if least is not None:

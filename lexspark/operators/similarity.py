@@ -69,10 +69,13 @@ def similar_documents(docs: DataFrame, least: float = 0.7) -> DataFrame:
                 own = score.argmax(axis=1)
                 yield batch.assign(own=own, angle=np.arccos(np.clip(score[np.arange(len(v)), own], -1, 1)))
 
-    grouped = settle(rows.mapInPandas(assign, "doc_id long, embedding array<double>, own int, angle double"), "groups")
     reach, parts = np.full(len(shared.value), -1.0), np.ones(len(shared.value), dtype=int)
-    for r in grouped.groupBy("own").agg(F.max("angle").alias("angle"), F.count(F.lit(1)).alias("n")).collect():  # one row a pivot
-        reach[r["own"]], parts[r["own"]] = r["angle"], -(-r["n"] // BLOCK)
+    if wanted == 1:  # one group meets itself, whatever its angles
+        grouped, reach[0], parts[0] = rows.withColumns({"own": F.lit(0), "angle": F.lit(np.pi)}), np.pi, -(-n // BLOCK) or 1
+    else:
+        grouped = settle(rows.mapInPandas(assign, "doc_id long, embedding array<double>, own int, angle double"), "groups")
+        for r in grouped.groupBy("own").agg(F.max("angle").alias("angle"), F.count(F.lit(1)).alias("n")).collect():  # one row a pivot
+            reach[r["own"]], parts[r["own"]] = r["angle"], -(-r["n"] // BLOCK)
     held = np.flatnonzero(reach >= 0)
     pairs = held[near_blocks(shared.value[held], reach[held], least)]
     meets = spark.createDataFrame(pd.DataFrame(pairs, columns=["i", "j"]).astype("int32"), "i int, j int")
@@ -99,6 +102,64 @@ def similar_documents(docs: DataFrame, least: float = 0.7) -> DataFrame:
     return met.groupBy("i", "j", "a", "b").applyInPandas(meet, "doc1_id long, doc2_id long, similarity_score double")
 
 
+def bands_for(least: float, bits: int, recall: float) -> int:
+    """How many bands of bits signs each two vectors of cosine least need to share one with a chance of recall."""
+    same = (1 - np.arccos(np.clip(least, -1, 1)) / np.pi) ** bits
+    return max(1, int(np.ceil(np.log(1 - recall) / np.log1p(-same)))) if same < 1 else 1
+
+
+def similar_documents_banded(docs: DataFrame, least: float = 0.7, bits: int | None = None, recall: float = 0.95, seed: int = 7) -> DataFrame:
+    """(doc1_id, doc2_id, similarity_score) of pairs doc1_id < doc2_id at least that similar by cosine: each with a
+    chance of recall or more, and no others.
+
+    docs: doc_id, embedding. A vector's signs on random directions are cut into bands of bits each; vectors that agree
+    in a whole band meet, and their exact cosine decides. Two vectors of cosine least agree in enough bands
+    (bands_for). More bits keep unlike vectors apart, at the price of more bands; by default as many as leave some
+    tens of unlike vectors to a band's value. Evenly spread vectors, which no bound of similar_documents keeps apart,
+    meet few others so. Values that many vectors share are met in parts of BLOCK, and a pair is given by the first
+    band that it shares only, so nothing is deduplicated. Vectors without length are left out; repeated rows are
+    compared like others; an empty table gives no rows.
+    """
+    rows = docs.filter(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
+    rows = settle(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding")), "documents")
+    n = rows.count()
+    bits = bits or int(np.clip(np.ceil(np.log2(max(n, 2) / 32)), 4, 24))
+    bands = bands_for(least, bits, recall)
+
+    def signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK):
+                part = batch.iloc[at : at + BLOCK]
+                v = _rows(part["embedding"])
+                cut = np.random.default_rng(seed).standard_normal((v.shape[1], bands * bits))
+                yield part.assign(keys=list((v @ cut > 0).reshape(len(v), bands, bits) @ powers))
+
+    keyed = settle(rows.mapInPandas(signs, "doc_id long, embedding array<double>, keys array<long>"), "signs")
+    placed = keyed.select("doc_id", "keys", F.posexplode("keys").alias("band", "key"))
+    sizes = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    # A part meets itself and those after it: its rows go to each such pair of parts.
+    placed = placed.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.select("doc_id", "band", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
+    met = placed.join(keyed, "doc_id")
+
+    def meet(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        band, _, a, b = key
+        left, right = (part, part) if a == b else (part[part["own"] == a], part[part["own"] == b])
+        if not len(left) or not len(right):
+            return pd.DataFrame({"doc1_id": [], "doc2_id": [], "similarity_score": []})
+        score = _unit(_rows(left["embedding"])) @ _unit(_rows(right["embedding"])).T
+        ids, others = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
+        x, y = np.nonzero((score >= least) & ((ids[:, None] < others[None, :]) if a == b else (ids[:, None] != others[None, :])))
+        keys, also = (np.array(p["keys"].tolist(), dtype=np.int64)[at, :band] for p, at in ((left, x), (right, y)))
+        first = ~(keys == also).any(axis=1)
+        x, y = x[first], y[first]
+        return pd.DataFrame({"doc1_id": np.minimum(ids[x], others[y]), "doc2_id": np.maximum(ids[x], others[y]), "similarity_score": score[x, y]})
+
+    return met.groupBy("band", "key", "a", "b").applyInPandas(meet, "doc1_id long, doc2_id long, similarity_score double")
+
+
 def most_similar(pairs: DataFrame, k: int = 10) -> DataFrame:
     """(doc_id, rank, other_id, similarity_score): each document's k most similar, ties to the lesser id."""
     both = pairs.select(F.col("doc1_id").alias("doc_id"), F.col("doc2_id").alias("other_id"), "similarity_score").unionByName(
@@ -108,20 +169,32 @@ def most_similar(pairs: DataFrame, k: int = 10) -> DataFrame:
     return both.withColumn("rank", rank).filter(F.col("rank") <= k).select("doc_id", "rank", "other_id", "similarity_score")
 
 
+def highest_similarity(docs: DataFrame, pairs: DataFrame | None = None, start: float = 0.7) -> float:
+    """The highest cosine of any two of docs; 0 if there are fewer than two.
+
+    pairs, of similar_documents, tell it if there are any. Else the threshold is halved until some pair reaches it,
+    then dropped to the least cosine there is: the higher the maximum, the fewer documents have to meet."""
+    most = pairs.agg(F.max("similarity_score")).first()[0] if pairs is not None else None
+    for least in (start, start / 2, start / 4, 0.0, -1.0) if most is None else ():
+        most = similar_documents(docs, least).agg(F.max("similarity_score")).first()[0]
+        if most is not None:
+            break
+    return float(most or 0.0)
+
+
 def similarity_totals(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row over all comparisons of docs (doc_id, embedding): avg_similarity, max_similarity, total_comparisons.
 
     The sum of all cosines is linear in the documents: half of the squared length of the sum of their unit
     vectors, less half of the sum of their own squares. Vectors without length are at 0 to all others. pairs,
-    of similar_documents at a low threshold, gives the maximum; 0 where it has none.
+    of similar_documents at any threshold, tell the maximum; where they are none, lower thresholds are tried.
     """
     size = norm(F.col("embedding"))
     unit = docs.select("doc_id", F.posexplode(F.transform("embedding", lambda x: F.when(size == 0, 0.0).otherwise(x.cast("double") / size))).alias("at", "x"))
     per = unit.groupBy("at").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("own"))
     total = per.agg(F.coalesce((F.sum(F.col("s") * F.col("s")) - F.sum("own")) / 2, F.lit(0.0)).alias("total"))
     n = docs.filter("embedding is not null").agg(F.count(F.lit(1)).alias("n")).select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n"))
-    most = pairs.agg(F.coalesce(F.max("similarity_score"), F.lit(0.0)).alias("max_similarity"))
-    row = total.crossJoin(n).crossJoin(most)  # one row each
+    row = total.crossJoin(n).withColumn("max_similarity", F.lit(highest_similarity(docs, pairs)))  # one row each
     return row.select((F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0)).alias("avg_similarity"), "max_similarity", F.col("n").alias("total_comparisons"))
 
 
