@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lexspark.llm.memory import trim
 from lexspark.operators.components import connected_components
-from lexspark.operators.lineage import forget, settle
+from lexspark.operators.lineage import forget, settle, settled_by
 
 #: Bits of a plain fingerprint.
 WIDTH = 64
@@ -27,7 +27,7 @@ HASH_BYTES, PARITY = 5, 512
 RANGES = 8
 #: Chance that two texts of the similarity asked for share none of the keys picked for them, at most.
 MISS = 1e-12
-#: One class in SAMPLE tells which shingles are common: those of COMMON of its classes, MOST_COMMON at most.
+#: One text in SAMPLE tells which shingles are common: those of COMMON of them outside a class, MOST_COMMON at most.
 #: They only go last in the order of shingles, whatever they are; no result depends on them.
 SAMPLE, COMMON, MOST_COMMON = 16, 3, 1_000_000
 #: Texts whose shingles are held at once.
@@ -311,17 +311,22 @@ def fingerprint_pairs(texts: DataFrame) -> DataFrame:
 
 
 def common_shingles(rows: DataFrame, classes: DataFrame) -> np.ndarray:
-    """Shingles of many classes in a sample of them, sorted; the least node stands for its class."""
+    """Shingles that COMMON texts of a sample, not counting those of the class that has it most, have; sorted.
+
+    So a passage of two large classes is common, what one class has alone is not."""
     some = rows.filter((F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0) & (F.col("n") > 0)).select("node", "hashes")
-    some = some.join(classes.filter("node <> class"), "node", "left_anti")
+    some = _classes_of(some.dropDuplicates(["node"]), classes).select("class", "hashes")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), SLICE):
-                yield pd.DataFrame({"key": np.concatenate([unpacked(source) for source in batch["hashes"][at : at + SLICE]]).astype(np.int64)})
+                part = batch[at : at + SLICE]
+                sets = [unpacked(source) for source in part["hashes"]]
+                yield pd.DataFrame({"key": np.concatenate(sets).astype(np.int64), "class": np.repeat(part["class"].to_numpy(np.int64), list(map(len, sets)))})
 
-    often = some.mapInPandas(run, "key long").groupBy("key").count().filter(F.col("count") >= COMMON)
-    often = often.orderBy(F.desc("count")).limit(MOST_COMMON).select("key")
+    often = some.mapInPandas(run, "key long, class long").groupBy("key", "class").count()
+    often = often.groupBy("key").agg((F.sum("count") - F.max("count")).alias("others")).filter(F.col("others") >= COMMON)
+    often = often.orderBy(F.desc("others")).limit(MOST_COMMON).select("key")
     return np.sort(often.toPandas()["key"].to_numpy(np.int64).astype(np.uint64))
 
 
@@ -383,10 +388,14 @@ def key_pairs(members: DataFrame, similarity: float) -> DataFrame:
     return pairs.select(*ends).unionByName(hung).distinct()
 
 
-def alike_pairs(pairs: DataFrame, rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def alike_pairs(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (src, dst) whose shingle sets reach the similarity: those whose parity maps differ in more
     bits than the sets may in members go first, by the pigeonring filter and then by the whole Hamming
-    distance; the sets of the rest are compared whole."""
+    distance; the sets of the rest are compared whole.
+
+    sets (bucketed by node) are not shuffled; those of one end of the remaining pairs go to the other end's, in a join
+    that splits where many pairs have one end in common.
+    """
 
     def ends(table: DataFrame, *told: str) -> tuple[DataFrame, DataFrame]:
         return tuple(table.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{x}") for c in told]) for end, x in (("src", "a"), ("dst", "b")))
@@ -408,12 +417,17 @@ def alike_pairs(pairs: DataFrame, rows: DataFrame, texts: DataFrame, similarity:
 
     pairs = settle(pairs, "candidates")
     a, b = ends(texts, "n", "parity")
-    near = settle(pairs.join(a, "src").join(b, "dst").mapInPandas(close, "src long, dst long").distinct(), "near")
-    told = near.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    sets = settle(rows.select("node", "hashes").join(told, "node", "left_semi").dropDuplicates(["node"]), "compared")
-    a, b = ends(sets, "hashes")
-    found = settle(near.join(a, "src").join(b, "dst").mapInPandas(alike, "src long, dst long"), "alike")
-    forget(pairs, near, sets)
+    met = settle(pairs.join(a, "src").join(b, "dst").mapInPandas(close, "src long, dst long").distinct(), "met")
+    # The end with more pairs comes first: the sets of second ends are taken in their buckets.
+    degree = met.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    a, b = ends(degree, "n")
+    less = F.col("n_a") < F.col("n_b")
+    near = met.join(a, "src").join(b, "dst").select(F.when(less, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(less, F.col("src")).otherwise(F.col("dst")).alias("dst"))
+    near = settle(near, "near")
+    a, b = (sets.join(near.select(F.col(end).alias("node")).distinct(), "node", "left_semi").dropDuplicates(["node"]).select(F.col("node").alias(end), F.col("hashes").alias(name)) for end, name in (("src", "hashes_a"), ("dst", "hashes_b")))
+    a = settle(a, "compared")
+    found = settle(near.join(b, "dst").join(a, "src").mapInPandas(alike, "src long, dst long"), "alike")
+    forget(pairs, met, near, a)
     return found
 
 
@@ -434,19 +448,23 @@ def _copy_classes(docs: DataFrame, size: int, similarity: float, id_col: str, te
     """(id, mark, class) of every row with an id; see near_copy_classes."""
     key, text = F.col(id_col).cast("long"), F.col(text_col)
     read = docs.filter(key.isNotNull()).select(key.alias("id"), F.when(text.isNotNull(), F.xxhash64(text)).cast("string").alias("mark"), text.alias("text"))
-    every = settle(read.mapInPandas(partial(_shingles, size=size), "id long, mark string, node long, n long, fp long, parity binary, hashes binary"), "shingles")
-    rows = every.filter("hashes is not null")
-    texts = settle(rows.select("node", "n", "fp", "parity").distinct(), "texts")
-    first = alike_pairs(star_pairs(rows).unionByName(fingerprint_pairs(texts)).distinct(), rows, texts, similarity)
-    classes = settle(connected_components(first).select("node", F.col("component").alias("class")), "classes")
-    members = shared_keys(rows, texts, classes, similarity)
-    central = _class_links(alike_pairs(central_pairs(members), rows, texts, similarity), classes)
-    left = settle(_mixed(_raised(members, central)), "left")
-    forget(members)
-    links = _class_links(alike_pairs(key_pairs(left, similarity), rows, texts, similarity), classes)
-    told = _classes_of(every.select("id", F.col("mark").cast("long").alias("mark"), "node"), classes)
-    found = settle(_raised(told, central.unionByName(links)).select("id", "mark", "class"), "near-copies")
-    forget(every, texts, first, classes, central, left, links)
+    every = read.mapInPandas(partial(_shingles, size=size), "id long, mark string, node long, n long, fp long, parity binary, hashes binary")
+    # Rows without a set lie anywhere, so a text that many rows have fills no bucket.
+    every = every.withColumn("place", F.when(F.col("hashes").isNotNull(), F.col("node")).otherwise(F.xxhash64("id", "mark")))
+    with settled_by(every, "place", "shingles") as every:
+        rows = every.filter("hashes is not null")
+        sets = rows.select(F.col("place").alias("node"), "hashes")
+        texts = settle(rows.select("node", "n", "fp", "parity").distinct(), "texts")
+        first = alike_pairs(star_pairs(rows).unionByName(fingerprint_pairs(texts)).distinct(), sets, texts, similarity)
+        classes = settle(connected_components(first).select("node", F.col("component").alias("class")), "classes")
+        members = shared_keys(rows, texts, classes, similarity)
+        central = _class_links(alike_pairs(central_pairs(members), sets, texts, similarity), classes)
+        left = settle(_mixed(_raised(members, central)), "left")
+        forget(members)
+        links = _class_links(alike_pairs(key_pairs(left, similarity), sets, texts, similarity), classes)
+        told = _classes_of(every.select("id", F.col("mark").cast("long").alias("mark"), "node"), classes)
+        found = settle(_raised(told, central.unionByName(links)).select("id", "mark", "class"), "near-copies")
+    forget(texts, first, classes, central, left, links)
     return found
 
 

@@ -516,6 +516,27 @@ def test_families_around_one_original(spark, monkeypatch):
     assert counted[-1] < len(texts)
 
 
+@pytest.mark.parametrize("passage", [40, 130])
+def test_two_large_families_around_one_passage(spark, monkeypatch, passage):
+    """Classes that share a passage are not compared text by text: candidates stay linear, classes equal all pairs'."""
+    rng = random.Random(16)
+    vocab = a_vocabulary(rng)
+    shared, texts = rng.choices(vocab, k=passage), []
+    for _ in range(2):
+        base = rng.choices(vocab, k=120)
+        for _ in range(150):
+            copy = base + shared
+            copy[rng.randrange(len(copy))] = rng.choice(vocab)
+            texts.append(copy)
+    rng.shuffle(texts)
+    monkeypatch.setattr(simhash, "SAMPLE", 2)
+    counted = []
+    alike = simhash.alike_pairs
+    monkeypatch.setattr(simhash, "alike_pairs", lambda pairs, *a: counted.append(pairs.count()) or alike(pairs, *a))
+    assert found_classes(spark, texts) == plain_classes(texts)
+    assert len(set(plain_classes(texts))) == 2 and sum(counted[1:]) < 2 * len(texts)  # all pairs of both would be 22,500
+
+
 def plain_classes(texts, similarity=0.8):
     """Least position among chains of near copies, from all pairs."""
     sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
