@@ -6,13 +6,18 @@ Averages skip nulls, empty windows give 0, results are rounded half to even.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from collections.abc import Iterator
+from datetime import date, datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lexspark.functions.text import preview
+from lexspark.operators.lineage import settle
 from lexspark.operators.similarity import similarity_totals, top_pairs
 
 N = "*"
@@ -169,26 +174,43 @@ def top_users(activity: DataFrame, as_of: datetime, days: int = 30, limit: int =
     return rows.orderBy(F.desc("n"), "user_id").limit(limit)
 
 
+def running_counts(rows: DataFrame, order: list[str], what: str, name: str) -> DataFrame:
+    """rows with how many of them, in the given order, up to each fulfil what (a condition), as column name.
+
+    Rows are dealt out by ranges of the order and counted by range; each range then counts on from what came before,
+    so a stretch of time that is crowded spreads over many ranges and no task sorts more than its own. Rows that are
+    equal in the order are also told apart by where they were, which the caller's order must not depend on. One count
+    for each range, as many as shuffle partitions, is all that is gathered.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_on", F.expr(what).cast("long")).withColumn("_tie", F.monotonically_increasing_id())
+    dealt = dealt.repartitionByRange(ranges, *order, "_tie").sortWithinPartitions(*order, "_tie").withColumn("_range", F.spark_partition_id())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        so_far = 0
+        for batch in batches:
+            own = np.cumsum(batch.column("_on").fill_null(0).to_numpy(zero_copy_only=False)) + so_far
+            so_far = int(own[-1]) if len(own) else so_far
+            yield batch.append_column(name, pa.array(own, pa.int64()))
+
+    schema = T.StructType([*dealt.schema.fields, T.StructField(name, T.LongType())])
+    counted = settle(dealt.mapInArrow(count, schema), "counted")
+    sums = counted.groupBy("_range").agg(F.coalesce(F.sum("_on"), F.lit(0)).alias("n"))
+    before = sums.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))
+    return counted.join(F.broadcast(before), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before", "_on", "_tie")
+
+
 def document_usage(documents: DataFrame, queries: DataFrame, newest: int = 3, lagged: bool = False) -> DataFrame:
     """(document_id, query_count, total_similarity_score, last_queried, avg_similarity_score).
 
     Each query with a score credits the documents uploaded last before it. A document is among them from
     its upload to that of the third later document, so the join is on the number of uploads so far: the
-    queries' own is found by one sort of uploads and queries together, and equals a document's place or
-    one of the two after it. lagged leaves the last query out of the average, null for the first.
+    queries' own is found by one sort of uploads and queries together (running_counts), and equals a document's
+    place or one of the two after it. lagged leaves the last query out of the average, null for the first.
     """
-    # Uploads and queries are sorted by hour, and counts are carried from hour to hour by the hours' sizes.
-    day = lambda c: F.date_trunc("hour", c)
-    up = documents.select(F.col("upload_timestamp").alias("ts"), "document_id", F.lit(None).cast("double").alias("score"), F.lit(0).alias("q"))
-    asked = queries.filter("score is not null").select(F.col("timestamp").alias("ts"), F.lit(None).cast("string").alias("document_id"), "score", F.lit(1).alias("q"))
-    both = up.withColumn("document_id", F.col("document_id").cast("string")).unionByName(asked).withColumn("day", day("ts"))
-    per_day = up.groupBy(day("ts").alias("day")).agg(F.count(N).alias("n"))
-    before = per_day.select("day", (F.sum("n").over(Window.orderBy("day")) - F.col("n")).alias("before"))
-    days = both.select("day").distinct().join(before, "day", "left")
-    carried = F.coalesce("before", F.coalesce(F.last("after", ignorenulls=True).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    days = days.join(per_day, "day", "left").withColumn("after", F.col("before") + F.col("n")).select("day", carried.alias("before"))
-    own = Window.partitionBy("day").orderBy("ts", "q", "document_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = both.join(F.broadcast(days), "day").withColumn("place", F.col("before") + F.sum(1 - F.col("q")).over(own))
+    up = documents.select(F.col("upload_timestamp").alias("ts"), F.col("document_id").cast("string").alias("document_id"), F.lit(None).cast("double").alias("score"), F.lit(0).alias("q"))
+    asked = queries.filter("score is not null").select(F.col("timestamp").alias("ts"), F.lit(None).cast("string").alias("document_id"), F.col("score").cast("double").alias("score"), F.lit(1).alias("q"))
+    placed = running_counts(up.unionByName(asked).filter("ts is not null"), ["ts", "q", "document_id"], "q = 0", "place")
     by_place = placed.filter("q = 1").groupBy("place").agg(F.count(N).alias("n"), F.sum("score").alias("s"), F.max("ts").alias("last"), F.max_by("score", "ts").alias("last_score"))
     credits = placed.filter("q = 0").select("document_id", F.explode(F.sequence(F.col("place"), F.col("place") + newest - 1)).alias("place"))
     total = credits.join(by_place, "place").groupBy("document_id").agg(
@@ -238,6 +260,51 @@ def engagement(activity: DataFrame, query_types: tuple[str, ...]) -> DataFrame:
     return per.agg(F.count(N).alias("sessions"), mean("minutes", 2).alias("avg_session_minutes"), mean("q", 3).alias("avg_queries_per_session"))
 
 
+def engagement_by_gap(activity: DataFrame, query_types: tuple[str, ...], gap: str = "30 minutes") -> DataFrame:
+    """One row: sessions, their mean length in minutes and mean number of queries, where no session id is known: a
+    user's activities at most gap apart are one session. Activities without a user or a time are left out."""
+    rows = activity.filter("user_id is not null AND timestamp is not null").groupBy("user_id", F.session_window("timestamp", gap).alias("session"))
+    per = rows.agg(
+        ((F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))) / 60e6).alias("minutes"), F.count_if(F.col("activity_type").isin(*query_types)).alias("q")
+    )
+    return per.agg(F.count(N).alias("sessions"), mean("minutes", 2).alias("avg_session_minutes"), mean("q", 3).alias("avg_queries_per_session"))
+
+
+#: Size of the daily sketches: users by a HyperLogLog sketch of 2 ** SKETCH_BITS registers, whose estimate lies within
+#: USERS_ERROR of the true number with a chance of over 99 % (three standard errors), types by the KINDS most frequent ones.
+SKETCH_BITS, KINDS = 14, 1000
+USERS_ERROR = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def daily_sketches(queries: DataFrame) -> DataFrame:
+    """(day, n, time_sum, time_n, score_sum, score_n, users, types): what a day's queries add to any window of days.
+    Sums and counts are exact, users and types are sketches. Rows without a time are left out."""
+    return queries.filter("timestamp is not null").groupBy(F.to_date("timestamp").alias("day")).agg(
+        F.count(N).alias("n"), F.sum("processing_time").alias("time_sum"), F.count("processing_time").alias("time_n"),
+        F.sum("avg_similarity_score").alias("score_sum"), F.count("avg_similarity_score").alias("score_n"),
+        F.hll_sketch_agg("user_id", F.lit(SKETCH_BITS)).alias("users"), F.expr(f"approx_top_k_accumulate(query_type, {KINDS * 10})").alias("types"),
+    )
+
+
+def sketched_stats(sketches: DataFrame, first: date, last: date) -> DataFrame:
+    """query_stats of the days first to last from daily_sketches, without the log; unique_users within USERS_ERROR."""
+    days = sketches.filter(F.col("day").between(F.lit(first), F.lit(last)))
+    share = lambda total, n: F.bround(F.coalesce(F.try_divide(F.sum(total), F.sum(n)), F.lit(0.0)), 3)
+    return days.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_queries"), share("time_sum", "time_n").alias("avg_processing_time"),
+        share("score_sum", "score_n").alias("avg_similarity_score"), F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("users")), F.lit(0)).alias("unique_users"),
+    )
+
+
+def sketched_types(sketches: DataFrame, first: date, last: date, limit: int = 10) -> DataFrame:
+    """top_query_types of the days first to last from daily_sketches; exact as long as there are fewer types than the
+    sketches hold (7,500 of KINDS * 10)."""
+    days = sketches.filter(F.col("day").between(F.lit(first), F.lit(last)))
+    found = days.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(types, {KINDS * 10}), {KINDS})").alias("k"))
+    rows = found.select(F.explode("k").alias("k")).select(F.col("k.item").alias("query_type"), F.col("k.count").alias("n"))
+    return rows.orderBy(F.desc("n"), "query_type").limit(limit)
+
+
 def peak_times(activity: DataFrame, hours: int = 3, weekdays: int = 3) -> DataFrame:
     """(kind, rank, label, n): the busiest hours and weekdays."""
     def top(label: Column, kind: str, k: int) -> DataFrame:

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexspark.functions.legal import VOCABULARY
 from lexspark.functions.text import WORD
-from lexspark.operators.lineage import spread
+from lexspark.operators.lineage import settle, spread
 
 
 #: What a token must look like: letters of English, or any word characters.
@@ -32,16 +33,53 @@ def _grams(texts: DataFrame, token: str, most: int, stop_words: list[str]) -> Da
     return rows.select("id", F.explode(F.concat(*each)).alias("term"))
 
 
+def _totals(texts: DataFrame, stop_words: list[str], most: int) -> DataFrame:
+    counts = _grams(texts, LATIN, most, stop_words).groupBy("id", "term").count()
+    return counts.groupBy("term").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("df"))
+
+
+def _idf(n: Column) -> Column:
+    return F.log((1 + n) / (1 + F.col("df"))) + 1
+
+
+def term_counts(texts: DataFrame, stop_words: list[str], most: int = 2) -> DataFrame:
+    """(term, total, df): how often each term is in the texts (id, text) and in how many of them. The row of the null
+    term has the number of texts. Counts of separate sets of texts add up (add_counts)."""
+    n = texts.agg(F.count(F.lit(1)).alias("total")).select(F.lit(None).cast("string").alias("term"), "total", F.col("total").alias("df"))
+    return _totals(texts, stop_words, most).unionByName(n)
+
+
+def add_counts(*counts: DataFrame) -> DataFrame:
+    """The counts of all the texts that these are counts of."""
+    return reduce(DataFrame.unionByName, counts).groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+
+
+def model_of(counts: DataFrame, features: int = 1000) -> DataFrame:
+    """(term, idf) of the most frequent terms, ties to the lesser term, as fit_tfidf gives it for the texts counted."""
+    n = counts.filter("term is null").agg(F.sum("total").alias("n"))
+    top = counts.filter("term is not null").orderBy(F.desc("total"), "term").limit(features)
+    return top.crossJoin(F.broadcast(n)).select("term", _idf(F.col("n")).alias("idf"))  # one row
+
+
 def fit_tfidf(texts: DataFrame, stop_words: list[str], features: int = 1000, most: int = 2) -> DataFrame:
     """(term, idf) of the terms most frequent in the corpus, ties to the lesser term.
 
     texts: id, text. Counts are combined before they are shuffled; the model is bounded by features.
     """
     n = texts.count()
-    counts = _grams(texts, LATIN, most, stop_words).groupBy("id", "term").count()
-    totals = counts.groupBy("term").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("df"))
-    top = totals.orderBy(F.desc("total"), "term").limit(features)
-    return top.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    top = _totals(texts, stop_words, most).orderBy(F.desc("total"), "term").limit(features)
+    return top.select("term", _idf(F.lit(n)).alias("idf"))
+
+
+def store_counts(texts: DataFrame, root: str, batch: int, stop_words: list[str], most: int = 2) -> None:
+    """Add a batch of new texts to the counts stored under root; a batch that is added again replaces itself. Nothing
+    else is read or written."""
+    term_counts(texts, stop_words, most).write.mode("overwrite").parquet(f"{root}/batch={batch}")
+
+
+def stored_model(spark: SparkSession, root: str, features: int = 1000) -> DataFrame:
+    """The model of all texts whose counts are stored under root."""
+    return model_of(settle(add_counts(spark.read.parquet(root).select("term", "total", "df")), "counts"), features)
 
 
 def fixed_vocabulary(texts: DataFrame, stop_words: list[str]) -> DataFrame:

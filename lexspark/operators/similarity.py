@@ -44,7 +44,7 @@ def near_blocks(pivots: np.ndarray, reach: np.ndarray, least: float) -> np.ndarr
     return np.argwhere(np.triu(near))
 
 
-def similar_documents(docs: DataFrame, least: float = 0.7) -> DataFrame:
+def similar_documents(docs: DataFrame, least: float = 0.7, new: Column | None = None) -> DataFrame:
     """(doc1_id, doc2_id, similarity_score) of pairs doc1_id < doc2_id at least that similar by cosine.
 
     docs: doc_id, embedding. Documents are grouped around the nearest of at most PIVOTS of their own vectors,
@@ -52,8 +52,14 @@ def similar_documents(docs: DataFrame, least: float = 0.7) -> DataFrame:
     similar pair, so clustered vectors meet few others, and every pair is found all the same. A task multiplies
     two matrices and returns the pairs above the threshold only. Vectors without length are similar to
     nothing (to all, if least is not above 0). Repeated rows are compared like others.
+
+    new, a condition on docs, limits the pairs to those that it holds for one document of at least: what new documents
+    add to the pairs of a collection. Documents that it does not hold for lie in blocks of their own, which do not
+    meet each other.
     """
-    rows = settle(docs.filter("embedding is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding")), "documents")
+    fresh = F.lit(True) if new is None else F.coalesce(new, F.lit(False))
+    held = docs.filter("embedding is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"), fresh.alias("new"))
+    rows = settle(held, "documents")
     n = rows.count()
     wanted = min(PIVOTS, max(1, n // BLOCK))
     chosen = rows.filter(F.exists("embedding", lambda x: x != 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(wanted).toPandas()
@@ -73,21 +79,21 @@ def similar_documents(docs: DataFrame, least: float = 0.7) -> DataFrame:
     if wanted == 1:  # one group meets itself, whatever its angles
         grouped, reach[0], parts[0] = rows.withColumns({"own": F.lit(0), "angle": F.lit(np.pi)}), np.pi, -(-n // BLOCK) or 1
     else:
-        grouped = settle(rows.mapInPandas(assign, "doc_id long, embedding array<double>, own int, angle double"), "groups")
+        grouped = settle(rows.mapInPandas(assign, "doc_id long, embedding array<double>, new boolean, own int, angle double"), "groups")
         for r in grouped.groupBy("own").agg(F.max("angle").alias("angle"), F.count(F.lit(1)).alias("n")).collect():  # one row a pivot
             reach[r["own"]], parts[r["own"]] = r["angle"], -(-r["n"] // BLOCK)
     held = np.flatnonzero(reach >= 0)
     pairs = held[near_blocks(shared.value[held], reach[held], least)]
     meets = spark.createDataFrame(pd.DataFrame(pairs, columns=["i", "j"]).astype("int32"), "i int, j int")
     sizes = F.array(*[F.lit(int(k)) for k in parts])
-    placed = grouped.withColumn("block", F.pmod(F.xxhash64("doc_id"), sizes[F.col("own")]).cast("int"))
-    one = placed.join(meets, placed["own"] == meets["i"]).select(
-        "doc_id", "embedding", "i", "j", F.col("block").alias("a"), F.explode(F.sequence(F.lit(0), sizes[F.col("j")] - 1)).alias("b"), F.lit(0).alias("side")
-    )
-    two = placed.join(meets, placed["own"] == meets["j"]).select(
-        "doc_id", "embedding", "i", "j", F.explode(F.sequence(F.lit(0), sizes[F.col("i")] - 1)).alias("a"), F.col("block").alias("b"), F.lit(1).alias("side")
-    )
-    met = one.unionByName(two).filter((F.col("i") != F.col("j")) | (F.col("a") <= F.col("b")))
+    # Blocks of new documents have even numbers, those of others odd ones; two odd blocks do not meet.
+    block = F.pmod(F.xxhash64("doc_id"), sizes[F.col("own")]).cast("int") * 2 + F.when(F.col("new"), 0).otherwise(1)
+    placed = grouped.withColumn("block", block)
+    step = 2 if new is None else 1
+    every = lambda end: F.explode(F.sequence(F.lit(0), sizes[F.col(end)] * 2 - 1, F.lit(step)))
+    one = placed.join(meets, placed["own"] == meets["i"]).select("doc_id", "embedding", "i", "j", F.col("block").alias("a"), every("j").alias("b"), F.lit(0).alias("side"))
+    two = placed.join(meets, placed["own"] == meets["j"]).select("doc_id", "embedding", "i", "j", every("i").alias("a"), F.col("block").alias("b"), F.lit(1).alias("side"))
+    met = one.unionByName(two).filter((F.col("i") != F.col("j")) | (F.col("a") <= F.col("b"))).filter((F.col("a") % 2 == 0) | (F.col("b") % 2 == 0))
 
     def meet(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         i, j, a, b = key
@@ -208,6 +214,24 @@ def band(score: Column, of_pairs: bool = True) -> Column:
     return F.when(score > high, "high").when(score > medium, "medium").otherwise("low")
 
 
+def grown_clusters(found: DataFrame, pairs: DataFrame, above: float = 0.8) -> DataFrame:
+    """clusters of old and new pairs, from the clusters found (doc_id, cluster_id) of the old and the new pairs alone.
+
+    New pairs are taken between clusters, so what is connected anew is as large as the new pairs."""
+    edges = settle(pairs.filter(F.col("similarity_score") > above).select(F.col("doc1_id").alias("src"), F.col("doc2_id").alias("dst")), "edges")
+    known = found.select("doc_id", "cluster_id")
+    lone = edges.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct().join(known, "doc_id", "left_anti")
+    for end in ("src", "dst"):
+        own = known.select(F.col("doc_id").alias(end), F.col("cluster_id").alias("own"))
+        edges = edges.join(own, end, "left").withColumn(end, F.coalesce("own", end)).drop("own")
+    joined = settle(connected_components(edges), "joined")
+    every = known.unionByName(lone.select("doc_id", F.col("doc_id").alias("cluster_id")))
+    every = every.join(joined.select(F.col("node").alias("cluster_id"), "component"), "cluster_id", "left")
+    every = every.select("doc_id", F.coalesce("component", "cluster_id").alias("cluster_id"))
+    sizes = every.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
+    return every.join(sizes, "cluster_id").select("doc_id", "cluster_id", "cluster_size")
+
+
 def clusters(pairs: DataFrame, above: float = 0.8) -> DataFrame:
     """(doc_id, cluster_id, cluster_size) of documents linked by pairs above the threshold."""
     edges = pairs.filter(F.col("similarity_score") > above).select(F.col("doc1_id").alias("src"), F.col("doc2_id").alias("dst"))

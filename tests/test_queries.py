@@ -2,7 +2,7 @@
 
 import pytest
 
-from lexspark import catalog
+from lexspark import catalog, catalog_stores  # noqa: F401
 from tests.compare import same
 from tests.conftest import SF
 
