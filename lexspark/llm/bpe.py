@@ -181,7 +181,11 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded, and its ids decoded again."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded, and its ids decoded again.
+
+    Null and empty texts have no ids, so the digests are those of an empty text; repeated rows each get a row; a null
+    doc_id stays null; an empty table gives no rows; other columns are not read.
+    """
     coded = bpe_decode(bpe_encode(docs.select("doc_id", "text"), path).select("doc_id", "ids"), path)
     return coded.select(
         "doc_id",

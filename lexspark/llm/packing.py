@@ -187,7 +187,8 @@ def pack_documents(
     for near equal windows. Each task gathers pieces for about group windows, up to a little under a whole
     number of them, and packs them by differencing, so memory is bounded, nothing is shuffled, and a lost
     task is simply run again. sequence_id counts within a partition, whose number is in its upper bits.
-    Repeated rows are packed each on their own, null ids stay null; other columns are not read.
+    Repeated rows are packed each on their own, null ids stay null, an empty table gives no rows; other columns are
+    not read.
     """
     with open(path, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())

@@ -327,8 +327,13 @@ class SpanModel:
 
 def train_spans(found: DataFrame) -> SpanModel:
     """Reliabilities from counted vote patterns, then a naive Bayes classifier on feature counts, each span
-    weighed by its posterior; the classifier alone decides. What is collected is bounded: kinds x 3^voters
-    patterns, kinds x FEATURES counts."""
+    weighed by its posterior.
+
+    The classifier's weights of votes are the reliabilities that expectation-maximisation has found; those of features
+    are learned from the posteriors. So its odds are the labelers' posterior, corrected by what spans of that
+    posterior look like. It decides on all candidates but those that fail their kind's check, which accepted leaves
+    out first (addresses have no check). What is collected is bounded: kinds x 3^voters patterns, kinds x FEATURES
+    counts."""
     spans = found.select(F.explode("found").alias("s")).select("s.kind", "s.votes", "s.features")
     counted = spans.groupBy("kind", "votes").count().toPandas()
     shares = {}

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from lexspark.llm import html_layout, langid, ring
+from lexspark.llm import html_layout, langid, packing, ring
 
 
 @pytest.mark.parametrize("n", [200, 1000])
@@ -87,3 +87,16 @@ def test_slots_do_not_depend_on_how_they_are_ranked(spark, monkeypatch):
         assert sorted(map(str, ring.ring_shards(docs.repartition(3)).collect())) == want
     for shard, rows in ring.ring_shards(docs).toPandas().groupby("shard"):
         assert sorted(rows["slot"]) == list(range(len(rows))) and abs(len(rows) - 3500 / 16) < 1, shard
+
+
+def test_differencing_balances():
+    """Sums of the parts lie within the largest size of each other, and far closer where sizes are many and random."""
+    rng = random.Random(11)
+    for k, n, most in ((10, 200, 256), (32, 700, 256), (3, 40, 50), (7, 7, 100)):
+        sizes = [rng.randint(1, most) for _ in range(n)]
+        parts = packing.differencing(sizes, k)
+        assert sorted(x for part in parts for x in part) == list(range(n)) and len(parts) == k
+        sums = [sum(sizes[x] for x in part) for part in parts]
+        assert max(sums) - min(sums) <= (max(sizes) if n < 10 * k else 0.05 * max(sizes))
+    even = [256] * 80
+    assert {sum(even[x] for x in part) for part in packing.differencing(even, 10)} == {2048}
