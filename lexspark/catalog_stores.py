@@ -11,15 +11,19 @@ from pyspark.sql import functions as F
 from lexspark import catalog
 from lexspark.catalog import CHUNKS_SQL, STOP_WORDS, query
 from lexspark.operators import analytics, embed, similarity, vector_index
-from lexspark.operators.lineage import settle, shared_dir
+from lexspark.operators.lineage import folder, settle, shared_dir
 from lexspark.sources import folders, tables
 from lexspark.sources.chunk_store import ChunkStore, KeyedLog
 from lexspark.streaming import jobs
 
 
 def _place(df: DataFrame) -> str:
-    """A folder of its own in the shared one."""
-    return f"{shared_dir(df.sparkSession)}/lexspark-store-{uuid.uuid4().hex}"
+    """A folder of its own in the shared one, not there yet, that goes when the driver's JVM ends."""
+    path = f"{shared_dir(df.sparkSession)}/lexspark-store-{uuid.uuid4().hex}"
+    at, files = folder(df.sparkSession, path)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return f"{path}/store"
 
 
 # Files and tables
