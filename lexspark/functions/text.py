@@ -6,7 +6,6 @@ import re
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, MapType, NumericType, StringType, StructType
@@ -15,9 +14,14 @@ from lexspark.functions.vectors import let
 
 #: Character classes with Unicode meaning, for Java's matcher.
 WORD = r"[\p{L}\p{N}_]"
-WIDE_BLANKS = r"\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-BLANK = rf"[\s{WIDE_BLANKS}]"
-NO_BLANK = rf"[^\s{WIDE_BLANKS}]"
+# Java looks single characters up to U+00FF up in one table, but tries ranges and others one after the other: blanks
+# beyond are tried only where one may be, and printable ASCII is no blank at the first try.
+WIDE_BLANKS = r"\x1c\x1d\x1e\x1f\x85\xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+BREAKS = r"\t\n\x0b\f\r"
+BLANK = rf"[ {BREAKS}{WIDE_BLANKS}]"
+NO_BLANK = rf"[!-~[^ {BREAKS}{WIDE_BLANKS}]]"
+#: The same blanks one by one.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: Where a word begins, before a word character, and ends, after one.
 START, END = rf"(?<!{WORD})", rf"(?!{WORD})"
 
@@ -35,12 +39,18 @@ def word_count(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
+    """The text without blanks at its ends, which alone are looked at."""
+    return F.trim(text, F.lit(BLANKS))
+
+
+def has_words(text: Column) -> Column:
+    """Whether a text has any but blank characters."""
+    return text.rlike(NO_BLANK)
 
 
 def collapse(text: Column) -> Column:
     """Each run of blanks as one space; single spaces are passed over."""
-    return F.regexp_replace(text, rf" {BLANK}+|[\t-\r{WIDE_BLANKS}]{BLANK}*", " ")
+    return F.regexp_replace(text, rf" {BLANK}+|[{BREAKS}{WIDE_BLANKS}]{BLANK}*", " ")
 
 
 #: (sign, pattern, replacement) of the legal forms; a pattern is tried only in texts with its sign.
@@ -78,6 +88,10 @@ REPLACED = {"–": "-", "—": "-", "…": "...", "€": "EUR", "£": "GBP", "°
 KEPT_SIGNS = ".,!?;:()[]{}\"'-/\\@#$%^&*+=<>|`~"
 
 
+#: Control characters other than tabs and line ends.
+CONTROLS = re.compile(r"[\x00-\x08\x0b-\x1f]")
+
+
 def _spelled(c: str) -> str:
     """What a character outside ASCII decomposes to in ASCII; nothing for other ASCII characters."""
     return unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() if ord(c) > 127 else ""
@@ -88,19 +102,18 @@ def clean(text: str | None) -> str:
     if not text:
         return ""
     text = unicodedata.normalize("NFKD", text)
-    text = "".join(c for c in text if ord(c) >= 32 or c in "\n\t")
+    text = CONTROLS.sub("", text)
     for sign, spelled in REPLACED.items():
         text = text.replace(sign, spelled)
     text = re.sub(r"\s+", " ", text).strip()
-    if text and sum(map(str.isascii, text)) / len(text) < 0.5:
+    if text and len(text.encode("ascii", "ignore")) / len(text) < 0.5:
         kept = [c if c.isalnum() or c.isspace() or c in KEPT_SIGNS else _spelled(c) for c in text]
         text = re.sub(r"\s+", " ", "".join(kept)).strip()
     return text
 
 
-@F.pandas_udf(StringType())
-def _clean(texts: pd.Series) -> pd.Series:
-    return texts.map(clean)
+# Row by row: a worker holds a hundred rows at most, whatever the lengths of texts, where Arrow brings ten thousand.
+_clean = F.udf(clean, StringType(), useArrow=False)
 
 
 def clean_text(text: Column) -> Column:
@@ -112,17 +125,23 @@ def clean_text(text: Column) -> Column:
 
 
 def _length_without(text: Column, dropped: str) -> Column:
-    return F.length(F.regexp_replace(text, dropped, ""))
+    """The length without runs of a class of characters."""
+    return F.length(F.regexp_replace(text, f"{dropped}+", ""))
 
 
 def is_garbled(text: Column) -> Column:
     """Whether a text looks like broken extraction: short, few ASCII characters or letters, odd share of
-    blanks, or few distinct characters for its length. Null counts as garbled."""
+    blanks, or few distinct characters for its length. Null counts as garbled.
+
+    No text has more distinct characters than there are in ASCII and others in it: one that is garbled by this bound
+    is not taken apart."""
     n = F.nullif(F.length(text), F.lit(0))
+    others = _length_without(text, r"[\x00-\x7f]")
     spaces = n - _length_without(text, BLANK)
     distinct = F.size(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")))
     return F.coalesce(
-        (F.length(strip(text)) < 10)
+        (n * F.lit(0.1) > others + 128)
+        | (F.length(strip(text)) < 10)
         | (_length_without(text, r"[^\x00-\x7f]") / n < 0.3)
         | (_length_without(text, r"[^\p{L}]") / n < 0.2)
         | (spaces / n > 0.8)

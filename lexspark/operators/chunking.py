@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions.legal import section_type
-from lexspark.functions.text import BLANK, preprocess_legal, preprocess_sentences, strip, word_count
+from lexspark.functions.text import BLANK, has_words, preprocess_legal, preprocess_sentences, strip, word_count
+from lexspark.functions.vectors import let
 from lexspark.operators.lineage import spread
 
 #: Patterns that begin a section, in the order in which they are tried (fixed values).
@@ -164,23 +165,19 @@ def enhanced_chunks(docs: DataFrame, repeat_paragraphs: bool = True, limit: int
     chunk = lambda text, kind, sub: F.struct(text.alias("text"), kind.alias("section_type"), sub.alias("is_subsection"))
     counted = lambda x: F.struct(x.alias("text"), word_count(x).alias("n"))
     marked = docs.select("doc_id", preprocess_sentences(F.coalesce("text", F.lit(""))).alias("marked"))
-    parts = marked.select(
-        "doc_id",
-        F.transform(F.filter(F.split("marked", rf"\n{BLANK}*SECTION{BLANK}*"), lambda s: strip(s) != ""), counted).alias("sections"),
-        F.transform(F.split("marked", rf"(?<=[.!?]){BLANK}+"), counted).alias("sentences"),
-    )
-    subsections = lambda s: F.filter(F.split(s, rf"\n{BLANK}*SUBSECTION{BLANK}*"), lambda x: strip(x) != "")
-    cut = F.flatten(
-        F.transform(
-            "sections",
-            lambda s: F.when(
-                s["n"] > limit, F.transform(subsections(s["text"]), lambda x: chunk(strip(x), section_type(s["text"]), s["text"].contains("SUBSECTION")))
-            ).otherwise(F.array(chunk(strip(s["text"]), section_type(s["text"]), F.lit(False)))),
-        )
-    )
-    rows = parts.select("doc_id", cut.alias("cut"), pack_sentences(F.col("sentences"), limit).alias("packed"))
-    paragraphs = F.transform("packed", lambda x: chunk(x, F.lit("paragraph"), F.lit(False)))
+    sections = F.transform(F.filter(F.split("marked", rf"\n{BLANK}*SECTION{BLANK}*"), has_words), counted)
+    subsections = lambda s: F.filter(F.split(s, rf"\n{BLANK}*SUBSECTION{BLANK}*"), has_words)
+
+    def parts(s: Column) -> Column:
+        kind = let(section_type(s["text"]), lambda k: F.transform(subsections(s["text"]), lambda x: chunk(strip(x), k, s["text"].contains("SUBSECTION"))))
+        return F.when(s["n"] > limit, kind).otherwise(F.array(chunk(strip(s["text"]), section_type(s["text"]), F.lit(False))))
+
+    rows = marked.select("doc_id", "marked", F.flatten(F.transform(sections, parts)).alias("cut"))
+    # Sentences are looked for only where they are needed, after blanks only.
+    sentences = F.transform(F.split("marked", rf"(?={BLANK})(?<=[.!?]){BLANK}+"), counted)
+    paragraphs = F.transform(pack_sentences(sentences, limit), lambda x: chunk(x, F.lit("paragraph"), F.lit(False)))
     both = F.concat("cut", paragraphs) if repeat_paragraphs else paragraphs
     rows = rows.select("doc_id", F.when(F.size("cut") <= 1, both).otherwise(F.col("cut")).alias("chunks"))
-    rows = rows.select("doc_id", F.posexplode(F.filter("chunks", lambda c: word_count(c["text"]) >= least)).alias("chunk_index", "c"))
-    return rows.select("doc_id", "chunk_index", "c.text", "c.section_type", "c.is_subsection", word_count(F.col("c.text")).alias("chunk_size"))
+    sized = F.transform("chunks", lambda c: F.struct(c.alias("c"), word_count(c["text"]).alias("n")))
+    rows = rows.select("doc_id", F.posexplode(F.filter(sized, lambda x: x["n"] >= least)).alias("chunk_index", "x"))
+    return rows.select("doc_id", "chunk_index", "x.c.text", "x.c.section_type", "x.c.is_subsection", F.col("x.n").alias("chunk_size"))
