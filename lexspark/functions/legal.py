@@ -193,14 +193,15 @@ def legal_score(text: Column) -> Column:
     return F.least(F.coalesce(density, F.lit(0.0)), F.lit(1.0))
 
 
-def complexity_score(text: Column) -> Column:
-    """Of sentence length, legal terms and citations; NaN without a sentence."""
+def complexity_score(text: Column, legal: Column | None = None) -> Column:
+    """Of sentence length, legal terms and citations; NaN without a sentence. legal: the text's legal_score, where it
+    is there already."""
     sizes = F.transform(F.split(text, "[.!?]+"), word_count)
     state = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"))
     add = lambda a, n: F.struct((a["n"] + (n > 0).cast("int")).alias("n"), (a["words"] + n).alias("words"))
     none = F.lit(float("nan"))
     length = F.aggregate(sizes, state, add, lambda a: F.when(a["n"] == 0, none).otherwise(F.least(a["words"] / a["n"] / 20, F.lit(1.0))))
-    return length * 0.4 + legal_score(text) * 0.4 + F.least(F.size(citations(text)) / 10, F.lit(1.0)) * 0.2
+    return length * 0.4 + (legal_score(text) if legal is None else legal) * 0.4 + F.least(F.size(citations(text)) / 10, F.lit(1.0)) * 0.2
 
 
 def entities(text: Column) -> Column:

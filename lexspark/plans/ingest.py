@@ -36,11 +36,11 @@ def ingest(docs: DataFrame, as_of: datetime, size: int = 1000, overlap: int = 20
     cleaning is not done again for the search of copies."""
     rows = deduplicate(settle(process_documents(docs.filter(strip(F.col("text")) != ""), as_of), "processed"))
     kept = rows.select("doc_id", "source", "document_hash", "legal_document_type", "legal_terms", "processed_at", "text")
-    chunks = chunk_documents(kept, size, overlap)
     text = F.col("text")
+    chunks = chunk_documents(kept, size, overlap).withColumn("legal_score", legal.legal_score(text))
     return chunks.withColumns(
         {
-            "section_type": legal.section_type(text), "legal_score": legal.legal_score(text), "complexity_score": legal.complexity_score(text),
+            "section_type": legal.section_type(text), "complexity_score": legal.complexity_score(text, F.col("legal_score")),
             "entities": legal.entities(text), "embedding": unit_hash_embedding(text) if unit else repeated_hash_embedding(text),
             "embedding_model": F.lit("unit_hash" if unit else "repeated_hash"), "embedding_dimension": F.lit(DIMENSION),
         }
@@ -51,15 +51,16 @@ def analyse(docs: DataFrame, repeat_paragraphs: bool = True) -> tuple[DataFrame,
     """(chunks, documents) of the enhanced form: annotated chunks with the document's citations that occur
     in them, and one row of analysis per document."""
     text = F.col("text")
-    chunks = enhanced_chunks(docs, repeat_paragraphs)
+    chunks = enhanced_chunks(docs, repeat_paragraphs).withColumn("legal_score", legal.legal_score(text))
+    scores = ["legal_score", "complexity_score"]
+    chunks = chunks.withColumn("complexity_score", legal.complexity_score(text, F.col("legal_score")))
+    per = chunks.groupBy("doc_id").agg(F.avg("complexity_score").alias("legal_complexity"), F.count(F.lit(1)).alias("chunks_created"), F.sum("chunk_size").alias("total_tokens"))
     cited = docs.select("doc_id", F.array_distinct(legal.citations(F.coalesce("text", F.lit("")))).alias("all"))
     chunks = chunks.join(cited, "doc_id").withColumns(
         {
             "precedents": F.filter("all", lambda c: text.contains(c)), "legal_entities": legal.entities(text),
-            "legal_score": legal.legal_score(text), "complexity_score": legal.complexity_score(text),
         }
-    ).drop("all")
-    per = chunks.groupBy("doc_id").agg(F.avg("complexity_score").alias("legal_complexity"), F.count(F.lit(1)).alias("chunks_created"), F.sum("chunk_size").alias("total_tokens"))
+    ).drop("all").select(*[c for c in chunks.columns if c not in scores], "precedents", "legal_entities", *scores)
     found = docs.select("doc_id", legal.citations(text).alias("c"), legal.vocabulary_terms(text).alias("t"), "text")
     rows = found.select(
         "doc_id", (F.size("c") + F.size("t")).alias("total_entities"), F.size("c").alias("precedent_count"), F.slice("t", 1, 10).alias("key_legal_terms"),
