@@ -532,8 +532,8 @@ def document_types(planted: DataFrame) -> DataFrame:
 
 @query("planted", sql=f"SELECT doc_id, round({_legal_sql('text')}, 6) AS legal_score, round({_complexity_sql('text')}, 6) AS complexity_score FROM planted")
 def legal_scores(planted: DataFrame) -> DataFrame:
-    t = F.col("text")
-    return spread(planted).select("doc_id", F.round(legal.legal_score(t), 6).alias("legal_score"), F.round(legal.complexity_score(t), 6).alias("complexity_score"))
+    rows = spread(planted).select("doc_id", "text", legal.legal_score(F.col("text")).alias("score"))
+    return rows.select("doc_id", F.round("score", 6).alias("legal_score"), F.round(legal.complexity_score(F.col("text"), F.col("score")), 6).alias("complexity_score"))
 
 
 #: Terms that make a text's citations more relevant (fixed values).
