@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from lexspark.llm.memory import trim
 
 BUCKETS = 1 << 16
-#: Labelled rows that the trusted target and the threshold are fitted on, at most about.
-LABELLED = 200_000
 #: Bins of the histogram of labelled scores, and its range.
 BINS, SPAN = 2000, 10.0
 SYMBOLS = b"#*$%&|<>"
@@ -85,23 +83,21 @@ class QualityModel:
     threshold: float
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, good) of the labelled rows, thinned by the hash of their id beyond LABELLED, one row for each id."""
+def _labelled(labels: DataFrame) -> DataFrame:
+    """(id, good) of every labelled id, several labels as their worst."""
     rows = labels.select(F.col("doc_id").cast("long").alias("id"), (F.col("quality") == 1).cast("int").alias("good")).dropna()
-    share = LABELLED / max(LABELLED, rows.count())
-    rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     return rows.groupBy("id").agg(F.min("good").alias("good"))
 
 
 def train_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """The hashed word and word-pair multinomials of good labelled documents and of all documents.
 
-    The corpus multinomial counts every document; the target and the threshold come from labelled rows
-    (all of them up to LABELLED, a broadcast bounded by that). The threshold is the one that best tells
+    The corpus multinomial counts every document; the target and the threshold come from all labelled rows, which
+    are joined by Spark's choice: few labels travel to the documents, many are shuffled with them. The threshold is the one that best tells
     good from bad labelled documents by mean recall, the lowest among equals, from a histogram; without
     labels of both kinds every text passes.
     """
-    marked = F.broadcast(_labelled(docs, labels))
+    marked = _labelled(labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(marked, "id", "left").select("text", "good")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
