@@ -16,6 +16,8 @@ from lexspark.operators.lineage import settle
 
 #: Documents of a block; a task compares two blocks. Pivots that documents are grouped around, at most.
 BLOCK, PIVOTS = 2000, 2048
+#: Vectors of a part that meet in one task where a band's value is shared by many; they are multiplied a BLOCK at a time.
+PART = 8000
 
 
 def centroids(chunks: DataFrame, dimension: int) -> DataFrame:
@@ -114,22 +116,31 @@ def bands_for(least: float, bits: int, recall: float) -> int:
     return max(1, int(np.ceil(np.log(1 - recall) / np.log1p(-same)))) if same < 1 else 1
 
 
+def bits_for(n: int, least: float, recall: float) -> int:
+    """How many signs to a band send the fewest copies of n vectors to tasks: a vector goes to each band, and in it to
+    each part of the vectors that share its value. Without signs (0) one band holds all vectors, so all are compared."""
+    spare = int(np.clip(np.ceil(np.log2(max(n, 2) / 32)), 4, 24))  # some tens of unlike vectors to a value
+    return min((0, *range(4, spare + 1)), key=lambda k: (bands_for(least, k, recall) * max(1.0, n / 2**k / PART), -k))
+
+
 def similar_documents_banded(docs: DataFrame, least: float = 0.7, bits: int | None = None, recall: float = 0.95, seed: int = 7) -> DataFrame:
     """(doc1_id, doc2_id, similarity_score) of pairs doc1_id < doc2_id at least that similar by cosine: each with a
     chance of recall or more, and no others.
 
     docs: doc_id, embedding. A vector's signs on random directions are cut into bands of bits each; vectors that agree
     in a whole band meet, and their exact cosine decides. Two vectors of cosine least agree in enough bands
-    (bands_for). More bits keep unlike vectors apart, at the price of more bands; by default as many as leave some
-    tens of unlike vectors to a band's value. Evenly spread vectors, which no bound of similar_documents keeps apart,
-    meet few others so. Values that many vectors share are met in parts of BLOCK, and a pair is given by the first
-    band that it shares only, so nothing is deduplicated. Vectors without length are left out; repeated rows are
-    compared like others; an empty table gives no rows.
+    (bands_for). More bits keep unlike vectors apart, at the price of more bands, each of which gets a copy of every
+    vector; by default as many as send the fewest copies (bits_for). Where a low threshold or a high recall asks for
+    more bands than there are parts of all vectors, that is none: all parts meet, and no pair is left out. Values that
+    many vectors share are met in parts of PART, and a pair is given by the first band that it shares only, so nothing
+    is deduplicated. Vectors without length are left out; repeated rows are compared like others; an empty table
+    gives no rows.
     """
     rows = docs.filter(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
-    rows = settle(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding")), "documents")
+    kind = "float" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "double"  # floats travel as such
+    rows = settle(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding")), "documents")
     n = rows.count()
-    bits = bits or int(np.clip(np.ceil(np.log2(max(n, 2) / 32)), 4, 24))
+    bits = bits_for(n, least, recall) if bits is None else bits
     bands = bands_for(least, bits, recall)
 
     def signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,27 +152,39 @@ def similar_documents_banded(docs: DataFrame, least: float = 0.7, bits: int | No
                 cut = np.random.default_rng(seed).standard_normal((v.shape[1], bands * bits))
                 yield part.assign(keys=list((v @ cut > 0).reshape(len(v), bands, bits) @ powers))
 
-    keyed = settle(rows.mapInPandas(signs, "doc_id long, embedding array<double>, keys array<long>"), "signs")
+    if bits:
+        keyed = settle(rows.mapInPandas(signs, f"doc_id long, embedding array<{kind}>, keys array<long>"), "signs")
+    else:
+        keyed = rows.withColumn("keys", F.array(F.lit(0).cast("long")))
     placed = keyed.select("doc_id", "keys", F.posexplode("keys").alias("band", "key"))
-    sizes = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    sizes = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     # A part meets itself and those after it: its rows go to each such pair of parts.
-    placed = placed.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    placed = keyed.select("*", F.posexplode("keys").alias("band", "key")).join(sizes, ["band", "key"])
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.select("doc_id", "band", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
-    met = placed.join(keyed, "doc_id")
+    met = placed.select("doc_id", "embedding", "keys", "band", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
 
     def meet(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         band, _, a, b = key
         left, right = (part, part) if a == b else (part[part["own"] == a], part[part["own"] == b])
-        if not len(left) or not len(right):
-            return pd.DataFrame({"doc1_id": [], "doc2_id": [], "similarity_score": []})
-        score = _unit(_rows(left["embedding"])) @ _unit(_rows(right["embedding"])).T
-        ids, others = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
-        x, y = np.nonzero((score >= least) & ((ids[:, None] < others[None, :]) if a == b else (ids[:, None] != others[None, :])))
-        keys, also = (np.array(p["keys"].tolist(), dtype=np.int64)[at, :band] for p, at in ((left, x), (right, y)))
-        first = ~(keys == also).any(axis=1)
-        x, y = x[first], y[first]
-        return pd.DataFrame({"doc1_id": np.minimum(ids[x], others[y]), "doc2_id": np.maximum(ids[x], others[y]), "similarity_score": score[x, y]})
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(left) and len(right):
+            one, two = _unit(_rows(left["embedding"])), _unit(_rows(right["embedding"]))
+            ids, others = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
+            if band:
+                keys, also = (np.array(p["keys"].tolist(), dtype=np.int64)[:, :band] for p in (left, right))
+            for i in range(0, len(one), BLOCK):
+                for j in range(0, len(two), BLOCK):
+                    score = one[i : i + BLOCK] @ two[j : j + BLOCK].T
+                    x, y = np.nonzero(score >= least)
+                    near = score[x, y]
+                    x, y = x + i, y + j
+                    kept = ids[x] < others[y] if a == b else ids[x] != others[y]
+                    if band:
+                        kept &= ~(keys[x] == also[y]).any(axis=1)
+                    out.append((ids[x[kept]], others[y[kept]], near[kept]))
+        x, y, score = map(np.concatenate, zip(*out, strict=True))
+        return pd.DataFrame({"doc1_id": np.minimum(x, y), "doc2_id": np.maximum(x, y), "similarity_score": score})
 
     return met.groupBy("band", "key", "a", "b").applyInPandas(meet, "doc1_id long, doc2_id long, similarity_score double")
 
