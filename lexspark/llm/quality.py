@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.llm.memory import trim
+from lexspark.operators.lineage import forget, settle
 
 BUCKETS = 1 << 16
+#: Words of 64 bits in the filter of labelled ids, at most: a broadcast of some 40 MB.
+FILTER_WORDS = 1 << 19
 #: Bins of the histogram of labelled scores, and its range.
 BINS, SPAN = 2000, 10.0
 SYMBOLS = b"#*$%&|<>"
@@ -89,16 +92,31 @@ def _labelled(labels: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min("good").alias("good"))
 
 
+def _apart(docs: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(text, good) of the rows that may be labelled, good being null where they are not, and of all other rows.
+
+    A filter of FILTER_WORDS words tells them apart where they lie, so the texts that it admits are shuffled alone. The join
+    is a shuffled one whatever the size of the labels.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(64 * FILTER_WORDS)).alias("bit")
+    word, mask = F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, CAST(bit % 64 AS INT)) AS mask")
+    words = marked.select(bit).select(word, mask).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").select("id", "text", bit).select("id", "text", word, mask)
+    rows = rows.join(F.broadcast(words), "word", "left").withColumn("maybe", F.col("id").isNotNull() & F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) != 0, F.lit(False)))
+    near = rows.filter("maybe").select("id", "text").join(marked.hint("shuffle_hash"), "id", "left")
+    return near.select("text", "good"), rows.filter("not maybe").select("text", F.lit(None).cast("int").alias("good"))
+
+
 def train_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """The hashed word and word-pair multinomials of good labelled documents and of all documents.
 
-    The corpus multinomial counts every document; the target and the threshold come from all labelled rows, which
-    are joined by Spark's choice: few labels travel to the documents, many are shuffled with them. The threshold is the one that best tells
+    The corpus multinomial counts every document; the target and the threshold come from all labelled rows, whose
+    texts are shuffled once to their labels. The threshold is the one that best tells
     good from bad labelled documents by mean recall, the lowest among equals, from a histogram; without
     labels of both kinds every text passes.
     """
-    marked = _labelled(labels)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(marked, "id", "left").select("text", "good")
+    near, rest = _apart(docs, _labelled(labels))
+    near = settle(near, "labelled")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, total = Hashes(), np.zeros((2, BUCKETS))
@@ -114,7 +132,8 @@ def train_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
         trim()
 
     found = (
-        rows.mapInPandas(run, "bucket int, every double, target double")
+        near.unionByName(rest)
+        .mapInPandas(run, "bucket int, every double, target double")
         .groupBy("bucket")
         .agg(F.sum("every").alias("every"), F.sum("target").alias("target"))
         .toPandas()
@@ -123,9 +142,10 @@ def train_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
     total[0, found["bucket"]], total[1, found["bucket"]] = found["every"], found["target"]
     share = (total + 0.5) / (total + 0.5).sum(axis=1, keepdims=True)
     model = QualityModel(np.log(share[1]) - np.log(share[0]), -np.inf)
-    scores = document_scores(rows.filter("good is not null"), model, ["good"])
+    scores = document_scores(near.filter("good is not null"), model, ["good"])
     at = F.least(F.greatest(F.floor((F.col("llr") + SPAN / 2) / SPAN * BINS), F.lit(0)), F.lit(BINS - 1)).cast("int")
     bins = scores.filter("not base_failed").groupBy("good", at.alias("bin")).count().toPandas()
+    forget(near)
     hist = np.zeros((2, BINS))
     hist[bins["good"], bins["bin"]] = bins["count"]
     if hist.sum(axis=1).min() > 0:

@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from lexspark.llm import bpe, chat, forest, html_layout, langid, packing, pii, quality, queries, ring, simhash
 from tests.conftest import SF
+from tests.measure import shuffled
 
 LONG = "word after word, " * 20_000
 EDGE = [
@@ -762,6 +763,23 @@ def test_quality_uses_every_label(spark, docs, local, monkeypatch):
     assert again.threshold == every.threshold and np.array_equal(again.ratio, every.ratio)
 
 
+def test_quality_shuffles_labelled_texts_alone(spark, monkeypatch):
+    """Without a broadcast all texts were shuffled, twice; those without a label stay where they are."""
+    kinds = spark.range(0, 4000, numPartitions=4).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 120), i -> sha2(concat(id, ' ', i), 256)), ' ')").alias("text"))
+    docs = kinds.unionByName(kinds.filter("doc_id < 3")).unionByName(spark.createDataFrame([(None, "a b"), (5000, None)], "doc_id long, text string"))
+    labels = spark.range(0, 4000, 100).selectExpr("id doc_id", "CAST(id % 200 = 0 AS INT) quality", "0 toxic")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        found = []
+        assert shuffled(spark, lambda: found.append(quality.train_quality(docs, labels))) < 12_000_000  # texts: 31 MB
+        monkeypatch.setattr(quality, "FILTER_WORDS", 1, raising=False)  # admits nearly all: slower, not wrong
+        again = quality.train_quality(docs, labels)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert again.threshold == found[0].threshold and np.array_equal(again.ratio, found[0].ratio)
+
+
 def test_quality_edges(spark, edge, none):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (99, 1, None)], "doc_id long, quality int, toxic int")
     got = quality.document_quality(edge, labels)
