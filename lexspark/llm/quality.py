@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from lexspark.llm.memory import trim
 from lexspark.operators.lineage import forget, settle
+from lexspark.operators.sieve import sieved
 
 BUCKETS = 1 << 16
-#: Words of 64 bits in the filter of labelled ids, at most: a broadcast of some 40 MB.
-FILTER_WORDS = 1 << 19
 #: Bins of the histogram of labelled scores, and its range.
 BINS, SPAN = 2000, 10.0
 SYMBOLS = b"#*$%&|<>"
@@ -92,21 +91,6 @@ def _labelled(labels: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min("good").alias("good"))
 
 
-def _apart(docs: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(text, good) of the rows that may be labelled, good being null where they are not, and of all other rows.
-
-    A filter of FILTER_WORDS words tells them apart where they lie, so the texts that it admits are shuffled alone. The join
-    is a shuffled one whatever the size of the labels.
-    """
-    bit = F.pmod(F.xxhash64("id"), F.lit(64 * FILTER_WORDS)).alias("bit")
-    word, mask = F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, CAST(bit % 64 AS INT)) AS mask")
-    words = marked.select(bit).select(word, mask).groupBy("word").agg(F.bit_or("mask").alias("bits"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").select("id", "text", bit).select("id", "text", word, mask)
-    rows = rows.join(F.broadcast(words), "word", "left").withColumn("maybe", F.col("id").isNotNull() & F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) != 0, F.lit(False)))
-    near = rows.filter("maybe").select("id", "text").join(marked.hint("shuffle_hash"), "id", "left")
-    return near.select("text", "good"), rows.filter("not maybe").select("text", F.lit(None).cast("int").alias("good"))
-
-
 def train_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """The hashed word and word-pair multinomials of good labelled documents and of all documents.
 
@@ -115,8 +99,10 @@ def train_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
     good from bad labelled documents by mean recall, the lowest among equals, from a histogram; without
     labels of both kinds every text passes.
     """
-    near, rest = _apart(docs, _labelled(labels))
-    near = settle(near, "labelled")
+    marked = _labelled(labels)
+    near, rest = sieved(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), F.col("id"), marked, "id")
+    # Shuffled whatever the size of the labels
+    near = settle(near.join(marked.hint("shuffle_hash"), "id", "left").select("text", "good"), "labelled")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, total = Hashes(), np.zeros((2, BUCKETS))
@@ -132,7 +118,7 @@ def train_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
         trim()
 
     found = (
-        near.unionByName(rest)
+        near.unionByName(rest.select("text", F.lit(None).cast("int").alias("good")))
         .mapInPandas(run, "bucket int, every double, target double")
         .groupBy("bucket")
         .agg(F.sum("every").alias("every"), F.sum("target").alias("target"))

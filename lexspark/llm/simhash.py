@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lexspark.llm.memory import trim
 from lexspark.operators.components import connected_components
 from lexspark.operators.lineage import forget, settle, settled_by
+from lexspark.operators.sieve import sieved
 
 #: Bits of a plain fingerprint.
 WIDTH = 64
@@ -499,13 +500,16 @@ def drop_near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     gone = settle(copies.filter(lesser).select(F.col("id").alias("gone"), F.col("mark").alias("gone_mark")).distinct(), "gone")
     key, text = F.col("doc_id").cast("long"), F.col("text")
     mark = F.when(text.isNotNull(), F.xxhash64(text))
-    kept = docs.join(gone, (key == gone["gone"]) & mark.eqNullSafe(gone["gone_mark"]), "left_anti")
+    maybe, rest = sieved(docs, F.xxhash64(key, mark), gone.select(F.xxhash64("gone", "gone_mark").alias("key")), "key")
+    # Shuffled whatever the number of copies
+    kept = rest.unionByName(maybe.join(gone.hint("shuffle_hash"), (key == gone["gone"]) & mark.eqNullSafe(gone["gone_mark"]), "left_anti"))
     again = settle(classes.groupBy("id", "mark").count().filter("count > 1").select(F.col("id").alias("again"), F.col("mark").alias("again_mark")), "again")
     forget(classes)
     if again.isEmpty():
         return kept
     repeated = (key == again["again"]) & mark.eqNullSafe(again["again_mark"])
     other = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")]
-    once = kept.join(again, repeated, "left_semi").groupBy(key.alias("_id"), mark.alias("_mark"))
+    maybe, rest = sieved(kept, F.xxhash64(key, mark), again.select(F.xxhash64("again", "again_mark").alias("key")), "key")
+    once = maybe.join(again, repeated, "left_semi").groupBy(key.alias("_id"), mark.alias("_mark"))
     once = once.agg(F.min_by(F.struct(*docs.columns), F.struct(*other) if other else F.lit(0)).alias("_row")).select("_row.*")
-    return kept.join(again, repeated, "left_anti").unionByName(once)
+    return rest.unionByName(maybe.join(again, repeated, "left_anti")).unionByName(once)

@@ -773,7 +773,7 @@ def test_quality_shuffles_labelled_texts_alone(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
         found = []
         assert shuffled(spark, lambda: found.append(quality.train_quality(docs, labels))) < 12_000_000  # texts: 31 MB
-        monkeypatch.setattr(quality, "FILTER_WORDS", 1, raising=False)  # admits nearly all: slower, not wrong
+        monkeypatch.setattr("lexspark.operators.sieve.FILTER_WORDS", 1, raising=False)  # admits nearly all: slower, not wrong
         again = quality.train_quality(docs, labels)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexspark.llm import langid, quality
+from lexspark.llm import langid, quality, simhash
 from lexspark.operators.lineage import settle
 from tests.conftest import SF
 from tests.llm.test_operators import check_packing, plain_counts, plain_spans
+from tests.measure import shuffled
 
 KINDS = ("EMAIL", "IP", "CARD", "PHONE", "SECRET")
 
@@ -130,3 +131,21 @@ def test_odd_rows_pass_through_every_stage(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             df = settle(stage(spark, df, str(tmp_path)), "odd")
         assert df.count() == 0 or kept
+
+
+def test_near_copies_shuffle_the_texts_of_copies_alone(spark):
+    """Without a broadcast of what goes all texts were shuffled, to leave a few out."""
+    body = "array_join(transform(sequence(1, {n}), i -> sha2(concat(id, ' ', i), 256)), ' ')"
+    docs = spark.range(0, 600, numPartitions=4).select(F.col("id").alias("doc_id"), F.expr(body.format(n=400)).alias("text"))
+    docs = settle(docs.unionByName(docs.filter("doc_id < 6").withColumn("doc_id", F.col("doc_id") + 1000)), "docs")
+    pad = docs.withColumn("note", F.expr("array_join(transform(sequence(1, 400), i -> sha2(concat(doc_id, '-', i), 256)), ' ')"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    kept = []
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        wide = shuffled(spark, lambda: kept.append(sorted(r["doc_id"] for r in simhash.drop_near_copies(settle(pad, "pad")).select("doc_id", "note", "text").collect())))
+        plain = shuffled(spark, lambda: simhash.near_copy_classes(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert kept[0] == list(range(600))
+    assert wide - plain < 4_000_000  # texts and notes: 31 MB
