@@ -714,7 +714,7 @@ size AS (SELECT doc_id, sqrt(sum(w * w)) AS s FROM raw GROUP BY doc_id)
 SELECT doc_id AS id, term, round(w / s, 6) AS weight FROM raw JOIN size USING (doc_id)""",
 )
 def tfidf_vectors(documents: DataFrame) -> DataFrame:
-    texts = documents.select(F.col("doc_id").alias("id"), "text")
+    texts = embed.tokens(documents.select(F.col("doc_id").alias("id"), "text"), STOP_WORDS)
     found = embed.tfidf(texts, embed.fit_tfidf(texts, STOP_WORDS), STOP_WORDS)
     return found.withColumn("weight", F.round("weight", 6))
 
@@ -731,7 +731,7 @@ size AS (SELECT doc_id, sqrt(sum(w * w)) AS s FROM raw GROUP BY doc_id)
 SELECT doc_id AS id, term, round(w / s, 6) AS weight FROM raw JOIN size USING (doc_id)""".strip(),
 )
 def legal_tfidf_vectors(planted: DataFrame) -> DataFrame:
-    texts = planted.select(F.col("doc_id").alias("id"), "text")
+    texts = embed.tokens(planted.select(F.col("doc_id").alias("id"), "text"), STOP_WORDS, embed.ANY)
     return embed.tfidf(texts, embed.fixed_vocabulary(texts, STOP_WORDS), STOP_WORDS, 3, sublinear=True).withColumn("weight", F.round("weight", 6))
 
 

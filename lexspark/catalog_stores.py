@@ -220,7 +220,7 @@ for _name in ("similar_documents", "document_clusters"):
 @query("documents")
 def stored_tfidf_vectors(documents: DataFrame) -> DataFrame:
     """tfidf_vectors by a model whose counts were stored in two batches."""
-    texts, root = documents.select(F.col("doc_id").alias("id"), "text"), _place(documents)
+    texts, root = embed.tokens(documents.select(F.col("doc_id").alias("id"), "text"), STOP_WORDS), _place(documents)
     for batch in (0, 1):
         embed.store_counts(texts.filter(F.col("id") % 2 == batch), root, batch, STOP_WORDS)
     found = embed.tfidf(texts, embed.stored_model(documents.sparkSession, root), STOP_WORDS)
