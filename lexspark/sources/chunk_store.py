@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspark.operators.lineage import exists, settle
+from lexspark.operators.lineage import exists, forget, settle
+from lexspark.operators.sieve import sieved
 
 
 def bucket_of(key: str, buckets: int) -> Column:
@@ -74,12 +75,16 @@ class ChunkStore:
         """
         rest = [c for c, kind in chunks.dtypes if c not in ("id", "bucket", "batch") and not kind.startswith("map")]
         kept = [c for c in chunks.columns if c not in ("bucket", "batch")]
-        rows = chunks.filter("id is not null").groupBy("id").agg(F.min_by(F.struct(*kept), F.struct(*rest) if rest else F.lit(0)).alias("row")).select("row.*")
-        rows = settle(rows.withColumn("id", F.col("id").cast("string")), "batch")
+        rows = settle(chunks.select(*kept).filter("id is not null").withColumn("id", F.col("id").cast("string")), "batch")
         known, opened = self.stored(rows, batch)
-        fresh = rows.join(known, "id", "left_anti").withColumn("bucket", bucket_of("id", self.buckets))
-        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/batch={batch}")
-        written = rows.sparkSession.read.schema("id string, bucket int").parquet(f"{self.root}/batch={batch}")
+        known = settle(known, "known")
+        # Stored rows go first, then the others are shuffled once, to their buckets, where equal ids meet
+        maybe, fresh = sieved(rows, F.xxhash64("id"), known.select(F.xxhash64("id").alias("key")), "key")
+        fresh = fresh.unionByName(maybe.join(known.hint("shuffle_hash"), "id", "left_anti")).withColumn("bucket", bucket_of("id", self.buckets)).repartition("bucket")
+        first = F.min_by(F.struct(*kept), F.struct(*rest) if rest else F.lit(0)).alias("row")
+        fresh.groupBy("bucket", "id").agg(first).select("row.*", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/batch={batch}")
+        forget(rows, known)
+        written = chunks.sparkSession.read.schema("id string, bucket int").parquet(f"{self.root}/batch={batch}")
         words = self._probes(written.select("id")).groupBy("bucket", "word").agg(F.bit_or("mask").alias("bits"))
         words.coalesce(1).write.mode("overwrite").parquet(f"{self.filters}/batch={batch}")
         return opened
