@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -12,12 +14,18 @@ from pyspark.sql.window import Window
 
 from lexspark.functions.vectors import norm
 from lexspark.operators.components import connected_components
-from lexspark.operators.lineage import settle
+from lexspark.operators.lineage import settle, spread
 
 #: Documents of a block; a task compares two blocks. Pivots that documents are grouped around, at most.
 BLOCK, PIVOTS = 2000, 2048
-#: Vectors of a part that meet in one task where a band's value is shared by many; they are multiplied a BLOCK at a time.
+#: Vectors of one value of a band that bits_for takes for a copy; parts that meet may be larger (part_size).
 PART = 8000
+#: Bytes of vectors of a part, of which two meet in one task where a band's value is shared by many, BLOCK vectors at least;
+#: vectors of a tile, of which two are multiplied at once; pairs whose cosine is worked out in full at once.
+PART_BYTES, TILE, CHECKED = 8 << 20, 1024, 1 << 14
+#: Tasks to a core, at most, that pairs of parts are dealt to.
+TASKS = 64
+
 
 
 def centroids(chunks: DataFrame, dimension: int) -> DataFrame:
@@ -123,6 +131,45 @@ def bits_for(n: int, least: float, recall: float) -> int:
     return min((0, *range(4, spare + 1)), key=lambda k: (bands_for(least, k, recall) * max(1.0, n / 2**k / PART), -k))
 
 
+def part_size(n: int, row_bytes: int, cores: int) -> int:
+    """How many of n vectors make a part: so few that pairs of parts, four to a core, keep all cores busy, and no more
+    than PART_BYTES, but a BLOCK at least. Each part meets each other, so fewer parts send fewer copies."""
+    return int(np.clip(np.ceil(n / np.sqrt(8 * cores)), BLOCK, max(BLOCK, PART_BYTES // row_bytes)))
+
+
+def _frame(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    one, two, score = map(np.concatenate, zip(*found, strict=True))
+    return pd.DataFrame({"doc1_id": np.minimum(one, two), "doc2_id": np.maximum(one, two), "similarity_score": score})
+
+
+def pairs_within(one: np.ndarray, two: np.ndarray | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of one, rows of two, cosines) at least that similar, CHECKED pairs at a time at most; without two, each two
+    rows of one once. one and two have rows at length one.
+
+    Tiles are multiplied in single precision; what could reach least by the error bound of that is worked out in
+    double precision, which decides."""
+    other = one if two is None else two
+    left = one.astype(np.float32)
+    right = left if two is None else two.astype(np.float32)
+    bound = np.float32(least - (one.shape[1] + 8) * 2.0**-24)
+    room = min(TILE, len(left)) * min(TILE, len(right))
+    product, near = np.empty(room, np.float32), np.empty(room, bool)
+    for i in range(0, len(left), TILE):
+        for j in range(i if two is None else 0, len(right), TILE):
+            a, b = left[i : i + TILE], right[j : j + TILE]
+            size = len(a) * len(b)
+            np.matmul(a, b.T, out=product[:size].reshape(len(a), len(b)))
+            at = np.flatnonzero(np.greater_equal(product[:size], bound, out=near[:size]))
+            for k in range(0, len(at), CHECKED):
+                x, y = np.divmod(at[k : k + CHECKED], len(b))
+                x, y = x + i, y + j
+                if two is None and i == j:
+                    x, y = x[x < y], y[x < y]
+                score = np.einsum("ij,ij->i", one[x], other[y])
+                kept = score >= least
+                yield x[kept], y[kept], score[kept]
+
+
 def similar_documents_banded(docs: DataFrame, least: float = 0.7, bits: int | None = None, recall: float = 0.95, seed: int = 7) -> DataFrame:
     """(doc1_id, doc2_id, similarity_score) of pairs doc1_id < doc2_id at least that similar by cosine: each with a
     chance of recall or more, and no others.
@@ -132,16 +179,18 @@ def similar_documents_banded(docs: DataFrame, least: float = 0.7, bits: int | No
     (bands_for). More bits keep unlike vectors apart, at the price of more bands, each of which gets a copy of every
     vector; by default as many as send the fewest copies (bits_for). Where a low threshold or a high recall asks for
     more bands than there are parts of all vectors, that is none: all parts meet, and no pair is left out. Values that
-    many vectors share are met in parts of PART, and a pair is given by the first band that it shares only, so nothing
-    is deduplicated. Vectors without length are left out; repeated rows are compared like others; an empty table
-    gives no rows.
+    many vectors share are met in parts (part_size), each two of which are a task's work, and a pair is given by the
+    first band that it shares only, so nothing is deduplicated. Vectors without length are left out; repeated rows are
+    compared like others; an empty table gives no rows.
     """
     rows = docs.filter(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
     kind = "float" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "double"  # floats travel as such
+    number = np.dtype(np.float32 if kind == "float" else np.float64)
     rows = settle(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding")), "documents")
-    n = rows.count()
+    n, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
     bits = bits_for(n, least, recall) if bits is None else bits
     bands = bands_for(least, bits, recall)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
 
     def signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = 1 << np.arange(bits, dtype=np.int64)
@@ -150,43 +199,53 @@ def similar_documents_banded(docs: DataFrame, least: float = 0.7, bits: int | No
                 part = batch.iloc[at : at + BLOCK]
                 v = _rows(part["embedding"])
                 cut = np.random.default_rng(seed).standard_normal((v.shape[1], bands * bits))
-                yield part.assign(keys=list((v @ cut > 0).reshape(len(v), bands, bits) @ powers))
-
-    if bits:
-        keyed = settle(rows.mapInPandas(signs, f"doc_id long, embedding array<{kind}>, keys array<long>"), "signs")
-    else:
-        keyed = rows.withColumn("keys", F.array(F.lit(0).cast("long")))
-    placed = keyed.select("doc_id", "keys", F.posexplode("keys").alias("band", "key"))
-    sizes = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    # A part meets itself and those after it: its rows go to each such pair of parts.
-    placed = keyed.select("*", F.posexplode("keys").alias("band", "key")).join(sizes, ["band", "key"])
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = placed.select("doc_id", "embedding", "keys", "band", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
-
-    def meet(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        band, _, a, b = key
-        left, right = (part, part) if a == b else (part[part["own"] == a], part[part["own"] == b])
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if len(left) and len(right):
-            one, two = _unit(_rows(left["embedding"])), _unit(_rows(right["embedding"]))
-            ids, others = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
+                keys = (v @ cut > 0).reshape(len(v), bands, bits) @ powers  # all 0 without signs
+                yield pd.DataFrame({"doc_id": part["doc_id"], "vector": [x.tobytes() for x in v.astype(number)], "keys": list(keys)})
+
+    keyed = settle(spread(rows).mapInPandas(signs, "doc_id long, vector binary, keys array<long>"), "signs")
+    sizes = keyed.select(F.posexplode("keys").alias("band", "key")).groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    parts = F.ceil(F.col("n") / part_size(n, width * number.itemsize, cores)).cast("long")
+    sizes = settle(sizes.select("band", "key", parts.alias("parts")), "sizes")
+    meetings, lone = sizes.agg(F.sum(F.when(F.col("parts") > 1, F.expr("parts * (parts + 1) div 2"))), F.count_if(F.col("parts") == 1)).first()
+
+    def meet(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        band, _, a, b, _ = key
+        read = []
+        for part in batches:
+            v, keys = np.frombuffer(b"".join(part["vector"]), dtype=number).reshape(len(part), -1), np.array(part["keys"].tolist(), dtype=np.int64)
+            read.append((part["own"].to_numpy(), part["doc_id"].to_numpy(), v, keys[:, :band]))
+        own, ids, v, keys = map(np.concatenate, zip(*read, strict=True))
+        sides = [np.flatnonzero(own == k) for k in ((a,) if a == b else (a, b))]
+        units = [_unit(v[side].astype(np.float64)) for side in sides]
+        del read, v
+        found, held = [], 0
+        for x, y, score in pairs_within(units[0], None if a == b else units[1], least):
+            x, y = sides[0][x], sides[-1][y]
+            kept = ids[x] != ids[y]
             if band:
-                keys, also = (np.array(p["keys"].tolist(), dtype=np.int64)[:, :band] for p in (left, right))
-            for i in range(0, len(one), BLOCK):
-                for j in range(0, len(two), BLOCK):
-                    score = one[i : i + BLOCK] @ two[j : j + BLOCK].T
-                    x, y = np.nonzero(score >= least)
-                    near = score[x, y]
-                    x, y = x + i, y + j
-                    kept = ids[x] < others[y] if a == b else ids[x] != others[y]
-                    if band:
-                        kept &= ~(keys[x] == also[y]).any(axis=1)
-                    out.append((ids[x[kept]], others[y[kept]], near[kept]))
-        x, y, score = map(np.concatenate, zip(*out, strict=True))
-        return pd.DataFrame({"doc1_id": np.minimum(x, y), "doc2_id": np.maximum(x, y), "similarity_score": score})
-
-    return met.groupBy("band", "key", "a", "b").applyInPandas(meet, "doc1_id long, doc2_id long, similarity_score double")
+                kept &= ~(keys[x] == keys[y]).any(axis=1)
+            found.append((ids[x[kept]], ids[y[kept]], score[kept]))
+            held += len(found[-1][0])
+            if held >= CHECKED:
+                yield _frame(found)
+                found, held = [], 0
+        if held:
+            yield _frame(found)
+
+    def met(placed: DataFrame) -> DataFrame:
+        return placed.groupBy("band", "key", "a", "b", "meeting").applyInPandas(meet, "doc1_id long, doc2_id long, similarity_score double")
+
+    placed, none, every = keyed.select("*", F.posexplode("keys").alias("band", "key")), F.lit(0), []
+    if lone or not meetings:
+        every.append(met(placed.join(sizes.filter("parts = 1"), ["band", "key"]).drop("parts").withColumns({"own": none, "a": none, "b": none, "meeting": none})))
+    if meetings:
+        # A part meets itself and the others: its rows go to each such pair of parts. Dealt by value alone, all pairs of a value would be one task's.
+        many = placed.join(F.broadcast(sizes.filter("parts > 1")), ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+        many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
+        tasks = min(meetings, TASKS * cores)
+        meeting = F.pmod(F.pmod(F.xxhash64("band", "key"), F.lit(tasks)) + F.expr("b * (b + 1) div 2 + a"), F.lit(tasks)).cast("int")
+        every.append(met(many.drop("parts", "other").withColumn("meeting", meeting).repartitionById(tasks, "meeting")))
+    return reduce(DataFrame.unionByName, every)
 
 
 def most_similar(pairs: DataFrame, k: int = 10) -> DataFrame:
