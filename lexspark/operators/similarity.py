@@ -180,10 +180,10 @@ def similar_documents_banded(docs: DataFrame, least: float = 0.7, bits: int | No
     vector; by default as many as send the fewest copies (bits_for). Where a low threshold or a high recall asks for
     more bands than there are parts of all vectors, that is none: all parts meet, and no pair is left out. Values that
     many vectors share are met in parts (part_size), each two of which are a task's work, and a pair is given by the
-    first band that it shares only, so nothing is deduplicated. Vectors without length are left out; repeated rows are
-    compared like others; an empty table gives no rows.
+    first band that it shares only, so nothing is deduplicated. Vectors without length and rows without doc_id are left out;
+    repeated rows are compared like others; an empty table gives no rows.
     """
-    rows = docs.filter(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
+    rows = docs.filter(F.col("doc_id").isNotNull() & F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
     kind = "float" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "double"  # floats travel as such
     number = np.dtype(np.float32 if kind == "float" else np.float64)
     rows = settle(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding")), "documents")
