@@ -59,6 +59,15 @@ def test_vectors_of_one_value_meet_in_many_tasks(spark, monkeypatch):
         assert np.allclose(one["similarity_score"], two["similarity_score"], rtol=0, atol=1e-12)
 
 
+def test_rows_without_id_have_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 40)
+    monkeypatch.setattr(similarity, "PART", 40)
+    docs = vectors(spark, 200)
+    some = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    found = pairs_of(similarity.similar_documents_banded(some, 0.43, 0))
+    assert found == pairs_of(similarity.similar_documents(docs.filter("doc_id % 3 > 0"), 0.43))
+
+
 @pytest.mark.parametrize("tile", [1024, 7])
 def test_single_precision_decides_nothing(monkeypatch, tile):
     """Pairs closer to the threshold than single precision tells stay or go by their cosine in double precision."""
